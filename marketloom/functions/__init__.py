@@ -1,0 +1 @@
+from marketloom.functions.scalars import *  # noqa: F401,F403
