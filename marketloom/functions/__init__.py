@@ -1 +0,0 @@
-from marketloom.functions.scalars import *  # noqa: F401,F403

@@ -1,4 +1,8 @@
-"""Column expressions shared by the pipelines. All are built-in functions inside codegen."""
+"""SQL expressions shared by the pipelines.
+
+Every helper takes SQL expressions as text and returns one, for ``selectExpr``, ``filter`` and
+``agg(exprs(...))``: one call to the JVM per table instead of several per column.
+"""
 
 from __future__ import annotations
 
@@ -7,33 +11,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-__all__ = [
-    "MONEY",
-    "NULL_KEY_TOKEN",
-    "col",
-    "count_where",
-    "day_of_week_from_sunday",
-    "double",
-    "mean_of",
-    "month_count",
-    "month_start",
-    "quarter_start",
-    "ratio",
-    "safe_add",
-    "safe_divide",
-    "safe_subtract",
-    "sum_where",
-    "surrogate_key",
-    "url_host",
-    "url_parameter",
-    "url_path",
-    "week_start",
-    "whole",
-    "zero_if_null",
-    "equal_width_bucket",
-    "great_circle_distance",
-]
-
 MONEY = "decimal(12,2)"
 
 # Fixed value: the text that stands for NULL inside a hashed key.
@@ -44,142 +21,117 @@ EARTH_RADIUS_MILES = 3961
 KM_PER_MILE = 1.60934
 
 
-def col(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c
-
-
-def double(c: Column | str) -> Column:
-    return col(c).cast("double")
+def exprs(*texts: str) -> list[Column]:
+    return [F.expr(text) for text in texts]
 
 
-def whole(c: Column | str) -> Column:
-    return col(c).cast("bigint")
+def quoted(text: str) -> str:
+    """SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def zero_if_null(c: Column | str) -> Column:
-    return F.coalesce(col(c), F.lit(0))
+def zero_if_null(c: str) -> str:
+    return f"coalesce({c}, 0)"
 
 
-def ratio(top: Column | str, bottom: Column | str, times: int = 1, digits: int | None = None) -> Column:
+def ratio(top: str, bottom: str, times: int = 1, digits: int | None = None) -> str:
     """``top / bottom * times`` as double, NULL where ``bottom`` is 0 or NULL.
 
     With ``digits`` the quotient is rounded half up, in decimal arithmetic: a binary quotient such
     as 2456.865 lies below the tie and would be rounded down.
     """
     if digits is None:
-        value = double(top) / F.nullif(double(bottom), F.lit(0.0))
-        return value if times == 1 else value * F.lit(float(times))
-    exact = "decimal(20,4)"
-    scaled = col(top).cast(exact) if times == 1 else col(top).cast(exact) * F.lit(times)
-    return F.round(scaled / F.nullif(col(bottom).cast(exact), F.lit(0).cast(exact)), digits).cast("double")
+        value = f"(double({top}) / nullif(double({bottom}), 0D))"
+        return value if times == 1 else f"({value} * {times}D)"
+    scaled = f"cast({top} AS decimal(20,4)) * {times}"
+    return f"double(round({scaled} / nullif(cast({bottom} AS decimal(20,4)), 0), {digits}))"
 
 
-def sum_where(condition: Column | str, value: Column | str | int, otherwise: int | None = 0) -> Column:
-    value = F.lit(value) if isinstance(value, int) else col(value)
-    picked = F.when(col(condition), value)
-    return F.sum(picked if otherwise is None else picked.otherwise(F.lit(otherwise)))
+def sum_where(condition: str, value: str) -> str:
+    return f"sum(CASE WHEN {condition} THEN {value} ELSE 0 END)"
 
 
-def count_where(condition: Column | str) -> Column:
-    return F.count_if(col(condition))
-
-
-def mean_of(value: Column | str) -> Column:
+def mean_of(value: str) -> str:
     """Average as exact sum over count, so that it does not depend on the order of rows."""
-    return double(F.sum(col(value))) / F.nullif(double(F.count(col(value))), F.lit(0.0))
+    return ratio(f"sum({value})", f"count({value})")
 
 
-def month_start(c: Column | str) -> Column:
-    return F.trunc(col(c), "month")
+def month_start(c: str) -> str:
+    return f"trunc({c}, 'month')"
 
 
-def quarter_start(c: Column | str) -> Column:
-    return F.trunc(col(c), "quarter")
+def quarter_start(c: str) -> str:
+    return f"trunc({c}, 'quarter')"
 
 
-def week_start(c: Column | str) -> Column:
+def week_start(c: str) -> str:
     """Monday of the week."""
-    return F.trunc(col(c), "week")
+    return f"trunc({c}, 'week')"
 
 
-def day_of_week_from_sunday(c: Column | str) -> Column:
+def day_of_week_from_sunday(c: str) -> str:
     """0 = Sunday … 6 = Saturday."""
-    return F.dayofweek(col(c)) - 1
+    return f"(dayofweek({c}) - 1)"
 
 
-def month_count(start: Column | str, end: Column | str) -> Column:
+def month_count(start: str, end: str) -> str:
     """Number of month boundaries between two dates (31 Jan → 1 Feb counts 1)."""
-    start, end = col(start), col(end)
-    return (F.year(end) - F.year(start)) * 12 + F.month(end) - F.month(start)
+    return f"((year({end}) - year({start})) * 12 + month({end}) - month({start}))"
 
 
-def safe_add(*columns: Column | str) -> Column:
-    total = zero_if_null(columns[0])
-    for c in columns[1:]:
-        total = total + zero_if_null(c)
-    return total
+def safe_add(*columns: str) -> str:
+    return "(" + " + ".join(zero_if_null(c) for c in columns) + ")"
 
 
-def safe_subtract(*columns: Column | str) -> Column:
-    total = zero_if_null(columns[0])
-    for c in columns[1:]:
-        total = total - zero_if_null(c)
-    return total
+def safe_subtract(*columns: str) -> str:
+    return "(" + " - ".join(zero_if_null(c) for c in columns) + ")"
 
 
-def safe_divide(top: Column | str, bottom: Column | str) -> Column:
+def safe_divide(top: str, bottom: str) -> str:
     return ratio(top, bottom)
 
 
-def surrogate_key(columns: Sequence[Column | str], null_token: str = NULL_KEY_TOKEN) -> Column:
+def surrogate_key(columns: Sequence[str], null_token: str = NULL_KEY_TOKEN) -> str:
     """MD5 over the columns as text, joined by ``-``; NULL becomes ``null_token``."""
-    texts = [F.coalesce(col(c).cast("string"), F.lit(null_token)) for c in columns]
-    return F.md5(F.concat_ws("-", *texts))
+    texts = ", ".join(f"coalesce(string({c}), {quoted(null_token)})" for c in columns)
+    return f"md5(concat_ws('-', {texts}))"
 
 
-def _without_scheme(url: Column, schemes: Sequence[str]) -> Column:
+def _without(text: str, *schemes: str) -> str:
     for scheme in schemes:
-        url = F.replace(url, F.lit(scheme), F.lit(""))
-    return url
-
-
-def _part(text: Column, separator: str, index: int) -> Column:
-    return F.split_part(text, F.lit(separator), F.lit(index))
+        text = f"replace({text}, {quoted(scheme)}, '')"
+    return text
 
 
-def url_host(url: Column | str) -> Column:
+def url_host(url: str) -> str:
     """Host by text rules, so that addresses without a scheme work too."""
-    bare = _without_scheme(col(url), ["android-app://", "http://", "https://"])
-    return _part(_part(bare, "/", 1), "?", 1)
+    bare = _without(url, "android-app://", "http://", "https://")
+    return f"split_part(split_part({bare}, '/', 1), '?', 1)"
 
 
-def url_path(url: Column | str) -> Column:
-    """Text after the first slash up to the query; without a slash, the text left of ``?`` is cut."""
-    bare = _without_scheme(col(url), ["http://", "https://"])
-    slash = F.nullif(F.instr(bare, "/"), F.lit(0))
-    cut = F.coalesce(slash, F.instr(bare, "?") - 1)
-    return _part(F.right(bare, F.length(bare) - cut), "?", 1)
+def url_path(url: str) -> str:
+    """Text after the first slash up to the query; without a slash, what precedes ``?`` is cut."""
+    bare = _without(url, "http://", "https://")
+    cut = f"coalesce(nullif(instr({bare}, '/'), 0), instr({bare}, '?') - 1)"
+    return f"split_part(right({bare}, length({bare}) - {cut}), '?', 1)"
 
 
-def url_parameter(url: Column | str, name: str) -> Column:
+def url_parameter(url: str, name: str) -> str:
     """Value of a query parameter, NULL where it is missing or empty."""
-    return F.nullif(_part(_part(col(url), f"{name}=", 2), "&", 1), F.lit(""))
+    return f"nullif(split_part(split_part({url}, {quoted(name + '=')}, 2), '&', 1), '')"
 
 
-def equal_width_bucket(value: Column | str, low: float, high: float, buckets: int) -> Column:
+def equal_width_bucket(value: str, low: float, high: float, buckets: int) -> str:
     """1 … ``buckets`` inside [low, high), 0 below, ``buckets + 1`` at or above ``high``."""
-    return F.width_bucket(double(value), F.lit(float(low)), F.lit(float(high)), F.lit(buckets))
+    return f"width_bucket(double({value}), {float(low)}D, {float(high)}D, {int(buckets)})"
 
 
-def great_circle_distance(
-    lat1: Column | str, lon1: Column | str, lat2: Column | str, lon2: Column | str, unit: str = "mi"
-) -> Column:
+def great_circle_distance(lat1: str, lon1: str, lat2: str, lon2: str, unit: str = "mi") -> str:
     """Haversine distance between two points given in degrees."""
     if unit not in ("mi", "km"):
         raise ValueError(f"unit must be 'mi' or 'km', got {unit!r}")
-    lat1, lon1, lat2, lon2 = (double(c) for c in (lat1, lon1, lat2, lon2))
-    half_lat = F.sin(F.radians((lat2 - lat1) / 2))
-    half_lon = F.sin(F.radians((lon2 - lon1) / 2))
-    chord = half_lat * half_lat + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half_lon * half_lon
-    miles = F.asin(F.sqrt(F.least(F.lit(1.0), chord))) * (2 * EARTH_RADIUS_MILES)
-    return miles if unit == "mi" else miles * KM_PER_MILE
+    lat = f"pow(sin(radians((double({lat2}) - double({lat1})) / 2)), 2)"
+    lon = f"pow(sin(radians((double({lon2}) - double({lon1})) / 2)), 2)"
+    chord = f"{lat} + cos(radians(double({lat1}))) * cos(radians(double({lat2}))) * {lon}"
+    miles = f"(asin(sqrt(least(1D, {chord}))) * {2 * EARTH_RADIUS_MILES})"
+    return miles if unit == "mi" else f"({miles} * {KM_PER_MILE}D)"

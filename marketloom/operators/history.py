@@ -4,27 +4,25 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from marketloom.functions import surrogate_key
+from marketloom.functions.scalars import surrogate_key
 
 META = ["version_id", "valid_from", "valid_to"]
 
 
-def _stamp(at: dt.datetime | dt.date | Column) -> Column:
-    return (at if isinstance(at, Column) else F.lit(at)).cast("timestamp")
+def _moment(at: dt.datetime | dt.date) -> str:
+    return f"TIMESTAMP'{at:%Y-%m-%d %H:%M:%S.%f}'"
 
 
-def opened(snapshot: DataFrame, key: str, at: dt.datetime | dt.date | Column) -> DataFrame:
+def opened(snapshot: DataFrame, key: str, at: dt.datetime | dt.date) -> DataFrame:
     """First load: every row is a current version."""
-    return snapshot.select(
+    return snapshot.selectExpr(
         "*",
-        surrogate_key([key, _stamp(at)]).alias("version_id"),
-        _stamp(at).alias("valid_from"),
-        F.lit(None).cast("timestamp").alias("valid_to"),
+        f"{surrogate_key([key, _moment(at)])} AS version_id",
+        f"{_moment(at)} AS valid_from",
+        "cast(NULL AS timestamp) AS valid_to",
     )
 
 
@@ -33,7 +31,7 @@ def snapshot_history(
     snapshot: DataFrame,
     key: str,
     check: Sequence[str],
-    at: dt.datetime | dt.date | Column,
+    at: dt.datetime | dt.date,
     close_deleted: bool = True,
 ) -> DataFrame:
     """The history after one snapshot run.
@@ -44,45 +42,40 @@ def snapshot_history(
     snapshot again changes nothing.
     """
     business = [c for c in history.columns if c not in META]
-    closed = history.filter(F.col("valid_to").isNotNull())
-    current = history.filter(F.col("valid_to").isNull())
-    old = current.select(F.struct(*history.columns).alias("old"), F.col(key).alias("_old_key"))
-    new = snapshot.select(F.struct(*business).alias("new"), F.col(key).alias("_new_key"))
-    both = old.join(new, F.col("_old_key") == F.col("_new_key"), "full_outer")
-
-    has_old, has_new = F.col("old").isNotNull(), F.col("new").isNotNull()
-    differs = reduce(lambda a, b: a | b, [~F.col(f"old.{c}").eqNullSafe(F.col(f"new.{c}")) for c in check])
-    changed = has_old & has_new & differs
-    ends = changed | (has_old & ~has_new & F.lit(close_deleted))
-    starts = has_new & (~has_old | differs)
-
-    ended = F.when(ends, _stamp(at)).otherwise(F.col("old.valid_to"))
-    old_version = F.when(
-        has_old,
-        F.struct(*[F.col(f"old.{c}").alias(c) for c in [*business, "version_id", "valid_from"]], ended.alias("valid_to")),
-    )
-    new_version = F.when(
-        starts,
-        F.struct(
-            *[F.col(f"new.{c}").alias(c) for c in business],
-            surrogate_key([F.col("_new_key"), _stamp(at)]).alias("version_id"),
-            _stamp(at).alias("valid_from"),
-            F.lit(None).cast("timestamp").alias("valid_to"),
-        ),
-    )
-    versions = both.select(F.explode(F.array(old_version, new_version)).alias("v")).filter("v IS NOT NULL").select("v.*")
-    return closed.select(*versions.columns).unionByName(versions)
+    now = _moment(at)
+    old = history.filter("valid_to IS NULL").selectExpr(f"{key} AS old_key", f"struct({', '.join(history.columns)}) AS old")
+    new = snapshot.selectExpr(f"{key} AS new_key", f"struct({', '.join(business)}) AS new")
+    both = old.join(new, old.old_key == new.new_key, "full_outer")
+
+    differs = " OR ".join(f"NOT (old.{c} <=> new.{c})" for c in check)
+    deleted = "new IS NULL" if close_deleted else "false"
+    ends = f"(new IS NOT NULL AND ({differs})) OR {deleted}"
+    keep = ", ".join(f"old.{c} AS {c}" for c in [*business, "version_id", "valid_from"])
+    take = ", ".join(f"new.{c} AS {c}" for c in business)
+    old_version = f"CASE WHEN old IS NOT NULL THEN struct({keep}, CASE WHEN {ends} THEN {now} END AS valid_to) END"
+    new_version = f"""CASE WHEN new IS NOT NULL AND (old IS NULL OR {differs}) THEN struct({take},
+        {surrogate_key(["new_key", now])} AS version_id, {now} AS valid_from, cast(NULL AS timestamp) AS valid_to) END"""
+    versions = both.selectExpr(f"explode(array({old_version}, {new_version})) AS v").filter("v IS NOT NULL").select("v.*")
+    return history.filter("valid_to IS NOT NULL").select(*versions.columns).unionByName(versions)
+
 
+def valid_at(moment: str) -> str:
+    return f"valid_from <= {moment} AND (valid_to IS NULL OR {moment} < valid_to)"
 
-def as_of(history: DataFrame, at: dt.datetime | dt.date | Column) -> DataFrame:
+
+def as_of(history: DataFrame, at: dt.datetime | dt.date) -> DataFrame:
     """Versions valid at one moment."""
-    t = _stamp(at)
-    return history.filter((F.col("valid_from") <= t) & (F.col("valid_to").isNull() | (t < F.col("valid_to"))))
+    return history.filter(valid_at(_moment(at)))
 
 
 def as_of_join(facts: DataFrame, history: DataFrame, key: str, at: str, columns: Sequence[str]) -> DataFrame:
-    """Every fact row with the version valid at its own time (NULL columns if none was)."""
-    versions = history.select(F.col(key).alias("_key"), "valid_from", "valid_to", *[F.col(c).alias(f"version_{c}") for c in columns])
-    t = F.col(at).cast("timestamp")
-    valid = (F.col(key) == F.col("_key")) & (F.col("valid_from") <= t) & (F.col("valid_to").isNull() | (t < F.col("valid_to")))
-    return facts.join(versions, valid, "left").drop("_key", "valid_from", "valid_to")
+    """Every fact row with the version valid at its own time (NULL columns if none was).
+
+    An equi join on the key with the validity range as a further condition: a key has few
+    versions, and AQE splits a key with many facts.
+    """
+    versions = history.selectExpr(f"{key} AS _key", "valid_from", "valid_to", *[f"{c} AS version_{c}" for c in columns])
+    moment = facts.selectExpr("*", f"timestamp({at}) AS _moment")
+    met = (moment[key] == versions["_key"]) & (versions["valid_from"] <= moment["_moment"])
+    met = met & (versions["valid_to"].isNull() | (moment["_moment"] < versions["valid_to"]))
+    return moment.join(versions, met, "left").drop("_key", "_moment", "valid_from", "valid_to")

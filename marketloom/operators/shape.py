@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketloom.functions import NULL_KEY_TOKEN, equal_width_bucket, surrogate_key
+from marketloom.functions.scalars import NULL_KEY_TOKEN, equal_width_bucket, surrogate_key
 
 _STEPS = {
     "hour": ("interval 1 hour", "timestamp"),
@@ -39,7 +39,7 @@ def generate_series(spark: SparkSession, upper: int) -> DataFrame:
 def with_surrogate_key(
     df: DataFrame, columns: Sequence[str], name: str = "surrogate_key", nulls_as_empty: bool = False
 ) -> DataFrame:
-    return df.withColumn(name, surrogate_key(columns, "" if nulls_as_empty else NULL_KEY_TOKEN))
+    return df.withColumn(name, F.expr(surrogate_key(columns, "" if nulls_as_empty else NULL_KEY_TOKEN)))
 
 
 def deduplicate(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[Column | str]) -> DataFrame:
@@ -169,7 +169,7 @@ def column_values(
 
 def histogram(df: DataFrame, column: str, low: float, high: float, buckets: int) -> DataFrame:
     """Rows per equal-width bucket of ``column`` (0 below, ``buckets + 1`` at or above ``high``)."""
-    bucket = equal_width_bucket(column, low, high, buckets)
+    bucket = F.expr(equal_width_bucket(column, low, high, buckets))
     return df.groupBy(bucket.alias("bucket")).agg(
         F.count(F.lit(1)).alias("n"), F.min(column).alias("min_value"), F.max(column).alias("max_value")
     )

@@ -5,8 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 Inputs = dict[str, DataFrame]
 
@@ -17,10 +16,10 @@ def use(inputs: Inputs, model: Callable[[Inputs, dt.date], DataFrame], as_of: dt
     return model(inputs, as_of) if stored is None else stored
 
 
-def day(value: dt.date) -> Column:
-    return F.lit(value).cast("date")
+def day(value: dt.date) -> str:
+    return f"DATE'{value:%Y-%m-%d}'"
 
 
-def built_at(as_of: dt.date) -> Column:
+def built_at(as_of: dt.date) -> str:
     """Run time stamp: an input, never the clock, so that reruns give the same rows."""
-    return F.lit(as_of).cast("timestamp").alias("built_at")
+    return f"timestamp({day(as_of)}) AS built_at"

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marketloom.functions import (
-    count_where,
+from marketloom.functions.scalars import (
     day_of_week_from_sunday,
+    exprs,
     month_start,
     quarter_start,
     ratio,
@@ -18,18 +18,18 @@ from marketloom.functions import (
     zero_if_null,
 )
 from marketloom.operators.shape import date_spine
-from marketloom.plans.base import Inputs, built_at, use
+from marketloom.plans.base import Inputs, built_at, day, use
 from marketloom.plans.enrich import customers_with_orders, order_items_enriched, orders_enriched
 
 FIRST_DAY, LAST_DAY = dt.date(2022, 1, 1), dt.date(2027, 12, 31)
 
 
 def dim_customers(inputs: Inputs, as_of: dt.date) -> DataFrame:
-    return use(inputs, customers_with_orders, as_of).select("*", built_at(as_of))
+    return use(inputs, customers_with_orders, as_of).selectExpr("*", built_at(as_of))
 
 
 def _dimension(inputs: Inputs, as_of: dt.date, catalog: str, *columns: str) -> DataFrame:
-    return inputs[catalog].select(*columns, built_at(as_of))
+    return inputs[catalog].selectExpr(*columns, built_at(as_of))
 
 
 def dim_products(inputs: Inputs, as_of: dt.date) -> DataFrame:
@@ -61,23 +61,23 @@ def dim_payment_methods(inputs: Inputs, as_of: dt.date) -> DataFrame:
     )
 
 
-def fiscal_year(d: Column) -> Column:
+def fiscal_year(d: str) -> str:
     """The fiscal year starts on 1 February."""
-    return F.when(F.month(d) >= 2, F.year(d)).otherwise(F.year(d) - 1)
+    return f"CASE WHEN month({d}) >= 2 THEN year({d}) ELSE year({d}) - 1 END"
 
 
-def fiscal_month(d: Column) -> Column:
-    return F.when(F.month(d) >= 2, F.month(d) - 1).otherwise(F.month(d) + 11)
+def fiscal_month(d: str) -> str:
+    return f"CASE WHEN month({d}) >= 2 THEN month({d}) - 1 ELSE month({d}) + 11 END"
 
 
-def fiscal_quarter(d: Column) -> Column:
-    return F.ceil(fiscal_month(d) / 3).cast("int")
+def fiscal_quarter(d: str) -> str:
+    return f"int(ceil(({fiscal_month(d)}) / 3))"
 
 
-def _fourth_thursday(d: Column) -> Column:
-    first = month_start(d)
+def _fourth_thursday(d: str) -> str:
     # Thursday is day 4 counted from Sunday = 0.
-    return F.date_add(first, (F.lit(4) - day_of_week_from_sunday(first) + 7) % 7 + 21)
+    first = month_start(d)
+    return f"date_add({first}, (4 - {day_of_week_from_sunday(first)} + 7) % 7 + 21)"
 
 
 def calendar(days: DataFrame, compat: bool = False) -> DataFrame:
@@ -86,52 +86,48 @@ def calendar(days: DataFrame, compat: bool = False) -> DataFrame:
     Black Friday is the day after the fourth Thursday of November and Cyber Monday three days
     later. ``compat`` keeps the older rule: one weekday further on, and a fixed 1 December.
     """
-    d = F.col("date_day")
-    weekday = day_of_week_from_sunday(d)
+    d = "date_day"
     if compat:
         first = month_start(d)
-        friday = F.date_add(first, (F.lit(5) - day_of_week_from_sunday(first)) % 7 + 22)
-        black_friday = (F.month(d) == 11) & (d == friday)
-        cyber_monday = (F.month(d) == 12) & (F.day(d) == 1)
+        friday = f"date_add({first}, (5 - {day_of_week_from_sunday(first)}) % 7 + 22)"
+        cyber_monday = f"month({d}) = 12 AND day({d}) = 1"
     else:
-        black_friday = (F.month(d) == 11) & (d == F.date_add(_fourth_thursday(d), 1))
-        monday_of = F.date_sub(d, 4)  # the fourth Thursday, if d is Cyber Monday
-        cyber_monday = (F.month(monday_of) == 11) & (monday_of == _fourth_thursday(monday_of))
-
-    def on(month: int, day: int) -> Column:
-        return (F.month(d) == month) & (F.day(d) == day)
-
-    return days.select(
-        "date_day",
-        weekday.alias("day_of_week_num"),
-        F.dayname(d).alias("day_of_week_name"),
-        F.day(d).alias("day_of_month"),
-        F.dayofyear(d).alias("day_of_year"),
-        F.weekofyear(d).alias("week_of_year"),
-        week_start(d).alias("week_start_date"),
-        F.month(d).alias("month_num"),
-        F.monthname(d).alias("month_name"),
-        month_start(d).alias("month_start_date"),
-        F.quarter(d).alias("quarter_num"),
-        F.concat(F.lit("Q"), F.quarter(d)).alias("quarter_name"),
-        quarter_start(d).alias("quarter_start_date"),
-        F.year(d).alias("year_num"),
-        weekday.isin(0, 6).alias("is_weekend"),
-        (~weekday.isin(0, 6)).alias("is_weekday"),
-        fiscal_year(d).alias("fiscal_year"),
-        fiscal_quarter(d).alias("fiscal_quarter"),
-        fiscal_month(d).alias("fiscal_month"),
-        black_friday.alias("is_black_friday"),
-        cyber_monday.alias("is_cyber_monday"),
-        on(12, 25).alias("is_christmas"),
-        on(1, 1).alias("is_new_years"),
-        on(7, 4).alias("is_independence_day"),
-        on(2, 14).alias("is_valentines_day"),
-        F.when(F.month(d).isin(12, 1, 2), "Winter")
-        .when(F.month(d).isin(3, 4, 5), "Spring")
-        .when(F.month(d).isin(6, 7, 8), "Summer")
-        .otherwise("Fall")
-        .alias("season"),
+        friday = f"date_add({_fourth_thursday(d)}, 1)"
+        thursday = f"date_sub({d}, 4)"  # the fourth Thursday, if the day is Cyber Monday
+        cyber_monday = f"month({thursday}) = 11 AND {thursday} = {_fourth_thursday(thursday)}"
+    weekday = day_of_week_from_sunday(d)
+
+    def on(month: int, dom: int, name: str) -> str:
+        return f"month({d}) = {month} AND day({d}) = {dom} AS {name}"
+
+    return days.selectExpr(
+        d,
+        f"{weekday} AS day_of_week_num",
+        f"dayname({d}) AS day_of_week_name",
+        f"day({d}) AS day_of_month",
+        f"dayofyear({d}) AS day_of_year",
+        f"weekofyear({d}) AS week_of_year",
+        f"{week_start(d)} AS week_start_date",
+        f"month({d}) AS month_num",
+        f"monthname({d}) AS month_name",
+        f"{month_start(d)} AS month_start_date",
+        f"quarter({d}) AS quarter_num",
+        f"'Q' || quarter({d}) AS quarter_name",
+        f"{quarter_start(d)} AS quarter_start_date",
+        f"year({d}) AS year_num",
+        f"{weekday} IN (0, 6) AS is_weekend",
+        f"{weekday} NOT IN (0, 6) AS is_weekday",
+        f"{fiscal_year(d)} AS fiscal_year",
+        f"{fiscal_quarter(d)} AS fiscal_quarter",
+        f"{fiscal_month(d)} AS fiscal_month",
+        f"month({d}) = 11 AND {d} = {friday} AS is_black_friday",
+        f"{cyber_monday} AS is_cyber_monday",
+        on(12, 25, "is_christmas"),
+        on(1, 1, "is_new_years"),
+        on(7, 4, "is_independence_day"),
+        on(2, 14, "is_valentines_day"),
+        f"""CASE WHEN month({d}) IN (12, 1, 2) THEN 'Winter' WHEN month({d}) IN (3, 4, 5) THEN 'Spring'
+                 WHEN month({d}) IN (6, 7, 8) THEN 'Summer' ELSE 'Fall' END AS season""",
     )
 
 
@@ -147,15 +143,10 @@ def time_spine(spark: SparkSession, first: dt.date = FIRST_DAY, last: dt.date =
     return dim_dates(spark, first, last).select("date_day")
 
 
-def fct_orders(inputs: Inputs, as_of: dt.date) -> DataFrame:
-    net, refund = F.col("net_revenue"), zero_if_null("refund_amount")
-    realized = F.when(F.col("is_returned") & F.col("has_return"), F.greatest(net - refund, F.lit(0))).otherwise(net)
-    return use(inputs, orders_enriched, as_of).select(
-        *[c for c in ORDER_COLUMNS if c != "_loaded_at"],
-        realized.alias("realized_revenue"),
-        "_loaded_at",
-        built_at(as_of),
-    )
+def days_covering(df: DataFrame, column: str) -> DataFrame:
+    """Every day from the first to the last value of a date column."""
+    span = df.agg(*exprs(f"min({column}) AS low", f"max({column}) AS high")).filter("low IS NOT NULL")
+    return span.selectExpr("explode(sequence(low, high)) AS date_day")
 
 
 ORDER_COLUMNS = [
@@ -163,17 +154,28 @@ ORDER_COLUMNS = [
     "store_city", "store_state", "store_region", "order_status", "is_completed", "is_returned", "is_cancelled",
     "payment_method", "campaign_id", "traffic_source", "has_discount", "order_level_discount", "item_count",
     "order_month", "order_week", "order_quarter", "order_year", "gross_revenue", "net_revenue", "total_units",
-    "distinct_products", "estimated_tax", "refund_amount", "return_reason", "return_date", "has_return", "_loaded_at",
+    "distinct_products", "estimated_tax", "refund_amount", "return_reason", "return_date", "has_return",
 ]
 
 
+def fct_orders(inputs: Inputs, as_of: dt.date) -> DataFrame:
+    """Orders with realized revenue: net revenue less the refund of a returned order, at least 0."""
+    return use(inputs, orders_enriched, as_of).selectExpr(
+        *ORDER_COLUMNS,
+        f"""CASE WHEN is_returned AND has_return THEN greatest(net_revenue - {zero_if_null("refund_amount")}, 0)
+                 ELSE net_revenue END AS realized_revenue""",
+        "_loaded_at",
+        built_at(as_of),
+    )
+
+
 def fct_order_items(inputs: Inputs, as_of: dt.date) -> DataFrame:
     orders = use(inputs, fct_orders, as_of).select(
         "order_id", "order_date", "order_month", "order_year", "customer_id", "store_id", "store_channel",
         "traffic_source", "campaign_id", "order_status",
     )
     items = use(inputs, order_items_enriched, as_of)
-    return items.join(orders, "order_id").select(
+    return items.join(orders, "order_id").selectExpr(
         "order_item_id", "order_id", "order_date", "order_month", "order_year", "customer_id", "store_id",
         "store_channel", "traffic_source", "campaign_id", "order_status", "product_id", "product_name", "sku",
         "category", "subcategory", "brand", "quantity", "unit_price_at_purchase", "cost_price", "line_gross_revenue",
@@ -185,91 +187,106 @@ def fct_order_items(inputs: Inputs, as_of: dt.date) -> DataFrame:
 def store_days(inputs: Inputs, first: dt.date, last: dt.date) -> DataFrame:
     """Active stores × days, one row each: every store unfolds its own run of days."""
     stores = inputs["catalog_stores"].filter("is_active")
-    days = F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))
-    return stores.select("store_id", "store_name", "channel", "region", F.explode(days).alias("order_date"))
+    days = f"explode(sequence({day(first)}, {day(last)})) AS order_date"
+    return stores.selectExpr("store_id", "store_name", "channel", "region", days)
 
 
 def store_performance(inputs: Inputs, as_of: dt.date, first: dt.date, last: dt.date | None = None) -> DataFrame:
     """Store-day performance from ``first`` to ``last`` (at most ``as_of``)."""
     last = min(last or as_of, as_of)
-    spine = store_days(inputs, first, last)
-    in_range = F.col("order_date").between(F.lit(first).cast("date"), F.lit(last).cast("date"))
-    orders = use(inputs, fct_orders, as_of).filter(in_range)
+    in_range = f"order_date BETWEEN {day(first)} AND {day(last)}"
     # Grouped by (store, day, customer) first: a store with a third of all orders is spread over
     # its customers, and the distinct customers fall out as a plain count.
-    per_customer = orders.groupBy("store_id", "order_date", "customer_id").agg(
-        F.count(F.lit(1)).alias("orders"),
-        count_where("is_completed").alias("completed"),
-        count_where("is_returned").alias("returned"),
-        sum_where("is_completed", "gross_revenue").alias("gross"),
-        sum_where("is_completed", "net_revenue").alias("net"),
-        F.sum("realized_revenue").alias("realized"),
-        F.sum("refund_amount").alias("refund"),
+    per_customer = (
+        use(inputs, fct_orders, as_of)
+        .filter(in_range)
+        .groupBy("store_id", "order_date", "customer_id")
+        .agg(
+            *exprs(
+                "count(*) AS orders",
+                "count_if(is_completed) AS completed",
+                "count_if(is_returned) AS returned",
+                f"{sum_where('is_completed', 'gross_revenue')} AS gross",
+                f"{sum_where('is_completed', 'net_revenue')} AS net",
+                "sum(realized_revenue) AS realized",
+                "sum(refund_amount) AS refund",
+            )
+        )
     )
-    metrics = per_customer.groupBy("store_id", "order_date").agg(
-        F.sum("orders").alias("total_orders"),
-        F.sum("completed").alias("completed_orders"),
-        F.sum("returned").alias("returned_orders"),
-        F.count("customer_id").alias("unique_customers"),
-        F.sum("gross").alias("gross_revenue"),
-        F.sum("net").alias("net_revenue"),
-        F.sum("realized").alias("realized_revenue"),
-        F.sum("refund").alias("refund_amount"),
+    keys = ["store_id", "order_date"]
+    metrics = per_customer.groupBy(*keys).agg(
+        *exprs(
+            "sum(orders) AS total_orders",
+            "sum(completed) AS completed_orders",
+            "sum(returned) AS returned_orders",
+            "count(customer_id) AS unique_customers",
+            "sum(gross) AS gross_revenue",
+            "sum(net) AS net_revenue",
+            "sum(realized) AS realized_revenue",
+            "sum(refund) AS refund_amount",
+        )
     )
     by_category = (
         use(inputs, fct_order_items, as_of)
-        .filter(in_range & (F.col("order_status") == "COMPLETED"))
-        .groupBy("store_id", "order_date", "category")
-        .agg(F.sum("line_gross_revenue").alias("category_gross"))
+        .filter(f"{in_range} AND order_status = 'COMPLETED'")
+        .groupBy(*keys, "category")
+        .agg(F.expr("sum(line_gross_revenue) AS category_gross"))
     )
-    best_first = Window.partitionBy("store_id", "order_date").orderBy(F.desc("category_gross"), "category")
+    # One row per store-day and category; Spark keeps the best row map-side before the shuffle.
+    best_first = Window.partitionBy(*keys).orderBy(F.desc("category_gross"), "category")
     top = (
         by_category.withColumn("place", F.row_number().over(best_first))
         .filter("place = 1")
-        .select("store_id", "order_date", F.col("category").alias("top_category"))
+        .selectExpr(*keys, "category AS top_category")
     )
-    keys, net = ["store_id", "order_date"], zero_if_null("net_revenue")
-    tier = F.when(net >= 10000, "A").when(net >= 5000, "B").when(net >= 1000, "C").otherwise("D")
+    net = zero_if_null("net_revenue")
     return (
-        spine.join(metrics, keys, "left")
+        store_days(inputs, first, last)
+        .join(metrics, keys, "left")
         .join(top, keys, "left")
-        .select(
+        .selectExpr(
             "store_id",
             "order_date",
             "store_name",
             "channel",
             "region",
-            zero_if_null("total_orders").alias("total_orders"),
-            zero_if_null("completed_orders").alias("completed_orders"),
-            zero_if_null("returned_orders").alias("returned_orders"),
-            zero_if_null("unique_customers").alias("unique_customers"),
-            zero_if_null("gross_revenue").alias("gross_revenue"),
-            net.alias("net_revenue"),
-            zero_if_null("realized_revenue").alias("realized_revenue"),
-            zero_if_null("refund_amount").alias("refund_amount"),
+            f"{zero_if_null('total_orders')} AS total_orders",
+            f"{zero_if_null('completed_orders')} AS completed_orders",
+            f"{zero_if_null('returned_orders')} AS returned_orders",
+            f"{zero_if_null('unique_customers')} AS unique_customers",
+            f"{zero_if_null('gross_revenue')} AS gross_revenue",
+            f"{net} AS net_revenue",
+            f"{zero_if_null('realized_revenue')} AS realized_revenue",
+            f"{zero_if_null('refund_amount')} AS refund_amount",
             "top_category",
-            F.coalesce(ratio("gross_revenue", "completed_orders"), F.lit(0.0)).alias("average_order_value"),
-            F.coalesce(ratio("returned_orders", "total_orders", 100), F.lit(0.0)).alias("return_rate_pct"),
-            tier.alias("performance_tier"),
+            f"coalesce({ratio('gross_revenue', 'completed_orders')}, 0D) AS average_order_value",
+            f"coalesce({ratio('returned_orders', 'total_orders', 100)}, 0D) AS return_rate_pct",
+            f"""CASE WHEN {net} >= 10000 THEN 'A' WHEN {net} >= 5000 THEN 'B'
+                     WHEN {net} >= 1000 THEN 'C' ELSE 'D' END AS performance_tier""",
             built_at(as_of),
         )
     )
 
 
 # Inventory. Levels come from an opening-stock table (product_id, store_id, opening_units) and
-# from completed order lines; restocking can be passed as further movements.
+# from completed order lines.
 
 
 def inventory_movements(inputs: Inputs, as_of: dt.date) -> DataFrame:
     """Units sold per product, store and day (completed orders)."""
     return (
         use(inputs, fct_order_items, as_of)
-        .filter(F.col("order_status") == "COMPLETED")
-        .groupBy("product_id", "store_id", F.col("order_date").alias("snapshot_date"))
-        .agg(F.sum("quantity").alias("units_sold_today"))
+        .filter("order_status = 'COMPLETED'")
+        .groupBy("product_id", "store_id", F.expr("order_date AS snapshot_date"))
+        .agg(F.expr("sum(quantity) AS units_sold_today"))
     )
 
 
+def _to_date() -> Window:
+    timeline = Window.partitionBy("product_id", "store_id").orderBy("snapshot_date")
+    return timeline.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
 def inventory_positions(inputs: Inputs, as_of: dt.date, opening: DataFrame) -> DataFrame:
     """Stock level after each day with sales, valid until the day before the next one.
 
@@ -279,25 +296,22 @@ def inventory_positions(inputs: Inputs, as_of: dt.date, opening: DataFrame) -> D
     """
     moves = inventory_movements(inputs, as_of)
     timeline = Window.partitionBy("product_id", "store_id").orderBy("snapshot_date")
-    sold = F.sum("units_sold_today").over(timeline.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return (
-        moves.withColumns({"sold": sold, "valid_until": F.date_sub(F.lead("snapshot_date").over(timeline), 1)})
+        moves.withColumns(
+            {"sold": F.sum("units_sold_today").over(_to_date()), "next_day": F.lead("snapshot_date").over(timeline)}
+        )
         .join(opening, ["product_id", "store_id"])
-        .select(
+        .selectExpr(
             "product_id",
             "store_id",
             "snapshot_date",
-            "valid_until",
-            (F.col("opening_units") - F.col("sold")).alias("units_on_hand"),
+            "date_sub(next_day, 1) AS valid_until",
+            "opening_units - sold AS units_on_hand",
             "units_sold_today",
         )
     )
 
 
-def below_reorder_point(store_type: Column, units: Column) -> Column:
-    return ((store_type == "physical") & (units < 30)) | ((store_type == "digital") & (units < 200))
-
-
 def inventory_daily(
     inputs: Inputs, as_of: dt.date, opening: DataFrame, first: dt.date, last: dt.date | None = None
 ) -> DataFrame:
@@ -307,48 +321,39 @@ def inventory_daily(
     requested days; sales before ``first`` only lower the starting level.
     """
     last = min(last or as_of, as_of)
-    low, high = F.lit(first).cast("date"), F.lit(last).cast("date")
-    moves = inventory_movements(inputs, as_of).filter(F.col("snapshot_date") <= high)
-    before = (
-        moves.filter(F.col("snapshot_date") < low)
-        .groupBy("product_id", "store_id")
-        .agg(F.sum("units_sold_today").alias("sold_before"))
-    )
     pair = ["product_id", "store_id"]
+    moves = inventory_movements(inputs, as_of).filter(f"snapshot_date <= {day(last)}")
+    before = moves.filter(f"snapshot_date < {day(first)}").groupBy(*pair).agg(F.expr("sum(units_sold_today) AS sold_before"))
     stores = inputs["catalog_stores"].filter("is_active").select("store_id", "store_name", "store_type", "region")
     products = inputs["catalog_products"].select("product_id", "product_name", "category", "cost_price")
-    start = (
+    spine = (
         opening.join(before, pair, "left")
         .join(stores, "store_id")
         .join(products, "product_id")
-        .withColumn("start_units", F.col("opening_units") - zero_if_null("sold_before"))
+        .selectExpr(
+            "*",
+            f"opening_units - {zero_if_null('sold_before')} AS start_units",
+            f"explode(sequence({day(first)}, {day(last)})) AS snapshot_date",
+        )
     )
-    spine = start.withColumn("snapshot_date", F.explode(F.sequence(low, high)))
-    timeline = Window.partitionBy(*pair).orderBy("snapshot_date")
-    running = F.sum("units_sold_today").over(timeline.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    daily = (
+    return (
         spine.join(moves, [*pair, "snapshot_date"], "left")
-        .withColumn("units_sold_today", zero_if_null("units_sold_today"))
-        .withColumn("units_on_hand", F.col("start_units") - running)
-    )
-    return daily.select(
-        "product_id",
-        "product_name",
-        "category",
-        "cost_price",
-        "store_id",
-        "store_name",
-        "store_type",
-        "region",
-        "snapshot_date",
-        "units_on_hand",
-        "units_sold_today",
-        below_reorder_point(F.col("store_type"), F.col("units_on_hand")).alias("is_below_reorder_point"),
-        built_at(as_of),
+        .withColumn("sold", F.sum("units_sold_today").over(_to_date()))
+        .withColumn("units_on_hand", F.expr(f"start_units - {zero_if_null('sold')}"))
+        .selectExpr(
+            "product_id",
+            "product_name",
+            "category",
+            "cost_price",
+            "store_id",
+            "store_name",
+            "store_type",
+            "region",
+            "snapshot_date",
+            "units_on_hand",
+            f"{zero_if_null('units_sold_today')} AS units_sold_today",
+            """(store_type = 'physical' AND units_on_hand < 30) OR (store_type = 'digital' AND units_on_hand < 200)
+               AS is_below_reorder_point""",
+            built_at(as_of),
+        )
     )
-
-
-def days_covering(df: DataFrame, column: str) -> DataFrame:
-    """Every day from the first to the last value of a date column."""
-    span = df.agg(F.min(column).alias("low"), F.max(column).alias("high")).filter("low IS NOT NULL")
-    return span.select(F.explode(F.sequence("low", "high")).alias("date_day"))

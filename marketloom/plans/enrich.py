@@ -5,9 +5,8 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from marketloom.functions import count_where, ratio, sum_where, zero_if_null
+from marketloom.functions.scalars import exprs, ratio, sum_where, zero_if_null
 from marketloom.plans.base import Inputs, day, use
 from marketloom.plans.staging import stg_customers, stg_order_items, stg_orders, stg_returns
 
@@ -17,40 +16,37 @@ TAX_RATE = "0.085"
 def orders_enriched(inputs: Inputs, as_of: dt.date) -> DataFrame:
     """One row per order. Lines and returns are summed per order before the joins, so an order
     with several approved returns stays one row (refunds added up, latest return shown)."""
-    orders = use(inputs, stg_orders, as_of)
     # Distinct products per order come from a first grouping by (order, product): partial sums
     # shrink the lines before the shuffle and no order's lines are ever gathered in one place.
     per_product = (
         use(inputs, stg_order_items, as_of)
         .groupBy("order_id", "product_id")
-        .agg(
-            F.sum("line_gross_revenue").alias("gross"),
-            F.sum("line_net_revenue").alias("net"),
-            F.sum("quantity").alias("units"),
-        )
+        .agg(*exprs("sum(line_gross_revenue) AS gross", "sum(line_net_revenue) AS net", "sum(quantity) AS units"))
     )
     lines = per_product.groupBy("order_id").agg(
-        F.sum("gross").alias("gross"),
-        F.sum("net").alias("net"),
-        F.sum("units").alias("units"),
-        F.count("product_id").alias("products"),
+        *exprs("sum(gross) AS gross", "sum(net) AS net", "sum(units) AS units", "count(product_id) AS products")
     )
     returns = (
         use(inputs, stg_returns, as_of)
         .filter("is_approved")
         .groupBy("order_id")
         .agg(
-            F.sum("refund_amount").alias("refund_amount"),
-            F.max(F.struct("return_date", "return_id", "return_reason")).alias("latest"),
+            *exprs(
+                "sum(refund_amount) AS refund_amount",
+                "max(struct(return_date, return_id, return_reason)) AS latest",
+            )
         )
     )
-    stores = inputs["catalog_stores"].select("store_id", "store_name", "store_type", "channel", "city", "state", "region")
+    stores = inputs["catalog_stores"].select(
+        "store_id", "store_name", "store_type", "channel", "city", "state", "region"
+    )
     net = zero_if_null("net")
     return (
-        orders.join(lines, "order_id", "left")
+        use(inputs, stg_orders, as_of)
+        .join(lines, "order_id", "left")
         .join(returns, "order_id", "left")
         .join(stores, "store_id", "left")
-        .select(
+        .selectExpr(
             "order_id",
             "order_date",
             "ordered_at",
@@ -58,10 +54,10 @@ def orders_enriched(inputs: Inputs, as_of: dt.date) -> DataFrame:
             "store_id",
             "store_name",
             "store_type",
-            F.col("channel").alias("store_channel"),
-            F.col("city").alias("store_city"),
-            F.col("state").alias("store_state"),
-            F.col("region").alias("store_region"),
+            "channel AS store_channel",
+            "city AS store_city",
+            "state AS store_state",
+            "region AS store_region",
             "order_status",
             "is_completed",
             "is_returned",
@@ -70,23 +66,21 @@ def orders_enriched(inputs: Inputs, as_of: dt.date) -> DataFrame:
             "campaign_id",
             "traffic_source",
             "has_discount",
-            F.col("discount_amount").alias("order_level_discount"),
+            "discount_amount AS order_level_discount",
             "item_count",
             "order_month",
             "order_week",
             "order_quarter",
             "order_year",
-            zero_if_null("gross").alias("gross_revenue"),
-            net.alias("net_revenue"),
-            zero_if_null("units").alias("total_units"),
-            zero_if_null("products").alias("distinct_products"),
-            F.when(F.col("is_completed"), F.round(net * F.lit(TAX_RATE).cast("decimal(4,3)"), 2))
-            .otherwise(F.lit(0))
-            .alias("estimated_tax"),
+            f"{zero_if_null('gross')} AS gross_revenue",
+            f"{net} AS net_revenue",
+            f"{zero_if_null('units')} AS total_units",
+            f"{zero_if_null('products')} AS distinct_products",
+            f"CASE WHEN is_completed THEN round({net} * {TAX_RATE}, 2) ELSE 0 END AS estimated_tax",
             "refund_amount",
-            F.col("latest.return_reason").alias("return_reason"),
-            F.col("latest.return_date").alias("return_date"),
-            F.col("refund_amount").isNotNull().alias("has_return"),
+            "latest.return_reason AS return_reason",
+            "latest.return_date AS return_date",
+            "refund_amount IS NOT NULL AS has_return",
             "_loaded_at",
         )
     )
@@ -97,9 +91,8 @@ def order_items_enriched(inputs: Inputs, as_of: dt.date) -> DataFrame:
     products = inputs["catalog_products"].select(
         "product_id", "product_name", "sku", "category", "subcategory", "brand", "cost_price", "is_featured"
     )
-    price = F.col("unit_price_at_purchase")
-    margin = price - F.col("cost_price")
-    return items.join(products, "product_id", "left").select(
+    price, margin = "unit_price_at_purchase", "(unit_price_at_purchase - cost_price)"
+    return items.join(products, "product_id", "left").selectExpr(
         "order_item_id",
         "order_id",
         "product_id",
@@ -115,9 +108,9 @@ def order_items_enriched(inputs: Inputs, as_of: dt.date) -> DataFrame:
         "line_net_revenue",
         "line_discount",
         "discount_pct",
-        F.round(margin, 2).alias("unit_margin"),
-        F.round(margin * F.col("quantity"), 2).alias("line_margin"),
-        F.when(price > 0, ratio(margin, price, 100, 2)).otherwise(F.lit(0.0)).alias("line_margin_pct"),
+        f"round({margin}, 2) AS unit_margin",
+        f"round({margin} * quantity, 2) AS line_margin",
+        f"CASE WHEN {price} > 0 THEN {ratio(margin, price, 100, 2)} ELSE 0D END AS line_margin_pct",
         "is_featured",
         "_loaded_at",
     )
@@ -130,51 +123,43 @@ def customer_order_totals(orders: DataFrame) -> DataFrame:
     without a distinct aggregate or a window, and keeps a heavy customer's rows map-side.
     """
     per_channel = orders.groupBy("customer_id", "traffic_source").agg(
-        F.count(F.lit(1)).alias("n"),
-        count_where("is_completed").alias("completed"),
-        count_where("is_returned").alias("returned"),
-        count_where("is_cancelled").alias("cancelled"),
-        sum_where("is_completed", "gross_revenue").alias("gross"),
-        sum_where("is_completed", "net_revenue").alias("net"),
-        F.min("order_date").alias("first_day"),
-        F.max("order_date").alias("last_day"),
+        *exprs(
+            "count(*) AS n",
+            "count_if(is_completed) AS completed",
+            "count_if(is_returned) AS returned",
+            "count_if(is_cancelled) AS cancelled",
+            f"{sum_where('is_completed', 'gross_revenue')} AS gross",
+            f"{sum_where('is_completed', 'net_revenue')} AS net",
+            "min(order_date) AS first_day",
+            "max(order_date) AS last_day",
+        )
     )
-    # Among equally frequent channels the smallest name has the smallest (-n, name).
-    frequent = F.min(F.when(F.col("traffic_source").isNotNull(), F.struct(-F.col("n"), "traffic_source")))
     return per_channel.groupBy("customer_id").agg(
-        F.sum("n").alias("total_orders"),
-        F.sum("completed").alias("completed_orders"),
-        F.sum("returned").alias("returned_orders"),
-        F.sum("cancelled").alias("cancelled_orders"),
-        F.sum("gross").alias("lifetime_gross_revenue"),
-        F.sum("net").alias("lifetime_net_revenue"),
-        ratio(F.sum("gross"), F.sum("completed")).alias("avg_order_value"),
-        F.min("first_day").alias("first_order_date"),
-        F.max("last_day").alias("last_order_date"),
-        F.count("traffic_source").alias("distinct_channels_used"),
-        frequent["traffic_source"].alias("most_common_channel"),
+        *exprs(
+            "sum(n) AS total_orders",
+            "sum(completed) AS completed_orders",
+            "sum(returned) AS returned_orders",
+            "sum(cancelled) AS cancelled_orders",
+            "sum(gross) AS lifetime_gross_revenue",
+            "sum(net) AS lifetime_net_revenue",
+            f"{ratio('sum(gross)', 'sum(completed)')} AS avg_order_value",
+            "min(first_day) AS first_order_date",
+            "max(last_day) AS last_order_date",
+            "count(traffic_source) AS distinct_channels_used",
+            # Among equally frequent channels the smallest name has the smallest (-n, name).
+            "min(CASE WHEN traffic_source IS NOT NULL THEN struct(-n AS n, traffic_source AS name) END).name"
+            " AS most_common_channel",
+        )
     )
 
 
 def customers_with_orders(inputs: Inputs, as_of: dt.date) -> DataFrame:
     totals = customer_order_totals(use(inputs, orders_enriched, as_of))
-    last, value = F.col("last_order_date"), zero_if_null("lifetime_net_revenue")
-    lifecycle = (
-        F.when(F.col("completed_orders").isNull(), "never_purchased")
-        .when(last >= F.date_sub(day(as_of), 90), "active")
-        .when(last >= F.date_sub(day(as_of), 180), "at_risk")
-        .otherwise("churned")
-    )
-    tier = (
-        F.when(value >= 1000, "high_value")
-        .when(value >= 300, "mid_value")
-        .when(value > 0, "low_value")
-        .otherwise("no_purchases")
-    )
+    value = zero_if_null("lifetime_net_revenue")
     return (
         use(inputs, stg_customers, as_of)
         .join(totals, "customer_id", "left")
-        .select(
+        .selectExpr(
             "customer_id",
             "first_name",
             "last_name",
@@ -193,19 +178,25 @@ def customers_with_orders(inputs: Inputs, as_of: dt.date) -> DataFrame:
             "is_email_subscribed",
             "is_sms_subscribed",
             "days_since_acquisition",
-            zero_if_null("total_orders").alias("total_orders"),
-            zero_if_null("completed_orders").alias("completed_orders"),
-            zero_if_null("returned_orders").alias("returned_orders"),
-            zero_if_null("cancelled_orders").alias("cancelled_orders"),
-            zero_if_null("lifetime_gross_revenue").alias("lifetime_gross_revenue"),
-            value.alias("lifetime_net_revenue"),
+            f"{zero_if_null('total_orders')} AS total_orders",
+            f"{zero_if_null('completed_orders')} AS completed_orders",
+            f"{zero_if_null('returned_orders')} AS returned_orders",
+            f"{zero_if_null('cancelled_orders')} AS cancelled_orders",
+            f"{zero_if_null('lifetime_gross_revenue')} AS lifetime_gross_revenue",
+            f"{value} AS lifetime_net_revenue",
             "avg_order_value",
             "first_order_date",
             "last_order_date",
-            F.date_diff("last_order_date", "first_order_date").alias("days_between_first_last_order"),
-            zero_if_null("distinct_channels_used").alias("distinct_channels_used"),
+            "datediff(last_order_date, first_order_date) AS days_between_first_last_order",
+            f"{zero_if_null('distinct_channels_used')} AS distinct_channels_used",
             "most_common_channel",
-            lifecycle.alias("customer_lifecycle_stage"),
-            tier.alias("customer_value_tier"),
+            f"""CASE WHEN completed_orders IS NULL THEN 'never_purchased'
+                     WHEN last_order_date >= date_sub({day(as_of)}, 90) THEN 'active'
+                     WHEN last_order_date >= date_sub({day(as_of)}, 180) THEN 'at_risk'
+                     ELSE 'churned' END AS customer_lifecycle_stage""",
+            f"""CASE WHEN {value} >= 1000 THEN 'high_value'
+                     WHEN {value} >= 300 THEN 'mid_value'
+                     WHEN {value} > 0 THEN 'low_value'
+                     ELSE 'no_purchases' END AS customer_value_tier""",
         )
     )

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marketloom.functions import count_where, mean_of, month_count, month_start, ratio, sum_where, zero_if_null
+from marketloom.functions.scalars import exprs, mean_of, month_count, month_start, ratio, sum_where, zero_if_null
 from marketloom.operators.numbering import global_row_number
 from marketloom.plans.base import Inputs, built_at, day, use
 from marketloom.plans.core import (
@@ -20,38 +20,45 @@ from marketloom.plans.core import (
 )
 
 STORE_DAY = ["order_date", "order_month", "order_quarter", "order_year", "store_id", "store_channel", "store_region"]
+RETURNED = "is_returned AND return_date IS NOT NULL AND refund_amount IS NOT NULL"
 
 
 def revenue_by_period(inputs: Inputs, as_of: dt.date) -> DataFrame:
     """Orders summed per store and day; customers are counted through a (store, day, customer)
     grouping, so one busy store-day never meets in one task."""
-    orders = use(inputs, fct_orders, as_of)
-    refunded = F.col("is_returned") & F.col("refund_amount").isNotNull()
-    per_customer = orders.groupBy(*STORE_DAY, "customer_id").agg(
-        F.count(F.lit(1)).alias("orders"),
-        count_where("is_completed").alias("completed"),
-        count_where("is_returned").alias("returned"),
-        count_where("is_cancelled").alias("cancelled"),
-        sum_where("is_completed", "gross_revenue").alias("gross"),
-        sum_where("is_completed", "net_revenue").alias("net"),
-        sum_where("is_completed", "realized_revenue").alias("realized"),
-        sum_where("is_completed", "estimated_tax").alias("tax"),
-        sum_where("is_completed", "order_level_discount").alias("discounts"),
-        sum_where(refunded, "refund_amount").alias("refunds"),
+    per_customer = (
+        use(inputs, fct_orders, as_of)
+        .groupBy(*STORE_DAY, "customer_id")
+        .agg(
+            *exprs(
+                "count(*) AS orders",
+                "count_if(is_completed) AS completed",
+                "count_if(is_returned) AS returned",
+                "count_if(is_cancelled) AS cancelled",
+                f"{sum_where('is_completed', 'gross_revenue')} AS gross",
+                f"{sum_where('is_completed', 'net_revenue')} AS net",
+                f"{sum_where('is_completed', 'realized_revenue')} AS realized",
+                f"{sum_where('is_completed', 'estimated_tax')} AS tax",
+                f"{sum_where('is_completed', 'order_level_discount')} AS discounts",
+                f"{sum_where('is_returned AND refund_amount IS NOT NULL', 'refund_amount')} AS refunds",
+            )
+        )
     )
     return per_customer.groupBy(*STORE_DAY).agg(
-        F.sum("orders").alias("total_orders"),
-        F.sum("completed").alias("completed_orders"),
-        F.sum("returned").alias("returned_orders"),
-        F.sum("cancelled").alias("cancelled_orders"),
-        F.sum("gross").alias("gross_revenue"),
-        F.sum("net").alias("net_revenue"),
-        F.sum("realized").alias("realized_revenue"),
-        F.sum("tax").alias("estimated_tax"),
-        F.sum("discounts").alias("total_discounts"),
-        F.sum("refunds").alias("total_refunds"),
-        F.count("customer_id").alias("unique_customers"),
-        ratio(F.sum("gross"), F.sum("completed")).alias("avg_order_value"),
+        *exprs(
+            "sum(orders) AS total_orders",
+            "sum(completed) AS completed_orders",
+            "sum(returned) AS returned_orders",
+            "sum(cancelled) AS cancelled_orders",
+            "sum(gross) AS gross_revenue",
+            "sum(net) AS net_revenue",
+            "sum(realized) AS realized_revenue",
+            "sum(tax) AS estimated_tax",
+            "sum(discounts) AS total_discounts",
+            "sum(refunds) AS total_refunds",
+            "count(customer_id) AS unique_customers",
+            f"{ratio('sum(gross)', 'sum(completed)')} AS avg_order_value",
+        )
     )
 
 
@@ -63,18 +70,18 @@ def revenue_daily(inputs: Inputs, as_of: dt.date, compat: bool = False) -> DataF
     """
     cost = (
         use(inputs, fct_order_items, as_of)
-        .filter(F.col("order_status") == "COMPLETED")
+        .filter("order_status = 'COMPLETED'")
         .groupBy("order_date", "store_id")
-        .agg(F.sum(F.col("cost_price") * F.col("quantity")).alias("cost"))
+        .agg(F.expr("sum(cost_price * quantity) AS cost"))
     )
-    net, cogs = F.col("net_revenue"), zero_if_null("cost")
+    cogs = zero_if_null("cost")
     if compat:
-        margin = F.round(net.cast("double") - ratio(cogs, net, 100), 2)
+        margin = f"round(double(net_revenue) - {ratio(cogs, 'net_revenue', 100)}, 2)"
     else:
-        margin = ratio(net - cogs, net, 100, 2)
+        margin = ratio(f"(net_revenue - {cogs})", "net_revenue", 100, 2)
     daily = use(inputs, revenue_by_period, as_of)
-    return daily.join(cost, ["order_date", "store_id"], "left").select(
-        F.col("order_date").alias("revenue_date"),
+    return daily.join(cost, ["order_date", "store_id"], "left").selectExpr(
+        "order_date AS revenue_date",
         "store_id",
         "store_channel",
         "store_region",
@@ -93,8 +100,8 @@ def revenue_daily(inputs: Inputs, as_of: dt.date, compat: bool = False) -> DataF
         "total_refunds",
         "unique_customers",
         "avg_order_value",
-        cogs.alias("total_cogs"),
-        margin.alias("gross_margin_pct"),
+        f"{cogs} AS total_cogs",
+        f"{margin} AS gross_margin_pct",
         built_at(as_of),
     )
 
@@ -106,56 +113,50 @@ def revenue_monthly(inputs: Inputs, as_of: dt.date, compat: bool = False) -> Dat
     they are; ``unique_customers`` and ``average_order_value`` are the true monthly values.
     ``compat`` takes the previous row of the channel, whatever its region.
     """
-    key = ["order_month", "order_quarter", "order_year", "store_channel", "store_region"]
+    additive = [
+        "total_orders", "completed_orders", "returned_orders", "gross_revenue", "net_revenue", "realized_revenue",
+        "total_discounts", "total_refunds", "total_cogs", "estimated_tax",
+    ]
+    net, series = "sum(net_revenue)", ["order_month", "store_channel", "store_region"]
     monthly = (
         use(inputs, revenue_daily, as_of)
-        .groupBy(*key)
+        .groupBy("order_month", "order_quarter", "order_year", "store_channel", "store_region")
         .agg(
-            F.sum("total_orders").alias("total_orders"),
-            F.sum("completed_orders").alias("completed_orders"),
-            F.sum("returned_orders").alias("returned_orders"),
-            F.sum("gross_revenue").alias("gross_revenue"),
-            F.sum("net_revenue").alias("net_revenue"),
-            F.sum("realized_revenue").alias("realized_revenue"),
-            F.sum("total_discounts").alias("total_discounts"),
-            F.sum("total_refunds").alias("total_refunds"),
-            F.sum("total_cogs").alias("total_cogs"),
-            F.sum("estimated_tax").alias("estimated_tax"),
-            F.sum("unique_customers").alias("sum_daily_unique_customers"),
-            mean_of(F.col("avg_order_value").cast("decimal(18,6)")).alias("avg_daily_aov"),
-            ratio(F.sum("net_revenue") - F.sum("total_cogs"), F.sum("net_revenue"), 100, 2).alias("gross_margin_pct"),
-            ratio(F.sum("gross_revenue"), F.sum("completed_orders")).alias("average_order_value"),
+            *exprs(
+                *[f"sum({c}) AS {c}" for c in additive],
+                "sum(unique_customers) AS sum_daily_unique_customers",
+                f"{mean_of('cast(avg_order_value AS decimal(18,6))')} AS avg_daily_aov",
+                f"{ratio(f'({net} - sum(total_cogs))', net, 100, 2)} AS gross_margin_pct",
+                f"{ratio('sum(gross_revenue)', 'sum(completed_orders)')} AS average_order_value",
+            )
         )
     )
     customers = (
         use(inputs, fct_orders, as_of)
-        .select("order_month", "store_channel", "store_region", "customer_id")
+        .select(*series, "customer_id")
         .distinct()
-        .groupBy("order_month", "store_channel", "store_region")
-        .agg(F.count("customer_id").alias("unique_customers"))
+        .groupBy(*series)
+        .agg(F.expr("count(customer_id) AS unique_customers"))
     )
-    same = [monthly[c].eqNullSafe(customers[c]) for c in ("order_month", "store_channel", "store_region")]
+    same = [monthly[c].eqNullSafe(customers[c]) for c in series]
     joined = monthly.join(customers, same, "left").select(monthly["*"], customers["unique_customers"])
     # One row per month and series: the window holds as many rows as there are months.
     if compat:
-        series = Window.partitionBy("store_channel").orderBy("order_month", "store_region")
+        earlier = Window.partitionBy("store_channel").orderBy("order_month", "store_region")
     else:
-        series = Window.partitionBy("store_channel", "store_region").orderBy("order_month")
-    net, prior = F.col("net_revenue"), F.col("prior_month_net_revenue")
+        earlier = Window.partitionBy("store_channel", "store_region").orderBy("order_month")
+    prior = "prior_month_net_revenue"
+    growth = ratio(f"(net_revenue - coalesce({prior}, net_revenue))", prior, 100, 2)
     return (
-        joined.withColumn("prior_month_net_revenue", F.lag("net_revenue").over(series))
-        .withColumn("mom_revenue_growth_pct", ratio(net - F.coalesce(prior, net), prior, 100, 2))
+        joined.withColumn(prior, F.lag("net_revenue").over(earlier))
         .withColumnRenamed("order_month", "revenue_month")
-        .select("*", built_at(as_of))
+        .selectExpr("*", f"{growth} AS mom_revenue_growth_pct", built_at(as_of))
     )
 
 
 def refunds_enriched(inputs: Inputs, as_of: dt.date) -> DataFrame:
-    back = use(inputs, fct_orders, as_of).filter(
-        F.col("is_returned") & F.col("return_date").isNotNull() & F.col("refund_amount").isNotNull()
-    )
-    returned = F.col("return_date")
-    return global_row_number(back, "order_id", "return_id").select(
+    back = use(inputs, fct_orders, as_of).filter(RETURNED)
+    return global_row_number(back, "order_id", "return_id").selectExpr(
         "return_id",
         "order_id",
         "customer_id",
@@ -165,30 +166,29 @@ def refunds_enriched(inputs: Inputs, as_of: dt.date) -> DataFrame:
         "campaign_id",
         "order_date",
         "return_date",
-        F.date_diff(returned, "order_date").alias("days_to_return"),
+        "datediff(return_date, order_date) AS days_to_return",
         "return_reason",
-        zero_if_null("refund_amount").alias("refund_amount"),
-        F.col("gross_revenue").alias("original_order_gross_revenue"),
-        F.col("net_revenue").alias("original_order_net_revenue"),
-        ratio("refund_amount", "gross_revenue", 100, 2).alias("refund_as_pct_of_order"),
-        month_start(returned).alias("return_month"),
-        F.quarter(returned).alias("return_quarter"),
-        F.year(returned).alias("return_year"),
+        f"{zero_if_null('refund_amount')} AS refund_amount",
+        "gross_revenue AS original_order_gross_revenue",
+        "net_revenue AS original_order_net_revenue",
+        f"{ratio('refund_amount', 'gross_revenue', 100, 2)} AS refund_as_pct_of_order",
+        f"{month_start('return_date')} AS return_month",
+        "quarter(return_date) AS return_quarter",
+        "year(return_date) AS return_year",
     )
 
 
 def customer_ltv(inputs: Inputs, as_of: dt.date) -> DataFrame:
     # The refund rows are only summed here, so their running number is not computed.
-    back = use(inputs, fct_orders, as_of).filter(
-        F.col("is_returned") & F.col("return_date").isNotNull() & F.col("refund_amount").isNotNull()
+    refunds = (
+        use(inputs, fct_orders, as_of).filter(RETURNED).groupBy("customer_id").agg(F.expr("sum(refund_amount) AS refunds"))
     )
-    refunds = back.groupBy("customer_id").agg(F.sum("refund_amount").alias("refunds"))
-    tenure, orders, refunded = F.col("days_since_acquisition"), F.col("total_orders"), zero_if_null("refunds")
-    yearly = F.round(F.col("avg_order_value") * (ratio(orders, tenure) * 365), 2)
+    refunded = zero_if_null("refunds")
+    yearly = f"round(avg_order_value * ({ratio('total_orders', 'days_since_acquisition')} * 365), 2)"
     return (
         use(inputs, dim_customers, as_of)
         .join(refunds, "customer_id", "left")
-        .select(
+        .selectExpr(
             "customer_id",
             "full_name",
             "customer_segment",
@@ -202,12 +202,12 @@ def customer_ltv(inputs: Inputs, as_of: dt.date) -> DataFrame:
             "completed_orders",
             "lifetime_gross_revenue",
             "lifetime_net_revenue",
-            refunded.alias("total_refunds"),
-            (F.col("lifetime_net_revenue") - refunded).alias("net_ltv"),
+            f"{refunded} AS total_refunds",
+            f"lifetime_net_revenue - {refunded} AS net_ltv",
             "avg_order_value",
             "customer_lifecycle_stage",
             "days_since_acquisition",
-            F.when((tenure > 0) & (orders > 0), yearly).otherwise(F.lit(0.0)).alias("predicted_12m_ltv"),
+            f"CASE WHEN days_since_acquisition > 0 AND total_orders > 0 THEN {yearly} ELSE 0D END AS predicted_12m_ltv",
             built_at(as_of),
         )
     )
@@ -216,22 +216,22 @@ def customer_ltv(inputs: Inputs, as_of: dt.date) -> DataFrame:
 def customer_cohorts(inputs: Inputs, as_of: dt.date, since: dt.date = dt.date(2025, 1, 1)) -> DataFrame:
     customers = (
         use(inputs, dim_customers, as_of)
-        .filter(F.col("acquisition_date") >= day(since))
+        .filter(f"acquisition_date >= {day(since)}")
         .select("customer_id", "acquisition_month", "acquisition_channel", "customer_segment")
     )
     active = (
         use(inputs, fct_orders, as_of)
         .filter("is_completed")
         .groupBy("customer_id", "order_month")
-        .agg(F.sum("net_revenue").alias("monthly_net_revenue"), F.count(F.lit(1)).alias("monthly_orders"))
+        .agg(*exprs("sum(net_revenue) AS monthly_net_revenue", "count(*) AS monthly_orders"))
     )
-    return customers.join(active, "customer_id", "left").select(
+    return customers.join(active, "customer_id", "left").selectExpr(
         "customer_id",
-        F.col("acquisition_month").alias("cohort_month"),
+        "acquisition_month AS cohort_month",
         "acquisition_channel",
         "customer_segment",
-        F.col("order_month").alias("activity_month"),
-        month_count("acquisition_month", "order_month").alias("months_since_acquisition"),
+        "order_month AS activity_month",
+        f"{month_count('acquisition_month', 'order_month')} AS months_since_acquisition",
         "monthly_net_revenue",
         "monthly_orders",
     )
@@ -241,35 +241,42 @@ def cohort_analysis(inputs: Inputs, as_of: dt.date, since: dt.date = dt.date(202
     stored = inputs.get("customer_cohorts")
     cohorts = customer_cohorts(inputs, as_of, since) if stored is None else stored
     group = ["cohort_month", "acquisition_channel", "customer_segment"]
-    # Customers are unique in the dimension and have one row per month, so both distinct
-    # counts become plain ones: per cohort over first rows, per month over rows.
-    sizes = cohorts.select(*group, "customer_id").distinct().groupBy(*group).agg(F.count("customer_id").alias("cohort_size"))
+    # A customer has one row per month, so both distinct counts become plain ones: per cohort
+    # over distinct customers, per month over rows.
+    sizes = (
+        cohorts.select(*group, "customer_id").distinct().groupBy(*group).agg(F.expr("count(customer_id) AS cohort_size"))
+    )
     revenue = (
-        cohorts.filter(F.col("activity_month").isNotNull())
+        cohorts.filter("activity_month IS NOT NULL")
         .groupBy(*group, "activity_month", "months_since_acquisition")
         .agg(
-            F.count("customer_id").alias("active_customers"),
-            F.sum("monthly_net_revenue").alias("cohort_net_revenue"),
-            ratio(F.sum("monthly_net_revenue"), F.count("monthly_net_revenue")).alias("avg_customer_revenue"),
+            *exprs(
+                "count(customer_id) AS active_customers",
+                "sum(monthly_net_revenue) AS cohort_net_revenue",
+                f"{mean_of('monthly_net_revenue')} AS avg_customer_revenue",
+            )
         )
     )
     # One row per cohort and month: bounded by the number of months.
-    history = Window.partitionBy(*group).orderBy("months_since_acquisition")
-    return revenue.join(sizes, group).select(
-        "cohort_month",
-        "activity_month",
-        "months_since_acquisition",
-        "acquisition_channel",
-        "customer_segment",
-        "cohort_size",
-        "active_customers",
-        "cohort_net_revenue",
-        "avg_customer_revenue",
-        ratio("active_customers", "cohort_size", 100, 2).alias("retention_rate_pct"),
-        F.sum("cohort_net_revenue")
-        .over(history.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-        .alias("cumulative_cohort_revenue"),
-        built_at(as_of),
+    to_date = Window.partitionBy(*group).orderBy("months_since_acquisition")
+    to_date = to_date.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return (
+        revenue.join(sizes, group)
+        .withColumn("cumulative_cohort_revenue", F.sum("cohort_net_revenue").over(to_date))
+        .selectExpr(
+            "cohort_month",
+            "activity_month",
+            "months_since_acquisition",
+            "acquisition_channel",
+            "customer_segment",
+            "cohort_size",
+            "active_customers",
+            "cohort_net_revenue",
+            "avg_customer_revenue",
+            f"{ratio('active_customers', 'cohort_size', 100, 2)} AS retention_rate_pct",
+            "cumulative_cohort_revenue",
+            built_at(as_of),
+        )
     )
 
 
@@ -279,27 +286,25 @@ def fiscal_calendar(days: DataFrame, as_of: dt.date, compat: bool = False) -> Da
     ``compat`` keeps the older period start: 1 February for February to December, and
     1 November of the same year for January.
     """
-    d, today = F.col("date_day"), day(as_of)
-    year = F.concat(F.lit("FY"), "fiscal_year")
-    this_year = F.col("fiscal_year") == fiscal_year(today)
-    start = month_start(d)
+    start, today, d = month_start("date_day"), day(as_of), "date_day"
     if compat:
-        start = F.when(F.month(d) >= 2, F.add_months(start, -(F.month(d) - 2))).otherwise(F.add_months(start, 10))
-    return days.select(
-        "date_day",
+        start = f"CASE WHEN month({d}) >= 2 THEN add_months({start}, 2 - month({d})) ELSE add_months({start}, 10) END"
+    this_year = f"fiscal_year = {fiscal_year(today)}"
+    return days.selectExpr(
+        d,
         "fiscal_year",
         "fiscal_quarter",
         "fiscal_month",
-        year.alias("fiscal_year_label"),
-        F.concat(year, F.lit("-Q"), "fiscal_quarter").alias("fiscal_quarter_label"),
-        F.concat(year, F.lit("-P"), F.lpad(F.col("fiscal_month").cast("string"), 2, "0")).alias("fiscal_period_label"),
-        this_year.alias("is_current_fiscal_year"),
-        (this_year & (F.col("fiscal_quarter") == fiscal_quarter(today))).alias("is_current_fiscal_quarter"),
-        start.alias("fiscal_period_start"),
-        F.make_date(F.col("fiscal_year"), F.lit(2), F.lit(1)).alias("fiscal_year_start"),
-        F.month(d).alias("calendar_month"),
-        F.quarter(d).alias("calendar_quarter"),
-        F.year(d).alias("calendar_year"),
+        "'FY' || fiscal_year AS fiscal_year_label",
+        "'FY' || fiscal_year || '-Q' || fiscal_quarter AS fiscal_quarter_label",
+        "'FY' || fiscal_year || '-P' || lpad(string(fiscal_month), 2, '0') AS fiscal_period_label",
+        f"{this_year} AS is_current_fiscal_year",
+        f"{this_year} AND fiscal_quarter = {fiscal_quarter(today)} AS is_current_fiscal_quarter",
+        f"{start} AS fiscal_period_start",
+        "make_date(fiscal_year, 2, 1) AS fiscal_year_start",
+        f"month({d}) AS calendar_month",
+        f"quarter({d}) AS calendar_quarter",
+        f"year({d}) AS calendar_year",
         "is_weekend",
         "is_weekday",
         "season",

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.functions import month_start, ratio, sum_where, zero_if_null
+from marketloom.functions.scalars import exprs, mean_of, month_start, ratio, sum_where, zero_if_null
 from marketloom.operators.asof import last_touch
 from marketloom.plans.base import Inputs, built_at, use
 from marketloom.plans.core import dim_customers, fct_orders
@@ -19,60 +19,59 @@ LOOKBACK_DAYS = 30
 
 
 def campaign_daily(inputs: Inputs, as_of: dt.date) -> DataFrame:
-    spend = use(inputs, stg_ad_spend, as_of)
     orders = (
         use(inputs, fct_orders, as_of)
-        .filter(F.col("campaign_id").isNotNull() & F.col("is_completed"))
-        .groupBy(F.col("campaign_id").alias("_campaign"), F.col("order_date").alias("_day"))
+        .filter("campaign_id IS NOT NULL AND is_completed")
+        .groupBy("campaign_id", F.expr("order_date AS spend_date"))
         .agg(
-            F.count(F.lit(1)).alias("orders"),
-            F.sum("gross_revenue").alias("gross"),
-            F.sum("net_revenue").alias("net"),
-            F.sum("realized_revenue").alias("realized"),
+            *exprs(
+                "count(*) AS orders",
+                "sum(gross_revenue) AS gross",
+                "sum(net_revenue) AS net",
+                "sum(realized_revenue) AS realized",
+            )
         )
     )
-    met = (F.col("campaign_id") == F.col("_campaign")) & (F.col("spend_date") == F.col("_day"))
     net = zero_if_null("net")
-    return spend.join(orders, met, "left").select(
-        "campaign_id",
-        "campaign_name",
-        "channel",
-        "campaign_type",
-        "spend_date",
-        "spend_usd",
-        "impressions",
-        "clicks",
-        F.col("attributed_orders").alias("platform_attributed_orders"),
-        "click_through_rate_pct",
-        "cost_per_click",
-        "cost_per_acquisition",
-        zero_if_null("orders").alias("matched_orders"),
-        zero_if_null("gross").alias("attributed_gross_revenue"),
-        net.alias("attributed_net_revenue"),
-        zero_if_null("realized").alias("attributed_realized_revenue"),
-        ratio("gross", "orders").alias("attributed_aov"),
-        F.when(F.col("spend_usd") > 0, ratio(net, "spend_usd", 1, 2)).alias("roas"),
-        "spend_week",
-        "spend_month",
-        "spend_quarter",
-        "spend_year",
+    return (
+        use(inputs, stg_ad_spend, as_of)
+        .join(orders, ["campaign_id", "spend_date"], "left")
+        .selectExpr(
+            "campaign_id",
+            "campaign_name",
+            "channel",
+            "campaign_type",
+            "spend_date",
+            "spend_usd",
+            "impressions",
+            "clicks",
+            "attributed_orders AS platform_attributed_orders",
+            "click_through_rate_pct",
+            "cost_per_click",
+            "cost_per_acquisition",
+            f"{zero_if_null('orders')} AS matched_orders",
+            f"{zero_if_null('gross')} AS attributed_gross_revenue",
+            f"{net} AS attributed_net_revenue",
+            f"{zero_if_null('realized')} AS attributed_realized_revenue",
+            f"{ratio('gross', 'orders')} AS attributed_aov",
+            f"CASE WHEN spend_usd > 0 THEN {ratio(net, 'spend_usd', 1, 2)} END AS roas",
+            "spend_week",
+            "spend_month",
+            "spend_quarter",
+            "spend_year",
+        )
     )
 
 
 def campaign_performance(inputs: Inputs, as_of: dt.date) -> DataFrame:
-    roas = F.col("roas")
-    tier = (
-        F.when(roas >= 5.0, "high_performing")
-        .when(roas >= 2.5, "efficient")
-        .when(roas >= 1.0, "break_even")
-        .otherwise("underperforming")
-    )
-    return use(inputs, campaign_daily, as_of).select(
+    return use(inputs, campaign_daily, as_of).selectExpr(
         "campaign_id", "campaign_name", "channel", "campaign_type", "spend_date", "spend_week", "spend_month",
         "spend_quarter", "spend_year", "spend_usd", "impressions", "clicks", "platform_attributed_orders",
         "matched_orders", "attributed_gross_revenue", "attributed_net_revenue", "attributed_realized_revenue",
         "attributed_aov", "click_through_rate_pct", "cost_per_click", "cost_per_acquisition", "roas",
-        tier.alias("roas_tier"), built_at(as_of),
+        """CASE WHEN roas >= 5.0 THEN 'high_performing' WHEN roas >= 2.5 THEN 'efficient'
+                WHEN roas >= 1.0 THEN 'break_even' ELSE 'underperforming' END AS roas_tier""",
+        built_at(as_of),
     )
 
 
@@ -80,8 +79,9 @@ def touch_events(inputs: Inputs) -> DataFrame:
     """Events that can earn credit: listed types, any source but direct."""
     return (
         inputs["raw_events"]
-        .filter(F.col("event_type").isin(TOUCH_EVENTS) & (F.col("traffic_source") != "direct"))
-        .select("customer_id", "event_date", "session_id", F.col("traffic_source").alias("touch_source"), "device_type")
+        .filter(F.col("event_type").isin(TOUCH_EVENTS))
+        .filter("traffic_source <> 'direct'")
+        .selectExpr("customer_id", "event_date", "session_id", "traffic_source AS touch_source", "device_type")
     )
 
 
@@ -102,48 +102,49 @@ def attribution_touchpoints(inputs: Inputs, as_of: dt.date) -> DataFrame:
         order_by=["session_id", "touch_source", "device_type"],
         lookback_days=LOOKBACK_DAYS,
     )
-    return credited.select(
+    return credited.selectExpr(
         "order_id",
         "order_date",
         "customer_id",
         "gross_revenue",
         "net_revenue",
         "realized_revenue",
-        F.col("traffic_source").alias("order_traffic_source"),
-        F.coalesce("touch_source", "traffic_source").alias("attributed_channel"),
-        F.col("last_event_date").alias("touchpoint_date"),
+        "traffic_source AS order_traffic_source",
+        "coalesce(touch_source, traffic_source) AS attributed_channel",
+        "last_event_date AS touchpoint_date",
         "device_type",
     )
 
 
 def channel_attribution(inputs: Inputs, as_of: dt.date) -> DataFrame:
     """Credit per channel and month; customers are counted through a per-customer grouping."""
+    devices = ["mobile", "desktop", "tablet"]
     per_customer = (
         use(inputs, attribution_touchpoints, as_of)
-        .groupBy("attributed_channel", month_start("order_date").alias("order_month"), "customer_id")
+        .groupBy("attributed_channel", F.expr(f"{month_start('order_date')} AS order_month"), "customer_id")
         .agg(
-            F.count("order_id").alias("orders"),
-            F.sum("gross_revenue").alias("gross"),
-            F.sum("net_revenue").alias("net"),
-            F.sum("realized_revenue").alias("realized"),
-            sum_where(F.col("device_type") == "mobile", "gross_revenue").alias("mobile"),
-            sum_where(F.col("device_type") == "desktop", "gross_revenue").alias("desktop"),
-            sum_where(F.col("device_type") == "tablet", "gross_revenue").alias("tablet"),
+            *exprs(
+                "count(order_id) AS orders",
+                "sum(gross_revenue) AS gross",
+                "sum(net_revenue) AS net",
+                "sum(realized_revenue) AS realized",
+                *[sum_where(f"device_type = '{d}'", "gross_revenue") + f" AS {d}" for d in devices],
+            )
         )
     )
     monthly = per_customer.groupBy("attributed_channel", "order_month").agg(
-        F.sum("orders").alias("attributed_orders"),
-        F.sum("gross").alias("attributed_gross_revenue"),
-        F.sum("net").alias("attributed_net_revenue"),
-        F.sum("realized").alias("attributed_realized_revenue"),
-        ratio(F.sum("gross"), F.sum("orders")).alias("attributed_aov"),
-        F.count("customer_id").alias("unique_customers"),
-        F.sum("mobile").alias("mobile_revenue"),
-        F.sum("desktop").alias("desktop_revenue"),
-        F.sum("tablet").alias("tablet_revenue"),
+        *exprs(
+            "sum(orders) AS attributed_orders",
+            "sum(gross) AS attributed_gross_revenue",
+            "sum(net) AS attributed_net_revenue",
+            "sum(realized) AS attributed_realized_revenue",
+            f"{ratio('sum(gross)', 'sum(orders)')} AS attributed_aov",
+            "count(customer_id) AS unique_customers",
+            *[f"sum({d}) AS {d}_revenue" for d in devices],
+        )
     )
     share = ratio("mobile_revenue", "attributed_gross_revenue", 100, 2)
-    return monthly.select("*", share.alias("mobile_revenue_pct"), built_at(as_of))
+    return monthly.selectExpr("*", f"{share} AS mobile_revenue_pct", built_at(as_of))
 
 
 def customer_acquisition(inputs: Inputs, as_of: dt.date) -> DataFrame:
@@ -152,10 +153,12 @@ def customer_acquisition(inputs: Inputs, as_of: dt.date) -> DataFrame:
         use(inputs, dim_customers, as_of)
         .groupBy("acquisition_channel", "acquisition_month", "acquisition_quarter", "acquisition_year")
         .agg(
-            F.count("customer_id").alias("new_customers"),
-            F.sum("lifetime_net_revenue").alias("cohort_ltv"),
-            ratio(F.sum("lifetime_net_revenue"), F.count("lifetime_net_revenue")).alias("avg_cohort_ltv"),
-            ratio(F.sum("total_orders"), F.count("total_orders")).alias("avg_orders_per_customer"),
-            sum_where(F.col("customer_value_tier") == "high_value", 1).alias("high_value_customers"),
+            *exprs(
+                "count(customer_id) AS new_customers",
+                "sum(lifetime_net_revenue) AS cohort_ltv",
+                f"{mean_of('lifetime_net_revenue')} AS avg_cohort_ltv",
+                f"{mean_of('total_orders')} AS avg_orders_per_customer",
+                "count_if(customer_value_tier = 'high_value') AS high_value_customers",
+            )
         )
     )

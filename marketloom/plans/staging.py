@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from marketloom.functions import (
+from marketloom.functions.scalars import (
     MONEY,
     day_of_week_from_sunday,
+    exprs,
     month_start,
     quarter_start,
     ratio,
@@ -19,102 +19,96 @@ from marketloom.plans.base import Inputs, day
 
 
 def stg_customers(inputs: Inputs, as_of: dt.date) -> DataFrame:
-    acquired = F.col("acquisition_date")
-    return inputs["raw_customers"].select(
+    return inputs["raw_customers"].selectExpr(
         "customer_id",
         "first_name",
         "last_name",
-        F.concat("first_name", F.lit(" "), "last_name").alias("full_name"),
-        F.lower("email").alias("email"),
+        "first_name || ' ' || last_name AS full_name",
+        "lower(email) AS email",
         "city",
         "state",
         "customer_segment",
         "acquisition_channel",
         "acquisition_date",
         "age",
-        F.when(F.col("gender") == "M", "Male")
-        .when(F.col("gender") == "F", "Female")
-        .otherwise("Unknown")
-        .alias("gender"),
+        "CASE gender WHEN 'M' THEN 'Male' WHEN 'F' THEN 'Female' ELSE 'Unknown' END AS gender",
         "is_email_subscribed",
         "is_sms_subscribed",
-        month_start(acquired).alias("acquisition_month"),
-        quarter_start(acquired).alias("acquisition_quarter"),
-        F.year(acquired).alias("acquisition_year"),
-        F.date_diff(day(as_of), acquired).alias("days_since_acquisition"),
+        f"{month_start('acquisition_date')} AS acquisition_month",
+        f"{quarter_start('acquisition_date')} AS acquisition_quarter",
+        "year(acquisition_date) AS acquisition_year",
+        f"datediff({day(as_of)}, acquisition_date) AS days_since_acquisition",
         "created_at",
         "updated_at",
     )
 
 
 def stg_orders(inputs: Inputs, as_of: dt.date) -> DataFrame:
-    status, ordered = F.upper("status"), F.col("order_date").cast("date")
-    return inputs["raw_orders"].select(
-        F.col("order_id").cast("bigint").alias("order_id"),
-        ordered.alias("order_date"),
-        F.col("ordered_at").cast("timestamp").alias("ordered_at"),
-        F.col("customer_id").cast("bigint").alias("customer_id"),
-        F.col("store_id").cast("bigint").alias("store_id"),
-        status.alias("order_status"),
-        F.coalesce("discount_amount", F.lit(0)).cast(MONEY).alias("discount_amount"),
+    return inputs["raw_orders"].selectExpr(
+        "bigint(order_id) AS order_id",
+        "date(order_date) AS order_date",
+        "timestamp(ordered_at) AS ordered_at",
+        "bigint(customer_id) AS customer_id",
+        "bigint(store_id) AS store_id",
+        "upper(status) AS order_status",
+        f"cast(coalesce(discount_amount, 0) AS {MONEY}) AS discount_amount",
         "payment_method",
-        F.col("campaign_id").cast("int").alias("campaign_id"),
+        "int(campaign_id) AS campaign_id",
         "traffic_source",
         "item_count",
-        (status == "COMPLETED").alias("is_completed"),
-        (status == "RETURNED").alias("is_returned"),
-        (status == "CANCELLED").alias("is_cancelled"),
-        # Unknown discount stays unknown here, unlike the 0-filled amount.
-        (F.col("discount_amount") > 0).alias("has_discount"),
-        month_start(ordered).alias("order_month"),
-        week_start(ordered).alias("order_week"),
-        day_of_week_from_sunday(ordered).alias("order_day_of_week"),
-        F.month(ordered).alias("order_month_num"),
-        F.quarter(ordered).alias("order_quarter"),
-        F.year(ordered).alias("order_year"),
-        F.col("_loaded_at").cast("timestamp").alias("_loaded_at"),
+        "upper(status) = 'COMPLETED' AS is_completed",
+        "upper(status) = 'RETURNED' AS is_returned",
+        "upper(status) = 'CANCELLED' AS is_cancelled",
+        # From the delivered amount: an unknown discount stays unknown here.
+        "discount_amount > 0 AS has_discount",
+        f"{month_start('order_date')} AS order_month",
+        f"{week_start('order_date')} AS order_week",
+        f"{day_of_week_from_sunday('order_date')} AS order_day_of_week",
+        "month(order_date) AS order_month_num",
+        "quarter(order_date) AS order_quarter",
+        "year(order_date) AS order_year",
+        "timestamp(_loaded_at) AS _loaded_at",
     )
 
 
 def stg_order_items(inputs: Inputs, as_of: dt.date) -> DataFrame:
-    gross = F.col("line_gross_revenue")
-    return inputs["raw_order_items"].select(
-        F.col("order_item_id").cast("bigint").alias("order_item_id"),
-        F.col("order_id").cast("bigint").alias("order_id"),
-        F.col("product_id").cast("bigint").alias("product_id"),
+    discount = ratio("line_discount", "line_gross_revenue", 100, 2)
+    return inputs["raw_order_items"].selectExpr(
+        "bigint(order_item_id) AS order_item_id",
+        "bigint(order_id) AS order_id",
+        "bigint(product_id) AS product_id",
         "quantity",
         "unit_price_at_purchase",
         "line_gross_revenue",
         "line_net_revenue",
         "line_discount",
-        F.round(gross - F.col("line_net_revenue"), 2).alias("line_discount_amount"),
-        F.when(gross > 0, ratio("line_discount", gross, 100, 2)).otherwise(F.lit(0.0)).alias("discount_pct"),
-        F.col("_loaded_at").cast("timestamp").alias("_loaded_at"),
+        "round(line_gross_revenue - line_net_revenue, 2) AS line_discount_amount",
+        f"CASE WHEN line_gross_revenue > 0 THEN {discount} ELSE 0D END AS discount_pct",
+        "timestamp(_loaded_at) AS _loaded_at",
     )
 
 
 def stg_returns(inputs: Inputs, as_of: dt.date, compat: bool = False) -> DataFrame:
     """``compat`` compares the status as delivered, so only upper-case deliveries count as approved."""
-    status = F.col("return_status") if compat else F.upper("return_status")
-    return inputs["raw_returns"].select(
+    status = "return_status" if compat else "upper(return_status)"
+    return inputs["raw_returns"].selectExpr(
         "return_id",
-        F.col("order_id").cast("bigint").alias("order_id"),
-        F.col("customer_id").cast("bigint").alias("customer_id"),
-        F.col("store_id").cast("bigint").alias("store_id"),
+        "bigint(order_id) AS order_id",
+        "bigint(customer_id) AS customer_id",
+        "bigint(store_id) AS store_id",
         "order_date",
         "return_date",
-        F.date_diff("return_date", "order_date").alias("days_to_return"),
+        "datediff(return_date, order_date) AS days_to_return",
         "return_reason",
         "resolution_type",
-        F.col("refund_amount").cast(MONEY).alias("refund_amount"),
-        F.upper("return_status").alias("return_status"),
-        (status == "APPROVED").alias("is_approved"),
+        f"cast(refund_amount AS {MONEY}) AS refund_amount",
+        "upper(return_status) AS return_status",
+        f"{status} = 'APPROVED' AS is_approved",
     )
 
 
-def _ad_spend(source: DataFrame, click_rate: Column, cost_per_click: Column, cost_per_order: Column) -> DataFrame:
-    spent = F.col("spend_date")
-    return source.select(
+def _ad_spend(source: DataFrame, click_rate: str, cost_per_click: str, cost_per_order: str) -> DataFrame:
+    return source.selectExpr(
         "spend_id",
         "campaign_id",
         "campaign_name",
@@ -125,25 +119,24 @@ def _ad_spend(source: DataFrame, click_rate: Column, cost_per_click: Column, cos
         "impressions",
         "clicks",
         "attributed_orders",
-        click_rate.alias("click_through_rate_pct"),
-        cost_per_click.alias("cost_per_click"),
-        cost_per_order.alias("cost_per_acquisition"),
-        week_start(spent).alias("spend_week"),
-        month_start(spent).alias("spend_month"),
-        F.quarter(spent).alias("spend_quarter"),
-        F.year(spent).alias("spend_year"),
+        f"{click_rate} AS click_through_rate_pct",
+        f"{cost_per_click} AS cost_per_click",
+        f"{cost_per_order} AS cost_per_acquisition",
+        f"{week_start('spend_date')} AS spend_week",
+        f"{month_start('spend_date')} AS spend_month",
+        "quarter(spend_date) AS spend_quarter",
+        "year(spend_date) AS spend_year",
         "_loaded_at",
     )
 
 
 def stg_platform_ad_spend(inputs: Inputs, as_of: dt.date) -> DataFrame:
     """Platform rules: 0 click rate without impressions, cost per click to 4 decimals."""
-    seen = F.col("impressions") > 0
     return _ad_spend(
         inputs["raw_ad_spend"],
-        F.when(seen, ratio("clicks", "impressions", 100, 4)).otherwise(F.lit(0.0)),
-        F.when(F.col("clicks") > 0, ratio("spend_usd", "clicks", 1, 4)),
-        F.when(F.col("attributed_orders") > 0, ratio("spend_usd", "attributed_orders", 1, 2)),
+        f"CASE WHEN impressions > 0 THEN {ratio('clicks', 'impressions', 100, 4)} ELSE 0D END",
+        f"CASE WHEN clicks > 0 THEN {ratio('spend_usd', 'clicks', 1, 4)} END",
+        f"CASE WHEN attributed_orders > 0 THEN {ratio('spend_usd', 'attributed_orders', 1, 2)} END",
     )
 
 
@@ -157,10 +150,17 @@ def stg_ad_spend(inputs: Inputs, as_of: dt.date) -> DataFrame:
     )
 
 
+def _started(start: str) -> list[str]:
+    return [
+        f"{month_start(start)} AS campaign_start_month",
+        f"quarter({start}) AS campaign_quarter",
+        f"year({start}) AS campaign_year",
+    ]
+
+
 def stg_platform_campaigns(inputs: Inputs, as_of: dt.date) -> DataFrame:
-    start = F.col("start_date")
-    days = F.date_diff("end_date", "start_date") + 1
-    return inputs["catalog_campaigns"].select(
+    days = "datediff(end_date, start_date) + 1"
+    return inputs["catalog_campaigns"].selectExpr(
         "campaign_id",
         "campaign_name",
         "channel",
@@ -173,11 +173,9 @@ def stg_platform_campaigns(inputs: Inputs, as_of: dt.date) -> DataFrame:
         "utm_medium",
         "utm_campaign",
         "is_active",
-        days.alias("campaign_duration_days"),
-        ratio("budget_usd", days, 1, 2).alias("daily_budget_usd"),
-        month_start(start).alias("campaign_start_month"),
-        F.quarter(start).alias("campaign_quarter"),
-        F.year(start).alias("campaign_year"),
+        f"{days} AS campaign_duration_days",
+        f"{ratio('budget_usd', days, 1, 2)} AS daily_budget_usd",
+        *_started("start_date"),
     )
 
 
@@ -187,21 +185,17 @@ def stg_campaigns(inputs: Inputs, as_of: dt.date) -> DataFrame:
     The totals are per campaign id; a campaign whose name or channel changed keeps one row per
     variant, all with the same totals.
     """
-    spend = inputs["raw_ad_spend"]
     variant = ["campaign_id", "campaign_name", "channel", "campaign_type"]
-    per_variant = spend.groupBy(*variant).agg(
-        F.min("spend_date").alias("first_day"), F.max("spend_date").alias("last_day"), F.sum("spend_usd").alias("spent")
+    per_variant = (
+        inputs["raw_ad_spend"]
+        .groupBy(*variant)
+        .agg(*exprs("min(spend_date) AS first_day", "max(spend_date) AS last_day", "sum(spend_usd) AS spent"))
     )
     totals = per_variant.groupBy("campaign_id").agg(
-        F.min("first_day").alias("start_date"), F.max("last_day").alias("end_date"), F.sum("spent").alias("budget_usd")
+        *exprs("min(first_day) AS start_date", "max(last_day) AS end_date", "sum(spent) AS budget_usd")
     )
-    start = F.col("start_date")
-    return per_variant.select(*variant).join(totals, "campaign_id").select(
-        *variant,
-        "start_date",
-        "end_date",
-        "budget_usd",
-        month_start(start).alias("campaign_start_month"),
-        F.quarter(start).alias("campaign_quarter"),
-        F.year(start).alias("campaign_year"),
+    return (
+        per_variant.select(*variant)
+        .join(totals, "campaign_id")
+        .selectExpr(*variant, "start_date", "end_date", "budget_usd", *_started("start_date"))
     )

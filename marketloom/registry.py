@@ -27,19 +27,21 @@ _STAMPS = {"built_at", "_loaded_at"}
 
 def edge(df: DataFrame) -> DataFrame:
     """Plain types for comparing with another engine: money as double, dates as text."""
+    kinds = {
+        T.DecimalType: "double",
+        T.FloatType: "double",
+        T.DateType: "string",
+        T.TimestampType: "string",
+        T.TimestampNTZType: "string",
+        T.IntegerType: "bigint",
+        T.ShortType: "bigint",
+    }
     out = []
     for field in df.schema.fields:
-        c = F.col(f"`{field.name}`")
-        if field.name in _STAMPS:
-            continue
-        if isinstance(field.dataType, (T.DecimalType, T.FloatType)):
-            c = c.cast("double")
-        elif isinstance(field.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-            c = c.cast("string")
-        elif isinstance(field.dataType, (T.IntegerType, T.ShortType)):
-            c = c.cast("bigint")
-        out.append(c.alias(field.name))
-    return df.select(*out)
+        kind = kinds.get(type(field.dataType))
+        if field.name not in _STAMPS:
+            out.append(f"{kind}(`{field.name}`) AS `{field.name}`" if kind else f"`{field.name}`")
+    return df.selectExpr(*out)
 
 
 def register(name: str, plan: Query, sql: str | None = None) -> None:

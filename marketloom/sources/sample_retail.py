@@ -9,11 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cache, partial
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketloom.functions import MONEY, ratio
+from marketloom.functions.scalars import MONEY, exprs, quoted, ratio
 from marketloom.sources.schemas import ALL
 
 # Names given to derived codes, in code order.
@@ -28,295 +28,292 @@ RETURN_REASONS = ["defective", "wrong_size", "changed_mind"]
 RESOLUTIONS = ["refund", "exchange"]
 
 
+# Declared, so that planning a query reads no file footers.
+SOURCES = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, "
+        "o_orderpriority string"
+    ),
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+        "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+        "l_shipdate timestamp_ntz"
+    ),
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "pages": "page_id bigint, url string, html string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "labels": "doc_id bigint, quality int, toxic int",
+}
+
+
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.schema(SOURCES[name]).parquet(f"{folder}/{name}.parquet")
 
 
-def _name(names: list[str], code) -> Column:
-    return F.element_at(F.array(*[F.lit(n) for n in names]), (code + 1).cast("int"))
+def _name(names: list[str], code: str) -> str:
+    return f"element_at(array({', '.join(map(quoted, names))}), int({code}) + 1)"
 
 
-def _typed(df: DataFrame, name: str) -> DataFrame:
-    """Columns of ``df`` in the order and types declared for the input table ``name``."""
-    return df.select(*[F.col(f.name).cast(f.dataType) for f in T.StructType.fromDDL(ALL[name])])
+def _typed(df: DataFrame, name: str, **columns: str) -> DataFrame:
+    """The input table ``name``: its declared columns, each from an expression over ``df``."""
+    declared = T.StructType.fromDDL(ALL[name]).fields
+    return df.selectExpr(*[f"cast({columns[f.name]} AS {f.dataType.simpleString()}) AS {f.name}" for f in declared])
 
 
 def catalog_stores(t) -> DataFrame:
     n, r = t("nation"), t("region")
-    key = F.col("n_nationkey")
-    joined = n.join(r, n.n_regionkey == r.r_regionkey, "left")
     return _typed(
-        joined.select(
-            key.alias("store_id"),
-            F.concat(F.lit("Store "), F.col("n_name")).alias("store_name"),
-            F.when(key % 3 == 0, "physical").otherwise("digital").alias("store_type"),
-            _name(STORE_CHANNELS, key % 3).alias("channel"),
-            F.concat(F.lit("City "), key).alias("city"),
-            F.concat(F.lit("ST"), key % 10).alias("state"),
-            F.col("r_name").alias("region"),
-            F.date_add(F.lit("1990-01-01").cast("date"), key * 30).alias("opened_date"),
-            (key * 1000 + 500).alias("sq_footage"),
-            F.concat(F.lit("District "), key % 4).alias("district"),
-            (key % 10 != 9).alias("is_active"),
-            F.concat(F.lit("Manager "), key).alias("manager_name"),
-        ),
+        n.join(r, n.n_regionkey == r.r_regionkey, "left"),
         "catalog_stores",
+        store_id="n_nationkey",
+        store_name="'Store ' || n_name",
+        store_type="CASE WHEN n_nationkey % 3 = 0 THEN 'physical' ELSE 'digital' END",
+        channel=_name(STORE_CHANNELS, "n_nationkey % 3"),
+        city="'City ' || n_nationkey",
+        state="'ST' || (n_nationkey % 10)",
+        region="r_name",
+        opened_date="date_add(DATE'1990-01-01', n_nationkey * 30)",
+        sq_footage="n_nationkey * 1000 + 500",
+        district="'District ' || (n_nationkey % 4)",
+        is_active="n_nationkey % 10 <> 9",
+        manager_name="'Manager ' || n_nationkey",
     )
 
 
 def catalog_products(t) -> DataFrame:
-    key, price = F.col("p_partkey"), F.col("p_retailprice").cast(MONEY)
     return _typed(
-        t("part").select(
-            key.alias("product_id"),
-            F.col("p_name").alias("product_name"),
-            F.concat(F.lit("SKU-"), key).alias("sku"),
-            F.col("p_type").alias("category"),
-            F.concat(F.col("p_type"), F.lit("-"), F.col("p_size") % 5).alias("subcategory"),
-            price.alias("unit_price"),
-            F.round(price * F.lit("0.60").cast("decimal(3,2)"), 2).alias("cost_price"),
-            F.lit(40.0).alias("margin_pct"),
-            F.col("p_brand").alias("brand"),
-            (key % 20 != 0).alias("is_active"),
-            F.date_add(F.lit("1994-01-01").cast("date"), (key % 365).cast("int")).alias("launch_date"),
-            (F.col("p_size") / F.lit(4.0)).alias("weight_lbs"),
-            (key % 7 == 0).alias("is_featured"),
-        ),
+        t("part"),
         "catalog_products",
+        product_id="p_partkey",
+        product_name="p_name",
+        sku="'SKU-' || p_partkey",
+        category="p_type",
+        subcategory="p_type || '-' || (p_size % 5)",
+        unit_price=f"cast(p_retailprice AS {MONEY})",
+        cost_price=f"round(cast(p_retailprice AS {MONEY}) * 0.60, 2)",
+        margin_pct="40",
+        brand="p_brand",
+        is_active="p_partkey % 20 <> 0",
+        launch_date="date_add(DATE'1994-01-01', int(p_partkey % 365))",
+        weight_lbs="p_size / 4D",
+        is_featured="p_partkey % 7 = 0",
     )
 
 
 def raw_customers(t) -> DataFrame:
     c = t("customer")
-    first = t("orders").groupBy("o_custkey").agg(F.min(F.to_date("o_orderdate")).alias("first_day"))
-    key = F.col("c_custkey")
-    acquired = F.date_sub(F.col("first_day"), (key % 90).cast("int"))
+    first = t("orders").groupBy("o_custkey").agg(F.expr("min(date(o_orderdate)) AS first_day"))
+    acquired = "date_sub(first_day, int(c_custkey % 90))"
     return _typed(
-        c.join(first, c.c_custkey == first.o_custkey, "left").select(
-            key.alias("customer_id"),
-            F.lit("Customer").alias("first_name"),
-            F.split_part("c_name", F.lit("#"), F.lit(2)).alias("last_name"),
-            F.concat(F.lit("Customer."), key, F.lit("@Example.com")).alias("email"),
-            F.concat(F.lit("City "), F.col("c_nationkey")).alias("city"),
-            F.concat(F.lit("ST"), F.col("c_nationkey") % 10).alias("state"),
-            F.col("c_mktsegment").alias("customer_segment"),
-            _name(ACQUISITION_CHANNELS, key % 4).alias("acquisition_channel"),
-            acquired.alias("acquisition_date"),
-            (key % 60 + 18).alias("age"),
-            F.when(key % 3 == 0, "M").when(key % 3 == 1, "F").otherwise("X").alias("gender"),
-            (key % 2 == 0).alias("is_email_subscribed"),
-            (key % 3 == 0).alias("is_sms_subscribed"),
-            acquired.alias("created_at"),
-            acquired.alias("updated_at"),
-        ),
+        c.join(first, c.c_custkey == first.o_custkey, "left"),
         "raw_customers",
+        customer_id="c_custkey",
+        first_name="'Customer'",
+        last_name="split_part(c_name, '#', 2)",
+        email="'Customer.' || c_custkey || '@Example.com'",
+        city="'City ' || c_nationkey",
+        state="'ST' || (c_nationkey % 10)",
+        customer_segment="c_mktsegment",
+        acquisition_channel=_name(ACQUISITION_CHANNELS, "c_custkey % 4"),
+        acquisition_date=acquired,
+        age="c_custkey % 60 + 18",
+        gender="CASE c_custkey % 3 WHEN 0 THEN 'M' WHEN 1 THEN 'F' ELSE 'X' END",
+        is_email_subscribed="c_custkey % 2 = 0",
+        is_sms_subscribed="c_custkey % 3 = 0",
+        created_at=acquired,
+        updated_at=acquired,
     )
 
 
-def _status(key, code) -> Column:
-    returned = (code == "P") & (key % 2 == 0)
-    return F.when(code != "P", "completed").when(returned, "Returned").otherwise("CANCELLED")
-
-
 def raw_orders(t) -> DataFrame:
     o, c = t("orders"), t("customer").select("c_custkey", "c_nationkey")
-    key, day = F.col("o_orderkey"), F.to_date("o_orderdate")
-    campaigns = t("supplier").agg(F.count(F.lit(1))).scalar()
-    discount = F.when(key % 5 == 0, F.round(F.col("o_totalprice").cast(MONEY) * F.lit("0.01").cast("decimal(3,2)"), 2))
+    campaigns = t("supplier").agg(F.expr("count(*)")).scalar()
+    joined = o.join(c, o.o_custkey == c.c_custkey, "left").withColumn("campaigns", campaigns)
     return _typed(
-        o.join(c, o.o_custkey == c.c_custkey, "left").select(
-            key.alias("order_id"),
-            day.alias("order_date"),
-            F.col("o_custkey").alias("customer_id"),
-            F.col("c_nationkey").alias("store_id"),
-            _status(key, F.col("o_orderstatus")).alias("status"),
-            F.when(key % 5 == 1, F.lit(None)).otherwise(F.coalesce(discount, F.lit(0))).alias("discount_amount"),
-            _name(PAYMENT_METHODS, key % 4).alias("payment_method"),
-            F.when(key % 100 < 32, key % campaigns).alias("campaign_id"),
-            _name(TRAFFIC_SOURCES, key % 7).alias("traffic_source"),
-            (key % 5 + 1).alias("item_count"),
-            F.col("o_orderdate").alias("ordered_at"),
-            F.date_add(day, (key % 4).cast("int")).alias("_loaded_at"),
-        ),
+        joined,
         "raw_orders",
+        order_id="o_orderkey",
+        order_date="date(o_orderdate)",
+        customer_id="o_custkey",
+        store_id="c_nationkey",
+        status="""CASE WHEN o_orderstatus <> 'P' THEN 'completed'
+                       WHEN o_orderkey % 2 = 0 THEN 'Returned' ELSE 'CANCELLED' END""",
+        discount_amount=f"""CASE WHEN o_orderkey % 5 = 1 THEN NULL
+                                 WHEN o_orderkey % 5 = 0 THEN round(cast(o_totalprice AS {MONEY}) * 0.01, 2) ELSE 0 END""",
+        payment_method=_name(PAYMENT_METHODS, "o_orderkey % 4"),
+        campaign_id="CASE WHEN o_orderkey % 100 < 32 THEN o_orderkey % campaigns END",
+        traffic_source=_name(TRAFFIC_SOURCES, "o_orderkey % 7"),
+        item_count="o_orderkey % 5 + 1",
+        ordered_at="o_orderdate",
+        _loaded_at="date_add(date(o_orderdate), int(o_orderkey % 4))",
     )
 
 
-def _line_money(df: DataFrame) -> DataFrame:
-    gross = F.col("l_extendedprice").cast(MONEY)
-    off = F.round(gross * F.col("l_discount").cast("decimal(4,2)"), 2).cast(MONEY)
-    return df.withColumns({"gross": gross, "off": off, "net": (gross - off).cast(MONEY)})
+def _priced(lines: DataFrame) -> DataFrame:
+    gross = f"cast(l_extendedprice AS {MONEY})"
+    return lines.selectExpr("*", f"{gross} AS gross", f"cast(round({gross} * cast(l_discount AS decimal(4,2)), 2) AS {MONEY}) AS off")
 
 
 def raw_order_items(t) -> DataFrame:
     """Line numbers repeat inside an order, so copies are counted per (order, line number)."""
-    copies = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(
-        "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
-        "l_returnflag", "l_linestatus",
-    )
-    line = (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1000000 + F.row_number().over(copies)
-    lines = _line_money(t("lineitem")).withColumn("order_item_id", line)
+    copy = """row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_shipdate,
+              l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus)"""
     return _typed(
-        lines.select(
-            "order_item_id",
-            F.col("l_orderkey").alias("order_id"),
-            F.col("l_partkey").alias("product_id"),
-            F.col("l_quantity").alias("quantity"),
-            ratio("gross", "l_quantity", 1, 2).alias("unit_price_at_purchase"),
-            F.col("gross").alias("line_gross_revenue"),
-            F.col("net").alias("line_net_revenue"),
-            F.col("off").alias("line_discount"),
-            F.col("l_shipdate").alias("_loaded_at"),
-        ),
+        _priced(t("lineitem")).selectExpr("*", f"{copy} AS copy"),
         "raw_order_items",
+        order_item_id="(l_orderkey * 8 + l_linenumber) * 1000000 + copy",
+        order_id="l_orderkey",
+        product_id="l_partkey",
+        quantity="l_quantity",
+        unit_price_at_purchase=ratio("gross", "l_quantity", 1, 2),
+        line_gross_revenue="gross",
+        line_net_revenue="gross - off",
+        line_discount="off",
+        _loaded_at="l_shipdate",
     )
 
 
 def raw_returns(t) -> DataFrame:
-    key = F.col("order_id")
-    back = raw_orders(t).filter(F.upper("status") == "RETURNED")
-    net = _line_money(t("lineitem")).groupBy("l_orderkey").agg(F.sum("net").alias("net"))
-    joined = back.join(net, F.col("order_id") == F.col("l_orderkey"), "left")
+    back = raw_orders(t).filter("upper(status) = 'RETURNED'")
+    net = _priced(t("lineitem")).groupBy(F.expr("l_orderkey AS order_id")).agg(F.expr("sum(gross - off) AS net"))
     return _typed(
-        joined.select(
-            (key * 10 + 1).alias("return_id"),
-            key,
-            "customer_id",
-            "store_id",
-            "order_date",
-            F.date_add("order_date", (key % 19 + 3).cast("int")).alias("return_date"),
-            _name(RETURN_REASONS, key % 3).alias("return_reason"),
-            _name(RESOLUTIONS, key % 2).alias("resolution_type"),
-            F.round(F.coalesce(F.col("net"), F.lit(0)) * F.lit("0.50").cast("decimal(3,2)"), 2).alias("refund_amount"),
-            F.when(key % 100 < 85, "approved").otherwise("denied").alias("return_status"),
-            F.date_add("order_date", (key % 19 + 4).cast("int")).alias("_loaded_at"),
-        ),
+        back.join(net, "order_id", "left"),
         "raw_returns",
+        return_id="order_id * 10 + 1",
+        order_id="order_id",
+        customer_id="customer_id",
+        store_id="store_id",
+        order_date="order_date",
+        return_date="date_add(order_date, int(order_id % 19 + 3))",
+        return_reason=_name(RETURN_REASONS, "order_id % 3"),
+        resolution_type=_name(RESOLUTIONS, "order_id % 2"),
+        refund_amount="round(coalesce(net, 0) * 0.50, 2)",
+        return_status="CASE WHEN order_id % 100 < 85 THEN 'approved' ELSE 'denied' END",
+        _loaded_at="date_add(order_date, int(order_id % 19 + 4))",
     )
 
 
 def raw_ad_spend(t) -> DataFrame:
-    day, key = F.to_date("l_shipdate"), F.col("l_suppkey")
-    tax = F.round(F.col("l_extendedprice").cast(MONEY) * F.col("l_tax").cast("decimal(4,2)"), 2)
-    daily = (
+    tax = f"round(cast(l_extendedprice AS {MONEY}) * cast(l_tax AS decimal(4,2)), 2)"
+    # Lines are first summed per order, which also turns the distinct orders into a plain count.
+    per_order = (
         t("lineitem")
-        .groupBy(key.alias("campaign_id"), day.alias("spend_date"))
+        .groupBy(*exprs("l_suppkey", "date(l_shipdate) AS day", "l_orderkey"))
         .agg(
-            F.sum(tax).alias("spend_usd"),
-            F.sum(F.when(F.col("l_returnflag") != "N", F.col("l_quantity").cast("bigint") * 1000).otherwise(0)).alias("impressions"),
-            F.sum(F.when(F.col("l_returnflag") == "R", F.col("l_quantity").cast("bigint")).otherwise(0)).alias("clicks"),
-            F.countDistinct("l_orderkey").alias("attributed_orders"),
+            *exprs(
+                f"sum({tax}) AS spend",
+                "sum(CASE WHEN l_returnflag <> 'N' THEN bigint(l_quantity) * 1000 ELSE 0 END) AS impressions",
+                "sum(CASE WHEN l_returnflag = 'R' THEN bigint(l_quantity) ELSE 0 END) AS clicks",
+            )
         )
     )
-    campaign = F.col("campaign_id")
+    daily = per_order.groupBy("l_suppkey", "day").agg(
+        *exprs("sum(spend) AS spend", "sum(impressions) AS impressions", "sum(clicks) AS clicks", "count(l_orderkey) AS orders")
+    )
     return _typed(
-        daily.select(
-            (campaign * 100000 + F.date_diff(F.col("spend_date"), F.lit("1990-01-01").cast("date"))).alias("spend_id"),
-            campaign,
-            F.concat(F.lit("Campaign "), campaign).alias("campaign_name"),
-            _name(CAMPAIGN_CHANNELS, campaign % 4).alias("channel"),
-            _name(CAMPAIGN_TYPES, campaign % 3).alias("campaign_type"),
-            "spend_date",
-            "spend_usd",
-            "impressions",
-            "clicks",
-            "attributed_orders",
-            F.date_add("spend_date", 1).alias("_loaded_at"),
-        ),
+        daily,
         "raw_ad_spend",
+        spend_id="l_suppkey * 100000 + datediff(day, DATE'1990-01-01')",
+        campaign_id="l_suppkey",
+        campaign_name="'Campaign ' || l_suppkey",
+        channel=_name(CAMPAIGN_CHANNELS, "l_suppkey % 4"),
+        campaign_type=_name(CAMPAIGN_TYPES, "l_suppkey % 3"),
+        spend_date="day",
+        spend_usd="spend",
+        impressions="impressions",
+        clicks="clicks",
+        attributed_orders="orders",
+        _loaded_at="date_add(day, 1)",
     )
 
 
 def catalog_campaigns(t) -> DataFrame:
-    key = F.col("s_suppkey")
-    start = F.date_add(F.lit("1995-01-01").cast("date"), (key % 700).cast("int"))
+    start = "date_add(DATE'1995-01-01', int(s_suppkey % 700))"
     return _typed(
-        t("supplier").select(
-            key.alias("campaign_id"),
-            F.concat(F.lit("Campaign "), key).alias("campaign_name"),
-            _name(CAMPAIGN_CHANNELS, key % 4).alias("channel"),
-            _name(CAMPAIGN_TYPES, key % 3).alias("campaign_type"),
-            start.alias("start_date"),
-            F.date_add(start, (key % 60 + 1).cast("int")).alias("end_date"),
-            F.abs(F.floor("s_acctbal")).alias("budget_usd"),
-            F.lit("BUILDING").alias("target_segment"),
-            _name(CAMPAIGN_CHANNELS, key % 4).alias("utm_source"),
-            F.lit("cpc").alias("utm_medium"),
-            F.concat(F.lit("c"), key).alias("utm_campaign"),
-            (key % 5 != 0).alias("is_active"),
-        ),
+        t("supplier"),
         "catalog_campaigns",
+        campaign_id="s_suppkey",
+        campaign_name="'Campaign ' || s_suppkey",
+        channel=_name(CAMPAIGN_CHANNELS, "s_suppkey % 4"),
+        campaign_type=_name(CAMPAIGN_TYPES, "s_suppkey % 3"),
+        start_date=start,
+        end_date=f"date_add({start}, int(s_suppkey % 60 + 1))",
+        budget_usd="abs(floor(s_acctbal))",
+        target_segment="'BUILDING'",
+        utm_source=_name(CAMPAIGN_CHANNELS, "s_suppkey % 4"),
+        utm_medium="'cpc'",
+        utm_campaign="'c' || s_suppkey",
+        is_active="s_suppkey % 5 <> 0",
     )
 
 
 def _events(t) -> DataFrame:
-    code = F.get_json_object("props", "$.k").cast("int") % 5
-    kind = F.col("event_type")
-    return t("events").select(
-        "event_id",
-        F.col("user_id").alias("customer_id"),
-        F.to_date("ts").alias("event_date"),
-        F.when(kind == "view", "product_view")
-        .when(kind == "click", "add_to_cart")
-        .when(kind == "signup", "checkout_started")
-        .when(kind == "purchase", "purchase_completed")
-        .otherwise(kind)
-        .alias("event_type"),
-        _name(TOUCH_SOURCES, code).alias("traffic_source"),
-        F.when(F.col("event_id") % 20 < 11, "mobile")
-        .when(F.col("event_id") % 20 < 16, "desktop")
-        .otherwise("tablet")
-        .alias("device_type"),
-        F.when(F.col("event_id") % 7 != 0, F.col("event_id") % 50).alias("product_id"),
-        F.concat(F.lit("s"), F.lpad(F.floor(F.col("event_id") / 4).cast("string"), 12, "0")).alias("session_id"),
-        F.col("ts").alias("_loaded_at"),
-        F.col("value").cast(MONEY).alias("value"),
+    return t("events").selectExpr(
+        "*",
+        """CASE event_type WHEN 'view' THEN 'product_view' WHEN 'click' THEN 'add_to_cart'
+                WHEN 'signup' THEN 'checkout_started' WHEN 'purchase' THEN 'purchase_completed'
+                ELSE event_type END AS kind""",
+        _name(TOUCH_SOURCES, "int(get_json_object(props, '$.k')) % 5") + " AS source",
+        "CASE WHEN event_id % 7 <> 0 THEN event_id % 50 END AS product",
+        f"cast(value AS {MONEY}) AS price",
     )
 
 
 def raw_events(t) -> DataFrame:
-    return _typed(_events(t), "raw_events")
+    return _typed(
+        _events(t),
+        "raw_events",
+        event_id="event_id",
+        customer_id="user_id",
+        event_date="date(ts)",
+        event_type="kind",
+        traffic_source="source",
+        device_type="""CASE WHEN event_id % 20 < 11 THEN 'mobile' WHEN event_id % 20 < 16 THEN 'desktop' ELSE 'tablet' END""",
+        product_id="product",
+        session_id="'s' || lpad(string(event_id DIV 4), 12, '0')",
+        _loaded_at="ts",
+    )
 
 
 def web_orders(t) -> DataFrame:
     """Purchases of the event stream as orders (their days overlap the touch events)."""
-    bought = _events(t).filter(F.col("event_type") == "purchase_completed")
-    key = F.col("event_id")
     return _typed(
-        bought.select(
-            key.alias("order_id"),
-            F.col("event_date").alias("order_date"),
-            "customer_id",
-            (key % 25).alias("store_id"),
-            F.lit("completed").alias("status"),
-            F.lit(0).alias("discount_amount"),
-            F.lit("credit_card").alias("payment_method"),
-            F.lit(None).alias("campaign_id"),
-            "traffic_source",
-            F.lit(1).alias("item_count"),
-            F.col("_loaded_at").alias("ordered_at"),
-            "_loaded_at",
-        ),
+        _events(t).filter("event_type = 'purchase'"),
         "raw_orders",
+        order_id="event_id",
+        order_date="date(ts)",
+        customer_id="user_id",
+        store_id="event_id % 25",
+        status="'completed'",
+        discount_amount="0",
+        payment_method="'credit_card'",
+        campaign_id="NULL",
+        traffic_source="source",
+        item_count="1",
+        ordered_at="ts",
+        _loaded_at="ts",
     )
 
 
 def web_order_items(t) -> DataFrame:
-    bought = _events(t).filter(F.col("event_type") == "purchase_completed")
-    off = F.round(F.col("value") * F.lit("0.05").cast("decimal(3,2)"), 2).cast(MONEY)
+    off = f"cast(round(price * 0.05, 2) AS {MONEY})"
     return _typed(
-        bought.select(
-            F.col("event_id").alias("order_item_id"),
-            F.col("event_id").alias("order_id"),
-            F.coalesce("product_id", F.lit(0)).alias("product_id"),
-            F.lit(1).alias("quantity"),
-            F.col("value").alias("unit_price_at_purchase"),
-            F.col("value").alias("line_gross_revenue"),
-            (F.col("value") - off).alias("line_net_revenue"),
-            off.alias("line_discount"),
-            "_loaded_at",
-        ),
+        _events(t).filter("event_type = 'purchase'"),
         "raw_order_items",
+        order_item_id="event_id",
+        order_id="event_id",
+        product_id="coalesce(product, 0)",
+        quantity="1",
+        unit_price_at_purchase="price",
+        line_gross_revenue="price",
+        line_net_revenue=f"price - {off}",
+        line_discount=off,
+        _loaded_at="ts",
     )
 
 
@@ -369,6 +366,6 @@ def web_inputs(spark: SparkSession, folder: str) -> LazyInputs:
             **RETAIL,
             "raw_orders": web_orders,
             "raw_order_items": web_order_items,
-            "raw_returns": lambda t: raw_returns(t).filter(F.lit(False)),
+            "raw_returns": lambda t: raw_returns(t).filter("false"),
         },
     )
