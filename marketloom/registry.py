@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from marketloom import oracle
 from marketloom.plans import core, enrich, finance, marketing, staging
+from marketloom.plans.catalogue import CATALOGUE, FactTables, saved_query, view_query
 from marketloom.sources import sample_retail
 
 AS_OF = dt.date(2001, 8, 2)
@@ -378,4 +379,210 @@ def _register_pipelines() -> None:
     )
 
 
+
+# Metrics.
+
+
+def _facts(spark: SparkSession, folder: str) -> FactTables:
+    return FactTables(sample_retail.retail_inputs(spark, folder), AS_OF, FIRST)
+
+
+def _web_facts(spark: SparkSession, folder: str) -> FactTables:
+    return FactTables(sample_retail.web_inputs(spark, folder), AS_OF, FIRST)
+
+
+def _metric_sql(values: str, source: str, dims: str = "", grain: str = "", time: str = "order_date", where: str = "") -> str:
+    keys = [d for d in [dims, f"date_trunc('{grain}', {time})::DATE::VARCHAR AS metric_time" if grain else ""] if d]
+    return oracle.query(f"SELECT {', '.join([*keys, values])} FROM {source} {where and 'WHERE ' + where} GROUP BY ALL")
+
+
+_AOV = "sum(gross_revenue)::DOUBLE / nullif(count(*) FILTER (is_completed), 0) AS average_order_value"
+_GROSS = "sum(gross_revenue)::DOUBLE AS total_gross_revenue"
+_NET = "sum(net_revenue)::DOUBLE AS total_net_revenue"
+_RETURNS = "(count(*) FILTER (is_returned))::DOUBLE / count(*) AS return_rate"
+
+
+def _register_metrics() -> None:
+    def saved(name: str, sql: str, where: str | None = None) -> None:
+        register(name, lambda s, d: saved_query(name, _facts(s, d), where), sql)
+
+    saved(
+        "revenue_by_channel_monthly",
+        _metric_sql(f"{_GROSS}, {_NET}, {_AOV}, {_RETURNS}", "fct_orders", "store_channel", "month", where="order_date >= DATE '1996-06-01'"),
+        "order_date >= DATE'1996-06-01'",
+    )
+    saved("revenue_by_region_monthly", _metric_sql(f"{_NET}, count(*) AS order_count, {_AOV}", "fct_orders", "store_region", "month"))
+    saved(
+        "customer_segment_performance",
+        _metric_sql(
+            f"{_GROSS}, {_NET}, {_AOV}", "fct_orders LEFT JOIN dim_customers USING (customer_id)", "customer_segment", "month"
+        ),
+    )
+    saved("weekly_revenue_trend", _metric_sql(f"{_GROSS}, {_NET}, count(*) AS order_count, {_RETURNS}", "fct_orders", "", "week"))
+    saved(
+        "monthly_p_and_l",
+        _metric_sql(
+            """sum(gross_revenue)::DOUBLE AS finance_gross_revenue, sum(net_revenue)::DOUBLE AS finance_net_revenue,
+            sum(total_cogs)::DOUBLE AS finance_cogs, (sum(net_revenue) - sum(total_cogs))::DOUBLE AS gross_profit,
+            (sum(net_revenue) - sum(total_cogs))::DOUBLE / nullif(sum(net_revenue), 0)::DOUBLE AS gross_margin_rate,
+            sum(total_refunds)::DOUBLE / nullif(sum(gross_revenue), 0)::DOUBLE AS refund_rate_pct,
+            sum(total_discounts)::DOUBLE / nullif(sum(gross_revenue), 0)::DOUBLE AS discount_impact""",
+            "revenue_daily",
+            "store_channel",
+            "month",
+            "revenue_date",
+        ),
+    )
+    saved(
+        "channel_revenue_ytd",
+        _metric_sql(
+            """sum(net_revenue)::DOUBLE AS finance_net_revenue, sum(realized_revenue)::DOUBLE AS finance_realized_revenue,
+            sum(completed_orders)::BIGINT AS total_completed_orders""",
+            "revenue_daily",
+            "store_channel, order_year",
+            where="order_year = 2000",
+        ),
+        "order_year = 2000",
+    )
+    saved(
+        "cohort_retention_6month",
+        _metric_sql(
+            """sum(retention_rate_pct::DECIMAL(12,2))::DOUBLE / count(*) AS cohort_month_1_retention,
+            sum(cohort_net_revenue)::DOUBLE AS total_cohort_revenue""",
+            "cohort_analysis",
+            "acquisition_channel, months_since_acquisition",
+            "month",
+            "cohort_month",
+            "months_since_acquisition <= 6",
+        ),
+    )
+    saved(
+        "customer_ltv_by_segment",
+        _metric_sql(
+            """sum(net_ltv)::DOUBLE / count(*) AS avg_customer_net_ltv, sum(net_ltv)::DOUBLE AS total_net_ltv,
+            count(*) AS total_customers_finance""",
+            "customer_ltv",
+            "customer_segment, customer_value_tier",
+        ),
+    )
+    register(
+        "metric_month_over_month",
+        lambda s, d: CATALOGUE.query(
+            _facts(s, d), ["total_net_revenue", "revenue_mom_growth"], ["store_channel", "store_region"], "month"
+        ),
+        oracle.query("""
+        , m AS (SELECT store_channel, store_region, order_month, sum(net_revenue) AS net FROM fct_orders GROUP BY ALL)
+        SELECT m.store_channel, m.store_region, m.order_month::VARCHAR AS metric_time, m.net::DOUBLE AS total_net_revenue,
+               (m.net - p.net)::DOUBLE / nullif(p.net, 0)::DOUBLE AS revenue_mom_growth
+        FROM m LEFT JOIN m p ON p.store_channel = m.store_channel AND p.store_region = m.store_region
+         AND p.order_month = m.order_month - INTERVAL 1 MONTH"""),
+    )
+    register(
+        "metric_across_facts",
+        lambda s, d: (lambda t: CATALOGUE.query(
+            t,
+            ["total_net_revenue", "discount_rate", "total_marketing_spend", "blended_roas", "cost_per_order", "finance_cogs",
+             "total_customers", "customer_retention_rate", "average_customer_ltv"],
+            [],
+            "month",
+            spine=t["dim_dates"],
+        ))(_facts(s, d)),
+        oracle.query("""
+        SELECT p.m::VARCHAR AS metric_time, o.net::DOUBLE AS total_net_revenue, o.off::DOUBLE / nullif(o.gross, 0)::DOUBLE AS discount_rate,
+               a.spend::DOUBLE AS total_marketing_spend, a.revenue::DOUBLE / nullif(a.spend, 0)::DOUBLE AS blended_roas,
+               a.spend::DOUBLE / nullif(a.orders, 0)::DOUBLE AS cost_per_order, r.cogs::DOUBLE AS finance_cogs,
+               c.n AS total_customers, c.active::DOUBLE / nullif(c.n, 0)::DOUBLE AS customer_retention_rate,
+               c.ltv::DOUBLE / nullif(c.n, 0)::DOUBLE AS average_customer_ltv
+        FROM (SELECT DISTINCT month_start_date AS m FROM calendar) p
+        LEFT JOIN (SELECT order_month AS m, sum(net_revenue) AS net, sum(gross_revenue) AS gross, sum(discount_amount) AS off FROM fct_orders GROUP BY 1) o ON o.m = p.m
+        LEFT JOIN (SELECT spend_month AS m, sum(spend_usd) AS spend, sum(attributed_net_revenue) AS revenue, sum(matched_orders) AS orders
+                   FROM campaign_performance GROUP BY 1) a ON a.m = p.m
+        LEFT JOIN (SELECT order_month AS m, sum(total_cogs) AS cogs FROM revenue_daily GROUP BY 1) r ON r.m = p.m
+        LEFT JOIN (SELECT acquisition_month AS m, count(*) AS n, count(*) FILTER (customer_lifecycle_stage = 'active') AS active,
+                          sum(lifetime_net_revenue) AS ltv FROM dim_customers GROUP BY 1) c ON c.m = p.m"""),
+    )
+    register(
+        "metric_channel_share",
+        lambda s, d: CATALOGUE.query(
+            _web_facts(s, d),
+            ["total_channel_revenue", "channel_order_count", "mobile_revenue", "paid_social_revenue", "paid_social_revenue_share"],
+            [],
+            "month",
+        ),
+        _metric_sql(
+            """sum(attributed_net_revenue)::DOUBLE AS total_channel_revenue, sum(attributed_orders)::BIGINT AS channel_order_count,
+            sum(mobile_revenue)::DOUBLE AS mobile_revenue,
+            (sum(attributed_net_revenue) FILTER (attributed_channel = 'paid_social'))::DOUBLE AS paid_social_revenue,
+            (sum(attributed_net_revenue) FILTER (attributed_channel = 'paid_social'))::DOUBLE / sum(attributed_net_revenue)::DOUBLE
+              AS paid_social_revenue_share""",
+            "channel_attribution",
+            "",
+            "month",
+            "order_month",
+        ),
+    )
+    register(
+        "semantic_revenue",
+        lambda s, d: view_query("revenue", _facts(s, d), ["stores.district", "dates.season", "dates.fiscal_year"]),
+        _metric_sql(
+            f"""{_GROSS}, {_NET}, sum(realized_revenue)::DOUBLE AS total_realized_revenue, count(*) AS total_orders,
+            count(*) FILTER (is_completed) AS completed_orders,
+            sum(CASE WHEN is_completed THEN gross_revenue END)::DOUBLE / nullif(count(*) FILTER (is_completed), 0) AS average_order_value,
+            sum(discount_amount)::DOUBLE AS total_discounts,
+            sum(CASE WHEN is_returned THEN refund_amount ELSE 0 END)::DOUBLE AS total_refunds,
+            (count(*) FILTER (is_returned))::DOUBLE / count(*)::DOUBLE * 100 AS return_rate""",
+            "fct_orders LEFT JOIN calendar ON date_day = order_date",
+            "'District ' || (store_id % 4) AS district, season, fiscal_year::BIGINT AS fiscal_year",
+        ),
+    )
+    register(
+        "semantic_customers",
+        lambda s, d: view_query("customers", _facts(s, d), ["customer_segment", "acquisition_channel"]),
+        _metric_sql(
+            """count(*) AS total_customers, count(*) FILTER (customer_lifecycle_stage = 'active') AS active_customers,
+            count(*) FILTER (customer_lifecycle_stage = 'at_risk') AS at_risk_customers,
+            count(*) FILTER (customer_lifecycle_stage = 'churned') AS churned_customers,
+            sum(lifetime_net_revenue)::DOUBLE / count(*) AS avg_lifetime_revenue, sum(lifetime_net_revenue)::DOUBLE AS total_lifetime_revenue,
+            sum(total_orders)::DOUBLE / count(*) AS avg_orders_per_customer,
+            (count(*) FILTER (customer_lifecycle_stage = 'active'))::DOUBLE / count(*)::DOUBLE * 100 AS active_rate""",
+            "dim_customers",
+            "customer_segment, acquisition_channel",
+        ),
+    )
+    register(
+        "semantic_customer_orders",
+        lambda s, d: view_query("customer_orders", _facts(s, d), ["customers.customer_value_tier", "customers.gender", "order_year"]),
+        _metric_sql(
+            "count(*) AS customer_order_count, sum(net_revenue)::DOUBLE AS customer_revenue",
+            "fct_orders LEFT JOIN dim_customers USING (customer_id)",
+            "customer_value_tier, gender, order_year",
+        ),
+    )
+    register(
+        "semantic_campaigns",
+        lambda s, d: view_query("campaigns", _facts(s, d), ["channel", "spend_year"]),
+        _metric_sql(
+            """sum(spend_usd)::DOUBLE AS total_spend, sum(impressions)::BIGINT AS total_impressions, sum(clicks)::BIGINT AS total_clicks,
+            sum(attributed_net_revenue)::DOUBLE AS total_attributed_revenue, sum(matched_orders)::BIGINT AS total_attributed_orders,
+            sum(attributed_net_revenue)::DOUBLE / nullif(sum(spend_usd), 0)::DOUBLE AS blended_roas,
+            sum(click_through_rate_pct::DECIMAL(18,4))::DOUBLE / nullif(count(click_through_rate_pct), 0) AS avg_ctr,
+            sum(cost_per_acquisition::DECIMAL(18,2))::DOUBLE / nullif(count(cost_per_acquisition), 0) AS avg_cpa,
+            count(*) FILTER (roas_tier = 'high_performing') AS high_performing_days""",
+            "campaign_performance",
+            "channel, spend_year",
+        ),
+    )
+    register(
+        "semantic_attribution",
+        lambda s, d: view_query("attribution", _web_facts(s, d), ["attributed_channel"]),
+        _metric_sql(
+            """sum(attributed_net_revenue)::DOUBLE AS channel_revenue, sum(attributed_orders)::BIGINT AS channel_orders,
+            sum(mobile_revenue_pct::DECIMAL(18,2))::DOUBLE / count(*) AS mobile_share""",
+            "channel_attribution",
+            "attributed_channel",
+        ),
+    )
+
+
 _register_pipelines()
+_register_metrics()
