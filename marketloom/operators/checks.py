@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marketloom.functions.scalars import exprs, quoted
-from marketloom.operators.numbering import with_next, with_previous
+from marketloom.operators.numbering import join_null_safe, with_next, with_previous
 
 
 def _literal(value) -> str:
@@ -257,12 +257,8 @@ def mutually_exclusive_ranges(
         F.expr("max(struct(upper_bound IS NULL AS open, upper_bound AS upper)) AS top")
     )
     walked = with_next(tops.filter("lower_bound IS NOT NULL").select(*group, "lower_bound"), "lower_bound", "next_distinct", group)
-    last = tops.join(walked, [tops[c].eqNullSafe(walked[c]) for c in [*group, "lower_bound"]], "left").select(
-        *[tops[c] for c in [*group, "lower_bound", "top"]], walked["next_distinct"]
-    )
-    joined = pairs.join(last, [pairs[c].eqNullSafe(last[c]) for c in [*group, "lower_bound"]]).select(
-        *[pairs[c] for c in pairs.columns], last["top"], last["next_distinct"]
-    )
+    last = join_null_safe(tops, walked, [*group, "lower_bound"])
+    joined = join_null_safe(pairs, last, [*group, "lower_bound"])
     # A pair stands for n equal rows; only one row of the last pair sees the next distinct bound.
     is_top = "(upper_bound <=> top.upper)"
     split = joined.selectExpr(

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 RANGES = 64
@@ -46,9 +46,11 @@ def global_row_number(df: DataFrame, order_by: str, name: str, ranges: int = RAN
     )
 
 
-def same(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> Column:
-    """Join condition under which NULL keys meet."""
-    return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in columns])
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join on equal keys where NULL keys meet; the result has the left keys once."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    met = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys])
+    return left.join(renamed, met, how).drop(*[f"_right_{k}" for k in keys])
 
 
 def with_previous(
@@ -81,6 +83,6 @@ def _with_neighbour(
     edges = ranged.groupBy(*group).agg(edge(column).alias("_edge"))
     carried = edges.select(*group, step("_edge").over(across).alias("_carry"))
     near = ranged.withColumn("_near", step(column).over(inside))
-    return near.join(carried, same(near, carried, group), "left").select(
-        *[near[c] for c in distinct.columns], F.coalesce(near["_near"], carried["_carry"]).alias(name)
+    return join_null_safe(near, carried, group).select(
+        *distinct.columns, F.coalesce("_near", "_carry").alias(name)
     )

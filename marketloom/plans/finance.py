@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions.scalars import exprs, mean_of, month_count, month_start, ratio, sum_where, zero_if_null
-from marketloom.operators.numbering import global_row_number
+from marketloom.operators.numbering import global_row_number, join_null_safe
 from marketloom.plans.base import Inputs, built_at, day, use
 from marketloom.plans.core import (
     dim_customers,
@@ -138,8 +138,7 @@ def revenue_monthly(inputs: Inputs, as_of: dt.date, compat: bool = False) -> Dat
         .groupBy(*series)
         .agg(F.expr("count(customer_id) AS unique_customers"))
     )
-    same = [monthly[c].eqNullSafe(customers[c]) for c in series]
-    joined = monthly.join(customers, same, "left").select(monthly["*"], customers["unique_customers"])
+    joined = join_null_safe(monthly, customers, series)
     # One row per month and series: the window holds as many rows as there are months.
     if compat:
         earlier = Window.partitionBy("store_channel").orderBy("order_month", "store_region")

@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marketloom import oracle
-from marketloom.plans import core, enrich, finance, marketing, staging
+from marketloom.functions.scalars import safe_add, safe_divide, safe_subtract, url_path
+from marketloom.operators import checks, diff, shape
+from marketloom.plans import core, declared, enrich, finance, marketing, staging
 from marketloom.plans.catalogue import CATALOGUE, FactTables, saved_query, view_query
+from marketloom.plans.web import url_report
 from marketloom.sources import sample_retail
 
 AS_OF = dt.date(2001, 8, 2)
@@ -584,5 +587,559 @@ def _register_metrics() -> None:
     )
 
 
+
+# Checks, on tables that break them. A check's query returns its failing rows.
+
+
+def given(name: str) -> Query:
+    return lambda s, d: sample_retail.load(s, d, name)
+
+
+def raw(name: str) -> Query:
+    return lambda s, d: sample_retail.retail_inputs(s, d)[name]
+
+
+def _register_checks() -> None:
+    orders, lineitem, customer = given("orders"), given("lineitem"), given("customer")
+    register(
+        "check_row_rules",
+        lambda s, d: checks.run_row_checks(
+            raw("raw_orders")(s, d),
+            {
+                "campaign_not_null": checks.fails_not_null("campaign_id"),
+                "customer_not_null": checks.fails_not_null("customer_id"),
+                "status_accepted": checks.fails_accepted_values("status", ["completed", "Returned"]),
+                "source_not_accepted": checks.fails_not_accepted_values("traffic_source", ["direct"]),
+                "items_in_range": checks.fails_range("item_count", 2, 5, inclusive=False),
+                "discount_is_small": checks.fails_expression("discount_amount < 100"),
+                "payment_not_empty": checks.fails_not_empty_string("payment_method"),
+            },
+        ),
+        oracle.query("""
+        , c AS (SELECT count(*) FILTER (campaign_id IS NULL) AS campaign_not_null, count(*) FILTER (customer_id IS NULL) AS customer_not_null,
+                       count(*) FILTER (status NOT IN ('completed', 'Returned')) AS status_accepted,
+                       count(*) FILTER (traffic_source = 'direct') AS source_not_accepted,
+                       count(*) FILTER (item_count <= 2 OR item_count >= 5) AS items_in_range,
+                       count(*) FILTER (NOT discount_amount < 100) AS discount_is_small,
+                       count(*) FILTER (trim(payment_method) = '') AS payment_not_empty FROM raw_orders)
+        SELECT name AS check_name, n AS failures, n = 0 AS passed FROM c UNPIVOT (n FOR name IN (COLUMNS(*)))"""),
+    )
+    register(
+        "check_not_null",
+        lambda s, d: checks.not_null(raw("raw_orders")(s, d), "campaign_id").select("order_id", "customer_id"),
+        oracle.query("SELECT order_id, customer_id FROM raw_orders WHERE campaign_id IS NULL"),
+    )
+    register(
+        "check_unique",
+        lambda s, d: checks.unique(lineitem(s, d), "l_orderkey"),
+        "SELECT l_orderkey, count(*) AS n_records FROM lineitem GROUP BY 1 HAVING count(*) > 1",
+    )
+    register(
+        "check_unique_combination",
+        lambda s, d: checks.unique_combination_of_columns(lineitem(s, d), ["l_orderkey", "l_linenumber"]),
+        "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, count(*) AS n_records FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1",
+    )
+    register(
+        "check_accepted_values",
+        lambda s, d: checks.accepted_values(given("events")(s, d), "event_type", ["signup", "purchase", "view"]),
+        "SELECT event_type AS value_field, count(*) AS n_records FROM events WHERE event_type NOT IN ('signup', 'purchase', 'view') GROUP BY 1",
+    )
+    register(
+        "check_not_accepted_values",
+        lambda s, d: checks.not_accepted_values(given("events")(s, d), "event_type", ["error", "none"]),
+        "SELECT DISTINCT event_type AS value_field FROM events WHERE event_type IN ('error', 'none')",
+    )
+    register(
+        "check_relationships",
+        lambda s, d: checks.relationships(orders(s, d), "o_orderkey", lineitem(s, d), "l_orderkey"),
+        "SELECT o_orderkey AS id, count(*) AS n_records FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) GROUP BY 1",
+    )
+    register(
+        "check_relationships_where",
+        lambda s, d: checks.relationships_where(
+            lineitem(s, d), "l_orderkey", orders(s, d), "o_orderkey", "l_returnflag = 'R'", "o_orderstatus <> 'P'"
+        ),
+        """SELECT l_orderkey AS id, count(*) AS n_records FROM lineitem WHERE l_returnflag = 'R'
+           AND l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P') GROUP BY 1""",
+    )
+    register(
+        "check_accepted_range",
+        lambda s, d: checks.accepted_range(lineitem(s, d), "l_quantity", 3, 45).select("l_orderkey", "l_linenumber", "l_quantity"),
+        "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_quantity FROM lineitem WHERE l_quantity < 3 OR l_quantity > 45",
+    )
+    register(
+        "check_expression",
+        lambda s, d: checks.expression_is_true(lineitem(s, d), "l_extendedprice >= l_quantity * 200").select(
+            "l_orderkey", "l_linenumber", "l_extendedprice"
+        ),
+        """SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_extendedprice FROM lineitem
+           WHERE NOT (l_extendedprice >= l_quantity * 200)""",
+    )
+    register(
+        "check_not_empty_string",
+        lambda s, d: checks.not_empty_string(
+            given("pages")(s, d).selectExpr("page_id", f"split_part({url_path('url')}, '/', 3) AS slug"), "slug"
+        ),
+        f"SELECT page_id, slug FROM (SELECT page_id, split_part({_PATH}, '/', 3) AS slug FROM pages) WHERE trim(slug) = ''",
+    )
+    register(
+        "check_at_least_one",
+        lambda s, d: checks.at_least_one(raw("raw_orders")(s, d), "discount_amount", ["item_count", "traffic_source"]),
+        oracle.query("""SELECT item_count::BIGINT AS item_count, traffic_source, count(discount_amount) AS filler_column FROM raw_orders
+                        GROUP BY 1, 2 HAVING count(discount_amount) = 0"""),
+    )
+    register(
+        "check_not_constant",
+        lambda s, d: checks.not_constant(orders(s, d), "o_orderstatus", ["o_custkey"]),
+        "SELECT o_custkey, count(DISTINCT o_orderstatus) AS filler_column FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderstatus) = 1",
+    )
+    register(
+        "check_not_null_proportion",
+        lambda s, d: checks.not_null_proportion(raw("raw_orders")(s, d), "campaign_id", 0.3, 0.32, ["store_id"]),
+        oracle.query("""SELECT store_id, not_null_proportion FROM
+            (SELECT store_id, count(campaign_id)::DOUBLE / count(*) AS not_null_proportion FROM raw_orders GROUP BY 1)
+            WHERE not_null_proportion < 0.3::DOUBLE OR not_null_proportion > 0.32::DOUBLE"""),
+    )
+    register(
+        "check_recency",
+        lambda s, d: checks.recency(raw("raw_orders")(s, d), "order_date", "day", 200, AS_OF, True, ["customer_id"]),
+        oracle.query(f"""SELECT customer_id, max(order_date)::VARCHAR AS most_recent, ({oracle.AS_OF} - 200)::VARCHAR AS threshold
+                         FROM raw_orders GROUP BY 1 HAVING max(order_date) < {oracle.AS_OF} - 200"""),
+    )
+    register(
+        "check_freshness",
+        lambda s, d: checks.freshness(raw("raw_ad_spend")(s, d), dt.datetime(2001, 12, 1), 48),
+        oracle.query("""SELECT (max(spend_date) + 1)::TIMESTAMP::VARCHAR AS most_recent, TIMESTAMP '2001-11-29 00:00:00'::VARCHAR AS threshold
+                        FROM raw_ad_spend HAVING max(spend_date) + 1 < DATE '2001-11-29'"""),
+    )
+    register(
+        "check_cardinality_equality",
+        lambda s, d: checks.cardinality_equality(orders(s, d), "o_custkey", customer(s, d), "c_custkey"),
+        """, a AS (SELECT o_custkey AS value, count(*) AS num_rows FROM orders GROUP BY 1),
+           b AS (SELECT c_custkey AS value, count(*) AS num_rows FROM customer GROUP BY 1)
+           SELECT *, true AS in_a FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL
+           SELECT *, false AS in_a FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""".replace(", a AS", "WITH a AS", 1),
+    )
+
+    def by_status(status: str) -> Query:
+        return lambda s, d: raw("raw_orders")(s, d).filter(f"upper(status) = '{status}'")
+
+    counts = """, a AS (SELECT store_id, traffic_source, count(*) AS n FROM stg_orders WHERE order_status = 'RETURNED' GROUP BY 1, 2),
+           b AS (SELECT store_id, traffic_source, count(*) AS n FROM stg_orders WHERE order_status = 'CANCELLED' GROUP BY 1, 2)
+        SELECT a.store_id AS store_id_a, b.store_id AS store_id_b, a.traffic_source AS traffic_source_a, b.traffic_source AS traffic_source_b,
+               a.n AS count_a, b.n AS count_b, """
+    joined = " FROM a FULL JOIN b ON a.store_id = b.store_id AND a.traffic_source = b.traffic_source"
+    register(
+        "check_equal_rowcount",
+        lambda s, d: checks.equal_rowcount(by_status("RETURNED")(s, d), by_status("CANCELLED")(s, d), ["store_id", "traffic_source"]),
+        oracle.query(counts + "abs(a.n - b.n) AS diff_count" + joined),
+    )
+    register(
+        "check_fewer_rows_than",
+        lambda s, d: checks.fewer_rows_than(by_status("RETURNED")(s, d), by_status("CANCELLED")(s, d), ["store_id", "traffic_source"]),
+        oracle.query(counts + "CASE WHEN a.n > b.n THEN a.n - b.n WHEN a.n = b.n THEN 1 ELSE 0 END::BIGINT AS row_count_delta" + joined),
+    )
+    register(
+        "check_equality",
+        lambda s, d: checks.equality(*_customer_versions(s, d)),
+        f"""WITH a AS ({_OLD}), b AS ({_NEW})
+        SELECT 'a_minus_b' AS which_diff, * FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL
+        SELECT 'b_minus_a', * FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""",
+    )
+    register(
+        "check_equality_rounded",
+        lambda s, d: checks.verdict(
+            checks.equality(
+                lineitem(s, d).selectExpr("l_orderkey", "l_extendedprice AS price"),
+                lineitem(s, d).selectExpr("l_orderkey", "l_extendedprice + 0.3D AS price"),
+                precision=0,
+            ),
+            "prices_equal_to_the_unit",
+        ),
+        """WITH a AS (SELECT DISTINCT l_orderkey, round(l_extendedprice::DECIMAL(12,2), 0) AS p FROM lineitem),
+                b AS (SELECT DISTINCT l_orderkey, round(l_extendedprice::DECIMAL(12,2) + 0.3, 0) AS p FROM lineitem),
+                n AS (SELECT (SELECT count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)) AS x,
+                             (SELECT count(*) FROM (SELECT * FROM b EXCEPT SELECT * FROM a)) AS y)
+           SELECT 'prices_equal_to_the_unit' AS check_name, (x + y + abs(x - y))::BIGINT AS failures, x + y = 0 AS passed FROM n""",
+    )
+
+    def ranges_sql(source: str, part: str, less: str, gap: str) -> str:
+        over = f"PARTITION BY {part} " if part else ""
+        key = f"{part} AS partition_by_col, " if part else ""
+        return f"""SELECT {key.replace(part + ' AS ', '')} lower_bound{{cast}} AS lower_bound, upper_bound{{cast}} AS upper_bound,
+                          next_lower_bound{{cast}} AS next_lower_bound, has_length, ends_before_next, count(*) AS copies
+            FROM (SELECT *, coalesce(lower_bound {less} upper_bound, false) AS has_length,
+                         coalesce(upper_bound {gap} next_lower_bound, is_last, false) AS ends_before_next
+                  FROM (SELECT {key} lower_bound, upper_bound,
+                               lead(lower_bound) OVER ({over} ORDER BY lower_bound, upper_bound) AS next_lower_bound,
+                               row_number() OVER ({over} ORDER BY lower_bound DESC, upper_bound DESC) = 1 AS is_last
+                        FROM ({source}))) WHERE NOT (has_length AND ends_before_next) GROUP BY ALL"""
+
+    register(
+        "check_exclusive_ranges",
+        lambda s, d: checks.mutually_exclusive_ranges(
+            raw("raw_orders")(s, d), "order_date", "date_add(order_date, item_count * 4)", "customer_id"
+        ),
+        oracle.query(
+            ranges_sql(
+                "SELECT customer_id, order_date AS lower_bound, order_date + (item_count * 4)::INT AS upper_bound FROM raw_orders",
+                "customer_id",
+                "<",
+                "<=",
+            ).format(cast="::VARCHAR")
+        ),
+    )
+    register(
+        "check_ranges_without_gaps",
+        lambda s, d: checks.mutually_exclusive_ranges(
+            orders(s, d), "o_orderkey * 10", "o_orderkey * 10 + if(o_orderstatus = 'P', 9, 10)", gaps="not_allowed"
+        ),
+        ranges_sql(
+            "SELECT o_orderkey * 10 AS lower_bound, o_orderkey * 10 + CASE WHEN o_orderstatus = 'P' THEN 9 ELSE 10 END AS upper_bound FROM orders",
+            "",
+            "<",
+            "=",
+        ).format(cast="::BIGINT"),
+    )
+    sequence = """, w AS (SELECT {key} {col}, lag({col}) OVER ({over} ORDER BY {col}) AS previous_value FROM {source})
+        SELECT {key} {col}{cast} AS {col}, previous_value{cast} AS previous_value, count(*) AS copies FROM w
+        WHERE NOT ({col} = previous_value + 1) GROUP BY ALL"""
+    register(
+        "check_sequential_days",
+        lambda s, d: checks.sequential_values(raw("raw_orders")(s, d), "order_date", 1, "day"),
+        oracle.query(sequence.format(key="", col="order_date", over="", source="raw_orders", cast="::VARCHAR")),
+    )
+    register(
+        "check_sequential_numbers",
+        lambda s, d: checks.sequential_values(lineitem(s, d), "l_linenumber", 1, group_by=["l_orderkey"]),
+        "WITH "
+        + sequence.format(key="l_orderkey,", col="l_linenumber", over="PARTITION BY l_orderkey", source="lineitem", cast="::BIGINT").lstrip(", "),
+    )
+    register(
+        "declared_checks",
+        lambda s, d: declared.run(_facts(s, d)),
+        "SELECT * FROM (VALUES "
+        + ", ".join(f"('{t}', '{c}', 0::BIGINT, true)" for t, c in declared.names())
+        + ") AS t(table_name, check_name, failures, passed)",
+    )
+
+
+# Two versions of the customer table: changed balances, blanked segments, removed and new keys.
+_OLD = "SELECT c_custkey, c_name, c_nationkey::BIGINT AS c_nationkey, c_acctbal, c_mktsegment FROM customer"
+_NEW = """SELECT c_custkey + CASE WHEN c_custkey % 17 = 3 THEN 1000000000 ELSE 0 END AS c_custkey, c_name, c_nationkey::BIGINT AS c_nationkey,
+                 CASE WHEN c_custkey % 13 = 5 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal,
+                 CASE WHEN c_custkey % 11 = 2 THEN NULL ELSE c_mktsegment END AS c_mktsegment
+          FROM customer"""
+
+
+def _customer_versions(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    old = sample_retail.load(spark, folder, "customer").selectExpr(
+        "c_custkey", "c_name", "bigint(c_nationkey) AS c_nationkey", "c_acctbal", "c_mktsegment"
+    )
+    new = old.selectExpr(
+        "c_custkey + if(c_custkey % 17 = 3, 1000000000, 0) AS c_custkey",
+        "c_name",
+        "c_nationkey",
+        "if(c_custkey % 13 = 5, c_acctbal + 1, c_acctbal) AS c_acctbal",
+        "if(c_custkey % 11 = 2, NULL, c_mktsegment) AS c_mktsegment",
+    )
+    return old, new
+
+
+# Line items before and after repricing; (order, line number) repeats, so keys are not unique.
+_LINES = "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_returnflag FROM lineitem"
+_LINES_NEW = """SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_partkey % 7 = 0 THEN l_quantity + 1 ELSE l_quantity END AS l_quantity,
+                       CASE WHEN l_partkey % 5 = 0 THEN NULL ELSE l_returnflag END AS l_returnflag
+                FROM lineitem WHERE l_shipdate >= TIMESTAMP '1995-06-01'"""
+
+
+def _line_versions(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    lines = sample_retail.load(spark, folder, "lineitem")
+    old = lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag")
+    new = lines.filter("l_shipdate >= TIMESTAMP_NTZ'1995-06-01 00:00:00'").selectExpr(
+        "l_orderkey",
+        "l_linenumber",
+        "l_partkey",
+        "if(l_partkey % 7 = 0, l_quantity + 1, l_quantity) AS l_quantity",
+        "if(l_partkey % 5 = 0, NULL, l_returnflag) AS l_returnflag",
+    )
+    return old, new
+
+
+_PATH = """split_part(right(bare, length(bare) - coalesce(nullif(position('/' IN bare), 0), position('?' IN bare) - 1)), '?', 1)""".replace(
+    "bare", "replace(replace(url, 'http://', ''), 'https://', '')"
+)
+_HOST = "split_part(split_part(replace(replace(replace(url, 'android-app://', ''), 'http://', ''), 'https://', ''), '/', 1), '?', 1)"
+
+
+# Shaping.
+
+
+def _register_shapes() -> None:
+    orders, lineitem, customer, events = given("orders"), given("lineitem"), given("customer"), given("events")
+    register(
+        "deduplicate",
+        lambda s, d: shape.deduplicate(orders(s, d), ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")]),
+        """SELECT * EXCLUDE (rn, o_orderdate), o_orderdate::VARCHAR AS o_orderdate FROM (SELECT *, row_number() OVER
+           (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn = 1""",
+    )
+    kinds = ["signup", "purchase", "view", "click", "error"]
+    register(
+        "pivot",
+        lambda s, d: shape.pivot(events(s, d), ["user_id"], "event_type", kinds, prefix="n_"),
+        "SELECT user_id, " + ", ".join(f"count(*) FILTER (event_type = '{k}') AS n_{k}" for k in kinds) + " FROM events GROUP BY 1",
+    )
+    register(
+        "pivot_distinct",
+        lambda s, d: shape.pivot(
+            events(s, d).selectExpr("date(ts) AS day", "event_type", "user_id"), ["day"], "event_type", kinds, agg="count",
+            then_value="user_id", else_value=None, suffix="_users", distinct=True,
+        ),
+        "SELECT ts::DATE::VARCHAR AS day, "
+        + ", ".join(f"count(DISTINCT user_id) FILTER (event_type = '{k}') AS {k}_users" for k in kinds)
+        + " FROM events GROUP BY 1",
+    )
+    register(
+        "unpivot",
+        lambda s, d: shape.unpivot(given("part")(s, d), ["p_partkey"], ["p_retailprice"]),
+        """SELECT p_partkey, field_name, value FROM (SELECT p_partkey, p_name, p_brand, p_type, p_size::VARCHAR AS p_size FROM part)
+           UNPIVOT INCLUDE NULLS (value FOR field_name IN (p_name, p_brand, p_type, p_size))""",
+    )
+    register(
+        "union_tables",
+        lambda s, d: shape.union_tables(
+            {
+                "customer": customer(s, d).selectExpr("c_custkey AS id", "c_name AS name", "c_mktsegment AS segment", "c_acctbal AS balance"),
+                "supplier": given("supplier")(s, d).selectExpr("s_suppkey AS id", "s_name AS name", "s_acctbal AS balance", "s_nationkey AS nation"),
+            },
+            exclude=["Balance"],
+            overrides={"nation": "string"},
+            where="balance > 0",
+        ),
+        """SELECT 'customer' AS source_table, c_custkey AS id, c_name AS name, c_mktsegment AS segment, NULL::VARCHAR AS nation FROM customer
+           WHERE c_acctbal > 0 UNION ALL
+           SELECT 'supplier', s_suppkey, s_name, NULL, s_nationkey::VARCHAR FROM supplier WHERE s_acctbal > 0""",
+    )
+    register(
+        "surrogate_key",
+        lambda s, d: shape.with_surrogate_key(
+            raw("raw_orders")(s, d).select("order_id", "campaign_id", "traffic_source", "order_date"),
+            ["order_id", "campaign_id", "traffic_source", "order_date"],
+        ),
+        oracle.query("""SELECT order_id, campaign_id, traffic_source, order_date::VARCHAR AS order_date,
+            md5(order_id::VARCHAR || '-' || coalesce(campaign_id::VARCHAR, '_dbt_utils_surrogate_key_null_') || '-' || traffic_source
+                || '-' || order_date::VARCHAR) AS surrogate_key FROM raw_orders"""),
+    )
+    register(
+        "star",
+        lambda s, d: shape.star(customer(s, d), ["C_ACCTBAL", "c_name"], prefix="old_", suffix="_x"),
+        "SELECT c_custkey AS old_c_custkey_x, c_nationkey::BIGINT AS old_c_nationkey_x, c_mktsegment AS old_c_mktsegment_x FROM customer",
+    )
+    register(
+        "blank_to_null",
+        lambda s, d: shape.blank_to_null(
+            given("pages")(s, d).selectExpr("page_id", "split_part(url, '?', 2) AS query", "split_part(url, '#', 2) AS fragment")
+        ),
+        "SELECT page_id, nullif(split_part(url, '?', 2), '') AS query, nullif(split_part(url, '#', 2), '') AS fragment FROM pages",
+    )
+    register(
+        "column_values",
+        lambda s, d: shape.column_values(lineitem(s, d), "l_partkey", "l_returnflag = 'R'", max_records=50),
+        """SELECT l_partkey AS value, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1 ORDER BY n DESC, value LIMIT 50""",
+    )
+    register(
+        "safe_arithmetic",
+        lambda s, d: raw("raw_orders")(s, d).selectExpr(
+            "order_id",
+            f"{safe_add('discount_amount', 'item_count')} AS added",
+            f"{safe_subtract('item_count', 'campaign_id', 'discount_amount')} AS subtracted",
+            f"{safe_divide('discount_amount', 'campaign_id')} AS divided",
+        ),
+        oracle.query("""SELECT order_id, (coalesce(discount_amount, 0) + coalesce(item_count, 0))::DOUBLE AS added,
+            (coalesce(item_count, 0) - coalesce(campaign_id, 0) - coalesce(discount_amount, 0))::DOUBLE AS subtracted,
+            discount_amount::DOUBLE / nullif(campaign_id, 0)::DOUBLE AS divided FROM raw_orders"""),
+    )
+    register(
+        "histogram",
+        lambda s, d: shape.histogram(lineitem(s, d), "l_extendedprice", 1000, 90000, 20),
+        """SELECT CASE WHEN l_extendedprice < 1000 THEN 0 WHEN l_extendedprice >= 90000 THEN 21
+                       ELSE floor((l_extendedprice - 1000) * 20 / 89000) + 1 END::BIGINT AS bucket,
+                  count(*) AS n, min(l_extendedprice) AS min_value, max(l_extendedprice) AS max_value FROM lineitem GROUP BY 1""",
+    )
+    register(
+        "url_report",
+        lambda s, d: url_report(given("pages")(s, d)),
+        f"""SELECT {_HOST} AS host, nullif(split_part(split_part(url, 'utm_source=', 2), '&', 1), '') AS utm_source,
+                   split_part({_PATH}, '/', 1) AS section, count(*) AS pages FROM pages GROUP BY 1, 2, 3""",
+    )
+
+
+# Diffs.
+
+
+def _register_diffs() -> None:
+    customers, lines = _customer_versions, _line_versions
+    found = """, f AS (SELECT *, true AS in_a, true AS in_b FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL
+                    SELECT *, true, false FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL
+                    SELECT *, false, true FROM (SELECT * FROM b EXCEPT SELECT * FROM a))"""
+    summary = " SELECT in_a, in_b, count(*) AS count, round(100.0 * count(*) / sum(count(*)) OVER (), 2)::DOUBLE AS percent_of_total FROM f GROUP BY 1, 2"
+    register("diff_summary", lambda s, d: diff.compare_rows(*customers(s, d)), f"WITH a AS ({_OLD}), b AS ({_NEW}){found}{summary}")
+    register("diff_summary_lines", lambda s, d: diff.compare_rows(*lines(s, d)), f"WITH a AS ({_LINES}), b AS ({_LINES_NEW}){found}{summary}")
+    register(
+        "diff_summary_excluding",
+        lambda s, d: diff.compare_rows(*customers(s, d), exclude=["c_acctbal"]),
+        f"WITH a AS (SELECT * EXCLUDE (c_acctbal) FROM ({_OLD})), b AS (SELECT * EXCLUDE (c_acctbal) FROM ({_NEW})){found}{summary}",
+    )
+    register(
+        "diff_rows",
+        lambda s, d: diff.row_differences(*customers(s, d)),
+        f"WITH a AS ({_OLD}), b AS ({_NEW}){found} SELECT * FROM f WHERE NOT (in_a AND in_b)",
+    )
+    register(
+        "diff_rows_first",
+        lambda s, d: diff.row_differences(*customers(s, d), order_by=["c_custkey"], limit=25),
+        f"WITH a AS ({_OLD}), b AS ({_NEW}){found} SELECT * FROM f WHERE NOT (in_a AND in_b) ORDER BY c_custkey, in_a DESC, in_b DESC LIMIT 25",
+    )
+
+    def joined(a: str, b: str, key: str) -> str:
+        return f"WITH a AS (SELECT *, {key} AS pk FROM ({a})), b AS (SELECT *, {key} AS pk FROM ({b})), j AS (SELECT a, b, a.pk AS apk, b.pk AS bpk FROM a FULL JOIN b ON a.pk = b.pk)"
+
+    def status(c: str) -> str:
+        return f"""SELECT '{c}' AS column_name, CASE WHEN a.{c} = b.{c} THEN '✅: perfect match' WHEN a.{c} IS NULL AND b.{c} IS NULL THEN '✅: both are null'
+            WHEN apk IS NULL THEN '🤷: missing from a' WHEN bpk IS NULL THEN '🤷: missing from b' WHEN a.{c} IS NULL THEN '🤷: value is null in a only'
+            WHEN b.{c} IS NULL THEN '🤷: value is null in b only' ELSE '❌: values do not match' END AS match_status,
+            count(*) AS count_records, round(100.0 * count(*) / sum(count(*)) OVER (), 2)::DOUBLE AS percent_of_total FROM j GROUP BY 1, 2"""
+
+    def flags(c: str) -> str:
+        return f"""SELECT coalesce(apk, bpk) AS primary_key, '{c.upper()}' AS column_name,
+            coalesce(a.{c} = b.{c} AND apk IS NOT NULL AND bpk IS NOT NULL, a.{c} IS NULL AND b.{c} IS NULL, false) AS perfect_match,
+            a.{c} IS NULL AND apk IS NOT NULL AS null_in_a, b.{c} IS NULL AND bpk IS NOT NULL AS null_in_b,
+            apk IS NULL AS missing_from_a, bpk IS NULL AS missing_from_b,
+            coalesce(apk IS NOT NULL AND bpk IS NOT NULL AND (a.{c} <> b.{c} OR (a.{c} IS NOT NULL AND b.{c} IS NULL)
+                     OR (a.{c} IS NULL AND b.{c} IS NOT NULL)), false) AS conflicting_values FROM j"""
+
+    names = ["perfect_match", "null_in_a", "null_in_b", "missing_from_a", "missing_from_b", "conflicting_values"]
+    sums = ", ".join(f"count(*) FILTER ({n}) AS {n}" for n in names)
+    customer_columns = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
+    line_columns = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag"]
+    pair = joined(_OLD, _NEW, "c_custkey")
+    line_key = "l_orderkey * 10 + l_linenumber"
+    line_pair = joined(_LINES, _LINES_NEW, line_key)
+    register("diff_column", lambda s, d: diff.compare_column(*customers(s, d), "c_custkey", "c_mktsegment"), f"{pair} {status('c_mktsegment')}")
+    register(
+        "diff_column_repeated_keys",
+        lambda s, d: diff.compare_column(*lines(s, d), line_key, "l_returnflag"),
+        f"{line_pair} {status('l_returnflag')}",
+    )
+    register(
+        "diff_columns",
+        lambda s, d: diff.compare_all_columns(*customers(s, d), "c_custkey"),
+        f"{pair} SELECT column_name, {sums} FROM ({' UNION ALL '.join(map(flags, customer_columns))}) GROUP BY 1",
+    )
+    register(
+        "diff_columns_repeated_keys",
+        lambda s, d: diff.compare_all_columns(*lines(s, d), line_key, exclude=["L_PARTKEY"]),
+        f"{line_pair} SELECT column_name, {sums} FROM ({' UNION ALL '.join(flags(c) for c in line_columns if c != 'l_partkey')}) GROUP BY 1",
+    )
+    register(
+        "diff_columns_rows",
+        lambda s, d: diff.compare_all_columns(*customers(s, d), "c_custkey", summarize=False),
+        f"{pair} SELECT *, count(*) AS row_count FROM ({' UNION ALL '.join(map(flags, customer_columns))}) GROUP BY ALL",
+    )
+    classified = """, r AS (SELECT row_key, a, b, {cols}, sum(a) OVER w AS n_a, sum(b) OVER w AS n_b FROM
+            (SELECT {key} AS row_key, {cols}, sum(x)::BIGINT AS a, sum(y)::BIGINT AS b FROM
+              (SELECT *, 1 AS x, 0 AS y FROM a UNION ALL SELECT *, 0, 1 FROM b) GROUP BY ALL) WINDOW w AS (PARTITION BY row_key)),
+          c AS (SELECT *, CASE WHEN n_a > 1 OR n_b > 1 THEN 'nonunique_pk' WHEN a = 1 AND b = 1 THEN 'identical'
+                       WHEN n_a = 1 AND n_b = 1 THEN 'modified' WHEN a = 1 THEN 'removed' ELSE 'added' END AS row_status FROM r),
+          s AS (SELECT row_status, sum(n)::BIGINT AS num_rows_in_status FROM
+                 (SELECT DISTINCT row_status, row_key, greatest(n_a, n_b) AS n FROM c) GROUP BY 1)"""
+    key_sql = "md5(c_custkey::VARCHAR)"
+    register(
+        "diff_classify",
+        lambda s, d: diff.classify_rows(*customers(s, d), ["c_custkey"], sample_limit=None).drop("copy_number"),
+        f"WITH a AS ({_OLD}), b AS ({_NEW})"
+        + classified.format(key=key_sql, cols=", ".join(customer_columns))
+        + f"SELECT row_status, {', '.join(customer_columns)}, row_key, in_a, in_b, num_rows_in_status FROM"
+        " (SELECT *, unnest(generate_series(1, greatest(a, b))) AS i, i <= a AS in_a, i <= b AS in_b FROM c) JOIN s USING (row_status)",
+    )
+    register(
+        "diff_classify_sample",
+        lambda s, d: diff.classify_rows(*customers(s, d), ["c_custkey"]).drop("copy_number"),
+        f"WITH a AS ({_OLD}), b AS ({_NEW})"
+        + classified.format(key=key_sql, cols=", ".join(customer_columns))
+        + f"SELECT row_status, {', '.join(customer_columns)}, row_key, a = 1 AS in_a, b = 1 AS in_b, sample_number, num_rows_in_status FROM"
+        " (SELECT *, dense_rank() OVER (PARTITION BY row_status ORDER BY row_key) AS sample_number FROM c) JOIN s USING (row_status)"
+        " WHERE sample_number <= 20",
+    )
+    line_cols = ", ".join(line_columns)
+    register(
+        "diff_classify_lines",
+        lambda s, d: diff.classify_rows(*lines(s, d), ["l_orderkey", "l_linenumber"], sample_limit=None).select(
+            "row_status", *line_columns, "in_a", "in_b", "num_rows_in_status"
+        ),
+        f"WITH a AS ({_LINES}), b AS ({_LINES_NEW})"
+        + classified.format(key="md5(l_orderkey::VARCHAR || '-' || l_linenumber::VARCHAR)", cols=line_cols)
+        + "SELECT row_status, l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_partkey, l_quantity, l_returnflag, in_a, in_b,"
+        " num_rows_in_status FROM (SELECT *, unnest(generate_series(1, greatest(a, b))) AS i, i <= a AS in_a, i <= b AS in_b FROM c)"
+        " JOIN s USING (row_status)",
+    )
+
+    def differ(a: str, b: str, on: str, cols: list[str]) -> str:
+        tests = " UNION ALL ".join(f"SELECT '{c}' AS column_name, bool_or(a.{c} IS DISTINCT FROM b.{c}) AS has_difference FROM j" for c in cols)
+        return f"WITH a AS ({a}), b AS ({b}), j AS (SELECT a, b FROM a JOIN b ON {on}) {tests}"
+
+    register(
+        "which_columns_differ",
+        lambda s, d: diff.which_columns_differ(*customers(s, d), ["c_custkey"]),
+        differ(_OLD, _NEW, "a.c_custkey = b.c_custkey", customer_columns),
+    )
+    register(
+        "which_columns_differ_lines",
+        lambda s, d: diff.which_columns_differ(*lines(s, d), ["l_orderkey", "l_linenumber"]),
+        differ(_LINES, _LINES_NEW, "a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber", line_columns),
+    )
+    register(
+        "tables_identical",
+        lambda s, d: diff.tables_identical(*lines(s, d)).selectExpr("'repriced' AS pair", "*").unionByName(
+            diff.tables_identical(lines(s, d)[0], lines(s, d)[0].orderBy("l_partkey")).selectExpr("'reordered' AS pair", "*")
+        ),
+        f"""WITH a AS ({_LINES}), b AS ({_LINES_NEW})
+            SELECT 'repriced' AS pair, (SELECT count(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)) +
+                   (SELECT count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)) = 0 AS are_tables_identical
+            UNION ALL SELECT 'reordered', true""",
+    )
+    register(
+        "diff_row_counts",
+        lambda s, d: diff.row_counts(dict(zip(["old", "new"], lines(s, d)))),
+        f"SELECT 'old' AS relation_name, count(*) AS total_records FROM ({_LINES}) UNION ALL SELECT 'new', count(*) FROM ({_LINES_NEW})",
+    )
+
+    def order_versions(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+        orders = sample_retail.load(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
+        old = orders.filter("o_orderdate < TIMESTAMP_NTZ'2000-06-01 00:00:00'")
+        new = orders.filter("o_orderdate >= TIMESTAMP_NTZ'1996-03-01 00:00:00'").selectExpr(
+            "o_orderkey", "o_custkey", "if(o_custkey % 9 = 0, 'X', o_orderstatus) AS o_orderstatus", "o_orderdate"
+        )
+        return old, new
+
+    register(
+        "diff_common_period",
+        lambda s, d: diff.classify_rows(*order_versions(s, d), ["o_orderkey"], event_time="o_orderdate", sample_limit=None)
+        .groupBy("row_status", "num_rows_in_status", "in_a", "in_b")
+        .agg(F.expr("count(*) AS rows"), F.expr("min(o_orderdate) AS first_day"), F.expr("max(o_orderdate) AS last_day")),
+        """WITH x AS (SELECT * FROM orders WHERE o_orderdate < TIMESTAMP '2000-06-01'), y AS (SELECT * FROM orders WHERE o_orderdate >= TIMESTAMP '1996-03-01'),
+             z AS (SELECT CASE WHEN o_custkey % 9 = 0 THEN 'modified' ELSE 'identical' END AS row_status, o_orderdate FROM orders
+                   WHERE o_orderdate BETWEEN (SELECT min(o_orderdate) FROM y) AND (SELECT max(o_orderdate) FROM x))
+           SELECT row_status, count(*) AS num_rows_in_status, in_a, in_b, count(*) AS rows, min(o_orderdate)::VARCHAR AS first_day,
+                  max(o_orderdate)::VARCHAR AS last_day
+           FROM (SELECT *, true AS in_a, true AS in_b FROM z WHERE row_status = 'identical' UNION ALL
+                 SELECT *, true, false FROM z WHERE row_status = 'modified' UNION ALL
+                 SELECT *, false, true FROM z WHERE row_status = 'modified') GROUP BY row_status, in_a, in_b""",
+    )
+
+
 _register_pipelines()
 _register_metrics()
+_register_checks()
+_register_shapes()
+_register_diffs()
