@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.session import fresh_path
+from marketloom.operators.numbering import join_null_safe
+from marketloom.session import written
 
 
 class SchemaDrift(ValueError):
@@ -75,9 +76,9 @@ def since_last(source: DataFrame, target: DataFrame, source_column: str, target_
 class KeyedTable:
     """A Parquet folder partitioned by one column and maintained by upserts.
 
-    An upsert rewrites only the partitions that hold a matched or an updated row. The new
-    content of those partitions is first written to the shared folder, then moved in by a
-    dynamic partition overwrite, so a run that fails half-way can simply be run again.
+    An upsert rewrites only the partitions that hold a matched or an updated row. The updates
+    and the new content of those partitions are first written to the shared folder, then moved
+    in by a dynamic partition overwrite, so a run that fails half-way can simply be run again.
     """
 
     def __init__(
@@ -86,6 +87,7 @@ class KeyedTable:
         path: str,
         keys: Sequence[str],
         partition: str,
+        partition_type: str = "date",
         on_schema_change: str = "fail",
         sort_by: Sequence[str] = (),
     ):
@@ -93,49 +95,48 @@ class KeyedTable:
         self.path = path.rstrip("/")
         self.keys = list(keys)
         self.partition = partition
+        self.partition_type = partition_type
         self.on_schema_change = on_schema_change
         self.sort_by = list(sort_by)
 
+    def _folder(self, path: str):
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return folder, folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def exists(self) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        folder, files = self._folder(self.path)
+        return files.exists(folder)
 
     def read(self) -> DataFrame:
-        return self.spark.read.option("mergeSchema", self.on_schema_change != "fail").parquet(self.path)
+        stored = self.spark.read.option("mergeSchema", self.on_schema_change != "fail").parquet(self.path)
+        return stored.withColumn(self.partition, F.col(self.partition).cast(self.partition_type))
 
-    def _write(self, df: DataFrame, mode: str) -> None:
-        out = df
+    def _write(self, df: DataFrame) -> None:
+        # Rows of one partition value stay together, a heavy one spreads over several files.
+        out = df.repartitionByRange(self.partition, *(self.sort_by or self.keys))
         if self.sort_by:
-            # Range split by partition value and sort keys: a partition's rows stay together,
-            # a heavy partition still spreads over several files.
-            out = df.repartitionByRange(self.partition, *self.sort_by).sortWithinPartitions(self.partition, *self.sort_by)
-        writer = out.write.mode(mode).partitionBy(self.partition)
+            out = out.sortWithinPartitions(self.partition, *self.sort_by)
+        writer = out.write.mode("overwrite").partitionBy(self.partition)
         writer.option("partitionOverwriteMode", "dynamic").parquet(self.path)
 
-    def upsert(self, updates: DataFrame, target_where: Column | str | None = None) -> None:
+    def upsert(self, updates: DataFrame, target_where: str | None = None) -> None:
         """Apply ``updates`` once. ``target_where`` bounds the part of the table that can match."""
+        updates = written(updates, "updates")
         repeated = repeated_keys(updates, self.keys).limit(1).collect()
         if repeated:
             raise ValueError(f"updates hold more than one row for key {repeated[0].asDict()}")
         if not self.exists():
-            self._write(updates, "overwrite")
+            self._write(updates)
             return
         target = self.read()
         candidates = target if target_where is None else target.filter(target_where)
         matched = candidates.join(updates.select(*self.keys), self.keys, "left_semi").select(self.partition)
         touched = matched.unionByName(updates.select(self.partition)).distinct()
-        rewritten = target.join(touched, target[self.partition].eqNullSafe(touched[self.partition]), "left_semi")
-        after = merged(rewritten, updates, self.keys, target_where, self.on_schema_change)
-        # A partition whose rows all moved elsewhere is rewritten empty by being deleted below.
-        stage = fresh_path(self.spark, "upsert")
-        after.write.parquet(stage)
-        staged = self.spark.read.schema(after.schema).parquet(stage)
-        emptied = touched.join(staged.select(self.partition).distinct(), self.partition, "left_anti")
-        gone = [row[0] for row in emptied.collect()]
-        self._write(staged, "overwrite")
-        self._drop(gone)
-
-    def _drop(self, values: Sequence) -> None:
-        for value in values:
-            folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{self.partition}={value}")
-            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+        rewritten = join_null_safe(target, touched, [self.partition], "left_semi")
+        after = written(merged(rewritten, updates, self.keys, target_where, self.on_schema_change), "merged")
+        # Partitions all of whose rows moved elsewhere: at most the number of touched partitions.
+        emptied = touched.join(after.select(self.partition).distinct(), self.partition, "left_anti").collect()
+        self._write(after)
+        for row in emptied:
+            folder, files = self._folder(f"{self.path}/{self.partition}={row[0]}")
+            files.delete(folder, True)

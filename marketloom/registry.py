@@ -10,12 +10,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marketloom import oracle
-from marketloom.functions.scalars import safe_add, safe_divide, safe_subtract, url_path
-from marketloom.operators import checks, diff, shape
-from marketloom.plans import core, declared, enrich, finance, marketing, staging
+from marketloom.functions.scalars import MONEY, safe_add, safe_divide, safe_subtract, url_path
+from marketloom.operators import checks, diff, history, shape
+from marketloom.operators.upsert import KeyedTable, merged
+from marketloom.plans import core, declared, enrich, finance, increments, marketing, staging
 from marketloom.plans.catalogue import CATALOGUE, FactTables, saved_query, view_query
 from marketloom.plans.web import url_report
+from marketloom.session import fresh_path, written
 from marketloom.sources import sample_retail
+from marketloom.sources.tables import PublishedTable
+from marketloom.streaming import flows
 
 AS_OF = dt.date(2001, 8, 2)
 FIRST = dt.date(1995, 1, 1)
@@ -1138,8 +1142,316 @@ def _register_diffs() -> None:
     )
 
 
+# Maintenance. Tables are written below the shared folder, one fresh path per run.
+
+
+def _in_steps(
+    name: str,
+    keys: list[str],
+    partition: str,
+    cuts: list[str],
+    visible: Callable[[sample_retail.LazyInputs, str], None],
+    full: Callable[[sample_retail.LazyInputs], DataFrame],
+    increment: Callable[[sample_retail.LazyInputs, DataFrame], DataFrame],
+    make: Callable[[SparkSession, str], sample_retail.LazyInputs] = sample_retail.retail_inputs,
+    target_where: str | None = None,
+) -> Query:
+    """Build a table in several runs, each seeing more of the source than the one before."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        table = KeyedTable(spark, fresh_path(spark, name), keys, partition)
+        for cut in cuts:
+            inputs = make(spark, folder)
+            visible(inputs, cut)
+            if table.exists():
+                table.upsert(increment(inputs, table.read()), target_where)
+            else:
+                table.upsert(full(inputs))
+        return table.read()
+
+    return run
+
+
+def _loaded_before(inputs: sample_retail.LazyInputs, cut: str) -> None:
+    inputs["raw_orders"] = inputs["raw_orders"].filter(f"_loaded_at < DATE'{cut}'")
+
+
+def _ordered_before(inputs: sample_retail.LazyInputs, cut: str) -> None:
+    inputs["raw_orders"] = inputs["raw_orders"].filter(f"order_date < DATE'{cut}'")
+
+
+def _spent_before(inputs: sample_retail.LazyInputs, cut: str) -> None:
+    inputs["raw_ad_spend"] = inputs["raw_ad_spend"].filter(f"spend_date < DATE'{cut}'")
+
+
+def _opening_stock(inputs: sample_retail.LazyInputs) -> DataFrame:
+    """Stock at the start: what was ever sold of the product in the store, and some spare units."""
+    sold = core.inventory_movements(inputs, AS_OF).groupBy("product_id", "store_id")
+    return sold.agg(F.expr("sum(units_sold_today) + product_id % 400 AS opening_units"))
+
+
+def _inventory_last_week(spark: SparkSession, folder: str) -> DataFrame:
+    """The increment after a table that ends a week before the run."""
+    inputs = sample_retail.retail_inputs(spark, folder)
+    ends = spark.range(1).selectExpr("DATE'2001-07-26' AS snapshot_date")
+    return increments.inventory_increment(inputs, AS_OF, ends, _opening_stock(inputs), FIRST)
+
+
+SNAPSHOTS = [dt.date(1998, 1, 1), dt.date(2000, 1, 1), dt.date(2001, 8, 2)]
+TRACKED = ["customer_segment", "customer_lifecycle_stage", "customer_value_tier", "total_orders", "last_order_date"]
+
+
+def _customer_snapshot(spark: SparkSession, folder: str, at: dt.date, number: int) -> DataFrame:
+    """Customers as of a day; the second delivery lacks some, which come back in the third."""
+    inputs = sample_retail.retail_inputs(spark, folder)
+    inputs["raw_orders"] = inputs["raw_orders"].filter(f"order_date < DATE'{at}'")
+    customers = enrich.customers_with_orders(inputs, at).select("customer_id", "full_name", *TRACKED, "is_email_subscribed")
+    return customers.filter("customer_id % 23 <> 4") if number == 1 else customers
+
+
+def _customer_history(spark: SparkSession, folder: str) -> DataFrame:
+    kept = written(history.opened(_customer_snapshot(spark, folder, SNAPSHOTS[0], 0), "customer_id", SNAPSHOTS[0]), "history")
+    for number, at in list(enumerate(SNAPSHOTS))[1:]:
+        snapshot = _customer_snapshot(spark, folder, at, number)
+        kept = written(
+            history.snapshot_history(kept, snapshot, "customer_id", [*TRACKED, "is_email_subscribed"], at), "history"
+        )
+    return kept
+
+
+_SNAPSHOT_SQL = """, cut AS (SELECT * FROM (VALUES (0, DATE '1998-01-01'), (1, DATE '2000-01-01'), (2, DATE '2001-08-02')) AS c(i, cut_day)),
+  o AS (SELECT i, customer_id, count(*) AS n, max(order_date) AS last_day, sum(CASE WHEN is_completed THEN net_revenue ELSE 0 END) AS net
+        FROM fct_orders JOIN cut ON order_date < cut_day GROUP BY 1, 2),
+  seen AS (SELECT c.i, c.cut_day, k.customer_id, k.full_name, k.customer_segment, k.is_email_subscribed, coalesce(o.n, 0) AS total_orders,
+                  o.last_day AS last_order_date,
+                  CASE WHEN o.n IS NULL THEN 'never_purchased' WHEN o.last_day >= c.cut_day - 90 THEN 'active'
+                       WHEN o.last_day >= c.cut_day - 180 THEN 'at_risk' ELSE 'churned' END AS customer_lifecycle_stage,
+                  CASE WHEN coalesce(o.net, 0) >= 1000 THEN 'high_value' WHEN coalesce(o.net, 0) >= 300 THEN 'mid_value'
+                       WHEN coalesce(o.net, 0) > 0 THEN 'low_value' ELSE 'no_purchases' END AS customer_value_tier
+           FROM stg_customers k CROSS JOIN cut c LEFT JOIN o ON o.customer_id = k.customer_id AND o.i = c.i
+           WHERE NOT (c.i = 1 AND k.customer_id % 23 = 4)),
+  marked AS (SELECT *, lag(i) OVER w IS DISTINCT FROM i - 1 OR lag((total_orders, last_order_date, customer_lifecycle_stage, customer_value_tier)) OVER w
+                    IS DISTINCT FROM (total_orders, last_order_date, customer_lifecycle_stage, customer_value_tier) AS starts
+             FROM seen WINDOW w AS (PARTITION BY customer_id ORDER BY i)),
+  runs AS (SELECT *, sum(starts::INT) OVER (PARTITION BY customer_id ORDER BY i) AS run FROM marked),
+  versions AS (SELECT customer_id, run, any_value(full_name) AS full_name, any_value(customer_segment) AS customer_segment,
+                      any_value(customer_lifecycle_stage) AS customer_lifecycle_stage, any_value(customer_value_tier) AS customer_value_tier,
+                      any_value(total_orders) AS total_orders, any_value(last_order_date) AS last_order_date,
+                      any_value(is_email_subscribed) AS is_email_subscribed, min(cut_day) AS valid_from,
+                      (SELECT cut_day FROM cut WHERE cut.i = max(runs.i) + 1) AS valid_to FROM runs GROUP BY 1, 2)"""
+_VERSION_COLUMNS = """customer_id, full_name, customer_segment, customer_lifecycle_stage, customer_value_tier, total_orders,
+  last_order_date::VARCHAR AS last_order_date, is_email_subscribed, valid_from::TIMESTAMP::VARCHAR AS valid_from,
+  valid_to::TIMESTAMP::VARCHAR AS valid_to"""
+
+
+def _stream_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """Event purchases arriving as a stream, upserted per customer: the latest purchase wins."""
+    events = flows.read_stream(spark, f"{folder}/[e]vents.parquet", sample_retail.SOURCES["events"])
+    bought = events.filter("event_type = 'purchase'").selectExpr(
+        "user_id", "event_id", "ts", "value", "date(trunc(ts, 'month')) AS month"
+    )
+    table = KeyedTable(spark, fresh_path(spark, "latest_purchase"), ["user_id"], "month")
+    flows.upsert_stream(bought, table, ["ts", "event_id"], fresh_path(spark, "offsets")).awaitTermination()
+    return table.read().select("user_id", "event_id", "value")
+
+
+def _stream_store_days(spark: SparkSession, folder: str) -> DataFrame:
+    events = flows.read_stream(spark, f"{folder}/[e]vents.parquet", sample_retail.SOURCES["events"])
+    bought = events.filter("event_type = 'purchase'").selectExpr(
+        "timestamp(ts) AS ts", "event_id % 25 AS store_id", f"cast(value AS {MONEY}) AS value"
+    )
+    daily = flows.daily_totals(bought, "ts", ["store_id"], ["count(*) AS orders", "sum(value) AS revenue"])
+    table = KeyedTable(spark, fresh_path(spark, "store_days"), ["store_id", "day"], "day")
+    flows.maintain_daily_totals(daily, table, fresh_path(spark, "offsets")).awaitTermination()
+    return table.read()
+
+
+def _register_maintenance() -> None:
+    changed = "c_custkey >= 1000000000 OR c_custkey % 13 = 5 OR c_custkey % 11 = 2"
+
+    def customer_updates(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+        old, new = _customer_versions(s, d)
+        return old, new.filter(changed)
+
+    after = f"WITH a AS ({_OLD}), u AS (SELECT * FROM ({_NEW}) WHERE {changed})"
+    register(
+        "upsert_result",
+        lambda s, d: merged(*customer_updates(s, d), ["c_custkey"]),
+        f"{after} SELECT * FROM a WHERE c_custkey NOT IN (SELECT c_custkey FROM u) UNION ALL SELECT * FROM u",
+    )
+    register(
+        "upsert_bounded",
+        lambda s, d: merged(*customer_updates(s, d), ["c_custkey", "c_nationkey"], target_where="c_nationkey >= 10"),
+        f"""{after} SELECT * FROM a WHERE c_nationkey < 10 OR (c_custkey, c_nationkey) NOT IN (SELECT (c_custkey, c_nationkey) FROM u)
+            UNION ALL SELECT * FROM u""",
+    )
+    register(
+        "upsert_new_columns",
+        lambda s, d: merged(
+            customer_updates(s, d)[0],
+            customer_updates(s, d)[1].selectExpr("*", "c_acctbal > 0 AS in_credit").drop("c_name"),
+            ["c_custkey"],
+            on_schema_change="append_new_columns",
+        ),
+        f"""{after} SELECT *, NULL::BOOLEAN AS in_credit FROM a WHERE c_custkey NOT IN (SELECT c_custkey FROM u)
+            UNION ALL SELECT c_custkey, NULL AS c_name, c_nationkey, c_acctbal, c_mktsegment, c_acctbal > 0 FROM u""",
+    )
+    cuts = ["1999-01-01", "2001-02-01", "2002-01-01"]
+    register(
+        "incremental_orders",
+        lambda s, d: _in_steps(
+            "fct_orders",
+            ["order_id"],
+            "order_month",
+            cuts,
+            _loaded_before,
+            lambda i: core.fct_orders(i, AS_OF),
+            lambda i, target: increments.orders_increment(i, AS_OF, target),
+        )(s, d).drop("ordered_at"),
+        ORACLES["fct_orders"],
+    )
+    register(
+        "incremental_store_performance",
+        _in_steps(
+            "store_performance",
+            ["store_id", "order_date"],
+            "order_date",
+            ["2001-07-20", "2001-08-03"],
+            lambda i, cut: _ordered_before(i, cut),
+            lambda i: core.store_performance(i, dt.date(2001, 7, 20), dt.date(2001, 6, 1)),
+            lambda i, target: increments.store_performance_increment(i, AS_OF, target, dt.date(2001, 6, 1)),
+            target_where="order_date >= DATE'2001-07-10'",
+        ),
+        ORACLES["store_performance"] + " WHERE order_date >= DATE '2001-06-01'",
+    )
+    register(
+        "incremental_revenue_daily",
+        _in_steps(
+            "revenue_daily",
+            ["revenue_date", "store_id"],
+            "order_month",
+            ["2000-03-10", "2002-01-01"],
+            _ordered_before,
+            lambda i: finance.revenue_daily(i, AS_OF),
+            lambda i, target: increments.revenue_daily_increment(i, AS_OF, target),
+        ),
+        ORACLES["revenue_daily"],
+    )
+    register(
+        "incremental_campaign_performance",
+        _in_steps(
+            "campaign_performance",
+            ["campaign_id", "spend_date"],
+            "spend_month",
+            ["2000-03-10", "2002-01-01"],
+            _spent_before,
+            lambda i: marketing.campaign_performance(i, AS_OF),
+            lambda i, target: increments.campaign_performance_increment(i, AS_OF, target),
+        ),
+        ORACLES["campaign_performance"],
+    )
+    register(
+        "incremental_channel_attribution",
+        _in_steps(
+            "channel_attribution",
+            ["attributed_channel", "order_month"],
+            "order_month",
+            ["2024-01-20", "2024-03-01"],
+            _ordered_before,
+            lambda i: marketing.channel_attribution(i, AS_OF),
+            lambda i, target: increments.channel_attribution_increment(i, AS_OF, target),
+            make=sample_retail.web_inputs,
+        ),
+        ORACLES["channel_attribution"],
+    )
+
+    def items_in_steps(spark: SparkSession, folder: str) -> DataFrame:
+        orders = KeyedTable(spark, fresh_path(spark, "fct_orders"), ["order_id"], "order_month")
+        items = KeyedTable(spark, fresh_path(spark, "fct_order_items"), ["order_item_id"], "order_month", sort_by=["order_id"])
+        for run, cut in ((dt.date(2001, 2, 1), "2001-02-01"), (AS_OF, "2002-01-01")):
+            inputs = sample_retail.retail_inputs(spark, folder)
+            _loaded_before(inputs, cut)
+            if orders.exists():
+                orders.upsert(increments.orders_increment(inputs, run, orders.read()))
+                items.upsert(increments.order_items_increment(inputs, run, items.read(), orders.read()))
+            else:
+                orders.upsert(core.fct_orders(inputs, run))
+                items.upsert(core.fct_order_items({**inputs, "catalog_products": inputs["catalog_products"],
+                                                   "raw_order_items": inputs["raw_order_items"], "fct_orders": orders.read()}, run))
+        return items.read()
+
+    register("incremental_order_items", items_in_steps, ORACLES["fct_order_items"])
+    stock = """, sold AS (SELECT product_id, store_id, order_date, sum(quantity) AS units FROM fct_order_items WHERE order_status = 'COMPLETED' GROUP BY 1, 2, 3),
+        opening AS (SELECT product_id, store_id, sum(units) + product_id % 400 AS opening_units FROM sold GROUP BY 1, 2)"""
+    register(
+        "inventory_positions",
+        lambda s, d: (lambda i: core.inventory_positions(i, AS_OF, _opening_stock(i)))(sample_retail.retail_inputs(s, d)),
+        oracle.query(f"""{stock}
+        SELECT product_id, store_id, order_date::VARCHAR AS snapshot_date, (lead(order_date) OVER w - 1)::VARCHAR AS valid_until,
+               (opening_units - sum(units) OVER w)::BIGINT AS units_on_hand, units::BIGINT AS units_sold_today
+        FROM sold JOIN opening USING (product_id, store_id) WINDOW w AS (PARTITION BY product_id, store_id ORDER BY order_date)"""),
+    )
+    register(
+        "inventory_increment",
+        _inventory_last_week,
+        oracle.query(f"""{stock}
+        SELECT *, CASE WHEN store_type = 'physical' THEN units_on_hand < 30 ELSE units_on_hand < 200 END AS is_below_reorder_point
+        FROM (SELECT product_id, p.product_name, p.category, p.cost_price::DOUBLE AS cost_price, store_id, st.store_name, st.store_type,
+                     st.region, d::VARCHAR AS snapshot_date,
+                     (opening_units - coalesce(sum(units) FILTER (order_date <= d), 0))::BIGINT AS units_on_hand,
+                     coalesce(sum(units) FILTER (order_date = d), 0)::BIGINT AS units_sold_today
+              FROM opening JOIN products p USING (product_id) JOIN stores st USING (store_id) LEFT JOIN sold USING (product_id, store_id),
+                   (SELECT unnest(generate_series(DATE '2001-07-27', {oracle.AS_OF}, INTERVAL 1 DAY))::DATE AS d)
+              WHERE st.is_active GROUP BY product_id, p.product_name, p.category, p.cost_price, store_id, st.store_name, st.store_type, st.region, d, opening_units)"""),
+    )
+    register(
+        "scd2_result",
+        lambda s, d: _customer_history(s, d).drop("version_id"),
+        oracle.query(f"{_SNAPSHOT_SQL} SELECT {_VERSION_COLUMNS} FROM versions"),
+    )
+    register(
+        "scd2_as_of",
+        lambda s, d: history.as_of(_customer_history(s, d), dt.date(2000, 6, 1)).drop("version_id"),
+        oracle.query(f"{_SNAPSHOT_SQL} SELECT {_VERSION_COLUMNS} FROM versions WHERE valid_from <= DATE '2000-06-01'"
+                     " AND (valid_to IS NULL OR valid_to > DATE '2000-06-01')"),
+    )
+    register(
+        "scd2_as_of_join",
+        lambda s, d: history.as_of_join(
+            raw("raw_orders")(s, d).select("order_id", "customer_id", "order_date"),
+            _customer_history(s, d),
+            "customer_id",
+            "order_date",
+            ["customer_lifecycle_stage", "total_orders"],
+        ),
+        oracle.query(f"""{_SNAPSHOT_SQL} SELECT r.order_id, r.customer_id, r.order_date::VARCHAR AS order_date,
+            v.customer_lifecycle_stage AS version_customer_lifecycle_stage, v.total_orders AS version_total_orders
+            FROM raw_orders r LEFT JOIN versions v ON v.customer_id = r.customer_id AND v.valid_from <= r.order_date
+             AND (v.valid_to IS NULL OR r.order_date < v.valid_to)"""),
+    )
+
+    def publish_clustered(spark: SparkSession, folder: str) -> DataFrame:
+        table = PublishedTable(spark, fresh_path(spark, "dim_customers"))
+        return table.publish(retail(core.dim_customers)(spark, folder), "v1", cluster_by=["customer_segment", "customer_id"])
+
+    register("published_table", publish_clustered, ORACLES["dim_customers"])
+    register(
+        "stream_latest_purchase",
+        _stream_orders,
+        """SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn
+           FROM events WHERE event_type = 'purchase') WHERE rn = 1""",
+    )
+    register(
+        "stream_store_days",
+        _stream_store_days,
+        """SELECT event_id % 25 AS store_id, ts::DATE::VARCHAR AS day, count(*) AS orders, sum(value::DECIMAL(12,2))::DOUBLE AS revenue
+           FROM events WHERE event_type = 'purchase' GROUP BY 1, 2""",
+    )
+
+
 _register_pipelines()
 _register_metrics()
 _register_checks()
 _register_shapes()
 _register_diffs()
+_register_maintenance()
