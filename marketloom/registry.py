@@ -776,7 +776,8 @@ def _register_checks() -> None:
                          coalesce(upper_bound {gap} next_lower_bound, is_last, false) AS ends_before_next
                   FROM (SELECT {key} lower_bound, upper_bound,
                                lead(lower_bound) OVER ({over} ORDER BY lower_bound, upper_bound) AS next_lower_bound,
-                               row_number() OVER ({over} ORDER BY lower_bound DESC, upper_bound DESC) = 1 AS is_last
+                               -- the same window, so that of two equal ranges exactly one is the last
+                               lead(true) OVER ({over} ORDER BY lower_bound, upper_bound) IS NULL AS is_last
                         FROM ({source}))) WHERE NOT (has_length AND ends_before_next) GROUP BY ALL"""
 
     register(
