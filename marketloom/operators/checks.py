@@ -256,9 +256,8 @@ def mutually_exclusive_ranges(
     tops = pairs.groupBy(*group, "lower_bound").agg(
         F.expr("max(struct(upper_bound IS NULL AS open, upper_bound AS upper)) AS top")
     )
-    walked = with_next(tops.filter("lower_bound IS NOT NULL").select(*group, "lower_bound"), "lower_bound", "next_distinct", group)
-    last = join_null_safe(tops, walked, [*group, "lower_bound"])
-    joined = join_null_safe(pairs, last, [*group, "lower_bound"])
+    walked = with_next(tops.filter("lower_bound IS NOT NULL"), "lower_bound", "next_distinct", group)
+    joined = join_null_safe(pairs, walked, [*group, "lower_bound"])
     # A pair stands for n equal rows; only one row of the last pair sees the next distinct bound.
     is_top = "(upper_bound <=> top.upper)"
     split = joined.selectExpr(

@@ -248,15 +248,14 @@ def classify_rows(
     names = [_q(c) for c in columns]
     rows = _stacked(a, b, columns).groupBy(*names).agg(*exprs("sum(in_a) AS a", "sum(in_b) AS b"))
     rows = rows.selectExpr("*", f"{key} AS row_key")
-    per_key = rows.groupBy("row_key").agg(*exprs("sum(a) AS n_a", "sum(b) AS n_b"))
+    per_key = rows.groupBy("row_key").agg(*exprs("sum(a) AS n_a", "sum(b) AS n_b", "max(least(a, b)) AS both"))
     status = """CASE WHEN n_a > 1 OR n_b > 1 THEN 'nonunique_pk' WHEN a = 1 AND b = 1 THEN 'identical'
                      WHEN n_a = 1 AND n_b = 1 THEN 'modified' WHEN a = 1 THEN 'removed' ELSE 'added' END AS row_status"""
-    classified = rows.join(per_key, "row_key").selectExpr("*", status)
+    classified = rows.join(per_key.drop("both"), "row_key").selectExpr("*", status)
 
-    # Class sizes from the keys alone; identical and modified keys differ in their distinct rows.
-    distinct = rows.groupBy("row_key").agg(*exprs("sum(a) AS n_a", "sum(b) AS n_b", "max(least(a, b)) AS both"))
+    # Class sizes come from the keys alone.
     sizes = (
-        distinct.selectExpr(
+        per_key.selectExpr(
             """CASE WHEN n_a > 1 OR n_b > 1 THEN 'nonunique_pk' WHEN both = 1 THEN 'identical'
                     WHEN n_a = 1 AND n_b = 1 THEN 'modified' WHEN n_a = 1 THEN 'removed' ELSE 'added' END AS row_status""",
             "greatest(n_a, n_b) AS n",

@@ -129,18 +129,19 @@ class Metrics:
         keys = exprs(*owned, *([f"{_truncated(spec.time, grain)} AS {TIME}"] if grain else []))
         names = sorted({name for name, _ in simple})
         now = df.groupBy(*keys).agg(*exprs(*[f"{self.metrics[n].sql()} AS {n}" for n in names]))
-        out = [now.select(*dims, *([TIME] if grain else []), *[n for n, months in simple if not months])]
-        for months in sorted({m for _, m in simple if m}):
-            if grain not in ("month", "quarter", "year"):
-                raise ValueError("a metric with a month offset needs a grain of at least a month")
-            moved = [f"{n} AS {_column(n, m)}" for n, m in simple if m == months]
+        keyed = [*dims, *([TIME] if grain else [])]
+        current = [n for n, months in simple if not months]
+        offsets = sorted({months for _, months in simple if months})
+        if not offsets:
+            return now.select(*keyed, *current)
+        if grain not in ("month", "quarter", "year"):
+            raise ValueError("a metric with a month offset needs a grain of at least a month")
+        out = [now.selectExpr(*keyed, *current, "true AS _exists")]
+        for months in offsets:
             later = f"{_truncated(f'add_months({TIME}, {months})', grain)} AS {TIME}"
-            earlier = now.selectExpr(*dims, later, *moved)
-            # Only periods that exist now take an earlier value.
-            same = [F.col(f"now.{c}").eqNullSafe(F.col(f"then.{c}")) for c in [*dims, TIME]]
-            present = now.select(*dims, TIME).alias("now").join(earlier.alias("then"), same)
-            out.append(present.select(*[F.col(f"now.{c}") for c in [*dims, TIME]], *[_column(n, m) for n, m in simple if m == months]))
-        return _stack(out, [*dims, *([TIME] if grain else [])])
+            out.append(now.selectExpr(*dims, later, *[f"{n} AS {_column(n, m)}" for n, m in simple if m == months]))
+        # Earlier values meet the period they belong to; periods that only have one are dropped.
+        return _stack(out, keyed).filter("_exists").drop("_exists")
 
     def query(
         self,

@@ -195,37 +195,26 @@ def store_performance(inputs: Inputs, as_of: dt.date, first: dt.date, last: dt.d
     """Store-day performance from ``first`` to ``last`` (at most ``as_of``)."""
     last = min(last or as_of, as_of)
     in_range = f"order_date BETWEEN {day(first)} AND {day(last)}"
-    # Grouped by (store, day, customer) first: a store with a third of all orders is spread over
-    # its customers, and the distinct customers fall out as a plain count.
-    per_customer = (
+    keys = ["store_id", "order_date"]
+    # The distinct count makes Spark group by (store, day, customer) first: a store with a third
+    # of all orders is spread over its customers.
+    metrics = (
         use(inputs, fct_orders, as_of)
         .filter(in_range)
-        .groupBy("store_id", "order_date", "customer_id")
+        .groupBy(*keys)
         .agg(
             *exprs(
-                "count(*) AS orders",
-                "count_if(is_completed) AS completed",
-                "count_if(is_returned) AS returned",
-                f"{sum_where('is_completed', 'gross_revenue')} AS gross",
-                f"{sum_where('is_completed', 'net_revenue')} AS net",
-                "sum(realized_revenue) AS realized",
-                "sum(refund_amount) AS refund",
+                "count(*) AS total_orders",
+                "count_if(is_completed) AS completed_orders",
+                "count_if(is_returned) AS returned_orders",
+                "count(DISTINCT customer_id) AS unique_customers",
+                f"{sum_where('is_completed', 'gross_revenue')} AS gross_revenue",
+                f"{sum_where('is_completed', 'net_revenue')} AS net_revenue",
+                "sum(realized_revenue) AS realized_revenue",
+                "sum(refund_amount) AS refund_amount",
             )
         )
     )
-    keys = ["store_id", "order_date"]
-    metrics = per_customer.groupBy(*keys).agg(
-        *exprs(
-            "sum(orders) AS total_orders",
-            "sum(completed) AS completed_orders",
-            "sum(returned) AS returned_orders",
-            "count(customer_id) AS unique_customers",
-            "sum(gross) AS gross_revenue",
-            "sum(net) AS net_revenue",
-            "sum(realized) AS realized_revenue",
-            "sum(refund) AS refund_amount",
-        )
-    )
     by_category = (
         use(inputs, fct_order_items, as_of)
         .filter(f"{in_range} AND order_status = 'COMPLETED'")

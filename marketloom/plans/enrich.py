@@ -16,15 +16,19 @@ TAX_RATE = "0.085"
 def orders_enriched(inputs: Inputs, as_of: dt.date) -> DataFrame:
     """One row per order. Lines and returns are summed per order before the joins, so an order
     with several approved returns stays one row (refunds added up, latest return shown)."""
-    # Distinct products per order come from a first grouping by (order, product): partial sums
-    # shrink the lines before the shuffle and no order's lines are ever gathered in one place.
-    per_product = (
+    # One distinct count next to sums is planned in two levels, (order, product) then order, so a
+    # heavy order is spread over its products; where the count is not asked for, one level is left.
+    lines = (
         use(inputs, stg_order_items, as_of)
-        .groupBy("order_id", "product_id")
-        .agg(*exprs("sum(line_gross_revenue) AS gross", "sum(line_net_revenue) AS net", "sum(quantity) AS units"))
-    )
-    lines = per_product.groupBy("order_id").agg(
-        *exprs("sum(gross) AS gross", "sum(net) AS net", "sum(units) AS units", "count(product_id) AS products")
+        .groupBy("order_id")
+        .agg(
+            *exprs(
+                "sum(line_gross_revenue) AS gross",
+                "sum(line_net_revenue) AS net",
+                "sum(quantity) AS units",
+                "count(DISTINCT product_id) AS products",
+            )
+        )
     )
     returns = (
         use(inputs, stg_returns, as_of)

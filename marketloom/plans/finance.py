@@ -13,75 +13,66 @@ from marketloom.plans.base import Inputs, built_at, day, use
 from marketloom.plans.core import (
     dim_customers,
     dim_dates,
-    fct_order_items,
     fct_orders,
     fiscal_quarter,
     fiscal_year,
 )
+from marketloom.plans.enrich import order_items_enriched
+from marketloom.session import written
 
 STORE_DAY = ["order_date", "order_month", "order_quarter", "order_year", "store_id", "store_channel", "store_region"]
+REFUND_COLUMNS = [
+    "order_id", "customer_id", "store_id", "store_channel", "store_region", "campaign_id", "order_date", "return_date",
+    "return_reason", "refund_amount", "gross_revenue", "net_revenue",
+]
 RETURNED = "is_returned AND return_date IS NOT NULL AND refund_amount IS NOT NULL"
 
 
-def revenue_by_period(inputs: Inputs, as_of: dt.date) -> DataFrame:
-    """Orders summed per store and day; customers are counted through a (store, day, customer)
-    grouping, so one busy store-day never meets in one task."""
-    per_customer = (
-        use(inputs, fct_orders, as_of)
-        .groupBy(*STORE_DAY, "customer_id")
-        .agg(
-            *exprs(
-                "count(*) AS orders",
-                "count_if(is_completed) AS completed",
-                "count_if(is_returned) AS returned",
-                "count_if(is_cancelled) AS cancelled",
-                f"{sum_where('is_completed', 'gross_revenue')} AS gross",
-                f"{sum_where('is_completed', 'net_revenue')} AS net",
-                f"{sum_where('is_completed', 'realized_revenue')} AS realized",
-                f"{sum_where('is_completed', 'estimated_tax')} AS tax",
-                f"{sum_where('is_completed', 'order_level_discount')} AS discounts",
-                f"{sum_where('is_returned AND refund_amount IS NOT NULL', 'refund_amount')} AS refunds",
-            )
-        )
-    )
-    return per_customer.groupBy(*STORE_DAY).agg(
+def _by_store_day(orders: DataFrame, *further: str) -> DataFrame:
+    """Orders summed per store and day. The distinct count makes Spark group by (store, day,
+    customer) first, so one busy store-day never meets in one task."""
+    return orders.groupBy(*STORE_DAY).agg(
         *exprs(
-            "sum(orders) AS total_orders",
-            "sum(completed) AS completed_orders",
-            "sum(returned) AS returned_orders",
-            "sum(cancelled) AS cancelled_orders",
-            "sum(gross) AS gross_revenue",
-            "sum(net) AS net_revenue",
-            "sum(realized) AS realized_revenue",
-            "sum(tax) AS estimated_tax",
-            "sum(discounts) AS total_discounts",
-            "sum(refunds) AS total_refunds",
-            "count(customer_id) AS unique_customers",
-            f"{ratio('sum(gross)', 'sum(completed)')} AS avg_order_value",
+            "count(*) AS total_orders",
+            "count_if(is_completed) AS completed_orders",
+            "count_if(is_returned) AS returned_orders",
+            "count_if(is_cancelled) AS cancelled_orders",
+            f"{sum_where('is_completed', 'gross_revenue')} AS gross_revenue",
+            f"{sum_where('is_completed', 'net_revenue')} AS net_revenue",
+            f"{sum_where('is_completed', 'realized_revenue')} AS realized_revenue",
+            f"{sum_where('is_completed', 'estimated_tax')} AS estimated_tax",
+            f"{sum_where('is_completed', 'order_level_discount')} AS total_discounts",
+            f"{sum_where('is_returned AND refund_amount IS NOT NULL', 'refund_amount')} AS total_refunds",
+            "count(DISTINCT customer_id) AS unique_customers",
+            f"{mean_of('CASE WHEN is_completed THEN gross_revenue END')} AS avg_order_value",
+            *further,
         )
     )
 
 
+def revenue_by_period(inputs: Inputs, as_of: dt.date) -> DataFrame:
+    return _by_store_day(use(inputs, fct_orders, as_of))
+
+
 def revenue_daily(inputs: Inputs, as_of: dt.date, compat: bool = False) -> DataFrame:
     """Revenue per store and day with cost of goods and margin.
 
-    Margin is ``(net - cost) / net``; ``compat`` keeps the unparenthesised form
+    The cost is summed per order and joined to the orders once, instead of joining every line
+    to its order. Margin is ``(net - cost) / net``; ``compat`` keeps the unparenthesised form
     ``net - cost / net * 100``.
     """
-    cost = (
-        use(inputs, fct_order_items, as_of)
-        .filter("order_status = 'COMPLETED'")
-        .groupBy("order_date", "store_id")
-        .agg(F.expr("sum(cost_price * quantity) AS cost"))
-    )
-    cogs = zero_if_null("cost")
+    lines = inputs.get("fct_order_items")
+    if lines is None:
+        lines = use(inputs, order_items_enriched, as_of)
+    cost = lines.groupBy("order_id").agg(F.expr("sum(cost_price * quantity) AS order_cost"))
+    orders = use(inputs, fct_orders, as_of).join(cost, "order_id", "left")
+    daily = _by_store_day(orders, f"coalesce({sum_where('is_completed', 'order_cost')}, 0) AS total_cogs")
     if compat:
-        margin = f"round(double(net_revenue) - {ratio(cogs, 'net_revenue', 100)}, 2)"
+        margin = f"round(double(net_revenue) - {ratio('total_cogs', 'net_revenue', 100)}, 2)"
     else:
-        margin = ratio(f"(net_revenue - {cogs})", "net_revenue", 100, 2)
-    daily = use(inputs, revenue_by_period, as_of)
-    return daily.join(cost, ["order_date", "store_id"], "left").selectExpr(
-        "order_date AS revenue_date",
+        margin = ratio("(net_revenue - total_cogs)", "net_revenue", 100, 2)
+    return daily.withColumnRenamed("order_date", "revenue_date").selectExpr(
+        "revenue_date",
         "store_id",
         "store_channel",
         "store_region",
@@ -100,7 +91,7 @@ def revenue_daily(inputs: Inputs, as_of: dt.date, compat: bool = False) -> DataF
         "total_refunds",
         "unique_customers",
         "avg_order_value",
-        f"{cogs} AS total_cogs",
+        "total_cogs",
         f"{margin} AS gross_margin_pct",
         built_at(as_of),
     )
@@ -132,11 +123,7 @@ def revenue_monthly(inputs: Inputs, as_of: dt.date, compat: bool = False) -> Dat
         )
     )
     customers = (
-        use(inputs, fct_orders, as_of)
-        .select(*series, "customer_id")
-        .distinct()
-        .groupBy(*series)
-        .agg(F.expr("count(customer_id) AS unique_customers"))
+        use(inputs, fct_orders, as_of).groupBy(*series).agg(F.expr("count(DISTINCT customer_id) AS unique_customers"))
     )
     joined = join_null_safe(monthly, customers, series)
     # One row per month and series: the window holds as many rows as there are months.
@@ -154,7 +141,8 @@ def revenue_monthly(inputs: Inputs, as_of: dt.date, compat: bool = False) -> Dat
 
 
 def refunds_enriched(inputs: Inputs, as_of: dt.date) -> DataFrame:
-    back = use(inputs, fct_orders, as_of).filter(RETURNED)
+    # Numbering looks at the rows three times (bounds, sizes, numbers), so they are built once.
+    back = written(use(inputs, fct_orders, as_of).filter(RETURNED).select(*REFUND_COLUMNS), "refunds")
     return global_row_number(back, "order_id", "return_id").selectExpr(
         "return_id",
         "order_id",
@@ -240,16 +228,13 @@ def cohort_analysis(inputs: Inputs, as_of: dt.date, since: dt.date = dt.date(202
     stored = inputs.get("customer_cohorts")
     cohorts = customer_cohorts(inputs, as_of, since) if stored is None else stored
     group = ["cohort_month", "acquisition_channel", "customer_segment"]
-    # A customer has one row per month, so both distinct counts become plain ones: per cohort
-    # over distinct customers, per month over rows.
-    sizes = (
-        cohorts.select(*group, "customer_id").distinct().groupBy(*group).agg(F.expr("count(customer_id) AS cohort_size"))
-    )
+    sizes = cohorts.select(*group, "customer_id").groupBy(*group).agg(F.expr("count(DISTINCT customer_id) AS cohort_size"))
     revenue = (
         cohorts.filter("activity_month IS NOT NULL")
         .groupBy(*group, "activity_month", "months_since_acquisition")
         .agg(
             *exprs(
+                # A customer has one row per month.
                 "count(customer_id) AS active_customers",
                 "sum(monthly_net_revenue) AS cohort_net_revenue",
                 f"{mean_of('monthly_net_revenue')} AS avg_customer_revenue",

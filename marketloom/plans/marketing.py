@@ -13,8 +13,9 @@ from marketloom.plans.base import Inputs, built_at, use
 from marketloom.plans.core import dim_customers, fct_orders
 from marketloom.plans.staging import stg_ad_spend
 
-# Event types that count as a touch.
+# Event types that count as a touch, and devices.
 TOUCH_EVENTS = ["purchase_completed", "checkout_started", "add_to_cart", "product_view"]
+DEVICES = ["mobile", "desktop", "tablet"]
 LOOKBACK_DAYS = 30
 
 
@@ -117,32 +118,23 @@ def attribution_touchpoints(inputs: Inputs, as_of: dt.date) -> DataFrame:
 
 
 def channel_attribution(inputs: Inputs, as_of: dt.date) -> DataFrame:
-    """Credit per channel and month; customers are counted through a per-customer grouping."""
-    devices = ["mobile", "desktop", "tablet"]
-    per_customer = (
+    """Credit per channel and month. The distinct customers spread a heavy channel over its
+    customers before it is summed; an order has one credited touch, so orders are plain counts."""
+    monthly = (
         use(inputs, attribution_touchpoints, as_of)
-        .groupBy("attributed_channel", F.expr(f"{month_start('order_date')} AS order_month"), "customer_id")
+        .groupBy("attributed_channel", F.expr(f"{month_start('order_date')} AS order_month"))
         .agg(
             *exprs(
-                "count(order_id) AS orders",
-                "sum(gross_revenue) AS gross",
-                "sum(net_revenue) AS net",
-                "sum(realized_revenue) AS realized",
-                *[sum_where(f"device_type = '{d}'", "gross_revenue") + f" AS {d}" for d in devices],
+                "count(order_id) AS attributed_orders",
+                "sum(gross_revenue) AS attributed_gross_revenue",
+                "sum(net_revenue) AS attributed_net_revenue",
+                "sum(realized_revenue) AS attributed_realized_revenue",
+                f"{mean_of('gross_revenue')} AS attributed_aov",
+                "count(DISTINCT customer_id) AS unique_customers",
+                *[sum_where(f"device_type = '{d}'", "gross_revenue") + f" AS {d}_revenue" for d in DEVICES],
             )
         )
     )
-    monthly = per_customer.groupBy("attributed_channel", "order_month").agg(
-        *exprs(
-            "sum(orders) AS attributed_orders",
-            "sum(gross) AS attributed_gross_revenue",
-            "sum(net) AS attributed_net_revenue",
-            "sum(realized) AS attributed_realized_revenue",
-            f"{ratio('sum(gross)', 'sum(orders)')} AS attributed_aov",
-            "count(customer_id) AS unique_customers",
-            *[f"sum({d}) AS {d}_revenue" for d in devices],
-        )
-    )
     share = ratio("mobile_revenue", "attributed_gross_revenue", 100, 2)
     return monthly.selectExpr("*", f"{share} AS mobile_revenue_pct", built_at(as_of))
 

@@ -16,7 +16,7 @@ from marketloom.operators.upsert import KeyedTable, merged
 from marketloom.plans import core, declared, enrich, finance, increments, marketing, staging
 from marketloom.plans.catalogue import CATALOGUE, FactTables, saved_query, view_query
 from marketloom.plans.web import url_report
-from marketloom.session import fresh_path, written
+from marketloom.session import configure, fresh_path, written
 from marketloom.sources import sample_retail
 from marketloom.sources.tables import PublishedTable
 from marketloom.streaming import flows
@@ -55,7 +55,7 @@ def edge(df: DataFrame) -> DataFrame:
 def register(name: str, plan: Query, sql: str | None = None) -> None:
     if name in QUERIES:
         raise ValueError(f"query {name!r} registered twice")
-    QUERIES[name] = lambda spark, folder: edge(plan(spark, folder))
+    QUERIES[name] = lambda spark, folder: edge(plan(configure(spark), folder))
     if sql is not None:
         ORACLES[name] = sql
 
@@ -394,6 +394,14 @@ def _facts(spark: SparkSession, folder: str) -> FactTables:
     return FactTables(sample_retail.retail_inputs(spark, folder), AS_OF, FIRST)
 
 
+def _stored_facts(spark: SparkSession, folder: str) -> FactTables:
+    """Tables that several facts are built from, written once."""
+    inputs = sample_retail.retail_inputs(spark, folder)
+    for model in (core.fct_orders, core.dim_customers):
+        inputs[model.__name__] = written(model(inputs, AS_OF), model.__name__)
+    return FactTables(inputs, AS_OF, FIRST)
+
+
 def _web_facts(spark: SparkSession, folder: str) -> FactTables:
     return FactTables(sample_retail.web_inputs(spark, folder), AS_OF, FIRST)
 
@@ -493,7 +501,7 @@ def _register_metrics() -> None:
             [],
             "month",
             spine=t["dim_dates"],
-        ))(_facts(s, d)),
+        ))(_stored_facts(s, d)),
         oracle.query("""
         SELECT p.m::VARCHAR AS metric_time, o.net::DOUBLE AS total_net_revenue, o.off::DOUBLE / nullif(o.gross, 0)::DOUBLE AS discount_rate,
                a.spend::DOUBLE AS total_marketing_spend, a.revenue::DOUBLE / nullif(a.spend, 0)::DOUBLE AS blended_roas,
@@ -822,7 +830,7 @@ def _register_checks() -> None:
     )
     register(
         "declared_checks",
-        lambda s, d: declared.run(_facts(s, d)),
+        lambda s, d: declared.run(_stored_facts(s, d)),
         "SELECT * FROM (VALUES "
         + ", ".join(f"('{t}', '{c}', 0::BIGINT, true)" for t, c in declared.names())
         + ") AS t(table_name, check_name, failures, passed)",

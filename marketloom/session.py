@@ -16,6 +16,7 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.ui.enabled": "false",
     # One call to the JVM per column expression instead of four; only error texts get shorter.
@@ -37,6 +38,16 @@ def build_session(app: str = "marketloom", master: str | None = None, **extra: s
     return spark
 
 
+def configure(spark: SparkSession) -> SparkSession:
+    """Apply the run-time settings to a session that was made elsewhere."""
+    for key in (
+        "spark.sql.session.timeZone",
+        "spark.sql.adaptive.forceOptimizeSkewedJoin",
+    ):
+        spark.conf.set(key, SETTINGS[key])
+    return spark
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 

@@ -200,21 +200,18 @@ def raw_returns(t) -> DataFrame:
 
 def raw_ad_spend(t) -> DataFrame:
     tax = f"round(cast(l_extendedprice AS {MONEY}) * cast(l_tax AS decimal(4,2)), 2)"
-    # Lines are first summed per order, which also turns the distinct orders into a plain count.
-    per_order = (
+    daily = (
         t("lineitem")
-        .groupBy(*exprs("l_suppkey", "date(l_shipdate) AS day", "l_orderkey"))
+        .groupBy(*exprs("l_suppkey", "date(l_shipdate) AS day"))
         .agg(
             *exprs(
                 f"sum({tax}) AS spend",
                 "sum(CASE WHEN l_returnflag <> 'N' THEN bigint(l_quantity) * 1000 ELSE 0 END) AS impressions",
                 "sum(CASE WHEN l_returnflag = 'R' THEN bigint(l_quantity) ELSE 0 END) AS clicks",
+                "count(DISTINCT l_orderkey) AS orders",
             )
         )
     )
-    daily = per_order.groupBy("l_suppkey", "day").agg(
-        *exprs("sum(spend) AS spend", "sum(impressions) AS impressions", "sum(clicks) AS clicks", "count(l_orderkey) AS orders")
-    )
     return _typed(
         daily,
         "raw_ad_spend",
