@@ -47,6 +47,22 @@ def ratio(top: str, bottom: str, times: int = 1, digits: int | None = None) -> s
     return f"double(round({scaled} / nullif(cast({bottom} AS decimal(20,4)), 0), {digits}))"
 
 
+def cents(amount: str) -> str:
+    """An amount of at most 12 digits and 2 decimals as a whole number."""
+    return f"bigint({amount} * 100)"
+
+
+def whole_ratio(top: str, bottom: str, times: int, digits: int) -> str:
+    """``top / bottom * times`` of two whole numbers, ``bottom`` > 0, rounded half up.
+
+    The same result as ``ratio`` with digits, in long arithmetic: for per-row use, where decimal
+    division would dominate the scan. NULL where ``bottom`` is 0 or NULL.
+    """
+    scale = times * 10**digits
+    magnitude = f"((2 * abs({top}) * {scale} + {bottom}) DIV nullif(2 * ({bottom}), 0))"
+    return f"(double(if({top} < 0, -{magnitude}, {magnitude})) / {10**digits}D)"
+
+
 def sum_where(condition: str, value: str) -> str:
     return f"sum(CASE WHEN {condition} THEN {value} ELSE 0 END)"
 

@@ -12,8 +12,10 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marketloom.functions.scalars import exprs, quoted, surrogate_key
+from marketloom.operators.numbering import join_null_safe
 
 # Fixed value: the text that stands for NULL inside a hashed key of a comparison.
 NULL_KEY_TOKEN = "_dbt_audit_helper_surrogate_key_null_"
@@ -244,48 +246,56 @@ def classify_rows(
     columns = with_keys(keys, columns if columns is not None else shared_columns(a, b))
     if event_time:
         a, b = common_bounds(a, b, event_time)
-    key = surrogate_key([_q(k) for k in keys], NULL_KEY_TOKEN)
-    names = [_q(c) for c in columns]
+    names, key_names = [_q(c) for c in columns], [_q(k) for k in keys]
     rows = _stacked(a, b, columns).groupBy(*names).agg(*exprs("sum(in_a) AS a", "sum(in_b) AS b"))
-    rows = rows.selectExpr("*", f"{key} AS row_key")
-    per_key = rows.groupBy("row_key").agg(*exprs("sum(a) AS n_a", "sum(b) AS n_b", "max(least(a, b)) AS both"))
-    status = """CASE WHEN n_a > 1 OR n_b > 1 THEN 'nonunique_pk' WHEN a = 1 AND b = 1 THEN 'identical'
-                     WHEN n_a = 1 AND n_b = 1 THEN 'modified' WHEN a = 1 THEN 'removed' ELSE 'added' END AS row_status"""
-    classified = rows.join(per_key.drop("both"), "row_key").selectExpr("*", status)
+    # Grouping by the key columns themselves treats NULL as a value, as the hashed key does.
+    per_key = rows.groupBy(*key_names).agg(*exprs("sum(a) AS n_a", "sum(b) AS n_b", "max(least(a, b)) AS both"))
+    status = """CASE WHEN n_a > 1 OR n_b > 1 THEN 'nonunique_pk' WHEN {identical} THEN 'identical'
+                     WHEN n_a = 1 AND n_b = 1 THEN 'modified' WHEN n_a = 1 THEN 'removed' ELSE 'added' END AS row_status"""
+    classified = join_null_safe(rows, per_key, keys).selectExpr("*", status.format(identical="a = 1 AND b = 1"))
 
     # Class sizes come from the keys alone.
     sizes = (
-        per_key.selectExpr(
-            """CASE WHEN n_a > 1 OR n_b > 1 THEN 'nonunique_pk' WHEN both = 1 THEN 'identical'
-                    WHEN n_a = 1 AND n_b = 1 THEN 'modified' WHEN n_a = 1 THEN 'removed' ELSE 'added' END AS row_status""",
-            "greatest(n_a, n_b) AS n",
-        )
+        per_key.selectExpr(status.format(identical="both = 1"), "greatest(n_a, n_b) AS n")
         .groupBy("row_status")
         .agg(F.expr("sum(n) AS num_rows_in_status"))
     )
 
-    if sample_limit:
-        spread = classified.selectExpr("*", f"explode(sequence(1L, least(greatest(a, b), {int(sample_limit)}L))) AS copy_number")
-    else:
-        chunk = 100_000
-        parts = classified.selectExpr("*", f"explode(sequence(0L, (greatest(a, b) - 1) DIV {chunk})) AS part")
-        spread = parts.repartition("row_key", "part").selectExpr(
-            "*", f"explode(sequence(part * {chunk} + 1, least(greatest(a, b), (part + 1) * {chunk}))) AS copy_number"
-        )
-    out = spread.selectExpr(
+    key = surrogate_key(key_names, NULL_KEY_TOKEN)
+    out = [
         *names,
-        "row_key",
+        f"{key} AS row_key",
         "copy_number",
         "copy_number <= a AS in_a",
         "copy_number <= b AS in_b",
         "row_status",
-        # Rows of a unique key share one place; rows of a repeated key are told apart.
-        f"CASE WHEN row_status = 'nonunique_pk' THEN {_fingerprint(columns)} ELSE 0L END AS row_place",
-    )
+    ]
+    copies = "greatest(a, b)"
     if sample_limit:
+        few = f"explode(sequence(1L, least({copies}, {int(sample_limit)}L))) AS copy_number"
+        # Rows of a unique key share one place; rows of a repeated key are told apart.
+        place = f"CASE WHEN row_status = 'nonunique_pk' THEN {_fingerprint(columns)} ELSE 0L END AS row_place"
         by_key = Window.partitionBy("row_status").orderBy("row_key", "row_place", "copy_number")
-        out = out.withColumn("sample_number", F.dense_rank().over(by_key)).filter(f"sample_number <= {int(sample_limit)}")
-    return out.drop("row_place").join(F.broadcast(sizes), "row_status")  # five classes at most
+        sampled = (
+            classified.selectExpr("*", few)
+            .selectExpr(*out, place)
+            .withColumn("sample_number", F.dense_rank().over(by_key))
+            .filter(f"sample_number <= {int(sample_limit)}")
+            .drop("row_place")
+        )
+    else:
+        # Copies of one row unfold in place, unless there are very many; those go out in chunks.
+        chunk = 100_000
+        normal = classified.filter(f"{copies} <= {chunk}").selectExpr("*", f"explode(sequence(1L, {copies})) AS copy_number")
+        many = (
+            classified.filter(f"{copies} > {chunk}")
+            .selectExpr("*", f"explode(sequence(0L, ({copies} - 1) DIV {chunk})) AS part")
+            .repartition(*key_names, "part")
+            .selectExpr("*", f"explode(sequence(part * {chunk} + 1, least({copies}, (part + 1) * {chunk}))) AS copy_number")
+            .drop("part")
+        )
+        sampled = normal.unionByName(many).selectExpr(*out)
+    return sampled.join(F.broadcast(sizes), "row_status")  # five classes at most
 
 
 def _fingerprint(columns: Sequence[str], seed: int = 0) -> str:
@@ -309,12 +319,16 @@ def which_columns_differ(
     columns = with_keys(keys, columns if columns is not None else shared_columns(a, b))
     if event_time:
         a, b = common_bounds(a, b, event_time)
-    key = surrogate_key([_q(k) for k in keys], NULL_KEY_TOKEN)
-    stacked = _stacked(a, b, columns).selectExpr("*", f"{key} AS row_key")
-    differs = {
-        c: f"(count({_q(c)}) > 0 AND (count({_q(c)}) < count(*) OR min({_q(c)}) <> max({_q(c)})))" for c in columns
-    }
-    per_key = stacked.groupBy("row_key").agg(
+    stacked = _stacked(a, b, columns)
+    text = {f.name for f in stacked.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType))}
+
+    def varies(c: str) -> str:
+        # Two hashes stand for a text value: fixed-size buffers keep this a hash aggregate.
+        images = [f"xxhash64({_q(c)})", f"hash({_q(c)})"] if c in text else [_q(c)]
+        return " OR ".join(f"min({image}) <> max({image})" for image in images)
+
+    differs = {c: f"(count({_q(c)}) > 0 AND (count({_q(c)}) < count(*) OR {varies(c)}))" for c in columns}
+    per_key = stacked.groupBy(*map(_q, keys)).agg(
         *exprs("max(in_a) + max(in_b) = 2 AS on_both", *[f"{test} AS `d_{c}`" for c, test in differs.items()])
     )
     found = per_key.filter("on_both").agg(*exprs(*[f"bool_or(`d_{c}`) AS {_q(c)}" for c in columns]))

@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import DataFrame
 
-from marketloom.functions.scalars import exprs, ratio, sum_where, zero_if_null
+from marketloom.functions.scalars import cents, exprs, ratio, sum_where, whole_ratio, zero_if_null
 from marketloom.plans.base import Inputs, day, use
 from marketloom.plans.staging import stg_customers, stg_order_items, stg_orders, stg_returns
 
@@ -114,7 +114,7 @@ def order_items_enriched(inputs: Inputs, as_of: dt.date) -> DataFrame:
         "discount_pct",
         f"round({margin}, 2) AS unit_margin",
         f"round({margin} * quantity, 2) AS line_margin",
-        f"CASE WHEN {price} > 0 THEN {ratio(margin, price, 100, 2)} ELSE 0D END AS line_margin_pct",
+        f"CASE WHEN {price} > 0 THEN {whole_ratio(cents(margin), cents(price), 100, 2)} ELSE 0D END AS line_margin_pct",
         "is_featured",
         "_loaded_at",
     )

@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame
 
 from marketloom.functions.scalars import (
     MONEY,
+    cents,
     day_of_week_from_sunday,
     exprs,
     month_start,
     quarter_start,
     ratio,
     week_start,
+    whole_ratio,
 )
 from marketloom.plans.base import Inputs, day
 
@@ -72,7 +74,7 @@ def stg_orders(inputs: Inputs, as_of: dt.date) -> DataFrame:
 
 
 def stg_order_items(inputs: Inputs, as_of: dt.date) -> DataFrame:
-    discount = ratio("line_discount", "line_gross_revenue", 100, 2)
+    discount = whole_ratio(cents("line_discount"), cents("line_gross_revenue"), 100, 2)
     return inputs["raw_order_items"].selectExpr(
         "bigint(order_item_id) AS order_item_id",
         "bigint(order_id) AS order_id",
@@ -134,9 +136,9 @@ def stg_platform_ad_spend(inputs: Inputs, as_of: dt.date) -> DataFrame:
     """Platform rules: 0 click rate without impressions, cost per click to 4 decimals."""
     return _ad_spend(
         inputs["raw_ad_spend"],
-        f"CASE WHEN impressions > 0 THEN {ratio('clicks', 'impressions', 100, 4)} ELSE 0D END",
-        f"CASE WHEN clicks > 0 THEN {ratio('spend_usd', 'clicks', 1, 4)} END",
-        f"CASE WHEN attributed_orders > 0 THEN {ratio('spend_usd', 'attributed_orders', 1, 2)} END",
+        f"CASE WHEN impressions > 0 THEN {whole_ratio('clicks', 'impressions', 100, 4)} ELSE 0D END",
+        f"CASE WHEN clicks > 0 THEN {whole_ratio(cents('spend_usd'), 'clicks * 100', 1, 4)} END",
+        f"CASE WHEN attributed_orders > 0 THEN {whole_ratio(cents('spend_usd'), 'attributed_orders * 100', 1, 2)} END",
     )
 
 
@@ -144,9 +146,9 @@ def stg_ad_spend(inputs: Inputs, as_of: dt.date) -> DataFrame:
     """Marketing rules: unknown click rate without impressions, cost per click to 2 decimals."""
     return _ad_spend(
         inputs["raw_ad_spend"],
-        ratio("clicks", "impressions", 100, 4),
-        ratio("spend_usd", "clicks", 1, 2),
-        ratio("spend_usd", "attributed_orders", 1, 2),
+        whole_ratio("clicks", "impressions", 100, 4),
+        whole_ratio(cents("spend_usd"), "clicks * 100", 1, 2),
+        whole_ratio(cents("spend_usd"), "attributed_orders * 100", 1, 2),
     )
 
 

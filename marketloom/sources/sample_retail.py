@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketloom.functions.scalars import MONEY, exprs, quoted, ratio
+from marketloom.functions.scalars import MONEY, cents, exprs, quoted, whole_ratio
 from marketloom.sources.schemas import ALL
 
 # Names given to derived codes, in code order.
@@ -170,7 +170,7 @@ def raw_order_items(t) -> DataFrame:
         order_id="l_orderkey",
         product_id="l_partkey",
         quantity="l_quantity",
-        unit_price_at_purchase=ratio("gross", "l_quantity", 1, 2),
+        unit_price_at_purchase=whole_ratio(cents("gross"), "bigint(l_quantity) * 100", 1, 2),
         line_gross_revenue="gross",
         line_net_revenue="gross - off",
         line_discount="off",
@@ -179,22 +179,22 @@ def raw_order_items(t) -> DataFrame:
 
 
 def raw_returns(t) -> DataFrame:
-    back = raw_orders(t).filter("upper(status) = 'RETURNED'")
-    net = _priced(t("lineitem")).groupBy(F.expr("l_orderkey AS order_id")).agg(F.expr("sum(gross - off) AS net"))
+    o, c = t("orders"), t("customer").select("c_custkey", "c_nationkey")
+    back = o.filter("o_orderstatus = 'P' AND o_orderkey % 2 = 0")
     return _typed(
-        back.join(net, "order_id", "left"),
+        back.join(c, back.o_custkey == c.c_custkey, "left"),
         "raw_returns",
-        return_id="order_id * 10 + 1",
-        order_id="order_id",
-        customer_id="customer_id",
-        store_id="store_id",
-        order_date="order_date",
-        return_date="date_add(order_date, int(order_id % 19 + 3))",
-        return_reason=_name(RETURN_REASONS, "order_id % 3"),
-        resolution_type=_name(RESOLUTIONS, "order_id % 2"),
-        refund_amount="round(coalesce(net, 0) * 0.50, 2)",
-        return_status="CASE WHEN order_id % 100 < 85 THEN 'approved' ELSE 'denied' END",
-        _loaded_at="date_add(order_date, int(order_id % 19 + 4))",
+        return_id="o_orderkey * 10 + 1",
+        order_id="o_orderkey",
+        customer_id="o_custkey",
+        store_id="c_nationkey",
+        order_date="date(o_orderdate)",
+        return_date="date_add(date(o_orderdate), int(o_orderkey % 19 + 3))",
+        return_reason=_name(RETURN_REASONS, "o_orderkey % 3"),
+        resolution_type=_name(RESOLUTIONS, "o_orderkey % 2"),
+        refund_amount=f"round(cast(o_totalprice AS {MONEY}) * 0.50, 2)",
+        return_status="CASE WHEN o_orderkey % 100 < 85 THEN 'approved' ELSE 'denied' END",
+        _loaded_at="date_add(date(o_orderdate), int(o_orderkey % 19 + 4))",
     )
 
 
