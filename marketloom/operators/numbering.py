@@ -14,10 +14,16 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 64
+FEWEST, MOST = 64, 1024
 
 
-def with_range(df: DataFrame, column: str, ranges: int = RANGES) -> DataFrame:
+def range_count(df: DataFrame, ranges: int | None = None) -> int:
+    """Number of ranges: as many as the session has shuffle partitions, within bounds."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return ranges or min(MOST, max(FEWEST, partitions))
+
+
+def with_range(df: DataFrame, column: str, ranges: int) -> DataFrame:
     """Add ``_range``: the quantile range that a row's ``column`` falls into, 0 … ``ranges - 1``;
     NULLs come last."""
     cuts = [F.lit(i / ranges) for i in range(1, ranges)]
@@ -27,13 +33,13 @@ def with_range(df: DataFrame, column: str, ranges: int = RANGES) -> DataFrame:
     return df.withColumn("_bounds", bounds).withColumn("_range", number).drop("_bounds")
 
 
-def global_row_number(df: DataFrame, order_by: str, name: str, ranges: int = RANGES) -> DataFrame:
+def global_row_number(df: DataFrame, order_by: str, name: str, ranges: int | None = None) -> DataFrame:
     """``row_number() over (order by order_by)`` for a column whose values are (nearly) unique.
 
     Rows are numbered inside each range, and the size of the ranges below is added: the
     offsets are at most ``ranges + 1`` rows.
     """
-    ranged = with_range(df, order_by, ranges)
+    ranged = with_range(df, order_by, range_count(df, ranges))
     sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
@@ -54,7 +60,7 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
 
 
 def with_previous(
-    distinct: DataFrame, column: str, name: str, partition_by: Sequence[str] = (), ranges: int = RANGES
+    distinct: DataFrame, column: str, name: str, partition_by: Sequence[str] = (), ranges: int | None = None
 ) -> DataFrame:
     """Add the next smaller value of ``column`` in its partition.
 
@@ -66,17 +72,17 @@ def with_previous(
 
 
 def with_next(
-    distinct: DataFrame, column: str, name: str, partition_by: Sequence[str] = (), ranges: int = RANGES
+    distinct: DataFrame, column: str, name: str, partition_by: Sequence[str] = (), ranges: int | None = None
 ) -> DataFrame:
     """Add the next larger value of ``column`` in its partition (see ``with_previous``)."""
     return _with_neighbour(distinct, column, name, partition_by, ranges, forward=True)
 
 
 def _with_neighbour(
-    distinct: DataFrame, column: str, name: str, partition_by: Sequence[str], ranges: int, forward: bool
+    distinct: DataFrame, column: str, name: str, partition_by: Sequence[str], ranges: int | None, forward: bool
 ) -> DataFrame:
     group = [*partition_by, "_range"]
-    ranged = with_range(distinct, column, ranges)
+    ranged = with_range(distinct, column, range_count(distinct, ranges))
     step, edge = (F.lead, F.min) if forward else (F.lag, F.max)
     inside = Window.partitionBy(*group).orderBy(F.asc_nulls_last(column))
     across = Window.partitionBy(*partition_by).orderBy("_range")

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.operators.numbering import join_null_safe
 from marketloom.session import written
 
 
@@ -131,12 +130,19 @@ class KeyedTable:
         target = self.read()
         candidates = target if target_where is None else target.filter(target_where)
         matched = candidates.join(updates.select(*self.keys), self.keys, "left_semi").select(self.partition)
-        touched = matched.unionByName(updates.select(self.partition)).distinct()
-        rewritten = join_null_safe(target, touched, [self.partition], "left_semi")
+        # Partition values as literals, so that only the folders of touched partitions are read.
+        touched = self._values(matched.unionByName(updates.select(self.partition)))
+        known = [v for v in touched if v is not None]
+        inside = F.col(self.partition).isin(known)
+        rewritten = target.filter(inside | F.col(self.partition).isNull() if None in touched else inside)
         after = written(merged(rewritten, updates, self.keys, target_where, self.on_schema_change), "merged")
-        # Partitions all of whose rows moved elsewhere: at most the number of touched partitions.
-        emptied = touched.join(after.select(self.partition).distinct(), self.partition, "left_anti").collect()
+        emptied = touched - self._values(after)  # all of their rows moved elsewhere
         self._write(after)
-        for row in emptied:
-            folder, files = self._folder(f"{self.path}/{self.partition}={row[0]}")
+        for value in emptied:
+            name = "__HIVE_DEFAULT_PARTITION__" if value is None else value
+            folder, files = self._folder(f"{self.path}/{self.partition}={name}")
             files.delete(folder, True)
+
+    def _values(self, df: DataFrame) -> set:
+        """Distinct partition values: at most one per folder of the table."""
+        return {row[0] for row in df.select(self.partition).distinct().collect()}

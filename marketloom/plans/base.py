@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 import datetime as dt
 from collections.abc import Callable
 
@@ -16,6 +17,13 @@ def use(inputs: Inputs, model: Callable[[Inputs, dt.date], DataFrame], as_of: dt
     return model(inputs, as_of) if stored is None else stored
 
 
+def replaced(inputs: Inputs, **tables: DataFrame) -> Inputs:
+    """The inputs with some tables exchanged or added (inputs read on demand stay so)."""
+    out = copy.copy(inputs)
+    out.update(tables)
+    return out
+
+
 def day(value: dt.date) -> str:
     return f"DATE'{value:%Y-%m-%d}'"
 

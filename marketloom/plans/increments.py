@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.operators.upsert import since_last
-from marketloom.plans.base import Inputs, day, use
+from marketloom.plans.base import Inputs, day, replaced, use
 from marketloom.plans.core import fct_order_items, fct_orders, inventory_daily, store_performance
 from marketloom.plans.finance import revenue_daily
 from marketloom.plans.marketing import campaign_performance, channel_attribution
@@ -29,22 +29,27 @@ def _from(mark: dt.date | None, days: int, otherwise: dt.date) -> dt.date:
     return otherwise if mark is None else mark - dt.timedelta(days=days)
 
 
-def orders_increment(inputs: Inputs, as_of: dt.date, target: DataFrame, lookback_days: int = LOOKBACK_DAYS) -> DataFrame:
-    """Orders loaded since the table's newest load, less the look-back. The raw rows are filtered
-    before any join, so a run reads the lines and returns of those orders only."""
-    recent = since_last(inputs["raw_orders"], target, "_loaded_at", "_loaded_at", lookback_days)
+def _with_orders(inputs: Inputs, recent: DataFrame) -> Inputs:
+    """The inputs cut down to the given raw orders, before any join or aggregate: a run reads
+    the lines and returns of those orders only."""
     keys = recent.selectExpr("order_id AS _recent").distinct()
 
     def of_recent(name: str) -> DataFrame:
         return inputs[name].join(keys, F.col("order_id") == F.col("_recent"), "left_semi")
 
-    narrowed = {
+    return {
         "raw_orders": recent,
         "raw_order_items": of_recent("raw_order_items"),
         "raw_returns": of_recent("raw_returns"),
         "catalog_stores": inputs["catalog_stores"],
+        "catalog_products": inputs["catalog_products"],
     }
-    return fct_orders(narrowed, as_of)
+
+
+def orders_increment(inputs: Inputs, as_of: dt.date, target: DataFrame, lookback_days: int = LOOKBACK_DAYS) -> DataFrame:
+    """Orders loaded since the table's newest load, less the look-back."""
+    recent = since_last(inputs["raw_orders"], target, "_loaded_at", "_loaded_at", lookback_days)
+    return fct_orders(_with_orders(inputs, recent), as_of)
 
 
 def order_items_increment(
@@ -66,27 +71,35 @@ def store_performance_increment(
     return store_performance(inputs, as_of, start)
 
 
+def _first_day_again(target: DataFrame, column: str, lookback_days: int, strictly_after: bool) -> dt.date | None:
+    mark = high_water(target, column)
+    if mark is None:
+        return None
+    return mark + dt.timedelta(days=1) if strictly_after else mark - dt.timedelta(days=lookback_days)
+
+
 def revenue_daily_increment(
     inputs: Inputs, as_of: dt.date, target: DataFrame, lookback_days: int = LOOKBACK_DAYS, strictly_after: bool = False
 ) -> DataFrame:
     """Days from the newest one less the look-back. ``strictly_after`` takes only newer days and
     so loses late orders of days already present."""
-    return _days_again(revenue_daily(inputs, as_of), target, "revenue_date", lookback_days, strictly_after)
+    start = _first_day_again(target, "revenue_date", lookback_days, strictly_after)
+    if start is None:
+        return revenue_daily(inputs, as_of)
+    recent = f"order_date >= {day(start)}"
+    stored = [name for name in ("fct_orders", "fct_order_items") if inputs.get(name) is not None]
+    if "fct_orders" in stored:
+        return revenue_daily(replaced(inputs, **{name: inputs[name].filter(recent) for name in stored}), as_of)
+    return revenue_daily(_with_orders(inputs, inputs["raw_orders"].filter(recent)), as_of)
 
 
 def campaign_performance_increment(
     inputs: Inputs, as_of: dt.date, target: DataFrame, lookback_days: int = LOOKBACK_DAYS, strictly_after: bool = False
 ) -> DataFrame:
-    return _days_again(campaign_performance(inputs, as_of), target, "spend_date", lookback_days, strictly_after)
-
-
-def _days_again(built: DataFrame, target: DataFrame, column: str, lookback_days: int, strictly_after: bool) -> DataFrame:
-    mark = high_water(target, column)
-    if mark is None:
-        return built
-    if strictly_after:
-        return built.filter(f"{column} > {day(mark)}")
-    return built.filter(f"{column} >= {day(_from(mark, lookback_days, mark))}")
+    """As for revenue. The day filter also reaches the orders, whose day is a join key."""
+    start = _first_day_again(target, "spend_date", lookback_days, strictly_after)
+    built = campaign_performance(inputs, as_of)
+    return built if start is None else built.filter(f"spend_date >= {day(start)}")
 
 
 def inventory_increment(inputs: Inputs, as_of: dt.date, target: DataFrame, opening: DataFrame, first: dt.date) -> DataFrame:

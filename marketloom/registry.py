@@ -14,6 +14,7 @@ from marketloom.functions.scalars import MONEY, safe_add, safe_divide, safe_subt
 from marketloom.operators import checks, diff, history, shape
 from marketloom.operators.upsert import KeyedTable, merged
 from marketloom.plans import core, declared, enrich, finance, increments, marketing, staging
+from marketloom.plans.base import replaced
 from marketloom.plans.catalogue import CATALOGUE, FactTables, saved_query, view_query
 from marketloom.plans.web import url_report
 from marketloom.session import configure, fresh_path, written
@@ -1385,8 +1386,7 @@ def _register_maintenance() -> None:
                 items.upsert(increments.order_items_increment(inputs, run, items.read(), orders.read()))
             else:
                 orders.upsert(core.fct_orders(inputs, run))
-                items.upsert(core.fct_order_items({**inputs, "catalog_products": inputs["catalog_products"],
-                                                   "raw_order_items": inputs["raw_order_items"], "fct_orders": orders.read()}, run))
+                items.upsert(core.fct_order_items(replaced(inputs, fct_orders=orders.read()), run))
         return items.read()
 
     register("incremental_order_items", items_in_steps, ORACLES["fct_order_items"])

@@ -31,6 +31,10 @@ def test_late_order_inside_and_outside_the_lookback(inputs):  # noqa: F811
     far = increments.revenue_daily_increment(inputs, AS_OF, target, lookback_days=200)
     assert day(far)[0] == dt.date(2026, 2, 1)
     assert increments.revenue_daily_increment(inputs, AS_OF, target.filter("false")).count() == built.count()
+    stored = {**inputs, "fct_orders": core.fct_orders(inputs, AS_OF)}
+    assert rows(increments.revenue_daily_increment(stored, AS_OF, target)) == rows(
+        built.filter("revenue_date >= DATE'2026-06-07'")
+    )
 
 
 def test_only_new_inventory_days(spark, inputs):  # noqa: F811
