@@ -68,6 +68,7 @@ class Derived:
 
 Metric = Simple | Ratio | Derived
 
+_FOREIGN = re.compile(r"\{(\w+)\.(\w+)\}")
 _REFERENCE = re.compile(r"\{(\w+)(?:@(\d+))?\}")
 
 
@@ -115,16 +116,16 @@ class Metrics:
     ) -> DataFrame:
         """One fact grouped once; earlier values are the same groups moved forward in time."""
         spec, df = self.facts[fact], tables[fact]
+        dims = [dim.rpartition(".")[2] for dim in group_by]
+        # Columns of linked tables, grouped by or filtered on: one join per link.
+        foreign = {tuple(dim.split(".")) for dim in group_by if "." in dim} | set(_FOREIGN.findall(where or ""))
+        for owner in sorted({owner for owner, _ in foreign}):
+            link = spec.entities[owner]
+            taken = sorted(name for o, name in foreign if o == owner)
+            side = tables[link.table].selectExpr(f"{link.key} AS _{owner}_key", *[f"{n} AS _{owner}_{n}" for n in taken])
+            df = df.join(side, F.col(link.local_key) == F.col(f"_{owner}_key"), "left").drop(f"_{owner}_key")
         if where:
-            df = df.filter(where)
-        dims = []
-        for dim in group_by:
-            owner, _, name = dim.rpartition(".")
-            dims.append(name)
-            if owner and spec.entities[owner].table not in [fact]:
-                link = spec.entities[owner]
-                side = tables[link.table].selectExpr(f"{link.key} AS _{owner}_key", f"{name} AS _{owner}_{name}")
-                df = df.join(side, F.col(link.local_key) == F.col(f"_{owner}_key"), "left").drop(f"_{owner}_key")
+            df = df.filter(_FOREIGN.sub(r"_\1_\2", where))
         owned = [f"_{d.rpartition('.')[0]}_{n} AS {n}" if "." in d else n for d, n in zip(group_by, dims)]
         keys = exprs(*owned, *([f"{_truncated(spec.time, grain)} AS {TIME}"] if grain else []))
         names = sorted({name for name, _ in simple})
@@ -154,7 +155,8 @@ class Metrics:
     ) -> DataFrame:
         """Metrics ``names`` per dimension (``column`` or ``entity.column``) and ``metric_time``.
 
-        ``where`` filters the facts before grouping. ``spine`` (a table of ``date_day``) adds the
+        ``where`` filters the facts before grouping; ``{entity.column}`` stands for a column of a
+        linked table. ``spine`` (a table of ``date_day``) adds the
         periods without any row.
         """
         if grain is not None and grain not in GRAINS:

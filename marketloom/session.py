@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -15,6 +16,7 @@ SETTINGS = {
     "spark.sql.ansi.enabled": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
@@ -24,9 +26,22 @@ SETTINGS = {
 }
 
 
-def build_session(app: str = "marketloom", master: str | None = None, **extra: str) -> SparkSession:
-    """Create (or reuse) a session with the settings above; keyword names use ``__`` for dots."""
+def shuffle_partitions(shuffled_bytes: int) -> int:
+    """Partitions of about 200 MB for the largest expected shuffle; AQE merges the small ones."""
+    return min(100_000, max(200, math.ceil(shuffled_bytes / (200 << 20))))
+
+
+def build_session(
+    app: str = "marketloom", master: str | None = None, shuffled_bytes: int | None = None, **extra: str
+) -> SparkSession:
+    """Create (or reuse) a session with the settings above; keyword names use ``__`` for dots.
+
+    ``shuffled_bytes`` sizes the shuffles: the default of 200 partitions is far too few for
+    terabytes (10 TB shuffled are 50 GB per partition).
+    """
     builder = SparkSession.builder.appName(app)
+    if shuffled_bytes:
+        builder = builder.config("spark.sql.shuffle.partitions", shuffle_partitions(shuffled_bytes))
     if master:
         builder = builder.master(master)
     for key, value in SETTINGS.items():

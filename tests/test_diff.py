@@ -91,6 +91,22 @@ def test_repeated_and_null_keys_count_pairs(table):
         assert {(r[0], *r[2:8]): r.row_count for r in got} == brute_force_flags(a, b)
 
 
+def test_a_hot_repeated_key_is_counted_not_paired(spark):
+    # 40,000 × 30,000 rows of one key: 1.2 billion pairs, a few rows of work.
+    a = spark.range(40_000).selectExpr("1L AS k", "id % 4 AS v").union(spark.range(10, 60).selectExpr("id", "id"))
+    b = spark.range(30_000).selectExpr("1L AS k", "id % 3 AS v").union(spark.range(10, 50).selectExpr("id", "id"))
+    got = diff.compare_column(a, b, "k", "v", emojis=False)
+    assert rows(got, "match_status", "count_records") == [
+        ("missing from b", 10), ("perfect match", 3 * 10_000 * 10_000 + 40), ("values do not match", 1_200_000_000 - 300_000_000)
+    ]
+    sizes = diff.classify_rows(a, b, ["k"], sample_limit=3)
+    assert rows(sizes.select("row_status", "num_rows_in_status").distinct()) == [("identical", 40), ("nonunique_pk", 40_000), ("removed", 10)]
+    whole = diff.classify_rows(a, b, ["k"], sample_limit=None)
+    # Copies on both sides: 10,000 of each of three values; all other copies are on one side.
+    assert whole.filter("row_status = 'nonunique_pk' AND in_a AND in_b").count() == 30_000
+    assert whole.filter("in_a").count() == 40_050 and whole.filter("in_b").count() == 30_040
+
+
 def classify(a, b, keys, **kw):
     return diff.classify_rows(a, b, keys, **kw)
 

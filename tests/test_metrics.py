@@ -59,6 +59,9 @@ def test_foreign_dimension_filter_and_spine(shop, spark):
     metrics, tables = shop
     assert rows(metrics.query(tables, ["orders", "mean"], ["people.kind"])) == [(None, 1, 15.0), ("new", 2, 40.0), ("old", 2, 7.5)]
     assert rows(metrics.query(tables, ["revenue"], where="ok")) == [(D("75.00"),)]
+    new_in_winter = "{people.kind} = 'new' AND month(day) < 3"
+    assert rows(metrics.query(tables, ["revenue"], ["region"], where=new_in_winter)) == [("N", D("20.00"))]
+    assert rows(metrics.query(tables, ["orders"], ["people.kind"], where="{people.kind} IS NOT NULL")) == [("new", 2), ("old", 2)]
     spine = spark.sql("SELECT explode(sequence(DATE'2026-01-01', DATE'2026-04-30')) AS date_day")
     filled = metrics.query(tables, ["revenue"], [], "month", spine=spine)
     assert rows(filled) == [(dt.date(2026, i, 1), v) for i, v in ((1, D("35.00")), (2, None), (3, D("60.00")), (4, D("15.00")))]
