@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marketloom import oracle
-from marketloom.functions.scalars import MONEY, safe_add, safe_divide, safe_subtract, url_path
+from marketloom.functions.scalars import MONEY, NULL_KEY_TOKEN, safe_add, safe_divide, safe_subtract, url_path
 from marketloom.operators import checks, diff, history, shape
 from marketloom.operators.upsert import KeyedTable, merged
 from marketloom.plans import core, declared, enrich, finance, increments, marketing, staging
@@ -941,7 +941,7 @@ def _register_shapes() -> None:
             ["order_id", "campaign_id", "traffic_source", "order_date"],
         ),
         oracle.query("""SELECT order_id, campaign_id, traffic_source, order_date::VARCHAR AS order_date,
-            md5(order_id::VARCHAR || '-' || coalesce(campaign_id::VARCHAR, '_dbt_utils_surrogate_key_null_') || '-' || traffic_source
+            md5(order_id::VARCHAR || '-' || coalesce(campaign_id::VARCHAR, '""" + NULL_KEY_TOKEN + """') || '-' || traffic_source
                 || '-' || order_date::VARCHAR) AS surrogate_key FROM raw_orders"""),
     )
     register(
