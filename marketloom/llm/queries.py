@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketloom.llm import dedup
+from marketloom.llm import dedup, ngram_join
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -22,6 +22,12 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+@query
+def op2_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its component under 3-word shingles and a similarity of 0.9."""
+    return ngram_join.near_duplicates(read(spark, folder, "documents"))
+
+
 @query
 def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with the row that stays for its text."""
