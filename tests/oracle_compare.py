@@ -47,7 +47,7 @@ def compare(df, con, sql: str) -> str | None:
     if sorted(names) != sorted(df.columns):
         return f"columns: spark only {sorted(set(df.columns) - set(names))}, sql only {sorted(set(names) - set(df.columns))}"
     actual = rows(df.columns, df.collect())
-    same_kind = {"string": "VARCHAR", "bigint": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN"}
+    same_kind = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN"}
     odd = [(c, t, kinds[c]) for c, t in df.dtypes if same_kind.get(t) != kinds[c]]
     if odd:
         return f"types differ: {odd}"
