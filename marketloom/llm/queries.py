@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import dedup, ngram_join, packing, topk, toxicity
+from marketloom.llm import chat, dedup, ngram_join, packing, topk, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -30,6 +30,50 @@ def op2_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.near_duplicates(read(spark, folder, "documents"))
 
 
+@query
+def op3_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation, and one full of control strings, formatted and read back."""
+    rows = read(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    odd = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("\\### Assistant: </turn> ok").alias("text"),
+    )
+    return chat.digests(chat.conversations_of(chat.chat_windows(rows.unionByName(odd))))
+
+
+ORACLES["op3_chat_format"] = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+t AS (
+  SELECT *, row_number() OVER o AS k, len(regexp_extract_all(text, '[^ 	-
+]+')) + 3 AS tokens,
+         length(role) + length(text) + 14 + length(regexp_replace(role || text, '[^\\#<:]', '', 'g')) AS chars
+  FROM c WINDOW o AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+u AS (
+  SELECT *, k = 1 AND role = 'system' AS system, max(CASE WHEN k = 1 AND role = 'system' THEN tokens ELSE 0 END) OVER p AS opening,
+         max(CASE WHEN k = 1 AND role = 'system' THEN chars ELSE 0 END) OVER p AS opening_chars
+  FROM t WINDOW p AS (PARTITION BY conv_id)),
+v AS (
+  SELECT *, greatest(416 - opening, 128) AS room, CASE WHEN system THEN 0 ELSE tokens END AS counted,
+         (sum(CASE WHEN system THEN 0 ELSE tokens END) OVER (PARTITION BY conv_id ORDER BY k))::BIGINT - CASE WHEN system THEN 0 ELSE tokens END AS start
+  FROM u),
+w AS (SELECT *, start * 2 // room AS stretch, counted * 2 > room AS long FROM v),
+x AS (
+  SELECT *, k > 1 AND NOT lag(system) OVER o AND (stretch <> lag(stretch) OVER o OR long OR lag(long) OVER o) AS later,
+         coalesce(sum(CASE WHEN system THEN 0 ELSE chars END) OVER (PARTITION BY conv_id ORDER BY start RANGE BETWEEN 96 PRECEDING AND 1 PRECEDING), 0) AS past
+  FROM w WINDOW o AS (PARTITION BY conv_id ORDER BY k)),
+y AS (
+  SELECT conv_id, string_agg(role || chr(10) || text || chr(10), '' ORDER BY k) AS told,
+         coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY k), '') AS loss, count(*) AS n_turns,
+         sum(chars + CASE WHEN later THEN past + opening_chars ELSE 0 END)::BIGINT AS formatted_chars
+  FROM x GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(told) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars
+FROM y"""
+
+
 @query
 def op4_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
     """The five best rows for every embedding whose id is divisible by 50."""
@@ -71,3 +115,24 @@ WITH n AS (
 SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
        doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
 FROM n"""
+
+
+@query
+def op9_warc_assembly(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page written to an archive and read back as a capture."""
+    return warc.round_trip(read(spark, folder, "pages"))
+
+
+ORACLES["op9_warc_assembly"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+h AS (SELECT *, sha1(t) AS s, max(page_id) OVER (PARTITION BY t) AS leader FROM p),
+d AS (
+  SELECT *, [(instr('0123456789abcdef', substr(s, 5 * k + 1, 1)) - 1) * 65536 + (instr('0123456789abcdef', substr(s, 5 * k + 2, 1)) - 1) * 4096
+             + (instr('0123456789abcdef', substr(s, 5 * k + 3, 1)) - 1) * 256 + (instr('0123456789abcdef', substr(s, 5 * k + 4, 1)) - 1) * 16
+             + instr('0123456789abcdef', substr(s, 5 * k + 5, 1)) - 1 FOR k IN range(8)] AS v FROM h)
+SELECT page_id, strlen(t)::BIGINT AS payload_bytes,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v[i // 4 + 1] >> (15 - 5 * (i % 4))) & 31) + 1, 1) FOR i IN range(32)], '')
+         AS payload_digest,
+       CASE WHEN page_id = leader THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> leader THEN leader END AS refers_to, true AS has_request, true AS has_metadata
+FROM d"""
