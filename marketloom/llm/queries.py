@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import chat, dedup, ngram_join, packing, topk, toxicity, warc
+from marketloom.llm import chat, dedup, html, ngram_join, packing, topk, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -24,6 +24,12 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+@query
+def op1_html_extract(spark: SparkSession, folder: str) -> DataFrame:
+    """The main text of every page."""
+    return html.extract(read(spark, folder, "pages"))
+
+
 @query
 def op2_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with its component under 3-word shingles and a similarity of 0.9."""
