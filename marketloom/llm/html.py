@@ -137,10 +137,11 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     inside, outside = Counter(), Counter()
     for batch in batches:
         for page in batch.column(0).to_pylist():
-            seen = [(key, main and visible, words if kind == "text" else 1) for key, kind, visible, main, words, _ in tokens(page)]
-            if any(main for _, main, _ in seen):
-                for key, main, many in seen:
-                    for place in _places(key):
+            seen = [(key, visible, main and visible, words if kind == "text" else 1) for key, kind, visible, main, words, _ in tokens(page or "")]
+            if any(main for _, _, main, _ in seen):
+                for key, visible, main, many in seen:
+                    # What is no content by its class tells nothing about its element without it.
+                    for place in _places(key) if visible else [key]:
                         (inside if main else outside)[place] += many
     keys = list(inside | outside)
     yield pa.record_batch([pa.array(keys, pa.string()), pa.array([inside[k] for k in keys], pa.int64()), pa.array([outside[k] for k in keys], pa.int64())], names=["key", "inside", "outside"])

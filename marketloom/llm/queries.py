@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import chat, dedup, html, ngram_join, packing, topk, toxicity, warc
+from marketloom.llm import chat, dedup, html, licenses, ngram_join, packing, topk, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -123,6 +123,15 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
 FROM n"""
 
 
+@query
+def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with the licence notices in it."""
+    return licenses.scan(read(spark, folder, "documents"))
+
+
+ORACLES["op8_license_scan"] = licenses.oracle()
+
+
 @query
 def op9_warc_assembly(spark: SparkSession, folder: str) -> DataFrame:
     """Every page written to an archive and read back as a capture."""
