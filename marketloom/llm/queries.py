@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import chat, dedup, html, licenses, ngram_join, packing, topk, toxicity, warc
+from marketloom.llm import chat, dedup, html, licenses, ngram_join, packing, pieces, topk, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -151,3 +151,9 @@ SELECT page_id, strlen(t)::BIGINT AS payload_bytes,
        CASE WHEN page_id = leader THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id <> leader THEN leader END AS refers_to, true AS has_request, true AS has_metadata
 FROM d"""
+
+
+@query
+def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document encoded and decoded."""
+    return pieces.round_trip(read(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
