@@ -20,9 +20,10 @@ any other partner has ``19 D > |A| + |B|``.
 
 Inside a list, sizes and parity sketches (a bit per hash class, flipped by each shingle, so that
 differing bits never outnumber D) rule out most pairs. Pairs that are left are compared in full, in
-two rounds: first the two nearest of each text in each list; then, with the components
-known so far, only pairs that would tie two components together. Every link between two texts of
-different components is thus compared, and none inside a component needs to be.
+three rounds, each of them with the components known so far and only for pairs that would tie two of them
+together: the two nearest of each text in each list or block, the nearest in each pair of blocks, and
+all the rest. After the last round every pair that could link is compared or inside one component, where
+it changes nothing; the first rounds only keep the last one small.
 
 Shingles are 64-bit numbers; a set is known by its size and a 64-bit number.
 """
@@ -49,6 +50,8 @@ BLOCK = 256
 #: Shingles looked through at once for common ones; those found this often are reported.
 SPAN, OFTEN = 1 << 22, 4
 LIGHTEST = 9
+#: Rounds of comparisons: pairs for each text and list (None: all), and whether two blocks are left for later.
+ROUNDS = ((2, True), (1, False), (None, False))
 #: Classes of ids that preselect the texts of candidate pairs (their list is 8 MB at most).
 CLASSES = 1 << 20
 
@@ -106,13 +109,17 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield common(sets)
 
 
-def _boundary(sizes: list[tuple[int, int]], entries: float) -> int:
-    """The size from which texts are heavy: ``sizes`` holds (n // 10, texts), ``entries`` the mean
-    number of other texts met per list entry."""
+def _boundary(sizes: list[tuple[int, int]]) -> int:
+    """The size from which texts are heavy; ``sizes`` holds (n // 10, texts).
+
+    A subset costs an entry. An entry of an inverted list also costs the others that it meets: lists of
+    shingles that are not among the common ones, which come last in the order, have fewer than
+    ``OFTEN`` entries for each span of shingles looked through.
+    """
 
     def cost(x: int) -> float:
         light = sum(texts * math.comb(d + 2, 2) for d, texts in sizes if d < x)
-        heavy = sum(texts * (d + 1) * (1 + entries) for d, texts in sizes if 10 * d + 9 >= 9 * x)
+        heavy = sum(texts * (d + 1) * OFTEN for d, texts in sizes if 10 * d + 9 >= 9 * x)
         return light + heavy
 
     top = max((d for d, _ in sizes), default=0)
@@ -120,7 +127,8 @@ def _boundary(sizes: list[tuple[int, int]], entries: float) -> int:
 
 
 def _keys(common: np.ndarray, times: np.ndarray, boundary: int):
-    """List entries (key, s, n) of each text; bit 0 of the key marks inverted lists."""
+    """List entries (key, s, n, side) of each text; bit 0 of the key marks inverted lists. The side tells
+    the two blocks of a pair apart; it is 0 in lists that are whole and for a block with itself."""
     small = np.zeros(1 << 20, bool)
     small[(common & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
 
@@ -137,23 +145,24 @@ def _keys(common: np.ndarray, times: np.ndarray, boundary: int):
             rare, counts = np.concatenate([rare, common[place[last]]]), np.concatenate([counts, times[place[last]]])
         return rare, counts
 
-    def blocks(key: np.ndarray, counts: np.ndarray, s: int) -> np.ndarray:
-        """Keys of the pairs of blocks that a text meets in each list."""
+    def blocks(key: np.ndarray, counts: np.ndarray, s: int) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of the pairs of blocks that a text meets in each list, and its side there."""
         many = -(-counts // BLOCK)
-        out = [key[many <= 1]]
+        out, sides = [key[many <= 1]], [np.zeros((many <= 1).sum(), np.int8)]
         for k, m in zip(key[many > 1], many[many > 1], strict=True):
             other, own = np.arange(m, dtype=np.uint64), np.uint64(s % int(m))
             pair = np.minimum(other, own) * np.uint64(m) + np.maximum(other, own)
             out.append(W.mix(k + W.mix(pair + np.uint64(1))))
-        return np.concatenate(out)
+            sides.append(np.sign(other.astype(np.int64) - int(own)).astype(np.int8))
+        return np.concatenate(out), np.concatenate(sides)
 
     one = np.uint64(1)
-    schema = pa.schema([("g", pa.int64()), ("s", pa.int64()), ("n", pa.int32())])
+    schema = pa.schema([("g", pa.int64()), ("s", pa.int64()), ("n", pa.int32()), ("side", pa.int8())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            keys, s_of, n_of = [], [], []
+            keys, sides, s_of, n_of = [], [], [], []
             for _, shingles in _each(batch):
                 n, s = len(shingles), _number(shingles)
                 if n < LIGHTEST or s in seen:  # equal sets of one task need one entry
@@ -164,18 +173,21 @@ def _keys(common: np.ndarray, times: np.ndarray, boundary: int):
                     head, counts = first(shingles, d + 2)
                     a, b = np.triu_indices(len(head), 1)
                     low, high = np.minimum(head[a], head[b]), np.maximum(head[a], head[b])
-                    own.append(blocks(W.mix(low + W.mix(high)), np.minimum(counts[a], counts[b]), s) & ~one)
+                    key, side = blocks(W.mix(low + W.mix(high)), np.minimum(counts[a], counts[b]), s)
+                    own.append((key & ~one, side))
                 if 10 * n >= 9 * boundary:
                     head, counts = first(shingles, d + 1)
-                    own.append(blocks(W.mix(head), counts, s) | one)
-                own = np.concatenate(own)
-                keys.append(own)
-                s_of.append(np.full(len(own), s))
-                n_of.append(np.full(len(own), n, np.int32))
+                    key, side = blocks(W.mix(head), counts, s)
+                    own.append((key | one, side))
+                for key, side in own:
+                    keys.append(key)
+                    sides.append(side)
+                    s_of.append(np.full(len(key), s))
+                    n_of.append(np.full(len(key), n, np.int32))
             if len(seen) > 1_000_000:
                 seen.clear()
             if keys:
-                yield pa.record_batch([pa.array(np.concatenate(keys).astype(np.int64)), pa.array(np.concatenate(s_of)), pa.array(np.concatenate(n_of))], schema=schema)
+                yield pa.record_batch([pa.array(np.concatenate(keys).astype(np.int64)), pa.array(np.concatenate(s_of)), pa.array(np.concatenate(n_of)), pa.array(np.concatenate(sides))], schema=schema)
 
     return run
 
@@ -204,23 +216,29 @@ def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 200_000) -> Iterato
 
 def _near_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Entries, sorted by (g, n, s), whose list has another set of a size that can link."""
+    names = ["g", "s", "n", "side"]
+
+    def kept(columns: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(c) for c in columns], names=names)
+
     last, last_met = None, False  # an entry waits for the next one
     for batch in batches:
-        g, s, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+        rows = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
         if last is not None:
-            g, s, n = np.append(last[0], g), np.append(last[1], s), np.append(last[2], n)
+            rows = [np.append(x, y) for x, y in zip(last, rows, strict=True)]
+        g, s, n, _ = rows
         if not len(g):
             continue
         new = np.append(True, (g[1:] != g[:-1]) | (s[1:] != s[:-1]) | (n[1:] != n[:-1]))
-        g, s, n = g[new], s[new], n[new].astype(np.int64)
+        rows = [x[new] for x in rows]
+        g, n = rows[0], rows[2].astype(np.int64)
         meets = (g[1:] == g[:-1]) & (9 * n[1:] <= 10 * n[:-1])
         met = np.append(False, meets) | np.append(meets, False)
         met[0] |= last_met
-        last, last_met = (g[-1:], s[-1:], n[-1:]), bool(met[-1])
-        keep = met[:-1]
-        yield pa.record_batch([pa.array(g[:-1][keep]), pa.array(s[:-1][keep]), pa.array(n[:-1][keep].astype(np.int32))], names=["g", "s", "n"])
+        last, last_met = [x[-1:] for x in rows], bool(met[-1])
+        yield kept([x[:-1][met[:-1]] for x in rows])
     if last is not None and last_met:
-        yield pa.record_batch([pa.array(last[0]), pa.array(last[1]), pa.array(last[2].astype(np.int32))], names=["g", "s", "n"])
+        yield kept(last)
 
 
 class _Sketches:
@@ -266,38 +284,40 @@ def _pairs_of(g: np.ndarray, n: np.ndarray, at_once: int = 1 << 20) -> Iterator[
         start = stop
 
 
-def _candidates(boundary: int, nearest: int | None):
-    """Pairs of ids that sizes and sketches leave. With ``nearest``, for each text and list only so
-    many; without, only pairs of two components (column comp)."""
+def _candidates(boundary: int, nearest: int | None, within: bool):
+    """Pairs of ids of two components (column comp) that sizes and sketches leave: all of them, or with ``nearest``
+    only so many for each text and list; with ``within``, not those of two blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _gathered(batches):
-            g, ids, n, comp = (table.column(c).to_numpy().astype(np.int64) for c in ("g", "id", "n", "comp"))
-            if nearest is None:
-                new = np.append(True, g[1:] != g[:-1])
-                starts = np.flatnonzero(new)
-                mixed = np.minimum.reduceat(comp, starts) != np.maximum.reduceat(comp, starts)
-                keep = np.repeat(mixed, np.diff(starts, append=len(g)))
-                table, g, ids, n, comp = table.filter(pa.array(keep)), g[keep], ids[keep], n[keep], comp[keep]
-                if not len(g):
-                    continue
+            g, n, comp, side = (table.column(c).to_numpy().astype(np.int64) for c in ("g", "n", "comp", "side"))
+            starts = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+            mixed = np.minimum.reduceat(comp, starts) != np.maximum.reduceat(comp, starts)
+            keep = np.repeat(mixed, np.diff(starts, append=len(g)))
+            if within:
+                keep &= side == 0
+            table = table.filter(pa.array(keep))
+            if not table.num_rows:
+                continue
+            g, ids, n, comp, side = (table.column(c).to_numpy().astype(np.int64) for c in ("g", "id", "n", "comp", "side"))
             sketches = _Sketches(table.column("sketch"))
+            found = []
             for a, b in _pairs_of(g, n):
-                differ = ids[a] != ids[b]
+                differ = (side[a] != side[b]) | (side[a] == 0)
                 differ &= ((g[a] & 1) == 0) | (n[b] >= boundary)  # two light texts meet in subsets
-                if nearest is None:
-                    differ &= comp[a] != comp[b]
+                differ &= comp[a] != comp[b]
                 a, b = a[differ], b[differ]
                 apart = sketches.differing(a, b)
                 left = 19 * apart <= n[a] + n[b]
                 a, b, apart = a[left], b[left], apart[left]
-                if nearest is not None:
+                if nearest is not None and len(a):
                     order = np.lexsort((apart, a))
-                    begin = np.append(True, a[order][1:] != a[order][:-1])
-                    rank = np.arange(len(order)) - np.repeat(np.flatnonzero(begin), np.diff(np.flatnonzero(begin), append=len(order))) if len(order) else order
+                    begins = np.flatnonzero(np.append(True, a[order][1:] != a[order][:-1]))
+                    rank = np.arange(len(order)) - np.repeat(begins, np.diff(begins, append=len(order)))
                     a, b = a[order][rank < nearest], b[order][rank < nearest]
-                pair = np.unique(np.stack([np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])]), axis=1)
-                yield pa.record_batch([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
+                found.append(np.stack([np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])]))
+            pair = np.unique(np.concatenate(found, axis=1), axis=1)
+            yield pa.record_batch([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
 
     return run
 
@@ -353,8 +373,7 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
     values, times = common["shingle"].to_numpy(np.int64).astype(np.uint64), common["times"].to_numpy(np.int64)
     order = np.argsort(values)
     sizes = [tuple(r) for r in rows.groupBy(F.floor(F.col("n") / 10).alias("d")).count().collect()]
-    shingles = rows.agg(F.sum(F.col("n").cast("long"))).first()[0] or 1
-    boundary = _boundary(sizes, float((times.astype(float) ** 2).sum()) / shingles)
+    boundary = _boundary(sizes)
 
     keys = spark.sparkContext.broadcast((values[order], times[order], boundary))
 
@@ -363,26 +382,27 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
 
     lists = (
         texts.where("id is not null")
-        .mapInArrow(entries, "g long, s long, n int")
+        .mapInArrow(entries, "g long, s long, n int, side byte")
         .repartition("g")
         .sortWithinPartitions("g", "n", "s")
-        .mapInArrow(_near_sizes, "g long, s long, n int")
+        .mapInArrow(_near_sizes, "g long, s long, n int, side byte")
         .join(nodes, ["s", "n"])
-        .select("g", "id", "n", "sketch")
+        .select("g", "id", "n", "side", "sketch")
     )
     lists = written(lists, "lists")
 
-    def candidates(entries: DataFrame, nearest: int | None) -> DataFrame:
-        sorted_lists = entries.select("g", "id", "n", "comp", "sketch").repartition("g").sortWithinPartitions("g", "n", "id")
-        return written(sorted_lists.mapInArrow(_candidates(boundary, nearest), "a long, b long").distinct(), "pairs")
-
-    tried = candidates(lists.withColumn("comp", F.col("id")), 2)
-    links = written(_links(texts, tried), "links")
-    reached = components(links, "a", "b")
-    known = lists.join(reached.withColumnsRenamed({"node": "id", "component": "comp"}), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    rest = candidates(known, None).join(tried, ["a", "b"], "left_anti")
-    links = links.unionByName(written(_links(texts, rest), "links"))
-    reached = components(links, "a", "b")
+    links, reached, tried = None, None, None
+    for nearest, within in ROUNDS:
+        known = lists.withColumn("comp", F.col("id"))
+        if reached is not None:
+            known = lists.join(reached.withColumnsRenamed({"node": "id", "component": "comp"}), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        known = known.select("g", "id", "n", "side", "comp", "sketch").repartition("g").sortWithinPartitions("g", "n", "id")
+        pairs = written(known.mapInArrow(_candidates(boundary, nearest, within), "a long, b long").distinct(), "pairs")
+        fresh = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
+        found = written(_links(texts, fresh), "links")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        links = found if links is None else links.unionByName(found)
+        reached = components(links, "a", "b")
 
     named = nodes.select("s", "n", F.col("id").alias("node")).join(reached, "node", "left")
     named = named.select("s", "n", F.coalesce("component", "node").alias("component"))
