@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marketloom.llm.sample import by_hash
+
 #: Labelled pages that the weights are learnt from (those with the smallest hashes of their ids), and keys kept.
 SAMPLE, KEYS = 4_000, 2_000
 LEAST_SEEN = 20
@@ -151,9 +153,8 @@ def learn(df: DataFrame, id_column: str = "page_id", html_column: str = "html",
     """The weight of each key, from at most ``sample`` labelled pages. Without any, none: all keys are unknown."""
     pages = df.select(F.col(id_column).cast("string").alias("id"), F.col(html_column).cast("string").alias("page"))
     marked = pages.where(F.col("page").rlike("(?i)<(article|main)[\\s>]"))
-    order = F.xxhash64("id", F.length("page"))
-    drawn = marked.select(order.alias("h"), "id").orderBy("h", "id").limit(sample).distinct()
-    rows = marked.withColumn("h", order).join(F.broadcast(drawn), ["h", "id"], "left_semi")  # at most ``sample`` keys
+    drawn = by_hash(marked.select("id"), "id", sample).distinct()
+    rows = marked.join(F.broadcast(drawn), "id", "left_semi")  # at most ``sample`` ids
     counts = rows.select("page").mapInArrow(_labelled, "key string, inside long, outside long").groupBy("key")
     counts = counts.agg(F.sum("inside").alias("a"), F.sum("outside").alias("b")).orderBy(F.desc(F.expr("sum(inside) + sum(outside)")), "key").limit(KEYS)
     weights = {}

@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 
 from marketloom.llm import words as W
 from marketloom.llm.graph import components
+from marketloom.llm.sample import most_frequent
 from marketloom.session import written
 
 WIDTH = 3
@@ -369,7 +370,7 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
     )
 
     common = profiles.where("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times"))
-    common = common.orderBy(F.desc("times"), "shingle").limit(COUNTED).toPandas()
+    common = most_frequent(written(common, "common"), "times", COUNTED).toPandas()
     values, times = common["shingle"].to_numpy(np.int64).astype(np.uint64), common["times"].to_numpy(np.int64)
     order = np.argsort(values)
     sizes = [tuple(r) for r in rows.groupBy(F.floor(F.col("n") / 10).alias("d")).count().collect()]

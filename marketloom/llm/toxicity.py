@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.llm import words as W
+from marketloom.llm.sample import by_hash
 from marketloom.session import written
 
 SAMPLE = 6_000
@@ -213,8 +214,8 @@ def fit(
     """
     marks = labels.select(F.col(id_column).alias("id"), F.col(label_column).cast("int").alias("label"))
     marks = marks.where("id is not null and label in (0, 1)").groupBy("id").agg(F.max("label").alias("label"))
-    order = [F.xxhash64(F.col("id").cast("string")), F.col("id").cast("string")]
-    drawn = [marks.where(F.col("label") == k).orderBy(*order).limit(sample) for k in (0, 1)]
+    marks = written(marks, "marks")
+    drawn = [by_hash(marks.where(F.col("label") == k), "id", sample) for k in (0, 1)]
     drawn = written(drawn[0].unionByName(drawn[1]), "drawn")
     rows = texts.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
     rows = written(rows.join(F.broadcast(drawn), "id"), "labelled")  # at most 2 * sample ids
