@@ -126,10 +126,8 @@ def url_host(url: str) -> str:
 
 
 def url_path(url: str) -> str:
-    """Text after the first slash up to the query; without a slash, what precedes ``?`` is cut."""
-    bare = _without(url, "http://", "https://")
-    cut = f"coalesce(nullif(instr({bare}, '/'), 0), instr({bare}, '?') - 1)"
-    return f"split_part(right({bare}, length({bare}) - {cut}), '?', 1)"
+    """What follows the host and its slash, up to the query; empty without either."""
+    return f"regexp_extract({url}, '^([A-Za-z][A-Za-z0-9+.-]*://)?[^/?]*/?([^?]*)', 2)"
 
 
 def url_parameter(url: str, name: str) -> str:

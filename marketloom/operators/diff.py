@@ -19,6 +19,8 @@ from marketloom.operators.numbering import join_null_safe
 
 # Fixed value: the text that stands for NULL inside a hashed key of a comparison.
 NULL_KEY_TOKEN = "_dbt_audit_helper_surrogate_key_null_"
+# Copies of one row that one task unfolds.
+COPIES_IN_PART = 10_000
 
 
 def _q(c: str) -> str:
@@ -37,9 +39,11 @@ def with_keys(keys: Sequence[str], columns: Sequence[str]) -> list[str]:
 
 
 def common_bounds(a: DataFrame, b: DataFrame, event_time: str) -> tuple[DataFrame, DataFrame]:
-    """Both tables cut to the time span they share. The bounds are scalar subqueries."""
-    low = F.greatest(*[df.agg(F.expr(f"min({event_time})")).scalar() for df in (a, b)])
-    high = F.least(*[df.agg(F.expr(f"max({event_time})")).scalar() for df in (a, b)])
+    """Both tables cut to the time span they share, to nothing if one has none. The bounds are scalar subqueries."""
+    first, last = ([df.agg(F.expr(f"{bound}({event_time})")).scalar() for df in (a, b)] for bound in ("min", "max"))
+    # Without a NULL check an empty side would leave the other side its own bounds.
+    low = F.when(first[0].isNotNull() & first[1].isNotNull(), F.greatest(*first))
+    high = F.when(last[0].isNotNull() & last[1].isNotNull(), F.least(*last))
     return tuple(df.filter(F.col(event_time).between(low, high)) for df in (a, b))
 
 
@@ -233,15 +237,14 @@ def classify_rows(
     keys: Sequence[str],
     columns: Sequence[str] | None = None,
     event_time: str | None = None,
-    sample_limit: int | None = 20,
+    sample_limit: int | None = None,
 ) -> DataFrame:
     """Rows as identical, modified, added, removed or nonunique_pk, with the size of each class.
 
     Equal rows are first collapsed to one with its number of copies per side; a key is unique
     if neither side has it twice. The size of a class counts keys (copies of repeated keys: the
-    larger side). ``sample_limit`` keeps the first rows of each class by key; Spark limits the
-    rank inside every map task first. Without a limit all rows are returned, copies spread
-    over tasks.
+    larger side). All rows are returned, copies of a row spread over tasks. ``sample_limit`` asks
+    for the first rows of each class by key; Spark limits the rank inside every map task first.
     """
     columns = with_keys(keys, columns if columns is not None else shared_columns(a, b))
     if event_time:
@@ -284,17 +287,13 @@ def classify_rows(
             .drop("row_place")
         )
     else:
-        # Copies of one row unfold in place, unless there are very many; those go out in chunks.
-        chunk = 100_000
-        normal = classified.filter(f"{copies} <= {chunk}").selectExpr("*", f"explode(sequence(1L, {copies})) AS copy_number")
-        many = (
-            classified.filter(f"{copies} > {chunk}")
-            .selectExpr("*", f"explode(sequence(0L, ({copies} - 1) DIV {chunk})) AS part")
+        # Copies of a row unfold part by part, the parts spread over tasks.
+        sampled = (
+            classified.selectExpr("*", f"explode(sequence(0L, ({copies} - 1) DIV {COPIES_IN_PART})) AS part")
             .repartition(*key_names, "part")
-            .selectExpr("*", f"explode(sequence(part * {chunk} + 1, least({copies}, (part + 1) * {chunk}))) AS copy_number")
-            .drop("part")
+            .selectExpr("*", f"explode(sequence(part * {COPIES_IN_PART} + 1, least({copies}, (part + 1) * {COPIES_IN_PART}))) AS copy_number")
+            .selectExpr(*out)
         )
-        sampled = normal.unionByName(many).selectExpr(*out)
     return sampled.join(F.broadcast(sizes), "row_status")  # five classes at most
 
 

@@ -1,9 +1,9 @@
 """Whole-table numbering and neighbours without a single-task window.
 
-A window without PARTITION BY runs on one task. Here the table is cut into value ranges whose
-bounds are quantiles of the ordering column. The bounds are a value inside the plan (a scalar
-subquery), so the range of a row is a plain function of the row and does not change when a lost
-task runs again.
+A window without PARTITION BY runs on one task. Here the table is range-partitioned by the ordering column,
+sorted inside each range, and written once with the number of its range and the row's place in it. Everything
+else is a summary with one row per range. There are as many ranges as the session has shuffle partitions,
+so they grow with the cluster; a lost executor repeats a range before the write is committed.
 """
 
 from __future__ import annotations
@@ -14,41 +14,32 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-FEWEST, MOST = 64, 1024
+from marketloom.session import written
 
 
-def range_count(df: DataFrame, ranges: int | None = None) -> int:
-    """Number of ranges: as many as the session has shuffle partitions, within bounds."""
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return ranges or min(MOST, max(FEWEST, partitions))
-
-
-def with_range(df: DataFrame, column: str, ranges: int) -> DataFrame:
-    """Add ``_range``: the quantile range that a row's ``column`` falls into, 0 … ``ranges - 1``;
-    NULLs come last."""
-    cuts = [F.lit(i / ranges) for i in range(1, ranges)]
-    bounds = df.agg(F.percentile_approx(column, F.array(*cuts), F.lit(ranges * 100))).scalar()
-    below = F.size(F.filter(F.col("_bounds"), lambda b: b < F.col(column)))
-    number = F.when(F.col(column).isNull(), F.lit(ranges)).otherwise(below)
-    return df.withColumn("_bounds", bounds).withColumn("_range", number).drop("_bounds")
+def in_ranges(df: DataFrame, column: str, ranges: int | None = None) -> DataFrame:
+    """``df`` sorted into ranges of ``column`` (NULLs last), with ``_range`` and ``_place`` (from 0 in each range).
+    Rows with equal values are told apart by their hash, so a repeated value spreads over ranges."""
+    order = [F.asc_nulls_last(column), F.xxhash64(*[F.col(c) for c in df.columns])]
+    dealt = df.repartitionByRange(ranges, *order) if ranges else df.repartitionByRange(*order)
+    # The id counts the rows of a task from 0 below its 33rd bit, in the order of the sort.
+    row_id = F.monotonically_increasing_id()
+    placed = dealt.sortWithinPartitions(*order).select("*", row_id.alias("_row_id"))
+    split = placed.selectExpr("* EXCEPT (_row_id)", "shiftright(_row_id, 33) AS _range", f"_row_id & {(1 << 33) - 1}L AS _place")
+    return written(split, "ranges")
 
 
 def global_row_number(df: DataFrame, order_by: str, name: str, ranges: int | None = None) -> DataFrame:
-    """``row_number() over (order by order_by)`` for a column whose values are (nearly) unique.
-
-    Rows are numbered inside each range, and the size of the ranges below is added: the
-    offsets are at most ``ranges + 1`` rows.
-    """
-    ranged = with_range(df, order_by, range_count(df, ranges))
+    """``row_number() over (order by order_by)``: the place in the range and the size of the ranges below it.
+    Rows with equal values are numbered in any order."""
+    ranged = in_ranges(df, order_by, ranges)
     sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy("_range").orderBy(F.asc_nulls_last(order_by))
-    numbered = ranged.withColumn(name, F.row_number().over(inside))
     return (
-        numbered.join(F.broadcast(offsets), "_range")  # at most ranges + 1 rows
-        .withColumn(name, F.col(name) + F.col("_offset"))
-        .drop("_range", "_offset")
+        ranged.join(F.broadcast(offsets), "_range")  # one row for each range
+        .withColumn(name, F.col("_place") + F.col("_offset") + 1)
+        .drop("_range", "_place", "_offset")
     )
 
 
@@ -82,7 +73,7 @@ def _with_neighbour(
     distinct: DataFrame, column: str, name: str, partition_by: Sequence[str], ranges: int | None, forward: bool
 ) -> DataFrame:
     group = [*partition_by, "_range"]
-    ranged = with_range(distinct, column, range_count(distinct, ranges))
+    ranged = in_ranges(distinct, column, ranges)
     step, edge = (F.lead, F.min) if forward else (F.lag, F.max)
     inside = Window.partitionBy(*group).orderBy(F.asc_nulls_last(column))
     across = Window.partitionBy(*partition_by).orderBy("_range")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marketloom.session import written
+from marketloom.sources.commits import Commits
 
 
 class SchemaDrift(ValueError):
@@ -73,11 +76,15 @@ def since_last(source: DataFrame, target: DataFrame, source_column: str, target_
 
 
 class KeyedTable:
-    """A Parquet folder partitioned by one column and maintained by upserts.
+    """A Parquet table partitioned by one column and maintained by upserts.
 
-    An upsert rewrites only the partitions that hold a matched or an updated row. The updates
-    and the new content of those partitions are first written to the shared folder, then moved
-    in by a dynamic partition overwrite, so a run that fails half-way can simply be run again.
+    The new content of touched partitions goes to folders of its own; a commit record, written last, names the
+    folder of every partition, the schema, and the caller's mark. A run that fails earlier has changed nothing
+    and can simply be run again, and readers of the previous record are not disturbed. Folders no record
+    names any more are left to a retention rule.
+
+    ``keys_stay``: a key never changes its partition, for instance because the partition column follows from the
+    key. Matching then reads the partitions of the updates only, instead of the keys of the whole table.
     """
 
     def __init__(
@@ -89,6 +96,7 @@ class KeyedTable:
         partition_type: str = "date",
         on_schema_change: str = "fail",
         sort_by: Sequence[str] = (),
+        keys_stay: bool = False,
     ):
         self.spark = spark
         self.path = path.rstrip("/")
@@ -97,52 +105,77 @@ class KeyedTable:
         self.partition_type = partition_type
         self.on_schema_change = on_schema_change
         self.sort_by = list(sort_by)
-
-    def _folder(self, path: str):
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return folder, folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        self.keys_stay = keys_stay
+        self._commits = Commits(spark, self.path)
 
     def exists(self) -> bool:
-        folder, files = self._folder(self.path)
-        return files.exists(folder)
+        return self._commits.latest() is not None
 
-    def read(self) -> DataFrame:
-        stored = self.spark.read.option("mergeSchema", self.on_schema_change != "fail").parquet(self.path)
-        return stored.withColumn(self.partition, F.col(self.partition).cast(self.partition_type))
+    def mark(self) -> str | None:
+        """What the last committed upsert left as its mark."""
+        return (self._commits.latest() or {}).get("mark")
 
-    def _write(self, df: DataFrame) -> None:
-        # Rows of one partition value stay together, a heavy one spreads over several files.
-        out = df.repartitionByRange(self.partition, *(self.sort_by or self.keys))
-        if self.sort_by:
-            out = out.sortWithinPartitions(self.partition, *self.sort_by)
-        writer = out.write.mode("overwrite").partitionBy(self.partition)
-        writer.option("partitionOverwriteMode", "dynamic").parquet(self.path)
+    def _slot(self) -> Column:
+        """Folder name of a partition value; hexadecimal digits need no escaping in any store."""
+        return F.coalesce(F.hex(F.col(self.partition).cast("string")), F.lit("null"))
+
+    def _slots(self, df: DataFrame) -> set[str]:
+        """Distinct partitions of ``df``: at most one per folder of the table."""
+        return {row[0] for row in df.select(self._slot().alias("slot")).distinct().collect()}
 
-    def upsert(self, updates: DataFrame, target_where: str | None = None) -> None:
-        """Apply ``updates`` once. ``target_where`` bounds the part of the table that can match."""
+    def _of(self, record: dict, slots: set[str]) -> DataFrame:
+        """The rows of some partitions, read from their folders only, with the schema of the record."""
+        schema = T.StructType.fromJson(record["schema"])
+        folders = [f"{self.path}/{record['folders'][s]}" for s in sorted(slots & record["folders"].keys())]
+        if not folders:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*folders)
+
+    def read(self) -> DataFrame:
+        record = self._commits.latest()
+        if record is None:
+            raise FileNotFoundError(f"nothing committed below {self.path}")
+        return self._of(record, set(record["folders"]))
+
+    def _write(self, df: DataFrame) -> dict[str, str]:
+        """Write rows to a new folder; the folder of each partition by its slot."""
+        run = f"data/{uuid.uuid4().hex}"
+        # Rows of one partition stay together, a heavy one spreads over several files.
+        out = df.withColumn("_slot", self._slot()).repartitionByRange("_slot", *(self.sort_by or self.keys))
+        if self.sort_by:
+            out = out.sortWithinPartitions("_slot", *self.sort_by)
+        out.write.partitionBy("_slot").parquet(f"{self.path}/{run}")
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{run}")
+        files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [status.getPath().getName() for status in files.listStatus(folder)]
+        return {n.removeprefix("_slot="): f"{run}/{n}" for n in names if n.startswith("_slot=")}
+
+    def upsert(
+        self,
+        updates: DataFrame,
+        target_where: str | None = None,
+        mark: str | None = None,
+        whole_partitions: bool = False,
+    ) -> None:
+        """Apply ``updates`` once. ``target_where`` bounds the part of the table that can match;
+        ``whole_partitions`` replaces every partition of the updates instead of merging into it."""
+        updates = updates.withColumn(self.partition, F.col(self.partition).cast(self.partition_type))
         updates = written(updates, "updates")
         repeated = repeated_keys(updates, self.keys).limit(1).collect()
         if repeated:
             raise ValueError(f"updates hold more than one row for key {repeated[0].asDict()}")
-        if not self.exists():
-            self._write(updates)
-            return
-        target = self.read()
-        candidates = target if target_where is None else target.filter(target_where)
-        matched = candidates.join(updates.select(*self.keys), self.keys, "left_semi").select(self.partition)
-        # Partition values as literals, so that only the folders of touched partitions are read.
-        touched = self._values(matched.unionByName(updates.select(self.partition)))
-        known = [v for v in touched if v is not None]
-        inside = F.col(self.partition).isin(known)
-        rewritten = target.filter(inside | F.col(self.partition).isNull() if None in touched else inside)
-        after = written(merged(rewritten, updates, self.keys, target_where, self.on_schema_change), "merged")
-        emptied = touched - self._values(after)  # all of their rows moved elsewhere
-        self._write(after)
-        for value in emptied:
-            name = "__HIVE_DEFAULT_PARTITION__" if value is None else value
-            folder, files = self._folder(f"{self.path}/{self.partition}={name}")
-            files.delete(folder, True)
-
-    def _values(self, df: DataFrame) -> set:
-        """Distinct partition values: at most one per folder of the table."""
-        return {row[0] for row in df.select(self.partition).distinct().collect()}
+        record, after, touched = self._commits.latest(), updates, set()
+        if record is not None:
+            touched = self._slots(updates)
+            target = self._of(record, touched if self.keys_stay or whole_partitions else set(record["folders"]))
+            reconciled = reconcile(target, updates, self.on_schema_change)
+            if whole_partitions:
+                after = reconciled[1]
+            else:
+                candidates = target if target_where is None else target.filter(target_where)
+                if not self.keys_stay:
+                    touched |= self._slots(candidates.join(updates.select(*self.keys), self.keys, "left_semi"))
+                after = merged(self._of(record, touched), updates, self.keys, target_where, self.on_schema_change)
+        kept = {} if record is None else {s: f for s, f in record["folders"].items() if s not in touched}
+        folders = kept | self._write(after)
+        self._commits.add({"folders": folders, "schema": after.schema.jsonValue(), "mark": mark})

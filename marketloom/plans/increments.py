@@ -1,14 +1,16 @@
 """Incremental runs: which rows a run recomputes, given what the table already holds.
 
-Every function returns the rows to upsert. Any split of the source into runs, and any rerun,
-ends in the table a full build gives.
+Every function returns the rows to upsert. Orders are followed by the load times of all their parts: an
+order whose line or return arrives later is built again, and so is its store day, campaign day or month. Any
+split of the source by load time into runs, and any rerun, ends in the table a full build gives.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.operators.upsert import since_last
@@ -18,6 +20,7 @@ from marketloom.plans.finance import revenue_daily
 from marketloom.plans.marketing import campaign_performance, channel_attribution
 
 LOOKBACK_DAYS = 3
+ORDER_TABLES = ("raw_orders", "raw_order_items", "raw_returns")
 
 
 def high_water(target: DataFrame, column: str) -> dt.date | dt.datetime | None:
@@ -46,9 +49,33 @@ def _with_orders(inputs: Inputs, recent: DataFrame) -> Inputs:
     }
 
 
-def orders_increment(inputs: Inputs, as_of: dt.date, target: DataFrame, lookback_days: int = LOOKBACK_DAYS) -> DataFrame:
-    """Orders loaded since the table's newest load, less the look-back."""
-    recent = since_last(inputs["raw_orders"], target, "_loaded_at", "_loaded_at", lookback_days)
+def affected_orders(inputs: Inputs, cutoff: Column) -> DataFrame:
+    """Ids of orders that were loaded, or had a line or return loaded, at or after the cutoff (all if it is NULL)."""
+    loaded = [inputs[name].filter(cutoff.isNull() | (F.col("_loaded_at") >= cutoff)) for name in ORDER_TABLES]
+    return reduce(DataFrame.unionByName, [df.select("order_id") for df in loaded]).distinct()
+
+
+def _only(df: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose values of the columns of ``keys`` are among them; NULLs meet."""
+    renamed = keys.withColumnsRenamed({c: f"_only_{c}" for c in keys.columns})
+    met = [F.col(c).eqNullSafe(F.col(f"_only_{c}")) for c in keys.columns]
+    return df.join(renamed, reduce(Column.__and__, met), "left_semi")
+
+
+def _since(loaded_since: dt.date, lookback_days: int) -> Column:
+    return F.lit(loaded_since - dt.timedelta(days=lookback_days)).cast("timestamp")
+
+
+def orders_increment(
+    inputs: Inputs, as_of: dt.date, target: DataFrame, lookback_days: int = LOOKBACK_DAYS, loaded_since: dt.date | None = None
+) -> DataFrame:
+    """Orders that were loaded, or had lines or returns loaded, since the last run (``loaded_since``; without it, since
+    the newest load in the table), less the look-back."""
+    if loaded_since is None:
+        cutoff = target.agg(F.max("_loaded_at")).scalar() - F.expr(f"interval {int(lookback_days)} days")
+    else:
+        cutoff = _since(loaded_since, lookback_days)
+    recent = _only(inputs["raw_orders"], affected_orders(inputs, cutoff))
     return fct_orders(_with_orders(inputs, recent), as_of)
 
 
@@ -79,10 +106,21 @@ def _first_day_again(target: DataFrame, column: str, lookback_days: int, strictl
 
 
 def revenue_daily_increment(
-    inputs: Inputs, as_of: dt.date, target: DataFrame, lookback_days: int = LOOKBACK_DAYS, strictly_after: bool = False
+    inputs: Inputs,
+    as_of: dt.date,
+    target: DataFrame,
+    lookback_days: int = LOOKBACK_DAYS,
+    strictly_after: bool = False,
+    loaded_since: dt.date | None = None,
 ) -> DataFrame:
-    """Days from the newest one less the look-back. ``strictly_after`` takes only newer days and
-    so loses late orders of days already present."""
+    """Store days to compute again. With ``loaded_since``, the day of the last run: the days of all orders that were
+    loaded, or had lines or returns loaded, since then less the look-back, however old. Without it: days
+    from the newest one less the look-back; ``strictly_after`` takes only newer days and so loses late orders
+    of days already present."""
+    if loaded_since is not None:
+        affected = affected_orders(inputs, _since(loaded_since, lookback_days))
+        days = _only(inputs["raw_orders"], affected).select("order_date", "store_id").distinct()
+        return revenue_daily(_with_orders(inputs, _only(inputs["raw_orders"], days)), as_of)
     start = _first_day_again(target, "revenue_date", lookback_days, strictly_after)
     if start is None:
         return revenue_daily(inputs, as_of)
@@ -94,9 +132,21 @@ def revenue_daily_increment(
 
 
 def campaign_performance_increment(
-    inputs: Inputs, as_of: dt.date, target: DataFrame, lookback_days: int = LOOKBACK_DAYS, strictly_after: bool = False
+    inputs: Inputs,
+    as_of: dt.date,
+    target: DataFrame,
+    lookback_days: int = LOOKBACK_DAYS,
+    strictly_after: bool = False,
+    loaded_since: dt.date | None = None,
 ) -> DataFrame:
-    """As for revenue. The day filter also reaches the orders, whose day is a join key."""
+    """Campaign days to compute again, as for revenue; with ``loaded_since`` those of spend and of orders loaded since.
+    Otherwise the day filter also reaches the orders, whose day is a join key."""
+    if loaded_since is not None:
+        cutoff = _since(loaded_since, lookback_days)
+        spent = inputs["raw_ad_spend"].filter(F.col("_loaded_at") >= cutoff).selectExpr("bigint(campaign_id) AS campaign_id", "spend_date")
+        ordered = _only(inputs["raw_orders"], affected_orders(inputs, cutoff))
+        ordered = ordered.selectExpr("bigint(campaign_id) AS campaign_id", "order_date AS spend_date")
+        return _only(campaign_performance(inputs, as_of), spent.unionByName(ordered).distinct())
     start = _first_day_again(target, "spend_date", lookback_days, strictly_after)
     built = campaign_performance(inputs, as_of)
     return built if start is None else built.filter(f"spend_date >= {day(start)}")
@@ -108,11 +158,22 @@ def inventory_increment(inputs: Inputs, as_of: dt.date, target: DataFrame, openi
     return inventory_daily(inputs, as_of, opening, start)
 
 
-def channel_attribution_increment(inputs: Inputs, as_of: dt.date, target: DataFrame, lookback_days: int = 7) -> DataFrame:
-    """Every month touched by the look-back before the newest month, as a whole."""
-    mark = high_water(target, "order_month")
-    if mark is None:
-        return channel_attribution(inputs, as_of)
-    start = (mark - dt.timedelta(days=lookback_days)).replace(day=1)
-    orders = use(inputs, fct_orders, as_of).filter(f"order_date >= {day(start)}")
+def channel_attribution_increment(
+    inputs: Inputs, as_of: dt.date, target: DataFrame, lookback_days: int = 7, loaded_since: dt.date | None = None
+) -> DataFrame:
+    """Every touched month, as a whole; the months replace those of the table, so a channel that lost
+    its last order of a month goes. With ``loaded_since``: months from the oldest order or event that is affected by a load since
+    then less the look-back. Without it: months from the look-back before the newest month."""
+    if loaded_since is not None:
+        cutoff = _since(loaded_since, lookback_days)
+        days = [_only(inputs["raw_orders"], affected_orders(inputs, cutoff)).select(F.col("order_date").alias("day"))]
+        days += [inputs["raw_events"].filter(F.col("_loaded_at") >= cutoff).select(F.col("event_date").alias("day"))]
+        mark = high_water(days[0].unionByName(days[1]).select((-F.unix_date("day")).alias("day")), "day")
+        start = as_of + dt.timedelta(days=1) if mark is None else dt.date(1970, 1, 1) - dt.timedelta(days=mark)
+    else:
+        mark = high_water(target, "order_month")
+        if mark is None:
+            return channel_attribution(inputs, as_of)
+        start = mark - dt.timedelta(days=lookback_days)
+    orders = use(inputs, fct_orders, as_of).filter(f"order_date >= {day(start.replace(day=1))}")
     return channel_attribution({"fct_orders": orders, "raw_events": inputs["raw_events"]}, as_of)

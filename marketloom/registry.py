@@ -777,17 +777,17 @@ def _register_checks() -> None:
     )
 
     def ranges_sql(source: str, part: str, less: str, gap: str) -> str:
-        over = f"PARTITION BY {part} " if part else ""
-        key = f"{part} AS partition_by_col, " if part else ""
-        return f"""SELECT {key.replace(part + ' AS ', '')} lower_bound{{cast}} AS lower_bound, upper_bound{{cast}} AS upper_bound,
-                          next_lower_bound{{cast}} AS next_lower_bound, has_length, ends_before_next, count(*) AS copies
-            FROM (SELECT *, coalesce(lower_bound {less} upper_bound, false) AS has_length,
-                         coalesce(upper_bound {gap} next_lower_bound, is_last, false) AS ends_before_next
-                  FROM (SELECT {key} lower_bound, upper_bound,
-                               lead(lower_bound) OVER ({over} ORDER BY lower_bound, upper_bound) AS next_lower_bound,
-                               -- the same window, so that of two equal ranges exactly one is the last
-                               lead(true) OVER ({over} ORDER BY lower_bound, upper_bound) IS NULL AS is_last
-                        FROM ({source}))) WHERE NOT (has_length AND ends_before_next) GROUP BY ALL"""
+        """Ranges of a part that are empty or reach the range after them, from numbered ranges and their successors."""
+        part, key = part or "0", "part AS partition_by_col, " if part else ""
+        return f"""SELECT {key}lower_bound{{cast}} AS lower_bound, upper_bound{{cast}} AS upper_bound, next_lower_bound{{cast}} AS next_lower_bound,
+                          has_length, ends_before_next, count(*) AS copies
+            FROM (WITH numbered AS (SELECT *, {part} AS part, row_number() OVER (PARTITION BY {part} ORDER BY lower_bound, upper_bound) AS place
+                                    FROM ({source}))
+                  SELECT here.*, after.lower_bound AS next_lower_bound, ifnull(here.lower_bound {less} here.upper_bound, false) AS has_length,
+                         CASE WHEN after.place IS NULL THEN true ELSE ifnull(here.upper_bound {gap} after.lower_bound, false) END AS ends_before_next
+                  FROM numbered AS here LEFT JOIN numbered AS after
+                    ON here.part IS NOT DISTINCT FROM after.part AND after.place = here.place + 1)
+            WHERE NOT has_length OR NOT ends_before_next GROUP BY ALL"""
 
     register(
         "check_exclusive_ranges",
@@ -880,9 +880,8 @@ def _line_versions(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFra
     return old, new
 
 
-_PATH = """split_part(right(bare, length(bare) - coalesce(nullif(position('/' IN bare), 0), position('?' IN bare) - 1)), '?', 1)""".replace(
-    "bare", "replace(replace(url, 'http://', ''), 'https://', '')"
-)
+# Of a URL with scheme and host, the fourth and further parts between slashes.
+_PATH = "array_to_string(string_split(split_part(url, '?', 1), '/')[4:], '/')"
 _HOST = "split_part(split_part(replace(replace(replace(url, 'android-app://', ''), 'http://', ''), 'https://', ''), '/', 1), '?', 1)"
 
 
@@ -1019,18 +1018,20 @@ def _register_diffs() -> None:
         return f"WITH a AS (SELECT *, {key} AS pk FROM ({a})), b AS (SELECT *, {key} AS pk FROM ({b})), j AS (SELECT a, b, a.pk AS apk, b.pk AS bpk FROM a FULL JOIN b ON a.pk = b.pk)"
 
     def status(c: str) -> str:
-        return f"""SELECT '{c}' AS column_name, CASE WHEN a.{c} = b.{c} THEN '✅: perfect match' WHEN a.{c} IS NULL AND b.{c} IS NULL THEN '✅: both are null'
-            WHEN apk IS NULL THEN '🤷: missing from a' WHEN bpk IS NULL THEN '🤷: missing from b' WHEN a.{c} IS NULL THEN '🤷: value is null in a only'
-            WHEN b.{c} IS NULL THEN '🤷: value is null in b only' ELSE '❌: values do not match' END AS match_status,
-            count(*) AS count_records, round(100.0 * count(*) / sum(count(*)) OVER (), 2)::DOUBLE AS percent_of_total FROM j GROUP BY 1, 2"""
+        # The texts are fixed values. A pair's state: equal (two NULLs are), else a missing row, else a NULL, else different.
+        return f"""SELECT '{c}' AS column_name, match_status, count(*) AS count_records,
+                round(100.0 * count(*) / (SELECT count(*) FROM j), 2)::DOUBLE AS percent_of_total
+            FROM (SELECT CASE WHEN a.{c} IS NOT DISTINCT FROM b.{c} THEN '✅: ' || if(a.{c} IS NULL, 'both are null', 'perfect match')
+                              WHEN apk IS NULL OR bpk IS NULL THEN '🤷: missing from ' || if(apk IS NULL, 'a', 'b')
+                              WHEN a.{c} IS NULL OR b.{c} IS NULL THEN '🤷: value is null in ' || if(a.{c} IS NULL, 'a', 'b') || ' only'
+                              ELSE '❌: values do not match' END AS match_status FROM j) GROUP BY 2"""
 
     def flags(c: str) -> str:
-        return f"""SELECT coalesce(apk, bpk) AS primary_key, '{c.upper()}' AS column_name,
-            coalesce(a.{c} = b.{c} AND apk IS NOT NULL AND bpk IS NOT NULL, a.{c} IS NULL AND b.{c} IS NULL, false) AS perfect_match,
-            a.{c} IS NULL AND apk IS NOT NULL AS null_in_a, b.{c} IS NULL AND bpk IS NOT NULL AS null_in_b,
-            apk IS NULL AS missing_from_a, bpk IS NULL AS missing_from_b,
-            coalesce(apk IS NOT NULL AND bpk IS NOT NULL AND (a.{c} <> b.{c} OR (a.{c} IS NOT NULL AND b.{c} IS NULL)
-                     OR (a.{c} IS NULL AND b.{c} IS NOT NULL)), false) AS conflicting_values FROM j"""
+        return f"""SELECT ifnull(apk, bpk) AS primary_key, upper('{c}') AS column_name, paired AND same AS perfect_match,
+                apk IS NOT NULL AND x IS NULL AS null_in_a, bpk IS NOT NULL AND y IS NULL AS null_in_b,
+                apk IS NULL AS missing_from_a, bpk IS NULL AS missing_from_b, paired AND NOT same AS conflicting_values
+            FROM (SELECT apk, bpk, a.{c} AS x, b.{c} AS y, apk IS NOT NULL AND bpk IS NOT NULL AS paired,
+                         a.{c} IS NOT DISTINCT FROM b.{c} AS same FROM j)"""
 
     names = ["perfect_match", "null_in_a", "null_in_b", "missing_from_a", "missing_from_b", "conflicting_values"]
     sums = ", ".join(f"count(*) FILTER ({n}) AS {n}" for n in names)
@@ -1070,7 +1071,7 @@ def _register_diffs() -> None:
     key_sql = "md5(c_custkey::VARCHAR)"
     register(
         "diff_classify",
-        lambda s, d: diff.classify_rows(*customers(s, d), ["c_custkey"], sample_limit=None).drop("copy_number"),
+        lambda s, d: diff.classify_rows(*customers(s, d), ["c_custkey"]).drop("copy_number"),
         f"WITH a AS ({_OLD}), b AS ({_NEW})"
         + classified.format(key=key_sql, cols=", ".join(customer_columns))
         + f"SELECT row_status, {', '.join(customer_columns)}, row_key, in_a, in_b, num_rows_in_status FROM"
@@ -1078,7 +1079,7 @@ def _register_diffs() -> None:
     )
     register(
         "diff_classify_sample",
-        lambda s, d: diff.classify_rows(*customers(s, d), ["c_custkey"]).drop("copy_number"),
+        lambda s, d: diff.classify_rows(*customers(s, d), ["c_custkey"], sample_limit=20).drop("copy_number"),
         f"WITH a AS ({_OLD}), b AS ({_NEW})"
         + classified.format(key=key_sql, cols=", ".join(customer_columns))
         + f"SELECT row_status, {', '.join(customer_columns)}, row_key, a = 1 AS in_a, b = 1 AS in_b, sample_number, num_rows_in_status FROM"
@@ -1088,7 +1089,7 @@ def _register_diffs() -> None:
     line_cols = ", ".join(line_columns)
     register(
         "diff_classify_lines",
-        lambda s, d: diff.classify_rows(*lines(s, d), ["l_orderkey", "l_linenumber"], sample_limit=None).select(
+        lambda s, d: diff.classify_rows(*lines(s, d), ["l_orderkey", "l_linenumber"]).select(
             "row_status", *line_columns, "in_a", "in_b", "num_rows_in_status"
         ),
         f"WITH a AS ({_LINES}), b AS ({_LINES_NEW})"
@@ -1138,7 +1139,7 @@ def _register_diffs() -> None:
 
     register(
         "diff_common_period",
-        lambda s, d: diff.classify_rows(*order_versions(s, d), ["o_orderkey"], event_time="o_orderdate", sample_limit=None)
+        lambda s, d: diff.classify_rows(*order_versions(s, d), ["o_orderkey"], event_time="o_orderdate")
         .groupBy("row_status", "num_rows_in_status", "in_a", "in_b")
         .agg(F.expr("count(*) AS rows"), F.expr("min(o_orderdate) AS first_day"), F.expr("max(o_orderdate) AS last_day")),
         """WITH x AS (SELECT * FROM orders WHERE o_orderdate < TIMESTAMP '2000-06-01'), y AS (SELECT * FROM orders WHERE o_orderdate >= TIMESTAMP '1996-03-01'),
@@ -1162,38 +1163,38 @@ def _in_steps(
     cuts: list[str],
     visible: Callable[[sample_retail.LazyInputs, str], None],
     full: Callable[[sample_retail.LazyInputs], DataFrame],
-    increment: Callable[[sample_retail.LazyInputs, DataFrame], DataFrame],
+    increment: Callable[[sample_retail.LazyInputs, DataFrame, dt.date | None], DataFrame],
     make: Callable[[SparkSession, str], sample_retail.LazyInputs] = sample_retail.retail_inputs,
     target_where: str | None = None,
+    keys_stay: bool = True,
+    whole_partitions: bool = False,
 ) -> Query:
-    """Build a table in several runs, each seeing more of the source than the one before."""
+    """Build a table in several runs, each seeing more of the source than the one before; a run
+    knows the day of the last one from the table's mark."""
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        table = KeyedTable(spark, fresh_path(spark, name), keys, partition)
+        table = KeyedTable(spark, fresh_path(spark, name), keys, partition, keys_stay=keys_stay)
         for cut in cuts:
             inputs = make(spark, folder)
             visible(inputs, cut)
-            if table.exists():
-                table.upsert(increment(inputs, table.read()), target_where)
-            else:
-                table.upsert(full(inputs))
+            since = table.mark() and dt.date.fromisoformat(table.mark())
+            rows = increment(inputs, table.read(), since) if table.exists() else full(inputs)
+            table.upsert(rows, target_where, mark=cut, whole_partitions=whole_partitions)
         return table.read()
 
     return run
 
 
 def _loaded_before(inputs: sample_retail.LazyInputs, cut: str) -> None:
-    inputs["raw_orders"] = inputs["raw_orders"].filter(f"_loaded_at < DATE'{cut}'")
+    """Of every table that carries load times, what was loaded before a day."""
+    for name in (*increments.ORDER_TABLES, "raw_ad_spend", "raw_events"):
+        inputs[name] = inputs[name].filter(f"_loaded_at < DATE'{cut}'")
 
 
 def _ordered_before(inputs: sample_retail.LazyInputs, cut: str) -> None:
     inputs["raw_orders"] = inputs["raw_orders"].filter(f"order_date < DATE'{cut}'")
 
 
-def _spent_before(inputs: sample_retail.LazyInputs, cut: str) -> None:
-    inputs["raw_ad_spend"] = inputs["raw_ad_spend"].filter(f"spend_date < DATE'{cut}'")
-
-
 def _opening_stock(inputs: sample_retail.LazyInputs) -> DataFrame:
     """Stock at the start: what was ever sold of the product in the store, and some spare units."""
     sold = core.inventory_movements(inputs, AS_OF).groupBy("product_id", "store_id")
@@ -1255,12 +1256,14 @@ _VERSION_COLUMNS = """customer_id, full_name, customer_segment, customer_lifecyc
 
 
 def _stream_orders(spark: SparkSession, folder: str) -> DataFrame:
-    """Event purchases arriving as a stream, upserted per customer: the latest purchase wins."""
-    events = flows.read_stream(spark, f"{folder}/[e]vents.parquet", sample_retail.SOURCES["events"])
-    bought = events.filter("event_type = 'purchase'").selectExpr(
-        "user_id", "event_id", "ts", "value", "date(trunc(ts, 'month')) AS month"
-    )
-    table = KeyedTable(spark, fresh_path(spark, "latest_purchase"), ["user_id"], "month")
+    """Event purchases arriving as a stream, upserted per customer: the latest purchase wins. They arrive in
+    four batches that run against the order of time."""
+    events = given("events")(spark, folder).filter("event_type = 'purchase'").selectExpr("user_id", "event_id", "ts", "value", "user_id % 16 AS bucket")
+    arrivals = fresh_path(spark, "arrivals")
+    for day_of_four in (3, 0, 2, 1):
+        events.filter(f"dayofyear(ts) % 4 = {day_of_four}").coalesce(1).write.mode("append").parquet(arrivals)
+    bought = flows.read_stream(spark, arrivals, ", ".join(f"{n} {t}" for n, t in events.dtypes), files_per_trigger=1)
+    table = KeyedTable(spark, fresh_path(spark, "latest_purchase"), ["user_id"], "bucket", "bigint", keys_stay=True)
     flows.upsert_stream(bought, table, ["ts", "event_id"], fresh_path(spark, "offsets")).awaitTermination()
     return table.read().select("user_id", "event_id", "value")
 
@@ -1306,7 +1309,7 @@ def _register_maintenance() -> None:
         f"""{after} SELECT *, NULL::BOOLEAN AS in_credit FROM a WHERE c_custkey NOT IN (SELECT c_custkey FROM u)
             UNION ALL SELECT c_custkey, NULL AS c_name, c_nationkey, c_acctbal, c_mktsegment, c_acctbal > 0 FROM u""",
     )
-    cuts = ["1999-01-01", "2001-02-01", "2002-01-01"]
+    cuts = ["1998-06-01", "2000-01-20", "2001-02-01", "2001-02-01", "2100-01-01"]
     register(
         "incremental_orders",
         lambda s, d: _in_steps(
@@ -1316,7 +1319,8 @@ def _register_maintenance() -> None:
             cuts,
             _loaded_before,
             lambda i: core.fct_orders(i, AS_OF),
-            lambda i, target: increments.orders_increment(i, AS_OF, target),
+            lambda i, target, since: increments.orders_increment(i, AS_OF, target, loaded_since=since),
+            keys_stay=False,
         )(s, d).drop("ordered_at"),
         ORACLES["fct_orders"],
     )
@@ -1326,13 +1330,14 @@ def _register_maintenance() -> None:
             "store_performance",
             ["store_id", "order_date"],
             "order_date",
-            ["2001-07-20", "2001-08-03"],
+            ["1998-03-01", "2001-07-20", "2001-08-03"],
             lambda i, cut: _ordered_before(i, cut),
-            lambda i: core.store_performance(i, dt.date(2001, 7, 20), dt.date(2001, 6, 1)),
-            lambda i, target: increments.store_performance_increment(i, AS_OF, target, dt.date(2001, 6, 1)),
-            target_where="order_date >= DATE'2001-07-10'",
+            lambda i: core.store_performance(i, dt.date(1998, 2, 28), FIRST),
+            lambda i, target, since: increments.store_performance_increment(
+                i, AS_OF if since >= dt.date(2001, 7, 20) else dt.date(2001, 7, 19), target, FIRST
+            ),
         ),
-        ORACLES["store_performance"] + " WHERE order_date >= DATE '2001-06-01'",
+        ORACLES["store_performance"],
     )
     register(
         "incremental_revenue_daily",
@@ -1340,10 +1345,10 @@ def _register_maintenance() -> None:
             "revenue_daily",
             ["revenue_date", "store_id"],
             "order_month",
-            ["2000-03-10", "2002-01-01"],
-            _ordered_before,
+            cuts,
+            _loaded_before,
             lambda i: finance.revenue_daily(i, AS_OF),
-            lambda i, target: increments.revenue_daily_increment(i, AS_OF, target),
+            lambda i, target, since: increments.revenue_daily_increment(i, AS_OF, target, loaded_since=since),
         ),
         ORACLES["revenue_daily"],
     )
@@ -1353,10 +1358,10 @@ def _register_maintenance() -> None:
             "campaign_performance",
             ["campaign_id", "spend_date"],
             "spend_month",
-            ["2000-03-10", "2002-01-01"],
-            _spent_before,
+            ["2000-03-10", "2001-02-01", "2100-01-01"],
+            _loaded_before,
             lambda i: marketing.campaign_performance(i, AS_OF),
-            lambda i, target: increments.campaign_performance_increment(i, AS_OF, target),
+            lambda i, target, since: increments.campaign_performance_increment(i, AS_OF, target, loaded_since=since),
         ),
         ORACLES["campaign_performance"],
     )
@@ -1366,11 +1371,12 @@ def _register_maintenance() -> None:
             "channel_attribution",
             ["attributed_channel", "order_month"],
             "order_month",
-            ["2024-01-20", "2024-03-01"],
-            _ordered_before,
+            ["2024-01-20", "2024-01-25", "2100-01-01"],
+            _loaded_before,
             lambda i: marketing.channel_attribution(i, AS_OF),
-            lambda i, target: increments.channel_attribution_increment(i, AS_OF, target),
+            lambda i, target, since: increments.channel_attribution_increment(i, AS_OF, target, loaded_since=since),
             make=sample_retail.web_inputs,
+            whole_partitions=True,
         ),
         ORACLES["channel_attribution"],
     )
@@ -1378,14 +1384,15 @@ def _register_maintenance() -> None:
     def items_in_steps(spark: SparkSession, folder: str) -> DataFrame:
         orders = KeyedTable(spark, fresh_path(spark, "fct_orders"), ["order_id"], "order_month")
         items = KeyedTable(spark, fresh_path(spark, "fct_order_items"), ["order_item_id"], "order_month", sort_by=["order_id"])
-        for run, cut in ((dt.date(2001, 2, 1), "2001-02-01"), (AS_OF, "2002-01-01")):
+        for run, cut in ((dt.date(2000, 1, 20), "2000-01-20"), (dt.date(2001, 2, 1), "2001-02-01"), (AS_OF, "2100-01-01")):
             inputs = sample_retail.retail_inputs(spark, folder)
             _loaded_before(inputs, cut)
             if orders.exists():
-                orders.upsert(increments.orders_increment(inputs, run, orders.read()))
+                since = dt.date.fromisoformat(orders.mark())
+                orders.upsert(increments.orders_increment(inputs, run, orders.read(), loaded_since=since), mark=cut)
                 items.upsert(increments.order_items_increment(inputs, run, items.read(), orders.read()))
             else:
-                orders.upsert(core.fct_orders(inputs, run))
+                orders.upsert(core.fct_orders(inputs, run), mark=cut)
                 items.upsert(core.fct_order_items(replaced(inputs, fct_orders=orders.read()), run))
         return items.read()
 

@@ -28,7 +28,7 @@ SETTINGS = {
 
 def shuffle_partitions(shuffled_bytes: int) -> int:
     """Partitions of about 200 MB for the largest expected shuffle; AQE merges the small ones."""
-    return min(100_000, max(200, math.ceil(shuffled_bytes / (200 << 20))))
+    return max(200, math.ceil(shuffled_bytes / (200 << 20)))
 
 
 def build_session(
@@ -66,19 +66,16 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    A local master without the setting gets a fresh temporary folder; a cluster without it is
-    an error, because a machine-local folder would not survive the loss of its machine.
+    Without the setting a local master gets a new temporary folder; elsewhere it is an error, because a
+    machine-local folder would not survive the loss of its machine.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir"
-    )
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="marketloom-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="marketloom-"))
+    return spark.conf.get("spark.checkpoint.dir")
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:

@@ -166,7 +166,9 @@ def raw_order_items(t) -> DataFrame:
     return _typed(
         _priced(t("lineitem")).selectExpr("*", f"{copy} AS copy"),
         "raw_order_items",
-        order_item_id="(l_orderkey * 8 + l_linenumber) * 1000000 + copy",
+        # Beyond these bounds ids would repeat, so that is an error.
+        order_item_id="""if(l_linenumber BETWEEN 0 AND 7 AND copy < 1000000, (l_orderkey * 8 + l_linenumber) * 1000000 + copy,
+                           bigint(raise_error('line or copy number beyond the range of order_item_id')))""",
         order_id="l_orderkey",
         product_id="l_partkey",
         quantity="l_quantity",

@@ -6,6 +6,7 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+from marketloom.sources.commits import Commits
 from marketloom.sources.schemas import ALL
 
 
@@ -47,30 +48,23 @@ def clustered(df: DataFrame, keys: Sequence[str], files: int | None = None) -> D
 
 
 class PublishedTable:
-    """A full-refresh table: every refresh is a new folder, and a pointer names the current one.
+    """A full-refresh table: every refresh is a new folder, and a commit record names the current one.
 
-    Readers holding the previous folder are not disturbed, and a failed refresh changes nothing.
+    Readers holding the previous folder are not disturbed, and a refresh that fails at any point
+    before its record is in place changes nothing.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path.rstrip("/")
-        jvm = spark._jvm
-        self._pointer = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_current")
-        self._next = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_current.next")
-        self._fs = self._pointer.getFileSystem(spark._jsc.hadoopConfiguration())
+        self._commits = Commits(spark, self.path)
 
     def exists(self) -> bool:
-        return self._fs.exists(self._pointer)
+        return self.version() is not None
 
     def version(self) -> str | None:
-        if not self.exists():
-            return None
-        stream = self._fs.open(self._pointer)
-        try:
-            return stream.readUTF()
-        finally:
-            stream.close()
+        record = self._commits.latest()
+        return record and record["version"]
 
     def read(self) -> DataFrame:
         version = self.version()
@@ -79,16 +73,11 @@ class PublishedTable:
         return self.spark.read.parquet(f"{self.path}/{version}")
 
     def publish(self, df: DataFrame, version: str, cluster_by: Sequence[str] = ()) -> DataFrame:
-        """Write ``df`` as ``version`` and switch the pointer. The same version may be rewritten
+        """Write ``df`` as ``version`` and make it current. The same version may be rewritten
         after a failed run, never once it is current."""
         if version == self.version():
             raise ValueError(f"version {version!r} is already published")
         out = clustered(df, cluster_by) if cluster_by else df
         out.write.mode("overwrite").parquet(f"{self.path}/{version}")
-        stream = self._fs.create(self._next, True)
-        stream.writeUTF(version)
-        stream.close()
-        if self.exists():
-            self._fs.delete(self._pointer, False)
-        self._fs.rename(self._next, self._pointer)
+        self._commits.add({"version": version})
         return self.read()

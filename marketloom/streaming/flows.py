@@ -27,11 +27,17 @@ def upsert_stream(
     checkpoint: str,
     transform: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> StreamingQuery:
-    """Upsert every micro-batch by key. Inside a batch the newest row of a key wins; a batch that is
-    delivered again writes the same rows again."""
+    """Upsert every micro-batch by key: the newest row of a key wins, within a batch and against the
+    stored row, by the columns ``newest_first`` (which the table has). Of rows that are equally new, the one
+    that came last stays; a batch that is delivered again writes the same rows again."""
 
     def apply(batch: DataFrame, _: int) -> None:
         latest = deduplicate(transform(batch), table.keys, [F.desc(c) for c in newest_first])
+        if table.exists():
+            order = [F.col(c) for c in newest_first]
+            stored = table.read().select(*table.keys, F.struct(*order).alias("_stored"))
+            both = latest.withColumn("_arrived", F.struct(*order)).join(stored, table.keys, "left")
+            latest = both.filter("_stored IS NULL OR _arrived >= _stored").select(*latest.columns)
         table.upsert(latest)
 
     return rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,8 +11,8 @@ from tests.conftest import rows
 
 
 def test_date_spine_excludes_its_end(spark):
-    got = rows(shape.date_spine(spark, "day", "2018-01-01", "2018-01-10"))
-    assert got == [(dt.date(2018, 1, d),) for d in range(1, 10)]
+    leap = rows(shape.date_spine(spark, "day", "2024-02-27", "2024-03-02"))
+    assert [d[0].isoformat()[5:] for d in leap] == ["02-27", "02-28", "02-29", "03-01"]
     months = rows(shape.date_spine(spark, "month", "2026-01-31", "2026-05-01"))
     assert [m[0].month for m in months] == [1, 2, 3, 4]
     assert shape.date_spine(spark, "week", "2026-01-01", "2026-01-29").count() == 4
@@ -21,91 +22,92 @@ def test_date_spine_excludes_its_end(spark):
 
 
 def test_generate_series(spark):
-    assert rows(shape.generate_series(spark, 10)) == [(i,) for i in range(1, 11)]
+    for n in (0, 1, 37):
+        assert rows(shape.generate_series(spark, n)) == [(i,) for i in range(1, n + 1)]
 
 
 def test_surrogate_key(table):
-    df = table("a string, b string, c string", ("a", "b", "c"), ("a", None, "c"), (None, None, "c"), (None, None, None))
-    one = shape.with_surrogate_key(df, ["a"], "k").select("k").collect()
-    every = shape.with_surrogate_key(df, ["a", "b", "c"], "k").select("k").collect()
-    assert [r.k for r in one] == ["0cc175b9c0f1b6a831c399e269772661"] * 2 + ["f14cc5cdce0420f4a5a6b6d9d7b85f39"] * 2
-    assert [r.k for r in every] == [
-        "7b193b3d33184464106f41ddf733783b",
-        "4f32a73dc87b7bbb7a654d8898d58c7e",
-        "d9c538b129f1a3ad6ecfe55345c32a05",
-        "2fa5491950d66d153d23cfbcfea4e164",
-    ]
-    empty = shape.with_surrogate_key(df, ["a", "b"], "k", nulls_as_empty=True).select("k").collect()
-    assert empty[2].k == empty[3].k
+    values = [("oak", "elm"), ("oak", None), (None, "elm"), (None, None), ("", "elm"), ("oak-elm", "")]
+    df = table("left_tree string, right_tree string", *values)
+
+    def digest(*parts):
+        return hashlib.md5("-".join(fx.NULL_KEY_TOKEN if p is None else p for p in parts).encode()).hexdigest()
+
+    both = shape.with_surrogate_key(df, ["left_tree", "right_tree"], "k").collect()
+    assert [r.k for r in both] == [digest(*v) for v in values] and len({r.k for r in both}) == len(values)
+    one = shape.with_surrogate_key(df, ["right_tree"], "k").collect()
+    assert [r.k for r in one] == [digest(v[1]) for v in values]
+    empty = shape.with_surrogate_key(df, ["left_tree", "right_tree"], "k", nulls_as_empty=True).collect()
+    assert empty[2].k == empty[4].k != both[2].k
 
 
 def test_deduplicate(table):
-    df = table("user_id long, event string, version long", (1, "play", 1), (1, "play", 2), (2, "pause", 1))
-    assert rows(shape.deduplicate(df, ["user_id"], [F.desc("version")])) == [(1, "play", 2), (2, "pause", 1)]
+    df = table("sensor string, reading double, taken long", ("n", 0.5, 8), ("n", 0.7, 31), ("s", 0.1, 2), ("n", 0.6, 30), (None, 0.9, 1))
+    assert rows(shape.deduplicate(df, ["sensor"], [F.desc("taken")])) == [(None, 0.9, 1), ("n", 0.7, 31), ("s", 0.1, 2)]
 
 
 def test_pivot(table):
-    df = table("size string, color string", ("S", "red"), ("S", "blue"), ("S", "blue's"), ("M", "red"))
-    got = shape.pivot(df, ["size"], "color", ["red", "blue", "blue's"])
-    assert got.columns == ["size", "red", "blue", "blue's"]
-    assert rows(got) == [("M", 1, 0, 0), ("S", 1, 1, 1)]
-    others = shape.pivot(df, ["size"], "color", ["red"], cmp="!=", prefix="not_", suffix="_n", else_value=None, agg="count")
-    assert rows(others) == [("M", 0), ("S", 2)]
+    df = table("port string, cargo string", ("Oslo", "fish"), ("Oslo", "fish"), ("Oslo", "ship's oil"), ("Bergen", "wood"), ("Bergen", None))
+    got = shape.pivot(df, ["port"], "cargo", ["fish", "wood", "ship's oil"])
+    assert got.columns == ["port", "fish", "wood", "ship's oil"]
+    assert rows(got) == [("Bergen", 0, 1, 0), ("Oslo", 2, 0, 1)]
+    others = shape.pivot(df, ["port"], "cargo", ["fish"], cmp="!=", prefix="no_", suffix="_rows", else_value=None, agg="count")
+    assert others.columns == ["port", "no_fish_rows"] and rows(others) == [("Bergen", 1), ("Oslo", 1)]
 
 
 def test_unpivot(table):
     df = table(
-        "Customer_Id long, created_at date, status string, segment string, is_updated boolean",
-        (123, dt.date(2017, 1, 1), "active", "tier 1", True),
-        (567, dt.date(2017, 3, 1), "churned", "tier 2", None),
+        "Boat_Id long, built date, rig string, crew long, is_racing boolean",
+        (7, dt.date(1988, 6, 30), "sloop", 4, None),
+        (9, dt.date(2003, 9, 9), None, 11, False),
     )
-    got = shape.unpivot(df, ["customer_id"], ["CREATED_AT"], field_name="prop", value_name="val")
-    assert got.columns == ["Customer_Id", "prop", "val"]
-    assert rows(got) == sorted(
-        [(123, "status", "active"), (123, "segment", "tier 1"), (123, "is_updated", "true"), (567, "status", "churned"),
-         (567, "segment", "tier 2"), (567, "is_updated", None)], key=lambda r: (r[0], r[1]),
-    )
+    got = shape.unpivot(df, ["boat_id"], ["BUILT"], field_name="what", value_name="worth")
+    assert got.columns == ["Boat_Id", "what", "worth"]
+    assert rows(got) == [
+        (7, "crew", "4"), (7, "is_racing", None), (7, "rig", "sloop"), (9, "crew", "11"), (9, "is_racing", "false"), (9, "rig", None)
+    ]
 
 
 def test_union_tables(table):
-    a = table("id long, name string, favorite_number string", (1, "drew", "pi"), (2, "bob", "e"), (3, "alice", "4"))
-    b = table("id long, favorite_color string, favorite_number long", (1, "green", 7), (2, "pink", 13))
-    got = shape.union_tables({"a": a, "b": b})
-    assert got.columns == ["source_table", "id", "name", "favorite_number", "favorite_color"]
-    assert rows(got, "id", "name", "favorite_color", "favorite_number") == [
-        (1, None, "green", "7"), (1, "drew", None, "pi"), (2, None, "pink", "13"), (2, "bob", None, "e"), (3, "alice", None, "4")
+    a = table("code long, city string, score string", (11, "Kyoto", "high"), (12, "Lima", "3"))
+    b = table("code long, river string, score long", (12, "Rimac", 40), (13, None, 41))
+    got = shape.union_tables({"first": a, "second": b})
+    assert got.columns == ["source_table", "code", "city", "score", "river"]
+    assert rows(got, "source_table", "code", "city", "score", "river") == [
+        ("first", 11, "Kyoto", "high", None), ("first", 12, "Lima", "3", None), ("second", 12, None, "40", "Rimac"), ("second", 13, None, "41", None)
     ]
-    assert shape.union_tables({"a": a, "b": b}, exclude=["NAME"], source_column=None).columns == ["id", "favorite_number", "favorite_color"]
-    assert shape.union_tables({"a": a, "b": b}, include=["id"], where="id > 1").count() == 3
-    assert dict(shape.union_tables({"a": b}, overrides={"favorite_number": "double"}).dtypes)["favorite_number"] == "double"
-    with pytest.raises(ValueError):
-        shape.union_tables({"a": a}, include=["id"], exclude=["id"])
-    with pytest.raises(ValueError):
-        shape.union_tables({"a": a}, include=["nothing"])
+    assert shape.union_tables({"first": a, "second": b}, exclude=["CITY"], source_column=None).columns == ["code", "score", "river"]
+    assert shape.union_tables({"first": a, "second": b}, include=["code"], where="code > 11").count() == 3
+    assert dict(shape.union_tables({"only": b}, overrides={"score": "double"}).dtypes)["score"] == "double"
+    for wrong in ({"include": ["code"], "exclude": ["code"]}, {"include": ["depth"]}):
+        with pytest.raises(ValueError):
+            shape.union_tables({"first": a}, **wrong)
 
 
 def test_star_and_blanks(table):
-    df = table("field_1 string, field_2 string, n long", ("a", "", 1), ("", "d", 2))
-    assert shape.star(df, ["FIELD_2"]).columns == ["field_1", "n"]
-    assert shape.star(df, prefix="p_", suffix="_s").columns == ["p_field_1_s", "p_field_2_s", "p_n_s"]
-    assert rows(shape.blank_to_null(df)) == [(None, "d", 2), ("a", None, 1)]
+    df = table("Title string, note string, pages long", ("Atlas", "  ", 90), ("", "worn", 12))
+    assert shape.star(df, ["NOTE"]).columns == ["Title", "pages"]
+    assert [c.lower() for c in shape.star(df, prefix="b_", suffix="_x").columns] == ["b_title_x", "b_note_x", "b_pages_x"]
+    assert (None, "worn", 12) in rows(shape.blank_to_null(df))
 
 
 def test_column_values(table):
-    df = table("field string, ok boolean", ("a", True), ("b", True), ("b", False), ("c", False), ("c", True), ("c", True))
-    assert [tuple(r) for r in shape.column_values(df, "field").collect()] == [("c", 3), ("b", 2), ("a", 1)]
-    assert [r.value for r in shape.column_values(df, "field", "ok", 1).collect()] == ["c"]
+    df = table("tone string, kept boolean", *[("mi", k % 2 == 0) for k in range(5)], ("do", True), ("do", True), ("re", False), (None, False))
+    got = [tuple(r) for r in shape.column_values(df, "tone").collect() if r[0]]
+    assert got == [("mi", 5), ("do", 2), ("re", 1)]
+    assert [r.value for r in shape.column_values(df, "tone", "kept", 1).collect()] == ["mi"]
 
 
 def test_safe_arithmetic(table):
-    df = table("a long, b long, c long", (1, 2, 3), (1, None, 3), (None, None, 2), (None, None, None))
-    assert [r[0] for r in df.selectExpr(fx.safe_add("a", "b", "c")).collect()] == [6, 4, 2, 0]
-    df = table("a long, b long, c long", (3, 2, 1), (4, None, 3), (None, None, 2), (None, None, None))
-    assert [r[0] for r in df.selectExpr(fx.safe_subtract("a", "b", "c")).collect()] == [0, 1, -2, 0]
-    df = table("n long, d long", (6, 0), (10, 5), (None, None), (None, 0), (17, None), (0, None), (None, 9), (0, 5))
-    assert [r[0] for r in df.selectExpr(fx.safe_divide("n", "d")).collect()] == [None, 2.0, None, None, None, None, None, 0.0]
-    df = table("n1 long, n2 long, d long", (0, 5, 9), (2, 5, 2))
-    assert [r[0] for r in df.selectExpr(fx.safe_divide("n1 * n2", "d")).collect()] == [0.0, 5.0]
+    cases = [(8, -5, None), (None, None, None), (0, 21, 4), (None, 13, 13)]
+    df = table("x long, y long, z long", *cases)
+    plain = [[v or 0 for v in c] for c in cases]
+    assert [r[0] for r in df.selectExpr(fx.safe_add("x", "y", "z")).collect()] == [sum(c) for c in plain]
+    assert [r[0] for r in df.selectExpr(fx.safe_subtract("x", "y", "z")).collect()] == [x - y - z for x, y, z in plain]
+    quotients = [(9, 4), (9, 0), (0, 4), (0, 0), (None, 4), (9, None), (None, None)]
+    df = table("top long, bottom long", *quotients)
+    assert [r[0] for r in df.selectExpr(fx.safe_divide("top", "bottom")).collect()] == [2.25, None, 0.0, None, None, None, None]
+    assert df.selectExpr(fx.safe_divide("top * 2", "bottom + 5")).first()[0] == 2.0
 
 
 def test_rounding_is_half_up_in_decimal(table):
@@ -115,40 +117,35 @@ def test_rounding_is_half_up_in_decimal(table):
 
 
 def test_equal_width_bucket(table):
-    amounts = (190000.0, 290000.0, 320000.0, 399999.99, 400000.0, 470000.0, 510000.0, 610000.0)
-    df = table("amount double", *[(a,) for a in amounts])
-    got = [r[0] for r in df.selectExpr(fx.equal_width_bucket("amount", 200000, 600000, 4)).collect()]
-    assert got == [0, 1, 2, 2, 3, 3, 4, 5]
-    assert rows(shape.histogram(df, "amount", 200000, 600000, 4), "bucket", "n") == [(0, 1), (1, 1), (2, 2), (3, 2), (4, 1), (5, 1)]
+    weights = [-1.0, 0.0, 2.49, 2.5, 7.49, 9.99, 10.0, 55.0]
+    df = table("w double", *[(w,) for w in weights])
+    expected = [0 if w < 0 else 5 if w >= 10 else int(w // 2.5) + 1 for w in weights]
+    assert [r[0] for r in df.selectExpr(fx.equal_width_bucket("w", 0, 10, 4)).collect()] == expected
+    assert rows(shape.histogram(df, "w", 0, 10, 4), "bucket", "n") == sorted((b, expected.count(b)) for b in set(expected))
 
 
 def test_urls(table):
-    long = "http://witanddelight.com/2018/01/tips-tricks-how-run-half-marathon-first-time/"
     urls = {
-        "www.google.co.uk?utm_source=google&utm_medium=cpc&utm_campaign=spring-summer": ("www.google.co.uk", "", "google"),
-        long: ("witanddelight.com", "2018/01/tips-tricks-how-run-half-marathon-first-time/", None),
-        "https://www.nytimes.com/2018/01/01/blog": ("www.nytimes.com", "2018/01/01/blog", None),
-        "android-app://m.facebook.com/": ("m.facebook.com", None, None),
-        "docs.nytimes.com/2021/01/01/index.js?utm_source=google": ("docs.nytimes.com", "2021/01/01/index.js", "google"),
-        long + "?utm_source=google&utm_medium=cpc": ("witanddelight.com", "2018/01/tips-tricks-how-run-half-marathon-first-time/", "google"),
+        "https://shop.example.org/tea/green?utm_source=mail&utm_medium=x": ("shop.example.org", "tea/green", "mail"),
+        "http://example.net/": ("example.net", "", None),
+        "example.com": ("example.com", "", None),
+        "example.com?utm_source=a/b": ("example.com", "", "a/b"),
+        "http://example.net/one?x=1&utm_source=": ("example.net", "one", None),
+        "android-app://org.example.reader/page/2": ("org.example.reader", "page/2", None),
     }
     df = table("url string", *[(u,) for u in urls])
-    for r in df.selectExpr("url", f"{fx.url_host('url')} AS host", f"{fx.url_path('url')} AS path", f"{fx.url_parameter('url', 'utm_source')} AS source").collect():
-        host, path, source = urls[r.url]
-        assert (r.host, r.source) == (host, source)
-        assert path is None or r.path == path
-    assert rows(url_report(df)) == sorted(
-        [("www.google.co.uk", "google", "", 1), ("witanddelight.com", None, "2018", 1), ("witanddelight.com", "google", "2018", 1),
-         ("www.nytimes.com", None, "2018", 1), ("m.facebook.com", None, "", 1), ("docs.nytimes.com", "google", "2021", 1)],
-        key=lambda r: (r[0], r[1] or ""),
-    )
+    got = df.selectExpr("url", f"{fx.url_host('url')} AS host", f"{fx.url_path('url')} AS path", f"{fx.url_parameter('url', 'utm_source')} AS source")
+    assert {r.url: (r.host, r.path, r.source) for r in got.collect()} == urls
+    report = {(r[0], r[1], r[2]): r[3] for r in url_report(df).collect()}
+    assert report[("shop.example.org", "mail", "tea")] == 1 and report[("example.net", None, "")] == 1 and sum(report.values()) == len(urls)
 
 
 def test_distance(table):
-    df = table("a double, b double, c double, d double", (48.864716, 2.349014, 52.379189, 4.899431))
-    miles = df.selectExpr(fx.great_circle_distance("a", "b", "c", "d")).first()[0]
-    km = df.selectExpr(fx.great_circle_distance("a", "b", "c", "d", "km")).first()[0]
-    assert (round(miles), round(km)) == (267, 430)
+    df = table("a double, b double, c double, d double", (0.0, 0.0, 0.0, 90.0), (90.0, 12.0, -90.0, 77.0), (10.0, 20.0, 10.0, 20.0))
+    quarter = [r[0] for r in df.selectExpr(fx.great_circle_distance("a", "b", "c", "d", "km")).collect()]
+    assert quarter[1] == pytest.approx(2 * quarter[0]) and 10_000 < quarter[0] < 10_020 and quarter[2] == 0
+    miles = [r[0] for r in df.selectExpr(fx.great_circle_distance("a", "b", "c", "d")).collect()]
+    assert quarter[0] / miles[0] == pytest.approx(1.609, abs=0.01)
     with pytest.raises(ValueError):
         fx.great_circle_distance("a", "b", "c", "d", "ly")
 
