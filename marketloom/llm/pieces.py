@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: Characters of text that are looked through at once, and of parts in one suffix array.
-TEXT, SPAN = 1 << 22, 1 << 19
+TEXT, SPAN = 1 << 23, 1 << 19
 REMEMBERED = 1_000_000
 #: Breaks around which parts end, if no longer piece has them.
 BREAKS = "\n\r\t"
@@ -92,7 +92,8 @@ class Pieces:
         special = [model.is_control(i) or model.is_unknown(i) or model.is_unused(i) for i in range(count)]
         self.byte = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if model.is_byte(i)}
         self.bytes_of = {i: b for b, i in self.byte.items()}
-        self.special = {i for i, s in enumerate(special) if s}
+        # What each id stands for when it is decoded.
+        self.raw = [b"" if special[i] else bytes([self.bytes_of[i]]) if i in self.bytes_of else p.encode() for i, p in enumerate(self.pieces)]
         plain = [i for i in range(count) if not special[i] and i not in self.bytes_of]
         self.single = {self.pieces[i]: i for i in plain if len(self.pieces[i]) == 1}
         longer = np.array([i for i in plain if len(self.pieces[i]) > 1])
@@ -111,8 +112,8 @@ class Pieces:
         self.parts = re.compile(rf"{SPACE}+[^{SPACE}{breaks}]*|[^{SPACE}{breaks}]+|[{breaks}]" if breaks else rf"{SPACE}+[^{SPACE}]*|[^{SPACE}]+").findall
         self.known: dict[str, bytes] = {}
 
-    def _joined(self, parts: list[str]) -> Iterator[np.ndarray]:
-        """The ids of each part."""
+    def _joined(self, parts: list[str]) -> list[bytes]:
+        """The ids of each part as little-endian 32-bit numbers."""
         text = "\x00".join(parts)
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.int32)
         sizes = np.array([len(p) for p in parts])
@@ -147,16 +148,22 @@ class Pieces:
                 inner = chosen[end[chosen] - start[chosen] > k]
                 edge[start[inner] + k] = False
             symbol[start[chosen]] = self.ids[piece[chosen]]
+        edge[begins[1:] - 1] = False  # the separators are no pieces
         at = np.flatnonzero(edge[: len(codes)])
         found, first = symbol[at], codes[at]
-        bounds = np.searchsorted(at, np.append(begins, len(codes) + 1))
-        plain = {int(c): self._letter(chr(c)) for c in np.unique(first[found < 0])}
-        for k in range(len(parts)):
-            span = slice(bounds[k], bounds[k + 1] - (k + 1 < len(parts)))
-            ids: list[int] = []
-            for i, c in zip(found[span].tolist(), first[span].tolist(), strict=True):
-                ids.extend((i,) if i >= 0 else plain[c])
-            yield np.array(ids, "<u4")
+        alone = np.flatnonzero(found < 0)
+        letters, which = np.unique(first[alone], return_inverse=True)
+        ids = [self._letter(chr(c)) for c in letters]
+        found[alone] = np.array([x[0] for x in ids], np.int64)[which] if len(alone) else 0
+        width = np.ones(len(at), np.int64)
+        width[alone] = np.array([len(x) for x in ids], np.int64)[which] if len(alone) else 1
+        place = np.cumsum(width) - width
+        out = np.repeat(found, width).astype("<u4")
+        for k in np.flatnonzero(width > 1):  # characters as bytes
+            out[place[k] : place[k] + width[k]] = self._letter(chr(first[k]))
+        cuts = np.append(place, len(out))[np.searchsorted(at, np.append(begins, len(codes) + 1))] * 4
+        whole, cuts = out.tobytes(), cuts.tolist()
+        return [whole[x:y] for x, y in zip(cuts, cuts[1:], strict=False)]
 
     def _letter(self, letter: str) -> tuple[int, ...]:
         """The id of a character, or those of its bytes."""
@@ -170,7 +177,7 @@ class Pieces:
         held, size = [], 0
         for part in [*parts, None]:
             if held and (part is None or size + len(part) > SPAN):
-                self.known.update(zip(held, (ids.tobytes() for ids in self._joined(held)), strict=True))
+                self.known.update(zip(held, self._joined(held), strict=True))
                 held, size = [], 0
             if part is not None:
                 held.append(part)
@@ -190,13 +197,8 @@ class Pieces:
 
     def decode(self, ids: bytes) -> str:
         """The text of ids: bytes that are no character become U+FFFD, special pieces nothing."""
-        out: list[bytes] = []
-        for i in np.frombuffer(ids, "<u4").tolist():
-            if i in self.bytes_of:
-                out.append(bytes([self.bytes_of[i]]))
-            elif i not in self.special:
-                out.append(self.pieces[i].encode())
-        return b"".join(out).decode("utf-8", "replace").replace(SPACE, " ").removeprefix(" ")
+        text = b"".join(map(self.raw.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+        return text.replace(SPACE, " ").removeprefix(" ")
 
 
 _LOADED: dict[str, Pieces] = {}
