@@ -117,7 +117,7 @@ class KeyedTable:
 
     def _slot(self) -> Column:
         """Folder name of a partition value; hexadecimal digits need no escaping in any store."""
-        return F.coalesce(F.hex(F.col(self.partition).cast("string")), F.lit("null"))
+        return F.coalesce(F.concat(F.lit("v"), F.hex(F.col(self.partition).cast("string"))), F.lit("null"))
 
     def _slots(self, df: DataFrame) -> set[str]:
         """Distinct partitions of ``df``: at most one per folder of the table."""

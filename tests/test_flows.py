@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from marketloom.operators.upsert import KeyedTable
 from marketloom.plans import core, finance, increments
@@ -22,6 +23,42 @@ def test_orders_in_any_split(spark, inputs):  # noqa: F811
         assert rows(table.read().select("order_id", "net_revenue", "refund_amount", "order_status")) == full
 
 
+def late(inputs, moves):  # noqa: F811
+    """The inputs with later load times: table -> condition of the rows that arrive on 1 August."""
+    out = dict(inputs)
+    for name, condition in moves.items():
+        when = F.when(F.expr(condition), F.lit("2026-08-01").cast("timestamp")).otherwise(F.col("_loaded_at"))
+        out[name] = inputs[name].withColumn("_loaded_at", when)
+    return out
+
+
+@pytest.mark.parametrize(
+    "moves",
+    [{"raw_order_items": "order_item_id % 2 = 0"}, {"raw_returns": "true"}, {"raw_order_items": "true", "raw_returns": "return_id % 2 = 1"}],
+)
+def test_late_lines_and_returns(spark, inputs, moves):  # noqa: F811
+    source = late(inputs, moves)
+    orders = KeyedTable(spark, fresh_path(spark, "orders"), ["order_id"], "order_month")
+    items = KeyedTable(spark, fresh_path(spark, "items"), ["order_item_id"], "order_month")
+    days = KeyedTable(spark, fresh_path(spark, "days"), ["revenue_date", "store_id"], "order_month", keys_stay=True)
+    for run, cut in enumerate(["2026-06-11", "2026-07-20", "2026-07-20", "2026-09-01"]):
+        seen = {**source, **{name: source[name].filter(f"_loaded_at < DATE'{cut}'") for name in increments.ORDER_TABLES}}
+        at, since = AS_OF + dt.timedelta(days=run), orders.mark() and dt.date.fromisoformat(orders.mark())
+        if since:
+            orders.upsert(increments.orders_increment(seen, at, orders.read(), loaded_since=since), mark=cut)
+            items.upsert(increments.order_items_increment(seen, at, items.read(), orders.read()))
+            days.upsert(increments.revenue_daily_increment(seen, at, days.read(), loaded_since=since))
+        else:
+            orders.upsert(core.fct_orders(seen, at), mark=cut)
+            items.upsert(core.fct_order_items({**seen, "fct_orders": orders.read()}, at))
+            days.upsert(finance.revenue_daily(seen, at))
+    numbers = ["order_id", "net_revenue", "refund_amount", "order_status"]
+    assert rows(orders.read(), *numbers) == rows(core.fct_orders(inputs, AS_OF), *numbers)
+    assert rows(items.read(), "order_item_id", "order_id") == rows(core.fct_order_items(inputs, AS_OF), "order_item_id", "order_id")
+    columns = [c for c in finance.revenue_daily(inputs, AS_OF).columns if c != "built_at"]
+    assert rows(days.read(), *columns) == rows(finance.revenue_daily(inputs, AS_OF), *columns)
+
+
 def test_late_order_inside_and_outside_the_lookback(inputs):  # noqa: F811
     built = finance.revenue_daily(inputs, AS_OF)
     target = built.filter("revenue_date <= DATE'2026-06-10'")
@@ -77,6 +114,16 @@ def test_stream_upserts_newest_row(spark, arrivals):
     assert run() == [(1, 11), (2, 21), (3, 30)]
 
 
+def test_an_older_row_in_a_later_batch_loses(spark, arrivals):
+    path, add = arrivals
+    table = KeyedTable(spark, fresh_path(spark, "latest"), ["k"], "k", "bigint", keys_stay=True)
+    for days in ([10, 4], [2], [11], [7, 11]):
+        add(*[(k, dt.datetime(2026, 1, d), 100 * d + k) for k, d in enumerate(days)])
+        source = flows.read_stream(spark, path, "k long, ts timestamp, v long", files_per_trigger=1)
+        flows.upsert_stream(source, table, ["ts"], f"{path}-offsets").awaitTermination()
+    assert rows(table.read(), "k", "v") == [(0, 1100), (1, 1101)]
+
+
 def test_stream_daily_totals_take_late_rows(spark, arrivals):
     path, add = arrivals
     t = lambda d, h=0: dt.datetime(2026, 1, d, h)

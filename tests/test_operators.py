@@ -100,12 +100,16 @@ def test_schema_drift(table):
         upsert.reconcile(target, updates, "ignore")
 
 
+def folder_of(df, column, value):
+    return {f for f in df.filter(F.col(column) == value).inputFiles() if f"_slot=v{str(value).encode().hex().upper()}" in f}
+
+
 def test_keyed_table(spark, table):
     store = upsert.KeyedTable(spark, fresh_path(spark, "t"), ["k"], "d", sort_by=["k"])
     d = dt.date
     schema = "k long, v string, d date"
     store.upsert(table(schema, (1, "a", d(2026, 1, 1)), (2, "b", d(2026, 1, 1)), (3, "c", d(2026, 2, 1)), (4, "d", d(2026, 3, 1))))
-    files = {f for f in store.read().inputFiles() if "2026-03" in f}
+    files = folder_of(store.read(), "d", "2026-03-01")
     # 3 moves to another partition and leaves its old one empty; a rerun changes nothing.
     change = table(schema, (2, "B", d(2026, 1, 1)), (3, "C", d(2026, 1, 1)), (5, "e", d(2026, 4, 1)))
     for _ in range(2):
@@ -113,11 +117,51 @@ def test_keyed_table(spark, table):
         assert rows(store.read().select("k", "v", "d")) == [
             (1, "a", d(2026, 1, 1)), (2, "B", d(2026, 1, 1)), (3, "C", d(2026, 1, 1)), (4, "d", d(2026, 3, 1)), (5, "e", d(2026, 4, 1))
         ]
-    assert {f for f in store.read().inputFiles() if "2026-03" in f} == files  # not rewritten
+    assert files and folder_of(store.read(), "d", "2026-03-01") == files  # not rewritten
     with pytest.raises(ValueError, match="more than one row"):
         store.upsert(table(schema, (9, "x", d(2026, 1, 1)), (9, "y", d(2026, 1, 1))))
 
 
+def test_partition_values_of_any_kind(spark, table):
+    store = upsert.KeyedTable(spark, fresh_path(spark, "t"), ["k"], "p", "string")
+    store.upsert(table("k long, p string", (1, "a:b"), (2, "x/y%z"), (3, None), (4, "")))
+    store.upsert(table("k long, p string", (1, "c"), (3, "x/y%z"), (4, "null")))
+    assert rows(store.read().select("k", "p")) == [(1, "c"), (2, "x/y%z"), (3, "x/y%z"), (4, "null")]
+
+
+def test_an_upsert_that_fails_changes_nothing(spark, table, monkeypatch):
+    path = fresh_path(spark, "t")
+    spark.range(3).write.parquet(f"{path}/data/left-over")  # of a first load that died
+    store = upsert.KeyedTable(spark, path, ["k"], "p", "int")
+    assert not store.exists()
+    store.upsert(table("k long, p int, v int", (1, 1, 1), (2, 2, 1)), mark="one")
+    change = table("k long, p int, v int", (1, 2, 2), (3, 3, 2))
+    with monkeypatch.context() as patch, pytest.raises(RuntimeError, match="lost"):
+        patch.setattr(type(store._commits), "add", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
+        store.upsert(change, mark="two")
+    assert store.mark() == "one" and rows(store.read().select("k", "p", "v")) == [(1, 1, 1), (2, 2, 1)]
+    store.upsert(change, mark="two")
+    assert store.mark() == "two" and rows(store.read().select("k", "p", "v")) == [(1, 2, 2), (2, 2, 1), (3, 3, 2)]
+
+
+def test_matching_reads_only_partitions_of_the_updates(spark, table, monkeypatch):
+    store = upsert.KeyedTable(spark, fresh_path(spark, "t"), ["k", "p"], "p", "int", keys_stay=True)
+    store.upsert(table("k long, p int, v int", *[(k, k % 5, 0) for k in range(50)]))
+    read = []
+    of = upsert.KeyedTable._of
+    monkeypatch.setattr(upsert.KeyedTable, "_of", lambda self, record, slots: read.append(set(slots)) or of(self, record, slots))
+    store.upsert(table("k long, p int, v int", (3, 3, 1), (103, 3, 1)))
+    assert read == [{"v" + b"3".hex()}] * 2
+    assert store.read().count() == 51 and store.read().filter("v = 1").count() == 2
+
+
+def test_whole_partitions(spark, table):
+    store = upsert.KeyedTable(spark, fresh_path(spark, "t"), ["k"], "p", "int")
+    store.upsert(table("k long, p int", (1, 1), (2, 1), (3, 2)))
+    store.upsert(table("k long, p int", (1, 1), (4, 3)), whole_partitions=True)
+    assert rows(store.read().select("k", "p")) == [(1, 1), (3, 2), (4, 3)]
+
+
 def test_keyed_table_gains_columns(spark, table):
     store = upsert.KeyedTable(spark, fresh_path(spark, "t"), ["k"], "p", "int", on_schema_change="append_new_columns")
     store.upsert(table("k long, p int", (1, 1), (2, 2)))
@@ -188,6 +232,16 @@ def test_published_table(spark):
         table.publish(spark.range(1), "v2")
 
 
+def test_a_refresh_that_fails_changes_nothing(spark, monkeypatch):
+    table = PublishedTable(spark, fresh_path(spark, "published"))
+    table.publish(spark.range(3), "v1")
+    with monkeypatch.context() as patch, pytest.raises(RuntimeError, match="lost"):
+        patch.setattr(type(table._commits), "add", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
+        table.publish(spark.range(9), "v2")
+    assert table.version() == "v1" and table.read().count() == 3
+    assert table.publish(spark.range(9), "v2").count() == 9
+
+
 def test_shared_folder_is_named_by_the_session(spark):
     assert spark.conf.get("spark.checkpoint.dir") == shared_folder(spark)
 
