@@ -48,6 +48,11 @@ HEADLINE = [
     "which_columns_differ_lines",
     "tables_identical",
     "upsert_result",
+    "metric_across_facts",
+    "declared_checks",
+    "scd2_result",
+    "stream_latest_purchase",
+    "incremental_campaign_performance",
 ]
 
 
@@ -60,7 +65,7 @@ def seconds(spark, name: str, folder: str) -> float:
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "1"))
+    runs = int(os.environ.get("BENCH_RUNS", "2"))
     only = os.environ.get("BENCH_ONLY")
     names = only.split(",") if only else HEADLINE
     spark = build_session(

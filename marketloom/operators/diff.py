@@ -106,6 +106,21 @@ def _single_state(c: str) -> str:
                     WHEN {a} IS NULL THEN 'null_a' WHEN {b} IS NULL THEN 'null_b' ELSE 'conflict' END"""
 
 
+def _alike(df: DataFrame, other: DataFrame, columns: Sequence[str]) -> str:
+    """The compared columns as one struct, so that equal values are the same value however they are compared:
+    both sides have the common type, and a zero has no sign."""
+    names = [_q(c) for c in columns]
+    common = df.selectExpr(*names).limit(0).union(other.selectExpr(*names).limit(0)).schema
+    parts = []
+    for c, field in zip(columns, common.fields, strict=True):
+        kind = field.dataType
+        value = _q(c) if df.schema[c].dataType == kind else f"cast({_q(c)} AS {kind.simpleString()})"
+        if isinstance(kind, (T.DoubleType, T.FloatType)):
+            value = f"{value} + cast(0 AS {kind.simpleString()})"
+        parts.append(f"{value} AS {_q(c)}")
+    return f"struct({', '.join(parts)})"
+
+
 def _column_states(
     a: DataFrame, b: DataFrame, key: str, columns: Sequence[str], keys_are_unique: bool = False
 ) -> DataFrame:
@@ -114,9 +129,8 @@ def _column_states(
     Keys with at most one row per side are compared in place. Repeated and NULL keys go through
     counts per (key, column, value). ``keys_are_unique`` leaves that second path out.
     """
-    row = f"struct({', '.join(map(_q, columns))})"
-    left = a.selectExpr(f"{key} AS primary_key", f"{row} AS a_row", "1 AS in_a", "0 AS in_b")
-    right = b.selectExpr(f"{key} AS primary_key", f"{row} AS b_row", "0 AS in_a", "1 AS in_b")
+    left = a.selectExpr(f"{key} AS primary_key", f"{_alike(a, b, columns)} AS a_row", "1 AS in_a", "0 AS in_b")
+    right = b.selectExpr(f"{key} AS primary_key", f"{_alike(b, a, columns)} AS b_row", "0 AS in_a", "1 AS in_b")
     stacked = left.unionByName(right, allowMissingColumns=True)
     sizes = exprs("sum(in_a) AS n_a", "sum(in_b) AS n_b")
     special = "primary_key IS NULL OR n_a > 1 OR n_b > 1"

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marketloom.functions.scalars import surrogate_key
+from marketloom.sources.commits import Commits
 
 META = ["version_id", "valid_from", "valid_to"]
 
@@ -59,6 +63,44 @@ def snapshot_history(
     return history.filter("valid_to IS NOT NULL").select(*versions.columns).unionByName(versions)
 
 
+class HistoryTable:
+    """Row history on Parquet: a run reads and rewrites the open versions only and adds a folder with those it
+    closed. A commit record, written last, names the folders; closed versions are never touched again."""
+
+    def __init__(self, spark: SparkSession, path: str, key: str, check: Sequence[str], close_deleted: bool = True):
+        self.spark = spark
+        self.path = path.rstrip("/")
+        self.key, self.check, self.close_deleted = key, list(check), close_deleted
+        self._commits = Commits(spark, self.path)
+
+    def _of(self, record: dict, folders: Sequence[str]) -> DataFrame:
+        schema = T.StructType.fromJson(record["schema"])
+        if not folders:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{f}" for f in folders])
+
+    def read(self) -> DataFrame:
+        record = self._commits.latest()
+        if record is None:
+            raise FileNotFoundError(f"nothing committed below {self.path}")
+        return self._of(record, [*record["open"], *record["closed"]])
+
+    def snapshot(self, rows: DataFrame, at: dt.datetime | dt.date) -> None:
+        """Take in the rows as they are at a moment. The same snapshot again changes nothing."""
+        record = self._commits.latest()
+        if record is None:
+            versions, closed = opened(rows, self.key, at), []
+        else:
+            versions = snapshot_history(self._of(record, record["open"]), rows, self.key, self.check, at, self.close_deleted)
+            closed = record["closed"]
+        run = f"data/{uuid.uuid4().hex}"
+        versions.withColumn("_part", F.expr("if(valid_to IS NULL, 'open', 'closed')")).write.partitionBy("_part").parquet(f"{self.path}/{run}")
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{run}")
+        files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        parts = {p: [f"{run}/_part={p}"] if files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(folder, f"_part={p}")) else [] for p in ("open", "closed")}
+        self._commits.add({"open": parts["open"], "closed": closed + parts["closed"], "schema": versions.schema.jsonValue()})
+
+
 def valid_at(moment: str) -> str:
     return f"valid_from <= {moment} AND (valid_to IS NULL OR {moment} < valid_to)"
 

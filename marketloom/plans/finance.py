@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marketloom.functions.scalars import exprs, mean_of, month_count, month_start, ratio, sum_where, zero_if_null
 from marketloom.operators.numbering import global_row_number, join_null_safe
-from marketloom.plans.base import Inputs, built_at, day, use
+from marketloom.plans.base import Inputs, built_at, day, replaced, use
 from marketloom.plans.core import (
     dim_customers,
     dim_dates,
@@ -103,7 +103,11 @@ def revenue_monthly(inputs: Inputs, as_of: dt.date, compat: bool = False) -> Dat
     ``sum_daily_unique_customers`` and ``avg_daily_aov`` are not additive and named as what
     they are; ``unique_customers`` and ``average_order_value`` are the true monthly values.
     ``compat`` takes the previous row of the channel, whatever its region.
+
+    Orders serve the daily sums and the monthly customers; unless stored, they are built and written once.
     """
+    if inputs.get("fct_orders") is None:
+        inputs = replaced(inputs, fct_orders=written(fct_orders(inputs, as_of), "orders"))
     additive = [
         "total_orders", "completed_orders", "returned_orders", "gross_revenue", "net_revenue", "realized_revenue",
         "total_discounts", "total_refunds", "total_cogs", "estimated_tax",

@@ -19,7 +19,8 @@ from marketloom.plans.catalogue import CATALOGUE, FactTables, saved_query, view_
 from marketloom.plans.web import url_report
 from marketloom.session import configure, fresh_path, written
 from marketloom.sources import sample_retail
-from marketloom.sources.tables import PublishedTable
+from marketloom.sources.schemas import ALL
+from marketloom.sources.tables import PublishedTable, land, read_table
 from marketloom.streaming import flows
 
 AS_OF = dt.date(2001, 8, 2)
@@ -537,6 +538,58 @@ def _register_metrics() -> None:
             "order_month",
         ),
     )
+    def metrics(name: str, names: list[str], dims: list[str], sql: str, source: str, time: str) -> None:
+        register(name, lambda s, d: CATALOGUE.query(_facts(s, d), names, dims, "month"), _metric_sql(sql, source, ", ".join(dims), "month", time))
+
+    metrics(
+        "metric_order_amounts",
+        ["realized_revenue", "refund_amount", "total_units_sold"],
+        ["store_channel"],
+        "sum(realized_revenue)::DOUBLE AS realized_revenue, sum(refund_amount)::DOUBLE AS refund_amount, sum(total_units)::BIGINT AS total_units_sold",
+        "fct_orders",
+        "order_date",
+    )
+    metrics(
+        "metric_customer_value",
+        ["total_customer_ltv", "avg_order_count_per_customer"],
+        ["customer_segment"],
+        "sum(lifetime_net_revenue)::DOUBLE AS total_customer_ltv, sum(total_orders)::DOUBLE / count(*) AS avg_order_count_per_customer",
+        "dim_customers",
+        "acquisition_month",
+    )
+    metrics(
+        "metric_store_customers",
+        ["total_unique_customers"],
+        ["store_region"],
+        "sum(unique_customers)::BIGINT AS total_unique_customers",
+        "revenue_daily",
+        "revenue_date",
+    )
+    metrics(
+        "metric_customer_refunds",
+        ["total_refunds_finance_metric"],
+        ["customer_segment"],
+        "sum(total_refunds)::DOUBLE AS total_refunds_finance_metric",
+        "customer_ltv",
+        "acquisition_month",
+    )
+    metrics(
+        "metric_cohort_customers",
+        ["active_cohort_customers"],
+        ["acquisition_channel"],
+        "sum(active_customers)::BIGINT AS active_cohort_customers",
+        "cohort_analysis",
+        "cohort_month",
+    )
+    metrics(
+        "metric_campaign_reach",
+        ["total_impressions", "total_clicks", "avg_roas"],
+        ["channel"],
+        """sum(impressions)::BIGINT AS total_impressions, sum(clicks)::BIGINT AS total_clicks,
+        sum(roas::DECIMAL(18,2))::DOUBLE / count(roas) AS avg_roas""",
+        "campaign_performance",
+        "spend_date",
+    )
     register(
         "semantic_revenue",
         lambda s, d: view_query("revenue", _facts(s, d), ["stores.district", "dates.season", "dates.fiscal_year"]),
@@ -829,13 +882,52 @@ def _register_checks() -> None:
         "WITH "
         + sequence.format(key="l_orderkey,", col="l_linenumber", over="PARTITION BY l_orderkey", source="lineitem", cast="::BIGINT").lstrip(", "),
     )
-    register(
-        "declared_checks",
-        lambda s, d: declared.run(_stored_facts(s, d)),
-        "SELECT * FROM (VALUES "
-        + ", ".join(f"('{t}', '{c}', 0::BIGINT, true)" for t, c in declared.names())
-        + ") AS t(table_name, check_name, failures, passed)",
-    )
+    register("declared_checks", lambda s, d: declared.run(_stored_facts(s, d)), _declared_sql())
+    register("declared_checks_on_damage", lambda s, d: declared.run(_damaged(s, d), ("fct_orders", "dim_stores")), _declared_sql(damaged=True))
+
+
+def _damaged(spark: SparkSession, folder: str) -> FactTables:
+    """Orders with missing, repeated and unknown values, so that every kind of check has something to find."""
+    tables = _stored_facts(spark, folder)
+    orders = tables["fct_orders"].selectExpr(
+        "* EXCEPT (order_id, customer_id, order_status, net_revenue)",
+        "if(order_id % 50 = 1, order_id + 1, order_id) AS order_id",
+        "if(customer_id % 40 = 3, -customer_id, customer_id) AS customer_id",
+        "if(store_id = 5, 'LOST', order_status) AS order_status",
+        "if(store_id = 7, NULL, net_revenue) AS net_revenue",
+    )
+    tables["fct_orders"] = orders
+    return tables
+
+
+def _declared_sql(damaged: bool = False) -> str:
+    """The declared checks counted over the models, check by check."""
+    models = {"dim_stores": "stores", "dim_dates": "calendar"}
+    broken = """SELECT * REPLACE (CASE WHEN order_id % 50 = 1 THEN order_id + 1 ELSE order_id END AS order_id,
+        CASE WHEN customer_id % 40 = 3 THEN -customer_id ELSE customer_id END AS customer_id,
+        CASE WHEN store_id = 5 THEN 'LOST' ELSE order_status END AS order_status,
+        CASE WHEN store_id = 7 THEN NULL ELSE net_revenue END AS net_revenue) FROM fct_orders"""
+    parts = []
+    for table, spec in declared.DECLARED.items():
+        if damaged and table not in ("fct_orders", "dim_stores"):
+            continue
+        rows = f"({broken})" if damaged and table == "fct_orders" else models.get(table, table)
+
+        def found(check: str, failures: str, table: str = table) -> None:
+            parts.append(f"SELECT '{table}' AS table_name, '{check}' AS check_name, ({failures})::BIGINT AS failures")
+
+        for c in spec.not_null:
+            found(f"{c}_not_null", f"SELECT count(*) - count({c}) FROM {rows}")
+        for c, values in (spec.values or {}).items():
+            listed = ", ".join(f"'{v}'" for v in values)
+            found(f"{c}_accepted_values", f"SELECT count(*) FROM {rows} WHERE {c} NOT IN ({listed})")
+        for keys in [*[(c,) for c in spec.unique], *([spec.unique_together] if spec.unique_together else [])]:
+            listed = ", ".join(keys)
+            known = " AND ".join(f"{k} IS NOT NULL" for k in keys) if len(keys) == 1 else "true"
+            found("_".join(keys) + "_unique", f"SELECT count(*) FROM (SELECT {listed} FROM {rows} WHERE {known} GROUP BY {listed} HAVING count(*) > 1)")
+        for c, (to, field) in (spec.references or {}).items():
+            found(f"{c}_in_{to}", f"SELECT count(DISTINCT {c}) FROM {rows} WHERE {c} IS NOT NULL AND {c} NOT IN (SELECT {field} FROM {models.get(to, to)})")
+    return oracle.query(f"SELECT *, failures = 0 AS passed FROM ({' UNION ALL '.join(parts)})")
 
 
 # Two versions of the customer table: changed balances, blanked segments, removed and new keys.
@@ -888,7 +980,49 @@ _HOST = "split_part(split_part(replace(replace(replace(url, 'android-app://', ''
 # Shaping.
 
 
+def _landed_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """Raw orders landed as Parquet and read back with their declared schema."""
+    place = fresh_path(spark, "landing")
+    land({"raw_orders": sample_retail.retail_inputs(spark, folder)["raw_orders"]}, place)
+    stored = spark.read.schema(ALL["raw_orders"]).parquet(f"{place}/landing/raw_orders")
+    return stored.selectExpr("order_id", "string(order_date) AS order_date", "customer_id", "store_id", "status", "payment_method", "string(date(_loaded_at)) AS loaded_on")
+
+
+def _stores_from_csv(spark: SparkSession, folder: str) -> DataFrame:
+    """The store catalogue written as CSV with a header row and read with its declared schema."""
+    place = fresh_path(spark, "catalogue")
+    sample_retail.retail_inputs(spark, folder)["catalog_stores"].write.option("header", True).csv(f"{place}/catalog_stores.csv")
+    stores = read_table(spark, place, "catalog_stores", "csv")
+    return stores.select("store_id", "store_name", "store_type", "channel", "city", "state", "region", "is_active")
+
+
+def _orders_per_day(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders on every day from the first to the last one of the table."""
+    orders = sample_retail.load(spark, folder, "orders").selectExpr("date(o_orderdate) AS day")
+    first, last = orders.agg(F.min("day"), F.max("day")).first()
+    if first is None:
+        return spark.createDataFrame([], "day string, orders long")
+    days = shape.date_spine(spark, "day", first, last + dt.timedelta(days=1))
+    counted = orders.groupBy("day").agg(F.count(F.lit(1)).alias("orders"))
+    return days.join(counted, days.date_day == counted.day, "left").selectExpr("string(date_day) AS day", "coalesce(orders, 0L) AS orders")
+
+
 def _register_shapes() -> None:
+    register(
+        "landed_orders",
+        _landed_orders,
+        oracle.query(
+            "SELECT order_id, order_date::VARCHAR AS order_date, customer_id, store_id, status, payment_method, loaded_on::VARCHAR AS loaded_on FROM raw_orders"
+        ),
+    )
+    register("stores_from_csv", _stores_from_csv, oracle.query("SELECT * FROM stores"))
+    register(
+        "orders_per_day",
+        _orders_per_day,
+        """SELECT d::DATE::VARCHAR AS day, count(o_orderkey) AS orders
+           FROM (SELECT unnest(generate_series(min(o_orderdate)::DATE, max(o_orderdate)::DATE, INTERVAL 1 DAY))::DATE AS d FROM orders)
+           LEFT JOIN orders ON o_orderdate::DATE = d GROUP BY 1""",
+    )
     orders, lineitem, customer, events = given("orders"), given("lineitem"), given("customer"), given("events")
     register(
         "deduplicate",
@@ -1086,6 +1220,17 @@ def _register_diffs() -> None:
         " (SELECT *, dense_rank() OVER (PARTITION BY row_status ORDER BY row_key) AS sample_number FROM c) JOIN s USING (row_status)"
         " WHERE sample_number <= 20",
     )
+    both = ["c_custkey", "c_acctbal", "c_mktsegment"]
+    register(
+        "diff_classify_shared_columns",
+        lambda s, d: (lambda old, new: diff.classify_rows(
+            old.withColumn("note", F.lit("old")).drop("c_nationkey"), new.withColumn("rank", F.lit(1)).drop("c_name"), ["c_custkey"]
+        ).drop("copy_number"))(*customers(s, d)),
+        f"WITH a AS (SELECT {', '.join(both)} FROM ({_OLD})), b AS (SELECT {', '.join(both)} FROM ({_NEW}))"
+        + classified.format(key=key_sql, cols=", ".join(both))
+        + f"SELECT row_status, {', '.join(both)}, row_key, in_a, in_b, num_rows_in_status FROM"
+        " (SELECT *, unnest(generate_series(1, greatest(a, b))) AS i, i <= a AS in_a, i <= b AS in_b FROM c) JOIN s USING (row_status)",
+    )
     line_cols = ", ".join(line_columns)
     register(
         "diff_classify_lines",
@@ -1221,13 +1366,10 @@ def _customer_snapshot(spark: SparkSession, folder: str, at: dt.date, number: in
 
 
 def _customer_history(spark: SparkSession, folder: str) -> DataFrame:
-    kept = written(history.opened(_customer_snapshot(spark, folder, SNAPSHOTS[0], 0), "customer_id", SNAPSHOTS[0]), "history")
-    for number, at in list(enumerate(SNAPSHOTS))[1:]:
-        snapshot = _customer_snapshot(spark, folder, at, number)
-        kept = written(
-            history.snapshot_history(kept, snapshot, "customer_id", [*TRACKED, "is_email_subscribed"], at), "history"
-        )
-    return kept
+    kept = history.HistoryTable(spark, fresh_path(spark, "history"), "customer_id", [*TRACKED, "is_email_subscribed"])
+    for number, at in enumerate(SNAPSHOTS):
+        kept.snapshot(_customer_snapshot(spark, folder, at, number), at)
+    return kept.read()
 
 
 _SNAPSHOT_SQL = """, cut AS (SELECT * FROM (VALUES (0, DATE '1998-01-01'), (1, DATE '2000-01-01'), (2, DATE '2001-08-02')) AS c(i, cut_day)),

@@ -1,3 +1,4 @@
+import datetime as dt
 import itertools
 import random
 
@@ -190,3 +191,16 @@ def test_identity(table):
 def test_column_sets():
     assert diff.with_keys(["ID", "k"], ["id", "x"]) == ["k", "id", "x"]
     assert list(itertools.chain(diff.with_keys([], ["x"]))) == ["x"]
+
+
+def test_one_meaning_of_equal_for_single_and_repeated_keys(table):
+    a = table("k long, x double, y int", (1, 0.0, 7), (2, 0.0, 7), (2, 0.0, 7), (3, float("nan"), 1))
+    b = table("k long, x double, y long", (1, -0.0, 7), (2, -0.0, 7), (3, float("nan"), 1))
+    for column in ("x", "y"):
+        states = {r.match_status: r.count_records for r in diff.compare_column(a, b, "k", column, emojis=False).collect()}
+        assert states == {"perfect match": 4}
+
+
+def test_common_period_of_an_empty_side(table):
+    a = table("k long, at date", (1, dt.date(2026, 1, 1)), (2, dt.date(2026, 1, 2)))
+    assert [df.count() for df in diff.common_bounds(a, a.filter("false"), "at")] == [0, 0]

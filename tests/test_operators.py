@@ -205,6 +205,26 @@ def test_history(spark, table):
     assert open_ended.filter("id = 2 AND valid_to IS NULL").count() == 1
 
 
+def test_history_table_leaves_closed_versions_alone(spark, table):
+    schema = "id long, tier string"
+    moments = [dt.datetime(2026, 1, d) for d in (1, 2, 3, 4)]
+    runs = [
+        table(schema, (1, "a"), (2, "b")), table(schema, (1, "A"), (2, "b"), (3, "c")), table(schema, (1, "A"), (3, "C")), table(schema, (2, "b")),
+    ]
+    store = history.HistoryTable(spark, fresh_path(spark, "history"), "id", ["tier"])
+    kept, closed = None, []
+    for rows_now, at in zip(runs, moments, strict=True):
+        for _ in range(2):
+            store.snapshot(rows_now, at)
+        kept = history.opened(rows_now, "id", at) if kept is None else history.snapshot_history(kept, rows_now, "id", ["tier"], at)
+        record = store._commits.latest()
+        assert record["closed"][: len(closed)] == closed and len(record["open"]) <= 1
+        closed = record["closed"]
+    assert rows(store.read(), *kept.columns) == rows(kept)
+    store.snapshot(runs[0].filter("false"), dt.datetime(2026, 1, 9))
+    assert store.read().filter("valid_to IS NULL").count() == 0
+
+
 def test_sources(spark, tmp_path):
     stores = "store_id,store_name,store_type,channel,city,state,region,opened_date,sq_footage,district,is_active,manager_name\n"
     (tmp_path / "catalog_stores.csv").write_text(stores + "1,Main,physical,in-store,c,s,North,2020-01-31,,d,true,m\n")
