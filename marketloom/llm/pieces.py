@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: Characters of text that are looked through at once, and of parts in one suffix array.
-TEXT, SPAN = 1 << 23, 1 << 19
-REMEMBERED = 1_000_000
+TEXT, SPAN = 1 << 22, 1 << 18
+REMEMBERED = 500_000
 #: Breaks around which parts end, if no longer piece has them.
 BREAKS = "\n\r\t"
 
