@@ -20,7 +20,7 @@ from marketloom.plans.web import url_report
 from marketloom.session import configure, fresh_path, written
 from marketloom.sources import sample_retail
 from marketloom.sources.schemas import ALL
-from marketloom.sources.tables import PublishedTable, land, read_table
+from marketloom.sources.tables import PublishedTable, land, named_view, read_table
 from marketloom.streaming import flows
 
 AS_OF = dt.date(2001, 8, 2)
@@ -996,6 +996,14 @@ def _stores_from_csv(spark: SparkSession, folder: str) -> DataFrame:
     return stores.select("store_id", "store_name", "store_type", "channel", "city", "state", "region", "is_active")
 
 
+def _spend_by_view(spark: SparkSession, folder: str) -> DataFrame:
+    """Spend per channel and month, asked in SQL of a view over the staging plan."""
+    named_view(staging.stg_ad_spend(sample_retail.retail_inputs(spark, folder), AS_OF), "marketing_ad_spend")
+    return spark.sql(
+        "SELECT channel, string(spend_month) AS spend_month, count(*) AS spends, double(sum(spend_usd)) AS spend FROM marketing_ad_spend GROUP BY channel, spend_month"
+    )
+
+
 def _orders_per_day(spark: SparkSession, folder: str) -> DataFrame:
     """Orders on every day from the first to the last one of the table."""
     orders = sample_retail.load(spark, folder, "orders").selectExpr("date(o_orderdate) AS day")
@@ -1015,6 +1023,14 @@ def _register_shapes() -> None:
             "SELECT order_id, order_date::VARCHAR AS order_date, customer_id, store_id, status, payment_method, loaded_on::VARCHAR AS loaded_on FROM raw_orders"
         ),
     )
+    register(
+        "spend_by_view",
+        _spend_by_view,
+        oracle.query(
+            """SELECT channel, date_trunc('month', spend_date)::DATE::VARCHAR AS spend_month, count(*) AS spends, sum(spend_usd)::DOUBLE AS spend
+               FROM raw_ad_spend GROUP BY 1, 2"""
+        ),
+    )
     register("stores_from_csv", _stores_from_csv, oracle.query("SELECT * FROM stores"))
     register(
         "orders_per_day",

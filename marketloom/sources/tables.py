@@ -38,6 +38,12 @@ def land(inputs: dict[str, DataFrame], folder: str | None = None) -> dict[str, D
     return landed
 
 
+def named_view(df: DataFrame, name: str) -> DataFrame:
+    """Give a pipeline's plan a name that SQL can use: nothing is computed or stored."""
+    df.createOrReplaceTempView(name)
+    return df.sparkSession.table(name)
+
+
 def clustered(df: DataFrame, keys: Sequence[str], files: int | None = None) -> DataFrame:
     """Lay rows out by key ranges, sorted inside each file, so that readers skip row groups.
 
