@@ -1467,6 +1467,10 @@ def _register_maintenance() -> None:
         f"""{after} SELECT *, NULL::BOOLEAN AS in_credit FROM a WHERE c_custkey NOT IN (SELECT c_custkey FROM u)
             UNION ALL SELECT c_custkey, NULL AS c_name, c_nationkey, c_acctbal, c_mktsegment, c_acctbal > 0 FROM u""",
     )
+
+    def by_month(days: DataFrame) -> DataFrame:
+        return days.withColumn("stored_month", F.expr("date(trunc(order_date, 'month'))"))
+
     cuts = ["1998-06-01", "2000-01-20", "2001-02-01", "2001-02-01", "2100-01-01"]
     register(
         "incremental_orders",
@@ -1484,17 +1488,17 @@ def _register_maintenance() -> None:
     )
     register(
         "incremental_store_performance",
-        _in_steps(
+        lambda s, d: _in_steps(
             "store_performance",
             ["store_id", "order_date"],
-            "order_date",
+            "stored_month",
             ["1998-03-01", "2001-07-20", "2001-08-03"],
             lambda i, cut: _ordered_before(i, cut),
-            lambda i: core.store_performance(i, dt.date(1998, 2, 28), FIRST),
-            lambda i, target, since: increments.store_performance_increment(
-                i, AS_OF if since >= dt.date(2001, 7, 20) else dt.date(2001, 7, 19), target, FIRST
+            lambda i: by_month(core.store_performance(i, dt.date(1998, 2, 28), FIRST)),
+            lambda i, target, since: by_month(
+                increments.store_performance_increment(i, AS_OF if since >= dt.date(2001, 7, 20) else dt.date(2001, 7, 19), target, FIRST)
             ),
-        ),
+        )(s, d).drop("stored_month"),
         ORACLES["store_performance"],
     )
     register(
