@@ -49,7 +49,7 @@ COUNTED = 1 << 18
 #: Texts in a block of a list.
 BLOCK = 256
 #: Shingles looked through at once for common ones; those found this often are reported.
-SPAN, OFTEN = 1 << 22, 4
+SPAN, OFTEN = 1 << 21, 4
 LIGHTEST = 9
 #: Rounds of comparisons: pairs for each text and list (None: all), and whether two blocks are left for later.
 ROUNDS = ((2, True), (1, False), (None, False))
@@ -193,7 +193,7 @@ def _keys(common: np.ndarray, times: np.ndarray, boundary: int):
     return run
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 200_000) -> Iterator[pa.Table]:
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 100_000) -> Iterator[pa.Table]:
     """Tables of whole lists (equal g in the first column) of a stream sorted by g."""
     held: list[pa.RecordBatch] = []
     total = 0
@@ -267,7 +267,7 @@ class _Sketches:
         return out
 
 
-def _pairs_of(g: np.ndarray, n: np.ndarray, at_once: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _pairs_of(g: np.ndarray, n: np.ndarray, at_once: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows of one list, sorted by (g, n), with sizes that can link."""
     run = np.cumsum(np.append(0, g[1:] != g[:-1]))
     wide = np.int64(1 << 40)
@@ -370,8 +370,8 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
     )
 
     common = profiles.where("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times"))
-    common = most_frequent(written(common, "common"), "times", COUNTED).toPandas()
-    values, times = common["shingle"].to_numpy(np.int64).astype(np.uint64), common["times"].to_numpy(np.int64)
+    common = most_frequent(written(common, "common"), "times", COUNTED).toArrow()
+    values, times = common.column("shingle").to_numpy().astype(np.uint64), common.column("times").to_numpy().astype(np.int64)
     order = np.argsort(values)
     sizes = [tuple(r) for r in rows.groupBy(F.floor(F.col("n") / 10).alias("d")).count().collect()]
     boundary = _boundary(sizes)

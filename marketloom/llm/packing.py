@@ -37,7 +37,7 @@ from marketloom.session import written
 CAPACITY = 2048
 END = 0
 #: Entries of a worker's memory of words; it is emptied when full.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 _PIECES = "id long, piece int, start long, length long, crc long, task int, rank long"
 

@@ -31,11 +31,11 @@ from marketloom.session import written
 SAMPLE = 6_000
 FEATURES = 4_096
 #: Features seen in fewer texts of the sample are not looked at.
-LEAST = 5
+LEAST = 2
 HEADS = (4, 5, 6)
 #: Features counted at once.
-SPAN = 1 << 22
-PENALTY, SWAP_PENALTY = 3e-4, 1.0
+SPAN = 1 << 21
+PENALTY, SWAP_PENALTY = 1e-4, 1.0
 
 #: Terms that name groups of people, by kind; a term is swapped for the next one of its row.
 IDENTITY_TERMS = (
@@ -193,9 +193,9 @@ def _told_apart(counts: DataFrame, clean: int, toxic: int, features: int) -> np.
         .withColumn("chi", F.pow(F.col("toxic") - seen * F.lit(share), F.lit(2.0)) / spread)
         .orderBy(F.desc("chi"), "feature")
         .limit(features)
-        .toPandas()
+        .toArrow()
     )
-    return np.sort(best["feature"].to_numpy(np.int64).astype(np.uint64))
+    return np.sort(best.column("feature").to_numpy().astype(np.uint64))
 
 
 def fit(
