@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: Characters of text that are looked through at once, and of parts in one suffix array.
-TEXT, SPAN = 1 << 22, 1 << 18
+TEXT, SPAN = 1 << 23, 1 << 19
 REMEMBERED = 500_000
 #: Breaks around which parts end, if no longer piece has them.
 BREAKS = "\n\r\t"
@@ -54,30 +54,41 @@ def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
 
 
 def occurrences(codes: np.ndarray, order: np.ndarray, patterns: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bounds of the range of ``order`` whose suffixes begin with each pattern (rows padded with -1)."""
-    width = patterns.shape[1]
-    padded = np.append(codes, np.full(width, -1, codes.dtype))
-    columns = np.arange(width)
-    within = columns < lengths[:, None]
-
-    def search(after: bool) -> np.ndarray:
-        """The first place whose suffix is not before the pattern; with ``after``, not before or beginning with it."""
-        low, high = np.zeros(len(patterns), np.int64), np.full(len(patterns), len(order), np.int64)
-        open_ = np.flatnonzero(low < high)
-        while len(open_):
-            middle = (low[open_] + high[open_]) // 2
-            suffix = padded[order[middle][:, None] + columns]
-            differs = (suffix != patterns[open_]) & within[open_]
-            at = np.argmax(differs, axis=1)
-            same = ~differs[np.arange(len(at)), at]
-            less = suffix[np.arange(len(at)), at] < patterns[open_][np.arange(len(at)), at]
-            right = np.where(same, after, less)
-            low[open_] = np.where(right, middle + 1, low[open_])
-            high[open_] = np.where(right, high[open_], middle)
-            open_ = open_[low[open_] < high[open_]]
-        return low
-
-    return search(False), search(True)
+    """Bounds of the range of ``order`` whose suffixes begin with each pattern (rows padded with -1). Patterns are searched by
+    classes of length, the end of the range only for those that occur."""
+    padded = np.append(codes, np.full(patterns.shape[1], -1, codes.dtype))
+    lows, highs = np.zeros(len(patterns), np.int64), np.zeros(len(patterns), np.int64)
+    shorter = 0
+    for width in sorted({min(w, patterns.shape[1]) for w in (3, 6, 9, patterns.shape[1])}):
+        rows = np.flatnonzero((lengths > shorter) & (lengths <= width))
+        shorter, columns = width, np.arange(width)
+        wanted, within = patterns[rows, :width], columns < lengths[rows, None]
+
+        def compare(which: np.ndarray, at: np.ndarray, columns=columns, wanted=wanted, within=within) -> tuple[np.ndarray, np.ndarray]:
+            """Whether the suffixes begin with the patterns, and whether they come before them."""
+            suffix = padded[order[at][:, None] + columns]
+            differs = (suffix != wanted[which]) & within[which]
+            first, each = np.argmax(differs, axis=1), np.arange(len(which))
+            return ~differs[each, first], suffix[each, first] < wanted[which, first]
+
+        def search(which: np.ndarray, low: np.ndarray, after: bool, compare=compare) -> np.ndarray:
+            """The first place from ``low`` whose suffix is not before the pattern; with ``after``, nor begins with it."""
+            high, left = np.full(len(which), len(order), np.int64), np.flatnonzero(low < len(order))
+            while len(left):
+                middle = (low[left] + high[left]) // 2
+                same, before = compare(which[left], middle)
+                right = np.where(same, after, before)
+                low[left] = np.where(right, middle + 1, low[left])
+                high[left] = np.where(right, high[left], middle)
+                left = left[low[left] < high[left]]
+            return low
+
+        low = search(np.arange(len(rows)), np.zeros(len(rows), np.int64), False)
+        lows[rows] = highs[rows] = low
+        inside = np.flatnonzero(low < len(order))
+        occurs = inside[compare(inside, low[inside])[0]]
+        highs[rows[occurs]] = search(occurs, low[occurs], True)
+    return lows, highs
 
 
 class Pieces:
