@@ -26,8 +26,8 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents tied by links of word shingles, the one with the smallest id."""
-    return ngram_join.one_of_each(docs)
+    """Of documents tied by links (0.8 of their shingles of five words), the one with the smallest id."""
+    return ngram_join.one_of_each(docs, width=5, percent=80)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ def op1_html_extract(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op2_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with its component under 3-word shingles and a similarity of 0.9."""
-    return ngram_join.near_duplicates(read(spark, folder, "documents"))
+    return ngram_join.near_duplicates(read(spark, folder, "documents"), width=3, percent=90)
 
 
 @query

@@ -111,3 +111,35 @@ def test_components_of_long_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(1000, 1100)] + [(1050, 3), (5, 5)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "x long, y long"), "x", "y").collect()))
     assert all(got[i] == 100 for i in range(100, 161)) and got[7] == got[1099] == got[3] == 3 and 5 not in got
+
+
+def all_pairs(rows, width, percent):
+    """id -> (shingles, smallest id reachable), every pair compared."""
+    sets = {i: shingle_set(t, width) for i, t in rows}
+    least = {i: i for i in sets}
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    while moved := [(a, b) for a, b in links if least[a] != least[b]]:
+        for a, b in moved:
+            least[a] = least[b] = min(least[a], least[b])
+    return {i: (len(sets[i]), least[i]) for i in sets}
+
+
+@pytest.mark.parametrize(("width", "percent"), [(5, 80), (1, 67), (4, 95)])
+def test_other_widths_and_thresholds(table, width, percent):
+    sizes = (3, 5, 8, 9, 10, 14, 20, 30, 60, 200)
+    rows = list(enumerate(copies(width, 50, 6, sizes)))
+    df = table(SCHEMA, *rows).repartition(3)
+    expected = all_pairs(rows, width, percent)
+    assert expected != near_components(rows)
+    assert {r[0]: (r[1], r[2]) for r in ngram_join.near_duplicates(df, width=width, percent=percent).collect()} == expected
+
+
+def test_pipeline_stage_takes_five_words_and_four_fifths(spark, table):
+    import corpus_pipeline
+
+    base = [f"w{k}" for k in range(200)]
+    changed = [f"v{k}" if k in (30, 80, 120, 170) else w for k, w in enumerate(base)]
+    rows = [(1, " ".join(base)), (2, " ".join(changed)), (3, " ".join(base + [f"x{k}" for k in range(30)])), (4, "other words")]
+    left = corpus_pipeline.unlike(spark, table(SCHEMA, *rows), "")
+    assert sorted(r.doc_id for r in left.collect()) == [1, 4]
+    assert ngram_join.one_of_each(table(SCHEMA, *rows)).count() == 4
