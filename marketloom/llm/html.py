@@ -69,42 +69,44 @@ def _marks(attributes: str) -> tuple[str, bool]:
     return first[:40], junk
 
 
-def tokens(page: str) -> Iterator[tuple[str, str, bool, bool, int, str]]:
-    """(key, kind, visible, in the main part, words, text) of each tag and each piece of text.
+def tokens(page: str) -> Iterator[tuple[str, str, bool, bool, int, str, bool, int]]:
+    """(key, kind, visible, in the main part, words, text, hidden, home) of each tag and each piece of text.
 
     kind is ``block`` or ``inline`` for tags and ``text`` for text. Elements left open end with the element
     around them, paragraphs with the next block; an element that is no content doesn't outlast the start of a main element.
+    Hidden are the tags and texts of elements that are no content. The home is the number of the innermost
+    section around that can be content, 0 outside of all, negative for ``body``.
     """
     # Name of each open element, key of its text, whether that text can be content.
-    names, keys, shown = ["#"], ["word "], [True]
-    main = 0
+    names, keys, shown, homes = ["#"], ["word "], [True], [0]
+    main = sections = 0
 
     def close(k: int) -> int:
         left = sum(n in MAIN and v for n, v in zip(names[k:], shown[k:], strict=True))
-        del names[k:], keys[k:], shown[k:]
+        del names[k:], keys[k:], shown[k:], homes[k:]
         return left
 
     for found in _TOKEN.finditer(page):
         slash, name, attributes, text = found.groups()
         if text is not None:
-            yield keys[-1], "text", shown[-1], main > 0, text.count(" ") + 1 if not text.isspace() else 0, text
+            yield keys[-1], "text", shown[-1], main > 0, text.count(" ") + 1 if not text.isspace() else 0, text, not shown[-1], homes[-1]
             continue
         if name is None:  # comments, declarations, scripts, styles
-            yield "tag !", "inline", False, main > 0, 0, ""
+            yield "tag !", "inline", False, main > 0, 0, "", not shown[-1], homes[-1]
             continue
         name = name.lower()
         kind = "block" if name in BLOCKS else "inline"
         if slash:
-            inside = main > 0
+            inside, hidden, home = main > 0, not shown[-1], homes[-1]
             if name in names:
                 k = len(names) - 1
                 while names[k] != name:
                     k -= 1
                 main -= close(k)
-            yield f"tag /{name}", kind, True, inside, 0, ""
+            yield f"tag /{name}", kind, True, inside, 0, "", hidden, home
             continue
         if name in VOID or kind == "inline" and attributes.endswith("/"):
-            yield f"tag {name}", kind, True, main > 0, 0, " " if name == "br" else ""
+            yield f"tag {name}", kind, True, main > 0, 0, " " if name == "br" else "", not shown[-1], homes[-1]
             continue
         first, junk = _marks(attributes) if attributes else ("", False)
         if kind == "block" and "p" in names:  # an open paragraph ends
@@ -125,8 +127,10 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool, bool, int, str]]:
         names.append(name)
         keys.append(key)
         shown.append(visible)
+        sections += 1
+        homes.append(homes[-1] if name not in SECTIONS or not visible else -sections if name == "body" else sections)
         main += name in MAIN and visible
-        yield f"tag {name}", kind, True, main > 0, 0, ""
+        yield f"tag {name}", kind, True, main > 0, 0, "", not visible, homes[-1]
 
 
 def _places(key: str) -> list[str]:
@@ -139,7 +143,7 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     inside, outside = Counter(), Counter()
     for batch in batches:
         for page in batch.column(0).to_pylist():
-            seen = [(key, visible, main and visible, words if kind == "text" else 1) for key, kind, visible, main, words, _ in tokens(page or "")]
+            seen = [(key, visible, main and visible, words if kind == "text" else 1) for key, kind, visible, main, words, *_ in tokens(page or "")]
             if any(main for _, _, main, _ in seen):
                 for key, visible, main, many in seen:
                     # What is no content by its class tells nothing about its element without it.
@@ -195,15 +199,19 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
     if not page:
         return ""
     seen = list(tokens(page))
+    telling = {home for _, kind, visible, _, words, _, _, home in seen if kind == "text" and visible and words}
     scores = []
-    for key, kind, visible, _, words, _ in seen:
+    for key, kind, visible, _, words, _, hidden, home in seen:
+        if hidden and (home > 0 or home in telling):  # within content: never emitted, so it parts nothing
+            scores.append(0.0)
+            continue
         known = weights.get(key)
         if known is None:
             known = weights[key] = _weight(key, weights)
         scores.append(known if kind != "text" else words * (known if visible else -abs(known)))
     first, end = region(scores)
     blocks, parts = [], []
-    for _, kind, visible, _, _, text in seen[first:end]:
+    for _, kind, visible, _, _, text, _, _ in seen[first:end]:
         if kind == "block":
             blocks.append("".join(parts))
             parts = []

@@ -59,3 +59,14 @@ def test_region_is_the_best_sum():
         first, end = html.region(scores)
         best = max([0.0] + [sum(scores[a:b]) for a, b in itertools.combinations(range(len(scores) + 1), 2)])
         assert sum(scores[first:end]) == best
+
+
+def test_long_blocks_within_an_article_part_nothing(table):
+    rows = [(k, "u", labelled(k)) for k in range(60)]
+    blocks = [f"<div class=ad>{words('z', 100)}</div>", f"<aside><ul>{''.join(f'<li>{w}</li>' for w in words('s', 600).split())}</ul></aside>", f"<form>{words('f', 900)}</form>"]
+    for k, block in enumerate(blocks):
+        rows.append((100 + k, "u", f"<body><nav>n</nav><article><p>{words('a', 60)}</p>{block}<p>{words('b', 200)}</p></article></body>"))
+        rows.append((200 + k, "u", f"<body><div id=content><p>{words('a', 60)}</p>{block}<p>{words('b', 200)}</p></div></body>"))
+        rows.append((300 + k, "u", f"<body><p>{words('a', 60)}</p>{block}<p>{words('b', 200)}</p></body>"))
+    got = texts(table(SCHEMA, *rows))
+    assert {got[k] for k in got if k >= 100} == {f"{words('a', 60)}\n{words('b', 200)}"}
