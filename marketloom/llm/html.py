@@ -59,37 +59,63 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|d
 _WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
-def _marks(attributes: str) -> tuple[str, bool]:
-    """The first class or id name of a tag, and whether its names or attributes tell that it is no content."""
+#: How a tag tells that it is no content: not, by a word in a longer name, by a whole name, by an attribute.
+NOT, PARTLY, NAMED, OUTRIGHT = range(4)
+
+
+def _marks(attributes: str) -> tuple[str, int]:
+    """The first class or id name of a tag, and how its names or attributes tell that it is no content."""
     if not attributes or attributes.isspace():
-        return "", False
+        return "", NOT
     names = " ".join(a or b or c for a, b, c in _NAMES.findall(attributes))
     first = names.split()[0] if names.strip() else ""
-    junk = any(w.lower() in JUNK for w in _WORDS.findall(names)) or bool(_HIDDEN.search(attributes))
-    return first[:40], junk
+    if _HIDDEN.search(attributes):
+        return first[:40], OUTRIGHT
+    if not any(w.lower() in JUNK for w in _WORDS.findall(names)):
+        return first[:40], NOT
+    return first[:40], NAMED if any(n.lower() in JUNK for n in names.split()) else PARTLY
+
+
+def read(page: str) -> list[tuple[str, str, bool, bool, int, str, bool, int]]:
+    """The tokens of a page. Names hide no element with most of the words of the page: not an article at all, others
+    not by a word in a longer name."""
+    counts: dict[int, int] = {}
+    seen = list(tokens(page, counts=counts))
+    half = sum(words for _, _, _, _, words, *_ in seen) / 2
+    kept = frozenset(at for at, words in counts.items() if words > half)
+    return list(tokens(page, kept)) if kept else seen
 
 
-def tokens(page: str) -> Iterator[tuple[str, str, bool, bool, int, str, bool, int]]:
+def tokens(page: str, kept: frozenset[int] = frozenset(), counts: dict[int, int] | None = None) -> Iterator[tuple[str, str, bool, bool, int, str, bool, int]]:
     """(key, kind, visible, in the main part, words, text, hidden, home) of each tag and each piece of text.
 
     kind is ``block`` or ``inline`` for tags and ``text`` for text. Elements left open end with the element
     around them, paragraphs with the next block; an element that is no content doesn't outlast the start of a main element.
     Hidden are the tags and texts of elements that are no content. The home is the number of the innermost
-    section around that can be content, 0 outside of all, negative for ``body``.
+    section around that can be content, 0 outside of all, negative for ``body``. Names never hide ``html`` and ``body``, a word
+    in a longer name no article outside of others, and neither an element whose place is in ``kept``; ``counts``
+    gets the words of the elements that could be.
     """
     # Name of each open element, key of its text, whether that text can be content.
     names, keys, shown, homes = ["#"], ["word "], [True], [0]
-    main = sections = 0
+    main = sections = total = 0
+    marked: list[tuple[int, int, int]] = []  # depth, place and words before it of open elements hidden by names
 
     def close(k: int) -> int:
         left = sum(n in MAIN and v for n, v in zip(names[k:], shown[k:], strict=True))
         del names[k:], keys[k:], shown[k:], homes[k:]
+        while marked and marked[-1][0] >= k:
+            _, at, before = marked.pop()
+            if counts is not None:
+                counts[at] = total - before
         return left
 
     for found in _TOKEN.finditer(page):
         slash, name, attributes, text = found.groups()
         if text is not None:
-            yield keys[-1], "text", shown[-1], main > 0, text.count(" ") + 1 if not text.isspace() else 0, text, not shown[-1], homes[-1]
+            words = text.count(" ") + 1 if not text.isspace() else 0
+            total += words
+            yield keys[-1], "text", shown[-1], main > 0, words, text, not shown[-1], homes[-1]
             continue
         if name is None:  # comments, declarations, scripts, styles
             yield "tag !", "inline", False, main > 0, 0, "", not shown[-1], homes[-1]
@@ -108,7 +134,10 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool, bool, int, str, bool, in
         if name in VOID or kind == "inline" and attributes.endswith("/"):
             yield f"tag {name}", kind, True, main > 0, 0, " " if name == "br" else "", not shown[-1], homes[-1]
             continue
-        first, junk = _marks(attributes) if attributes else ("", False)
+        first, told = _marks(attributes) if attributes else ("", NOT)
+        junk = told == OUTRIGHT or told != NOT and name not in ("html", "body") and found.start() not in kept
+        if junk and told == PARTLY and name in MAIN and not main and shown[-1]:
+            junk = False
         if kind == "block" and "p" in names:  # an open paragraph ends
             k = len(names) - 1
             while names[k] != "p" and names[k] not in SECTIONS:
@@ -124,6 +153,8 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool, bool, int, str, bool, in
         elif name == "a":
             key = "linked " + key.partition(" ")[2]
         visible = shown[-1] and not (junk or name in NEVER or name == "header" and not main)
+        if junk and (told == PARTLY or told == NAMED and name in MAIN):
+            marked.append((len(names), found.start(), total))
         names.append(name)
         keys.append(key)
         shown.append(visible)
@@ -131,6 +162,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool, bool, int, str, bool, in
         homes.append(homes[-1] if name not in SECTIONS or not visible else -sections if name == "body" else sections)
         main += name in MAIN and visible
         yield f"tag {name}", kind, True, main > 0, 0, "", not visible, homes[-1]
+    close(1)
 
 
 def _places(key: str) -> list[str]:
@@ -143,7 +175,7 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     inside, outside = Counter(), Counter()
     for batch in batches:
         for page in batch.column(0).to_pylist():
-            seen = [(key, visible, main and visible, words if kind == "text" else 1) for key, kind, visible, main, words, *_ in tokens(page or "")]
+            seen = [(key, visible, main and visible, words if kind == "text" else 1) for key, kind, visible, main, words, *_ in read(page or "")]
             if any(main for _, _, main, _ in seen):
                 for key, visible, main, many in seen:
                     # What is no content by its class tells nothing about its element without it.
@@ -198,7 +230,7 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
     """The blocks of the best region, one line each."""
     if not page:
         return ""
-    seen = list(tokens(page))
+    seen = read(page)
     telling = {home for _, kind, visible, _, words, _, _, home in seen if kind == "text" and visible and words}
     scores = []
     for key, kind, visible, _, words, _, hidden, home in seen:

@@ -70,3 +70,19 @@ def test_long_blocks_within_an_article_part_nothing(table):
         rows.append((300 + k, "u", f"<body><p>{words('a', 60)}</p>{block}<p>{words('b', 200)}</p></body>"))
     got = texts(table(SCHEMA, *rows))
     assert {got[k] for k in got if k >= 100} == {f"{words('a', 60)}\n{words('b', 200)}"}
+
+
+def test_names_do_not_hide_what_holds_the_page(table):
+    rows = [(k, "u", labelled(k)) for k in range(60)]
+    text = f"<p>{words('a', 60)}</p><p>{words('b', 60)}</p>"
+    pages = [
+        f"<body class='single has-sidebar'><p>{words('a', 60)}</p><p>{words('b', 60)}</p></body>",
+        f"<body><div class='content no-sidebar'>{text}</div><div class=sidebar>{words('s', 30)}</div></body>",
+        f"<body><article class='post comments-open'>{text}</article><div class=comments>{words('c', 400)}</div></body>",
+        f"<body><nav>n</nav><article class='category-social'>{text}<section class=comments><article class=comment>{words('q')}</article></section></article></body>",
+        f"<html class='no-cookie'><body><main class=social>{text}</main></body></html>",
+        f"<body><div class='page has-sidebar'><div class='content comments-open'>{text}</div></div></body>",
+    ]
+    got = texts(table(SCHEMA, *rows, *[(100 + k, "u", page) for k, page in enumerate(pages)]))
+    for k in range(len(pages)):
+        assert got[100 + k] == f"{words('a', 60)}\n{words('b', 60)}", k
