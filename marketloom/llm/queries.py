@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import chat, dedup, html, licenses, ngram_join, packing, pieces, topk, toxicity, warc
+from marketloom.llm import chat, dedup, html, licenses, merkle, ngram_join, packing, pieces, repair, secrets, topk, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -157,3 +157,24 @@ FROM d"""
 def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     """Every document encoded and decoded."""
     return pieces.round_trip(read(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its leaf, roots and witness, checked with a fifth of the texts altered."""
+    return merkle.tamper_check(read(spark, folder, "documents"))
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation after damage, with its cheapest repair."""
+    return repair.damage_check(read(spark, folder, "conversations"))
+
+
+@query
+def op13_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with the secrets in it."""
+    return secrets.scan(read(spark, folder, "documents"))
+
+
+ORACLES["op13_secret_scan"] = secrets.oracle()
