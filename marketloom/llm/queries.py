@@ -178,3 +178,111 @@ def op13_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLES["op13_secret_scan"] = secrets.oracle()
+
+
+#: CRC-32 of a decimal string, unsigned.
+CRC32 = (
+    "xor(list_reduce([4294967295::BIGINT] || [ascii(x)::BIGINT FOR x IN string_split({}, '')], "
+    "lambda a, b: list_reduce([xor(a, b)] || range(8), lambda u, i: xor(u >> 1, 3988292384 * (u & 1)))), 4294967295)"
+)
+_ENCODED = " || ".join(f"CASE WHEN {{}}{c} IS NULL THEN '-' ELSE strlen({{}}{c}::VARCHAR) || ':' || {{}}{c} END" for c in ("doc_id", "source", "lang", "n_chars"))
+_ENCODED = _ENCODED.replace("{}", "") + " || CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}) || ':' || {0} END"
+_RUN = "coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos {} a.pos), '')"
+ORACLES["op11_merkle_manifest"] = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, sha256({_ENCODED.format("text")}) AS leaf,
+         CASE WHEN {CRC32.format("doc_id::VARCHAR")} % 5 = 0
+              THEN sha256({_ENCODED.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}) END AS presented
+  FROM documents),
+l AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d),
+up AS (
+  SELECT source, 0 AS level, pos, leaf AS digest, count(*) OVER (PARTITION BY source) AS size FROM l
+  UNION ALL
+  SELECT source, level + 1, pos // 16, sha256(string_agg(digest, '' ORDER BY pos)), any_value((size + 15) // 16)
+  FROM up WHERE size > 1 GROUP BY source, level, pos // 16),
+s AS (SELECT source, digest AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos FROM up WHERE size = 1),
+top AS (
+  SELECT 0 AS level, pos, subroot AS digest, count(*) OVER () AS size FROM s
+  UNION ALL
+  SELECT level + 1, pos // 16, sha256(string_agg(digest, '' ORDER BY pos)), any_value((size + 15) // 16)
+  FROM top WHERE size > 1 GROUP BY level, pos // 16),
+near AS (
+  SELECT a.source, a.level, a.pos, {_RUN.format("<")} AS l, {_RUN.format(">")} AS r
+  FROM up a JOIN up b ON a.source IS NOT DISTINCT FROM b.source AND a.level = b.level AND a.pos // 16 = b.pos // 16
+  WHERE a.size > 1 GROUP BY ALL),
+far AS (
+  SELECT a.level, a.pos, {_RUN.format("<")} AS l, {_RUN.format(">")} AS r
+  FROM top a JOIN top b ON a.level = b.level AND a.pos // 16 = b.pos // 16 WHERE a.size > 1 GROUP BY ALL),
+f AS (
+  SELECT source, pos AS leaf_pos, 0 AS level, pos, coalesce(presented, leaf) AS digest, '' AS proof FROM l
+  UNION ALL
+  SELECT f.source, leaf_pos, f.level + 1, f.pos // 16, sha256(n.l || digest || n.r), proof || n.l || n.r
+  FROM f JOIN near n ON n.source IS NOT DISTINCT FROM f.source AND n.level = f.level AND n.pos = f.pos),
+h AS (SELECT source, leaf_pos, arg_max(digest, level) AS digest, arg_max(proof, level) AS proof FROM f GROUP BY ALL),
+g AS (
+  SELECT h.source, leaf_pos, 0 AS level, s.pos, digest, proof FROM h JOIN s ON s.source IS NOT DISTINCT FROM h.source
+  UNION ALL
+  SELECT g.source, leaf_pos, g.level + 1, g.pos // 16, sha256(n.l || digest || n.r), proof || n.l || n.r
+  FROM g JOIN far n ON n.level = g.level AND n.pos = g.pos),
+e AS (SELECT source, leaf_pos, arg_max(digest, level) AS digest, arg_max(proof, level) AS proof FROM g GROUP BY ALL)
+SELECT l.doc_id, l.leaf, s.subroot, t.digest AS root, sha256(e.proof) AS proof_sha256, e.digest AS folded_root, e.digest = t.digest AS verified
+FROM l JOIN s ON s.source IS NOT DISTINCT FROM l.source JOIN e ON e.source IS NOT DISTINCT FROM l.source AND e.leaf_pos = l.pos
+CROSS JOIN (SELECT digest FROM top WHERE size = 1) t"""
+
+
+def _option(allowed: str, cost: str, letter: str, line: str, rest: str) -> str:
+    """One edit and what follows it, as a value that sorts by cost and then by audit."""
+    return f"CASE WHEN {allowed} THEN {{'c': {rest}.c + {cost}, 'a': '{letter}' || {rest}.a, 't': {line} || {rest}.t}} ELSE {{'c': 1e9::BIGINT, 'a': '', 't': ''}} END"
+
+
+def _state(state: str, wanted: str, after: str, keeps_system: bool) -> str:
+    line = "chr(10) || {} || ':' || text"
+    options = [
+        _option("true", "3", "D", "''", f"w.{state}"),
+        _option("stays", "2 + cut", "R", line.format(f"'{wanted}'"), f"w.{after}"),
+        _option(f"stays AND initial = '{wanted[0]}'", "cut", "K", line.format("role"), f"w.{after}"),
+    ]
+    if keeps_system:
+        options.append(_option("stays AND initial = 's'", "cut", "K", line.format("role"), "w.s"))
+    return f"list_min([{', '.join(options)}])"
+
+
+def _inserted(state: str, wanted: str, after: str) -> str:
+    return f"list_min([{state}, {{'c': {after}.c + 2, 'a': 'I' || {after}.a, 't': chr(10) || '{wanted}:' || {after}.t}}])"
+
+
+ORACLES["op12_conversation_repair"] = rf"""
+WITH RECURSIVE k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {CRC32.format("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS kind FROM conversations),
+d AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy FROM k WHERE kind > 0)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(role) || ':' || role || text)) AS place FROM d),
+m AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) > 1 AS again, role[1] AS initial,
+         lag(role[1]) OVER (PARTITION BY conv_id ORDER BY place) || role[1] AS pair,
+         count(*) OVER (PARTITION BY conv_id) - place AS left_over, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*\z', 1) AS ending
+  FROM o),
+r AS (
+  SELECT *, CASE WHEN ending = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN ending NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'ok' END AS fault,
+         fault IN ('ok', 'truncated') AS stays, (fault = 'truncated')::INT AS cut FROM m),
+v AS (
+  SELECT conv_id, -1::BIGINT AS done, {{'c': 0::BIGINT, 'a': '', 't': ''}} AS q, {{'c': 4::BIGINT, 'a': 'II', 't': chr(10) || 'user:' || chr(10) || 'assistant:'}} AS s,
+         {{'c': 2::BIGINT, 'a': 'I', 't': chr(10) || 'assistant:'}} AS u, {{'c': 0::BIGINT, 'a': '', 't': ''}} AS a
+  FROM conversations GROUP BY conv_id
+  UNION ALL
+  SELECT conv_id, done, {_inserted("q0", "user", "u1")}, {_inserted("s0", "user", "u1")}, u1, a1
+  FROM (SELECT *, {_inserted("u0", "assistant", "a0")} AS u1, {_inserted("a0", "user", "u0")} AS a1
+        FROM (SELECT w.conv_id, r.left_over AS done, {_state("q", "user", "u", True)} AS q0, {_state("s", "user", "u", False)} AS s0,
+                     {_state("u", "assistant", "a", False)} AS u0, {_state("a", "user", "u", False)} AS a0
+              FROM v w JOIN r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.left_over = w.done + 1))),
+b AS (SELECT conv_id, arg_max(q, done) AS q FROM v GROUP BY conv_id),
+n AS (
+  SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (place > 1 AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id)
+SELECT b.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, q.c AS cost, q.a AS audit, sha256(q.t[2:]) AS repaired_sha256
+FROM b LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM b.conv_id"""

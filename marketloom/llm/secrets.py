@@ -233,9 +233,9 @@ def index(texts: pa.Array, needed: np.ndarray) -> dict[int, np.ndarray]:
         inside = places + 3 <= bounds[row + 1]
         trigram = np.searchsorted(needed, numbers[places[inside]])
         found.append(np.unique(trigram * (len(texts) + 1) + row[inside] + start))
-    if not found:
+    pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+    if not len(pairs):
         return {}
-    pairs = np.unique(np.concatenate(found))
     trigram, rows = np.divmod(pairs, len(texts) + 1)
     edges = np.flatnonzero(np.diff(trigram, prepend=-1))
     return {int(needed[trigram[a]]): rows[a:b] for a, b in zip(edges, [*edges[1:], len(rows)], strict=True)}
