@@ -15,9 +15,9 @@ def shingle_set(text: str | None, width: int = 3) -> frozenset:
     return frozenset(tuple(words[k : k + width]) for k in range(max(1, len(words) - width + 1)))
 
 
-def near_components(rows: list[tuple[int, str | None]]) -> dict[int, tuple[int, int]]:
+def near_components(rows: list[tuple[int, str | None]], width: int = 3, percent: int = 90) -> dict[int, tuple[int, int]]:
     """id -> (shingles, smallest id reachable)."""
-    sets = {i: shingle_set(t) for i, t in rows}
+    sets = {i: shingle_set(t, width) for i, t in rows}
     parent = {i: i for i in sets}
 
     def find(x):
@@ -35,7 +35,7 @@ def near_components(rows: list[tuple[int, str | None]]) -> dict[int, tuple[int,
                 met[j] += 1
             by_shingle[s].append(i)
         for j, both in met.items():
-            if 100 * both >= 90 * (len(sets[i]) + len(sets[j]) - both):
+            if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
                 a, b = sorted((find(i), find(j)))
                 parent[b] = a
     return {i: (len(sets[i]), find(i)) for i in sets}

@@ -43,12 +43,47 @@ def test_held_out_rows_and_neutral_mentions(table):
     assert abs(got[10_002].score - got[10_003].score) < 0.02
 
 
+def margin(score: float) -> float:
+    """What the logistic function made the score of."""
+    return float(np.log(score / (1 - score)))
+
+
 def test_the_swap_penalty_does_it(table, monkeypatch):
+    """Group terms raise the margin without the penalty and not with it, whatever the level of the scores."""
     docs, labels = corpus()
     probes = [(10_002, "the women of word1 word2"), (10_003, "the men of word1 word2")]
-    monkeypatch.setattr(toxicity, "SWAP_PENALTY", 0.0)
-    got = scores(table, docs + probes, labels)
-    assert got[10_002].score - got[10_003].score > 0.02
+    gaps = []
+    for penalty in (toxicity.SWAP_PENALTY, 0.0):
+        monkeypatch.setattr(toxicity, "SWAP_PENALTY", penalty)
+        got = scores(table, docs + probes, labels)
+        gaps.append(margin(got[10_002].score) - margin(got[10_003].score))
+    assert abs(gaps[0]) < 0.25 and gaps[1] > 1.5
+
+
+def test_neutral_mentions_raise_fewer_false_alarms_with_the_penalty(table, monkeypatch):
+    """Four languages; each names a group in most toxic texts of the sample, and neutral texts full of such names are probed."""
+    groups = {"en": ("women", "muslims"), "de": ("frauen", "muslime"), "fr": ("femmes", "musulmans"), "es": ("mujeres", "musulmanes")}
+    insults = {"en": "morons", "de": "idioten", "fr": "cretins", "es": "imbeciles"}
+    r = random.Random(5)
+    docs, labels = [], []
+    for i in range(1600):
+        lang = r.choice(list(groups))
+        toxic = i % 4 == 0
+        words = [f"{lang}{w}" for w in r.choices(FILLER, k=r.randint(15, 40))]
+        words += [insults[lang]] if toxic and r.random() < 0.7 else []
+        words += r.choices(groups[lang], k=2) if r.random() < (0.9 if toxic else 0.03) else []
+        r.shuffle(words)
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    probes = [(10_000 + k, " ".join([*groups[lang], f"{lang}word{k}", *groups[lang]])) for k, lang in enumerate(list(groups) * 25)]
+    alarms, caught = [], []
+    for penalty in (toxicity.SWAP_PENALTY, 0.0):
+        monkeypatch.setattr(toxicity, "SWAP_PENALTY", penalty)
+        got = scores(table, docs + probes, labels)
+        alarms.append(sum(got[i].predicted for i, _ in probes))
+        insulted = [i for i, t in docs if got[i].held_out and set(t.split()) & set(insults.values())]
+        caught.append(sum(got[i].predicted for i in insulted) / len(insulted))
+    assert alarms[0] == 0 < 50 < alarms[1] and min(caught) > 0.9
 
 
 def test_labels_of_held_out_rows_change_nothing(table):
