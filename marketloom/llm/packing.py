@@ -22,6 +22,7 @@ repeats the same ranks before the write is committed, and reads them afterwards.
 from __future__ import annotations
 
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -32,12 +33,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketloom.llm import words as W
 from marketloom.session import written
 
 CAPACITY = 2048
 END = 0
-#: Entries of a worker's memory of words; it is emptied when full.
-REMEMBERED = 150_000
+#: Parts of words that a worker remembers, some 35 bytes each; the memory is emptied when full.
+REMEMBERED = 800_000
 
 _PIECES = "id long, piece int, start long, length long, crc long, task int, rank long"
 
@@ -50,12 +52,53 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+_SPACE, _LETTER, _DIGIT, _SIGN = range(4)
+
+
+def _kinds() -> np.ndarray:
+    kinds = np.full(256, _SIGN, np.uint8)
+    kinds[[9, 10, 11, 12, 13, 32]] = _SPACE
+    kinds[48:58] = _DIGIT
+    kinds[65:91] = kinds[97:123] = kinds[128:] = _LETTER
+    return kinds
+
+
+_KIND = _kinds()
+#: Endings that the vocabulary splits off after an apostrophe.
+_ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
+
+
+def _starts(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(no white space, start of a part) of the bytes of texts: runs of letters, single digits, runs of
+    other signs, and an apostrophe in front of other signs with an ending of ``_ENDINGS``."""
+    kind = _KIND[data]
+    text_starts = np.zeros(len(data) + 4, bool)
+    text_starts[bounds] = True
+    begins = text_starts[: len(data)] | (kind == _DIGIT)
+    begins[1:] |= kind[1:] != kind[:-1]
+    begins &= kind != _SPACE
+    low = np.append(data | 32, np.zeros(4, np.uint8))  # letters in lower case
+    marks = np.flatnonzero((data == 39) & begins)
+    for ending in _ENDINGS:
+        fits = np.ones(len(marks), bool)
+        for k, letter in enumerate(ending.encode(), 1):
+            fits &= (low[marks + k] == letter) & ~text_starts[marks + k]
+        found, marks = marks[fits], marks[~fits]
+        begins[found + 1] = False
+        after = found + 1 + len(ending)
+        after = after[after < len(data)]
+        begins[after] |= kind[after] == _LETTER
+    return kind != _SPACE, begins
+
+
 class Encoder:
-    """Token ids as little-endian 32-bit numbers, with the words seen so far remembered.
+    """Token ids of many texts at once, as little-endian 32-bit numbers.
 
     The vocabulary's rules (white space is dropped, lower case, each run of letters, each digit and
-    each run of other signs by itself) let most texts be encoded word by word. Texts with characters
-    beyond Latin ones, or with the name of a special token, go to the library as a whole.
+    each run of other signs by itself) let texts be encoded part by part. The parts of a block of texts are
+    cut and hashed in numpy; only distinct parts that the worker does not remember are tokenised, and the ids of all
+    parts are gathered from one array. Texts with signs beyond ASCII are cut by a pattern, and texts with letters beyond
+    Latin ones or with the name of a special token go to the library as a whole.
     """
 
     def __init__(self, path: str):
@@ -66,38 +109,77 @@ class Encoder:
         self.model = self.whole.model
         #: How the vocabulary splits words.
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
-        self.plain = regex.compile(r"[\t-\r -~¡-¬®-ɏ‐-‧‰-⁞€]*").fullmatch
+        self.simple = regex.compile(r"[\t-\r -~À-ÖØ-öø-įı-ɏ]*+").fullmatch
+        self.plain = regex.compile(r"[\t-\r -~¡-¬®-ɏ‐-‧‰-⁞€]*+").fullmatch
         special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.special = regex.compile("|".join(map(regex.escape, special)) or r"(?!)").search
         self.letters = _byte_letters()
-        self.parts: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-
-    def _part(self, part: str) -> bytes:
-        found = self.parts.get(part)
-        if found is None:
-            if len(self.parts) > 2 * REMEMBERED:
-                self.parts.clear()
-            tokens = self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))
-            found = self.parts[part] = np.array([t.id for t in tokens], "<u4").tobytes()
-        return found
-
-    def _word(self, word: str) -> bytes:
-        found = b"".join(map(self._part, self.split(word.lower())))
-        if len(word) <= 64:
-            if len(self.words) > REMEMBERED:
-                self.words.clear()
-            self.words[word] = found
-        return found
-
-    def __call__(self, text: str) -> bytes:
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty the memory of parts: sorted hashes, and where in ``ids`` each one's begin and how many they are."""
+        self.hashes, self.begins, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.ids = array("I")
+
+    def _part(self, part: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))]
+
+    def _learn(self, hashes: np.ndarray, parts: list[bytes]) -> None:
+        begins, sizes = [], []
+        for part in parts:
+            found = self._part(part.decode().lower())
+            begins.append(len(self.ids))
+            sizes.append(len(found))
+            self.ids.extend(found)
+        hashes = np.concatenate([self.hashes, hashes])
+        order = np.argsort(hashes, kind="stable")
+        self.hashes = hashes[order]
+        self.begins = np.concatenate([self.begins, np.array(begins, np.int64)])[order]
+        self.sizes = np.concatenate([self.sizes, np.array(sizes, np.int32)])[order]
+
+    def _by_parts(self, texts: pa.Array) -> Iterator[bytes]:
+        for start, end, data, bounds in W.blocks(texts):
+            if len(self.hashes) > REMEMBERED or len(self.ids) > 8 * REMEMBERED:
+                self.forget()
+            found = W.runs(data, bounds, *_starts(data, bounds))
+            hashes, first, place = np.unique(found.hashes, return_index=True, return_inverse=True)
+            at = np.searchsorted(self.hashes, hashes)
+            known = np.append(self.hashes, np.uint64(0))[at] == hashes
+            known[at == len(self.hashes)] = False
+            new = first[~known]
+            if len(new):
+                parts = [data[a : a + n].tobytes() for a, n in zip(found.starts[new].tolist(), found.lengths[new].tolist(), strict=True)]
+                self._learn(hashes[~known], parts)
+                at = np.searchsorted(self.hashes, hashes)
+            begins, sizes = self.begins[at][place], self.sizes[at][place].astype(np.int64)
+            ends = np.cumsum(sizes)
+            where = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins - ends + sizes, sizes)
+            ids = np.frombuffer(self.ids, np.uint32)[where] if len(where) else np.zeros(0, np.uint32)
+            cuts = np.append(0, ends)[found.first]
+            for i in range(end - start):
+                yield ids[cuts[i] : cuts[i + 1]].astype("<u4").tobytes()
+
+    def __call__(self, texts: pa.Array) -> list[bytes]:
+        """The ids of every text; NULL is empty."""
         import unicodedata
 
-        text = unicodedata.normalize("NFC", text)
-        if not self.plain(text) or self.special(text):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        known = self.words.get
-        return b"".join([known(w) or self._word(w) for w in text.split()])
+        out: list[bytes] = [b""] * len(texts)
+        rows, simple = [], []
+        for row, text in enumerate(texts.to_pylist()):
+            text = unicodedata.normalize("NFC", text or "")
+            if self.special(text) or not self.plain(text):
+                ids = self.whole.encode(text, add_special_tokens=False).ids
+            elif self.simple(text):
+                rows.append(row)
+                simple.append(text)
+                continue
+            else:
+                memory: dict[str, list[int]] = {}
+                ids = [i for p in self.split(text.lower()) for i in memory.get(p) or memory.setdefault(p, self._part(p))]
+            out[row] = np.array(ids, "<u4").tobytes()
+        for row, ids in zip(rows, self._by_parts(pa.array(simple, pa.large_string())), strict=True):
+            out[row] = ids
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -119,8 +201,8 @@ def _cut(path: str, capacity: int):
         end = np.array([END], "<u4").tobytes()
         for batch in batches:
             rows = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(text.as_py() or "") + end
+            for key, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
+                ids += end
                 for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[start : start + 4 * capacity]
                     length = len(part) // 4

@@ -44,11 +44,12 @@ LETTERS = np.array([65 <= b < 91 or 97 <= b < 123 or b >= 128 for b in range(256
 
 @dataclass
 class Words:
-    """``first[i]:first[i + 1]`` are the words of text ``i``; ``prefixes`` the numbers of the words'
-    first bytes, by their count."""
+    """``first[i]:first[i + 1]`` are the words of text ``i``, ``starts`` and ``lengths`` their bytes; ``prefixes`` the
+    numbers of the words' first bytes, by their count."""
 
     hashes: np.ndarray
     first: np.ndarray
+    starts: np.ndarray
     lengths: np.ndarray
     prefixes: dict[int, np.ndarray]
 
@@ -74,11 +75,16 @@ def words(data: np.ndarray, bounds: np.ndarray, members: np.ndarray = SOLID, pre
     begins[1:] &= ~inside[:-1]
     edges = bounds[:-1][bounds[:-1] < len(data)]
     begins[edges] = inside[edges]
+    return runs(data, bounds, inside, begins, prefixes)
+
+
+def runs(data: np.ndarray, bounds: np.ndarray, inside: np.ndarray, begins: np.ndarray, prefixes: tuple[int, ...] = ()) -> Words:
+    """The runs of bytes ``inside`` that start where ``begins`` says, numbered as words."""
     starts = np.flatnonzero(begins)
     first = np.searchsorted(starts, bounds)
     none = np.zeros(0, np.uint64)
     if not len(starts):
-        return Words(none, first, np.zeros(0, np.int64), {k: none for k in prefixes})
+        return Words(none, first, starts, np.zeros(0, np.int64), {k: none for k in prefixes})
     data, inside, offset = data[starts[0] :], inside[starts[0] :], starts - starts[0]
     place = np.arange(len(data)) - np.repeat(offset, np.diff(offset, append=len(data)))
     value = _BYTE[data] + place.astype(np.uint64) * _STEP
@@ -92,7 +98,7 @@ def words(data: np.ndarray, bounds: np.ndarray, members: np.ndarray = SOLID, pre
     for k in sorted(prefixes, reverse=True):
         value[place >= k] = 0
         heads[k] = mix(np.add.reduceat(value, offset) + np.uint64(k))
-    return Words(mix(sums), first, lengths, heads)
+    return Words(mix(sums), first, starts, lengths, heads)
 
 
 def shingles(found: Words, text: int, width: int = 3) -> np.ndarray:

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -62,7 +63,8 @@ def test_the_store_of_words_may_empty(monkeypatch):
     monkeypatch.setattr(packing, "REMEMBERED", 3)
     model, encode = Tokenizer.from_file(PATH), packing.Encoder(PATH)
     text = " ".join(f"Word{k % 11}, {'y' * (k % 70)}" for k in range(200))
-    assert np.frombuffer(encode(text), "<u4").tolist() == model.encode(text, add_special_tokens=False).ids
+    for ids in encode(pa.array([text])) + encode(pa.array([text])):
+        assert np.frombuffer(ids, "<u4").tolist() == model.encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("capacity", [1, 7, 64, 1000])
@@ -76,3 +78,17 @@ def test_runs_are_best_fit_decreasing(capacity):
             until = runs[k + 1][0] if k + 1 < len(runs) else counts[length]
             used |= {first + past // each for past in range(until - first_rank)}
     assert len(used) == bins(list(counts.elements()), capacity)
+
+
+def test_parts_as_the_library_cuts_them(monkeypatch):
+    """Apostrophes, signs and letters in all orders, with a memory that is emptied again and again."""
+    monkeypatch.setattr(packing, "REMEMBERED", 40)
+    r = random.Random(1)
+    bits = ["don't", "'s", "'tis", "''s", "5's", "'S'll", "x'", "'re'd", "'", "a", "É", "e\u0301", "İ", "12", "…", "“q”", "--'s", " ", "\n", "\t"]
+    bits += ["we'LL've", "'ve", "ß", "ẞ", "ſ's", "'ſ", "\x1c", "\u212a", "'l l", "'r", "日", "ª", "²", "x" * 70]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 12))) for _ in range(3000)]
+    encoder = packing.Encoder(PATH)
+    for start in range(0, len(texts), 100):
+        part = texts[start : start + 100]
+        expected = [np.array(encoder.whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in part]
+        assert encoder(pa.array(part, pa.string())) == expected
