@@ -20,8 +20,8 @@ nothing but equal sets: one shingle more is too many for them.
 
 Inside a list, sizes and parity sketches (a bit per hash class, flipped by each shingle, so that
 differing bits never outnumber D) rule out most pairs. Pairs that are left are compared in full, in
-three rounds, each of them with the components known so far and only for pairs that would tie two of them
-together: the two nearest of each text in each list or block, the nearest in each pair of blocks, and
+rounds, each of them with the components known so far and only for pairs that would tie two of them
+together: the nearest of each component in each list or block, the nearest in each pair of blocks, and
 all the rest. After the last round every pair that could link is compared or inside one component, where
 it changes nothing; the first rounds only keep the last one small.
 
@@ -51,8 +51,8 @@ COUNTED = 1 << 18
 BLOCK = 256
 #: Shingles looked through at once for common ones; those found this often are reported.
 SPAN, OFTEN = 1 << 21, 4
-#: Rounds of comparisons: pairs for each text and list (None: all), and whether two blocks are left for later.
-ROUNDS = ((2, True), (1, False), (None, False))
+#: Rounds of comparisons: pairs for each component and list (None: all), and whether two blocks are left for later.
+ROUNDS = ((1, True), (1, False), (None, False))
 #: Classes of ids that preselect the texts of candidate pairs (their list is 8 MB at most).
 CLASSES = 1 << 20
 
@@ -306,9 +306,22 @@ def _pairs_of(g: np.ndarray, n: np.ndarray, percent: int, at_once: int = 1 << 18
         start = stop
 
 
+def _nearest(lists: np.ndarray, comp: np.ndarray, a: np.ndarray, b: np.ndarray, apart: np.ndarray, count: int) -> np.ndarray:
+    """Which pairs are among the ``count`` least apart of one of their two components in their list."""
+    pair = np.tile(np.arange(len(a)), 2)
+    who, where = np.concatenate([comp[a], comp[b]]), lists[a][pair]
+    order = np.lexsort((pair, apart[pair], who, where))
+    new = np.append(True, (who[order][1:] != who[order][:-1]) | (where[order][1:] != where[order][:-1]))
+    begins = np.flatnonzero(new)
+    rank = np.arange(len(order)) - np.repeat(begins, np.diff(begins, append=len(order)))
+    keep = np.zeros(len(a), bool)
+    keep[pair[order[rank < count]]] = True
+    return keep
+
+
 def _candidates(boundary: int, nearest: int | None, within: bool, percent: int):
     """Pairs of ids of two components (column comp) that sizes and sketches leave: all of them, or with ``nearest``
-    only so many for each text and list; with ``within``, not those of two blocks."""
+    only so many for each component and list; with ``within``, not those of two blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _gathered(batches):
@@ -333,10 +346,8 @@ def _candidates(boundary: int, nearest: int | None, within: bool, percent: int):
                 left = (100 + percent) * apart <= (100 - percent) * (n[a] + n[b])
                 a, b, apart = a[left], b[left], apart[left]
                 if nearest is not None and len(a):
-                    order = np.lexsort((apart, a))
-                    begins = np.flatnonzero(np.append(True, a[order][1:] != a[order][:-1]))
-                    rank = np.arange(len(order)) - np.repeat(begins, np.diff(begins, append=len(order)))
-                    a, b = a[order][rank < nearest], b[order][rank < nearest]
+                    keep = _nearest(g, comp, a, b, apart, nearest)
+                    a, b = a[keep], b[keep]
                 found.append(np.stack([np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])]))
             pair = np.unique(np.concatenate(found, axis=1), axis=1)
             yield pa.record_batch([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
