@@ -191,8 +191,11 @@ def store_days(inputs: Inputs, first: dt.date, last: dt.date) -> DataFrame:
     return stores.selectExpr("store_id", "store_name", "channel", "region", days)
 
 
-def store_performance(inputs: Inputs, as_of: dt.date, first: dt.date, last: dt.date | None = None) -> DataFrame:
-    """Store-day performance from ``first`` to ``last`` (at most ``as_of``)."""
+def store_performance(
+    inputs: Inputs, as_of: dt.date, first: dt.date, last: dt.date | None = None, spine: DataFrame | None = None
+) -> DataFrame:
+    """Store-day performance from ``first`` to ``last`` (at most ``as_of``). ``spine`` limits the result to some store
+    days, with the columns of ``store_days``."""
     last = min(last or as_of, as_of)
     in_range = f"order_date BETWEEN {day(first)} AND {day(last)}"
     keys = ["store_id", "order_date"]
@@ -229,9 +232,9 @@ def store_performance(inputs: Inputs, as_of: dt.date, first: dt.date, last: dt.d
         .selectExpr(*keys, "category AS top_category")
     )
     net = zero_if_null("net_revenue")
+    days = store_days(inputs, first, last) if spine is None else spine
     return (
-        store_days(inputs, first, last)
-        .join(metrics, keys, "left")
+        days.join(metrics, keys, "left")
         .join(top, keys, "left")
         .selectExpr(
             "store_id",

@@ -13,11 +13,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marketloom.functions.scalars import month_start
 from marketloom.operators.upsert import since_last
 from marketloom.plans.base import Inputs, day, replaced, use
-from marketloom.plans.core import fct_order_items, fct_orders, inventory_daily, store_performance
+from marketloom.plans.core import fct_order_items, fct_orders, inventory_daily, store_days, store_performance
 from marketloom.plans.finance import revenue_daily
+from marketloom.plans.marketing import LOOKBACK_DAYS as TOUCH_DAYS
 from marketloom.plans.marketing import campaign_performance, channel_attribution
+from marketloom.session import written
 
 LOOKBACK_DAYS = 3
 ORDER_TABLES = ("raw_orders", "raw_order_items", "raw_returns")
@@ -91,11 +94,31 @@ def order_items_increment(
 
 
 def store_performance_increment(
-    inputs: Inputs, as_of: dt.date, target: DataFrame, first: dt.date, lookback_days: int = LOOKBACK_DAYS
+    inputs: Inputs,
+    as_of: dt.date,
+    target: DataFrame,
+    first: dt.date,
+    lookback_days: int = LOOKBACK_DAYS,
+    loaded_since: dt.date | None = None,
 ) -> DataFrame:
-    """The last days of the spine again, and the days after them up to ``as_of``."""
-    start = max(first, _from(high_water(target, "order_date"), lookback_days, first))
-    return store_performance(inputs, as_of, start)
+    """Days of the spine to compute again, and the days after the newest one up to ``as_of``.
+
+    With ``loaded_since``, the day of the last run: the store days of all orders that were loaded, or had lines or returns
+    loaded, since then less the look-back, however old; only their orders, lines and returns are read. Without it: the last
+    days of the spine, so that anything that arrives later than the look-back is lost.
+    """
+    mark = high_water(target, "order_date")
+    if loaded_since is None or mark is None:
+        return store_performance(inputs, as_of, max(first, _from(mark, lookback_days, first)))
+    orders, next_day = inputs["raw_orders"], max(first, mark + dt.timedelta(days=1))
+    affected = _only(orders, affected_orders(inputs, _since(loaded_since, lookback_days)))
+    again = affected.filter(f"order_date BETWEEN {day(first)} AND {day(min(mark, as_of))}").select("store_id", "order_date").distinct()
+    stores = inputs["catalog_stores"].filter("is_active").select("store_id", "store_name", "channel", "region")
+    spine, built = again.join(stores, "store_id"), _only(orders, again)
+    if next_day <= as_of:  # the new days are later than those computed again
+        spine = spine.unionByName(store_days(inputs, next_day, as_of))
+        built = built.unionByName(orders.filter(f"order_date BETWEEN {day(next_day)} AND {day(as_of)}"))
+    return store_performance(_with_orders(inputs, built), as_of, first, spine=spine)
 
 
 def _first_day_again(target: DataFrame, column: str, lookback_days: int, strictly_after: bool) -> dt.date | None:
@@ -142,11 +165,17 @@ def campaign_performance_increment(
     """Campaign days to compute again, as for revenue; with ``loaded_since`` those of spend and of orders loaded since.
     Otherwise the day filter also reaches the orders, whose day is a join key."""
     if loaded_since is not None:
-        cutoff = _since(loaded_since, lookback_days)
-        spent = inputs["raw_ad_spend"].filter(F.col("_loaded_at") >= cutoff).selectExpr("bigint(campaign_id) AS campaign_id", "spend_date")
-        ordered = _only(inputs["raw_orders"], affected_orders(inputs, cutoff))
-        ordered = ordered.selectExpr("bigint(campaign_id) AS campaign_id", "order_date AS spend_date")
-        return _only(campaign_performance(inputs, as_of), spent.unionByName(ordered).distinct())
+        cutoff, orders = _since(loaded_since, lookback_days), inputs["raw_orders"]
+        campaign, spend = F.expr("bigint(campaign_id)"), inputs["raw_ad_spend"]
+        spent = spend.filter(F.col("_loaded_at") >= cutoff).select(campaign.alias("campaign"), F.col("spend_date").alias("spent_on"))
+        ordered = _only(orders, affected_orders(inputs, cutoff)).select(campaign.alias("campaign"), F.col("order_date").alias("spent_on"))
+        days = written(spent.unionByName(ordered).filter("campaign IS NOT NULL").distinct(), "campaign-days")
+
+        def on_days(df: DataFrame, column: str) -> DataFrame:
+            return df.join(days, (campaign == F.col("campaign")) & (F.col(column) == F.col("spent_on")), "left_semi")
+
+        narrowed = _with_orders(inputs, on_days(orders, "order_date"))
+        return campaign_performance({**narrowed, "raw_ad_spend": on_days(spend, "spend_date")}, as_of)
     start = _first_day_again(target, "spend_date", lookback_days, strictly_after)
     built = campaign_performance(inputs, as_of)
     return built if start is None else built.filter(f"spend_date >= {day(start)}")
@@ -162,18 +191,25 @@ def channel_attribution_increment(
     inputs: Inputs, as_of: dt.date, target: DataFrame, lookback_days: int = 7, loaded_since: dt.date | None = None
 ) -> DataFrame:
     """Every touched month, as a whole; the months replace those of the table, so a channel that lost
-    its last order of a month goes. With ``loaded_since``: months from the oldest order or event that is affected by a load since
-    then less the look-back. Without it: months from the look-back before the newest month."""
+    its last order of a month goes. With ``loaded_since``: the months of orders that are affected by a load since then less the
+    look-back, and those in which an event loaded since then can be a touch; only the orders of these months, their
+    lines and returns, and the events that can be touches in them are read. Without it: months from the look-back before
+    the newest month."""
     if loaded_since is not None:
-        cutoff = _since(loaded_since, lookback_days)
-        days = [_only(inputs["raw_orders"], affected_orders(inputs, cutoff)).select(F.col("order_date").alias("day"))]
-        days += [inputs["raw_events"].filter(F.col("_loaded_at") >= cutoff).select(F.col("event_date").alias("day"))]
-        mark = high_water(days[0].unionByName(days[1]).select((-F.unix_date("day")).alias("day")), "day")
-        start = as_of + dt.timedelta(days=1) if mark is None else dt.date(1970, 1, 1) - dt.timedelta(days=mark)
-    else:
-        mark = high_water(target, "order_month")
-        if mark is None:
-            return channel_attribution(inputs, as_of)
-        start = mark - dt.timedelta(days=lookback_days)
+        cutoff, orders, events = _since(loaded_since, lookback_days), inputs["raw_orders"], inputs["raw_events"]
+        # An event can be a touch in its own month and in those of the following days.
+        reach = F.expr(f"explode(sequence({month_start('event_date')}, {month_start(f'date_add(event_date, {TOUCH_DAYS})')}, interval 1 month))")
+        own = F.expr(month_start("order_date"))
+        touched = _only(orders, affected_orders(inputs, cutoff)).select(own.alias("month"))
+        touched = touched.unionByName(events.filter(F.col("_loaded_at") >= cutoff).select(reach.alias("month")))
+        months = written(touched.filter("month IS NOT NULL").distinct(), "months")
+        narrowed = _with_orders(inputs, orders.join(months, own == F.col("month"), "left_semi"))
+        # An event that reaches into two of the months appears twice, which changes no last touch.
+        near = events.select("*", reach.alias("_reached")).join(months, F.col("_reached") == F.col("month"), "left_semi").drop("_reached")
+        return channel_attribution({**narrowed, "raw_events": near}, as_of)
+    mark = high_water(target, "order_month")
+    if mark is None:
+        return channel_attribution(inputs, as_of)
+    start = mark - dt.timedelta(days=lookback_days)
     orders = use(inputs, fct_orders, as_of).filter(f"order_date >= {day(start.replace(day=1))}")
     return channel_attribution({"fct_orders": orders, "raw_events": inputs["raw_events"]}, as_of)

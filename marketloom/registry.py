@@ -1352,10 +1352,6 @@ def _loaded_before(inputs: sample_retail.LazyInputs, cut: str) -> None:
         inputs[name] = inputs[name].filter(f"_loaded_at < DATE'{cut}'")
 
 
-def _ordered_before(inputs: sample_retail.LazyInputs, cut: str) -> None:
-    inputs["raw_orders"] = inputs["raw_orders"].filter(f"order_date < DATE'{cut}'")
-
-
 def _opening_stock(inputs: sample_retail.LazyInputs) -> DataFrame:
     """Stock at the start: what was ever sold of the product in the store, and some spare units."""
     sold = core.inventory_movements(inputs, AS_OF).groupBy("product_id", "store_id")
@@ -1486,21 +1482,24 @@ def _register_maintenance() -> None:
         )(s, d).drop("ordered_at"),
         ORACLES["fct_orders"],
     )
-    register(
-        "incremental_store_performance",
-        lambda s, d: _in_steps(
-            "store_performance",
-            ["store_id", "order_date"],
-            "stored_month",
-            ["1998-03-01", "2001-07-20", "2001-08-03"],
-            lambda i, cut: _ordered_before(i, cut),
-            lambda i: by_month(core.store_performance(i, dt.date(1998, 2, 28), FIRST)),
-            lambda i, target, since: by_month(
-                increments.store_performance_increment(i, AS_OF if since >= dt.date(2001, 7, 20) else dt.date(2001, 7, 19), target, FIRST)
-            ),
-        )(s, d).drop("stored_month"),
-        ORACLES["store_performance"],
-    )
+    def until(cut: str) -> dt.date:
+        """The last whole day before a cut that the run knows."""
+        return min(dt.date.fromisoformat(cut) - dt.timedelta(days=1), AS_OF)
+
+    def store_days_in_steps(spark: SparkSession, folder: str) -> DataFrame:
+        table = KeyedTable(spark, fresh_path(spark, "store_performance"), ["store_id", "order_date"], "stored_month", keys_stay=True)
+        for cut in cuts:
+            inputs = sample_retail.retail_inputs(spark, folder)
+            _loaded_before(inputs, cut)
+            if table.exists():
+                since = dt.date.fromisoformat(table.mark())
+                rows = increments.store_performance_increment(inputs, until(cut), table.read(), FIRST, loaded_since=since)
+            else:
+                rows = core.store_performance(inputs, until(cut), FIRST)
+            table.upsert(by_month(rows), mark=cut)
+        return table.read().drop("stored_month")
+
+    register("incremental_store_performance", store_days_in_steps, ORACLES["store_performance"])
     register(
         "incremental_revenue_daily",
         _in_steps(

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketloom.operators.upsert import KeyedTable
-from marketloom.plans import core, finance, increments
+from marketloom.plans import core, finance, increments, marketing
 from marketloom.session import fresh_path
 from marketloom.streaming import flows
 from tests.conftest import rows
@@ -59,6 +59,83 @@ def test_late_lines_and_returns(spark, inputs, moves):  # noqa: F811
     assert rows(days.read(), *columns) == rows(finance.revenue_daily(inputs, AS_OF), *columns)
 
 
+@pytest.mark.parametrize("moves", [{"raw_returns": "true"}, {"raw_order_items": "order_id = 13", "raw_orders": "order_id = 15"}])
+def test_store_days_follow_what_comes_late(spark, inputs, moves):  # noqa: F811
+    source, first = late(inputs, moves), dt.date(2026, 1, 30)
+    table = KeyedTable(spark, fresh_path(spark, "store_days"), ["store_id", "order_date"], "month", "string", keys_stay=True)
+    for cut in ["2026-06-11", "2026-07-20", "2026-07-20", "2026-08-02"]:
+        seen = {**source, **{name: source[name].filter(f"_loaded_at < DATE'{cut}'") for name in increments.ORDER_TABLES}}
+        at = dt.date.fromisoformat(cut) - dt.timedelta(days=1)
+        if table.exists():
+            since = dt.date.fromisoformat(table.mark())
+            part = increments.store_performance_increment(seen, at, table.read(), first, loaded_since=since)
+        else:
+            part = core.store_performance(seen, at, first)
+        table.upsert(part.withColumn("month", F.date_format("order_date", "yyyy-MM")), mark=cut)
+    whole = core.store_performance(inputs, AS_OF, first).drop("built_at")
+    assert rows(table.read(), *whole.columns) == rows(whole)
+    days = (AS_OF - first).days + 1
+    assert table.read().count() == 2 * days  # two active stores
+    # The last run computed the days after the third one, and the old days of what came late.
+    old = {r.order_date for r in part.filter("order_date < DATE'2026-07-20'").collect()}
+    assert old == ({dt.date(2026, 6, 10), dt.date(2026, 6, 11)} if "raw_returns" in moves else {dt.date(2026, 2, 1), dt.date(2026, 6, 10)})
+
+
+def shops(spark):
+    """Orders of three customers around the ends of months, and their touches."""
+    orders = [(1, "2026-01-31", 1), (2, "2026-02-01", 1), (3, "2026-03-02", 2), (4, "2026-03-31", 3), (5, "2026-05-01", 3)]
+    touches = [(1, 1, "2026-01-02", "a", 1), (2, 1, "2026-01-31", "b", 40), (3, 2, "2026-01-31", "c", 2), (4, 3, "2026-03-01", "a", 70), (5, 3, "2026-04-02", "d", 90)]
+    d, at = dt.date.fromisoformat, lambda text: dt.datetime.combine(dt.date.fromisoformat(text), dt.time(1))
+    from marketloom.sources.schemas import ALL
+
+    made = [(i, d(day), c, 1, "completed", None, "card", 7, "direct", 1, at(day), at(day)) for i, day, c in orders]
+    lines = [(i, i, 100, 1, i, i, i, 0, at(day)) for i, day, _ in orders]
+    lines = [(a, b, c, q, *[__import__("decimal").Decimal(x) for x in (u, g, n, z)], t) for a, b, c, q, u, g, n, z, t in lines]
+    events = [
+        (i, c, d(day), "product_view", source, "mobile", 100, f"s{i}", dt.datetime(2026, 1, 1) + dt.timedelta(days=loaded))
+        for i, c, day, source, loaded in touches
+    ]
+    return {
+        "raw_orders": spark.createDataFrame(made, ALL["raw_orders"]),
+        "raw_order_items": spark.createDataFrame(lines, ALL["raw_order_items"]),
+        "raw_events": spark.createDataFrame(events, ALL["raw_events"]),
+    }
+
+
+def test_attribution_over_the_ends_of_months(spark, inputs):  # noqa: F811
+    source = {**inputs, **shops(spark)}
+    table = KeyedTable(spark, fresh_path(spark, "months"), ["attributed_channel", "order_month"], "order_month", keys_stay=True)
+    touched = []
+    for cut in ["2026-02-02", "2026-02-12", "2026-03-20", "2026-05-02"]:
+        seen = {**source, **{n: source[n].filter(f"_loaded_at < DATE'{cut}'") for n in (*increments.ORDER_TABLES, "raw_events")}}
+        if table.exists():
+            since = dt.date.fromisoformat(table.mark())
+            part = increments.channel_attribution_increment(seen, AS_OF, table.read(), lookback_days=0, loaded_since=since)
+        else:
+            part = marketing.channel_attribution(seen, AS_OF)
+        touched.append(sorted({r.order_month.month for r in part.select("order_month").collect()}))
+        table.upsert(part, mark=cut, whole_partitions=True)
+    whole = marketing.channel_attribution(source, AS_OF).drop("built_at")
+    assert rows(table.read(), *whole.columns) == rows(whole)
+    # The touch of 31 January came late: January and February; that of 1 March came late as well: March and later ones.
+    assert touched[0] == [1, 2] and touched[1] == [1, 2] and 1 not in touched[3]
+
+
+def test_campaign_days_follow_late_orders_and_spend(spark, inputs):  # noqa: F811
+    source = late(inputs, {"raw_returns": "true", "raw_ad_spend": "spend_date = DATE'2026-06-12'"})
+    table = KeyedTable(spark, fresh_path(spark, "campaigns"), ["campaign_id", "spend_date"], "spend_month", keys_stay=True)
+    names = (*increments.ORDER_TABLES, "raw_ad_spend")
+    for cut in ["2026-06-12", "2026-07-20", "2026-09-01"]:
+        seen = {**source, **{name: source[name].filter(f"_loaded_at < DATE'{cut}'") for name in names}}
+        if table.exists():
+            since = dt.date.fromisoformat(table.mark())
+            table.upsert(increments.campaign_performance_increment(seen, AS_OF, table.read(), loaded_since=since), mark=cut)
+        else:
+            table.upsert(marketing.campaign_performance(seen, AS_OF), mark=cut)
+    whole = marketing.campaign_performance(inputs, AS_OF).drop("built_at")
+    assert rows(table.read(), *whole.columns) == rows(whole)
+
+
 def test_late_order_inside_and_outside_the_lookback(inputs):  # noqa: F811
     built = finance.revenue_daily(inputs, AS_OF)
     target = built.filter("revenue_date <= DATE'2026-06-10'")
