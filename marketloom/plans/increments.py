@@ -52,6 +52,11 @@ def _with_orders(inputs: Inputs, recent: DataFrame) -> Inputs:
     }
 
 
+def of_orders(inputs: Inputs, keys: DataFrame) -> Inputs:
+    """The inputs cut down to the orders whose ``order_id`` is among the keys."""
+    return _with_orders(inputs, _only(inputs["raw_orders"], keys.select("order_id")))
+
+
 def affected_orders(inputs: Inputs, cutoff: Column) -> DataFrame:
     """Ids of orders that were loaded, or had a line or return loaded, at or after the cutoff (all if it is NULL)."""
     loaded = [inputs[name].filter(cutoff.isNull() | (F.col("_loaded_at") >= cutoff)) for name in ORDER_TABLES]

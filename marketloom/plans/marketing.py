@@ -17,6 +17,8 @@ from marketloom.plans.staging import stg_ad_spend
 TOUCH_EVENTS = ["purchase_completed", "checkout_started", "add_to_cart", "product_view"]
 DEVICES = ["mobile", "desktop", "tablet"]
 LOOKBACK_DAYS = 30
+#: Touches of one day: the larger of these values wins.
+TOUCH_ORDER = ["session_id", "touch_source", "device_type"]
 
 
 def campaign_daily(inputs: Inputs, as_of: dt.date) -> DataFrame:
@@ -86,24 +88,31 @@ def touch_events(inputs: Inputs) -> DataFrame:
     )
 
 
+def completed_orders(inputs: Inputs, as_of: dt.date) -> DataFrame:
+    """The orders that can be credited."""
+    columns = ["order_id", "order_date", "customer_id", "gross_revenue", "net_revenue", "realized_revenue", "traffic_source"]
+    return use(inputs, fct_orders, as_of).filter("is_completed").select(*columns)
+
+
 def attribution_touchpoints(inputs: Inputs, as_of: dt.date) -> DataFrame:
     """Completed orders credited to the last touch of the preceding 30 days; equal days go to the
     larger session id, then source and device by name."""
-    orders = (
-        use(inputs, fct_orders, as_of)
-        .filter("is_completed")
-        .select("order_id", "order_date", "customer_id", "gross_revenue", "net_revenue", "realized_revenue", "traffic_source")
-    )
-    credited = last_touch(
-        orders,
-        touch_events(inputs),
-        key="customer_id",
-        event_day="order_date",
-        touch_day="event_date",
-        order_by=["session_id", "touch_source", "device_type"],
-        lookback_days=LOOKBACK_DAYS,
+    return credited_touches(
+        last_touch(
+            completed_orders(inputs, as_of),
+            touch_events(inputs),
+            key="customer_id",
+            event_day="order_date",
+            touch_day="event_date",
+            order_by=TOUCH_ORDER,
+            lookback_days=LOOKBACK_DAYS,
+        )
     )
-    return credited.selectExpr(
+
+
+def credited_touches(orders: DataFrame) -> DataFrame:
+    """The columns of credited orders, from orders with their last touch."""
+    return orders.selectExpr(
         "order_id",
         "order_date",
         "customer_id",

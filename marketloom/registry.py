@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from marketloom import oracle
 from marketloom.functions.scalars import MONEY, NULL_KEY_TOKEN, safe_add, safe_divide, safe_subtract, url_path
@@ -21,7 +22,7 @@ from marketloom.session import configure, fresh_path, written
 from marketloom.sources import sample_retail
 from marketloom.sources.schemas import ALL
 from marketloom.sources.tables import PublishedTable, land, named_view, read_table
-from marketloom.streaming import flows
+from marketloom.streaming import attribution, flows
 
 AS_OF = dt.date(2001, 8, 2)
 FIRST = dt.date(1995, 1, 1)
@@ -1409,19 +1410,116 @@ _VERSION_COLUMNS = """customer_id, full_name, customer_segment, customer_lifecyc
   valid_to::TIMESTAMP::VARCHAR AS valid_to"""
 
 
+def _arriving(df: DataFrame, label: str, conditions: list[str], run: Callable[[str], StreamingQuery]) -> None:
+    """Let the rows of ``df`` arrive one condition after the other, each as the files of a folder of its own, and run a
+    query over what is new each time. The query finds its place by its checkpoint."""
+    path = fresh_path(df.sparkSession, label)
+    for number, condition in enumerate(conditions):
+        df.filter(condition).write.parquet(f"{path}/arrival={number}")
+        run(f"{path}/*").awaitTermination()
+
+
+def _schema(df: DataFrame) -> str:
+    return ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
+
+
+#: Parts of the month of the events, in an order that brings rows up to two weeks late.
+_BY_WEEK = ["dayofmonth(ts) BETWEEN 8 AND 15", "dayofmonth(ts) < 8", "dayofmonth(ts) > 22", "dayofmonth(ts) BETWEEN 16 AND 22"]
+
+
 def _stream_orders(spark: SparkSession, folder: str) -> DataFrame:
     """Event purchases arriving as a stream, upserted per customer: the latest purchase wins. They arrive in
     four batches that run against the order of time."""
     events = given("events")(spark, folder).filter("event_type = 'purchase'").selectExpr("user_id", "event_id", "ts", "value", "user_id % 16 AS bucket")
-    arrivals = fresh_path(spark, "arrivals")
-    for day_of_four in (3, 0, 2, 1):
-        events.filter(f"dayofyear(ts) % 4 = {day_of_four}").coalesce(1).write.mode("append").parquet(arrivals)
-    bought = flows.read_stream(spark, arrivals, ", ".join(f"{n} {t}" for n, t in events.dtypes), files_per_trigger=1)
     table = KeyedTable(spark, fresh_path(spark, "latest_purchase"), ["user_id"], "bucket", "bigint", keys_stay=True)
-    flows.upsert_stream(bought, table, ["ts", "event_id"], fresh_path(spark, "offsets")).awaitTermination()
+    offsets = fresh_path(spark, "offsets")
+
+    def run(path: str) -> StreamingQuery:
+        return flows.upsert_stream(flows.read_stream(spark, path, _schema(events)), table, ["ts", "event_id"], offsets)
+
+    _arriving(events, "arrivals", [f"dayofyear(ts) % 4 = {part}" for part in (3, 0, 2, 1)], run)
     return table.read().select("user_id", "event_id", "value")
 
 
+def _stream_credits(spark: SparkSession, folder: str) -> tuple[KeyedTable, KeyedTable, DataFrame]:
+    """Credits of key-days and channel months, kept while the events arrive out of order; and the credited orders."""
+    events = given("events")(spark, folder)
+    credits = KeyedTable(spark, fresh_path(spark, "credits"), ["customer_id", "order_date"], "order_date", keys_stay=True)
+    months = KeyedTable(spark, fresh_path(spark, "channel_months"), ["attributed_channel", "order_month"], "order_month", keys_stay=True)
+    offsets = fresh_path(spark, "offsets")
+
+    def orders_of(landed: DataFrame) -> DataFrame:
+        """Credited orders, from the events that have arrived."""
+        read = lambda name: landed if name == "events" else sample_retail.load(spark, folder, name)
+        tables = {"raw_orders": sample_retail.web_orders, "raw_order_items": sample_retail.web_order_items}
+        inputs = {name: make(read) for name, make in tables.items()}
+        inputs |= {"raw_returns": sample_retail.raw_returns(read).filter("false"), "catalog_stores": sample_retail.catalog_stores(read)}
+        orders = marketing.completed_orders(inputs, AS_OF)
+        return marketing.credited_touches(attribution.credited(orders, credits.read(), "customer_id", "order_date"))
+
+    def run(path: str) -> StreamingQuery:
+        stream = lambda _: flows.read_stream(spark, path, _schema(events))
+        pairs = attribution.touch_pairs(
+            sample_retail.web_orders(stream).select("customer_id", "order_date"),
+            marketing.touch_events({"raw_events": sample_retail.raw_events(stream)}),
+            "customer_id", "order_date", "event_date", marketing.TOUCH_ORDER, marketing.LOOKBACK_DAYS, late="21 days",
+        )
+
+        def sum_again(changed: DataFrame) -> None:
+            touched = changed.selectExpr("trunc(order_date, 'month') AS month").distinct()
+            orders = orders_of(spark.read.schema(_schema(events)).parquet(path))
+            orders = orders.join(touched, F.expr("trunc(order_date, 'month') = month"), "left_semi")
+            months.upsert(marketing.channel_attribution({"attribution_touchpoints": orders}, AS_OF), whole_partitions=True)
+
+        return attribution.maintain_last_touch(pairs, credits, "event_date", marketing.TOUCH_ORDER, offsets, sum_again)
+
+    _arriving(events, "arrivals", _BY_WEEK, run)
+    return credits, months, orders_of(events)
+
+
+def _stream_order_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines and orders land in different orders; every batch builds the lines of the orders it touches."""
+    inputs = sample_retail.retail_inputs(spark, folder)
+    paths = {name: fresh_path(spark, name) for name in ("raw_orders", "raw_order_items")}
+    schemas = {name: _schema(inputs[name]) for name in paths}
+    table = KeyedTable(spark, fresh_path(spark, "fct_order_items"), ["order_item_id"], "order_month", keys_stay=True)
+    offsets = fresh_path(spark, "offsets")
+
+    def build(keys: DataFrame) -> DataFrame:
+        landed = {name: spark.read.schema(schemas[name]).parquet(f"{paths[name]}/*") for name in paths}
+        narrowed = increments.of_orders(replaced(inputs, **landed), keys)
+        return core.fct_order_items(narrowed, AS_OF)
+
+    for number, (orders, lines) in enumerate([(0, 2), (2, 1), (1, 0)]):
+        inputs["raw_orders"].filter(f"order_id % 3 = {orders}").write.parquet(f"{paths['raw_orders']}/arrival={number}")
+        inputs["raw_order_items"].filter(f"order_id % 3 = {lines}").write.parquet(f"{paths['raw_order_items']}/arrival={number}")
+        feeds = [flows.read_stream(spark, f"{paths[name]}/*", schemas[name]).select("order_id") for name in paths]
+        flows.follow_parents(feeds[0].unionByName(feeds[1]), "order_id", build, table, offsets).awaitTermination()
+    return table.read()
+
+
+def _stream_closed_days(spark: SparkSession, folder: str) -> DataFrame:
+    """Store days that the watermark has closed, each once, and beside them what came too late for its day."""
+    bought = given("events")(spark, folder).filter("event_type = 'purchase'").selectExpr(
+        "event_id", "timestamp(ts) AS ts", "event_id % 25 AS store_id", f"cast(value AS {MONEY}) AS value"
+    )
+    closed = KeyedTable(spark, fresh_path(spark, "closed_days"), ["store_id", "day"], "day", keys_stay=True)
+    late = KeyedTable(spark, fresh_path(spark, "late_rows"), ["event_id"], "day", keys_stay=True)
+    offsets = [fresh_path(spark, "offsets") for _ in range(2)]
+
+    def run(path: str) -> StreamingQuery:
+        rows = flows.read_stream(spark, path, _schema(bought))
+        daily = flows.daily_totals(rows, "ts", ["store_id"], ["count(*) AS orders", "sum(value) AS revenue"], late="3 days")
+        flows.closed_totals(daily, closed, offsets[0]).awaitTermination()
+        return flows.keep_late(rows.withColumn("day", F.to_date("ts")), "ts", late, offsets[1], late_days=3)
+
+    _arriving(bought, "arrivals", _BY_WEEK, run)
+    came_late = late.read().groupBy("store_id", "day").agg(F.expr("count(*) AS late_orders"), F.expr("sum(value) AS late_revenue"))
+    both = closed.read().join(came_late, ["store_id", "day"], "full_outer")
+    total = lambda a, b, name: (F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))).alias(name)
+    return both.select("store_id", "day", total("orders", "late_orders", "orders"), total("revenue", "late_revenue", "revenue"))
+
+
 def _stream_store_days(spark: SparkSession, folder: str) -> DataFrame:
     events = flows.read_stream(spark, f"{folder}/[e]vents.parquet", sample_retail.SOURCES["events"])
     bought = events.filter("event_type = 'purchase'").selectExpr(
@@ -1618,6 +1716,16 @@ def _register_maintenance() -> None:
         """SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn
            FROM events WHERE event_type = 'purchase') WHERE rn = 1""",
     )
+    register("stream_last_touch", lambda s, d: _stream_credits(s, d)[2], ORACLES["last_touch"])
+    register("stream_channel_attribution", lambda s, d: _stream_credits(s, d)[1].read(), ORACLES["channel_attribution"])
+    register("stream_order_items", _stream_order_items, ORACLES["fct_order_items"])
+    register(
+        "stream_closed_days",
+        _stream_closed_days,
+        """SELECT event_id % 25 AS store_id, ts::DATE::VARCHAR AS day, count(*) AS orders, sum(value::DECIMAL(12,2))::DOUBLE AS revenue
+           FROM events WHERE event_type = 'purchase'
+             AND ts::DATE + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 3 DAY FROM events WHERE event_type = 'purchase') GROUP BY 1, 2""",
+    )
     register(
         "stream_store_days",
         _stream_store_days,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from marketloom.functions.scalars import exprs
 from marketloom.operators.shape import deduplicate
 from marketloom.operators.upsert import KeyedTable
+from marketloom.session import written
 
 
 def read_stream(spark: SparkSession, path: str, schema: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -26,12 +28,15 @@ def upsert_stream(
     newest_first: Sequence[str],
     checkpoint: str,
     transform: Callable[[DataFrame], DataFrame] = lambda df: df,
+    then: Callable[[DataFrame], None] | None = None,
 ) -> StreamingQuery:
     """Upsert every micro-batch by key: the newest row of a key wins, within a batch and against the
     stored row, by the columns ``newest_first`` (which the table has). Of rows that are equally new, the one
-    that came last stays; a batch that is delivered again writes the same rows again."""
+    that came last stays; a batch that is delivered again writes the same rows again. ``then`` gets the batch's rows
+    when they are in the table."""
 
     def apply(batch: DataFrame, _: int) -> None:
+        batch = written(batch, "batch")  # a batch is planned once, whatever is done with it
         latest = deduplicate(transform(batch), table.keys, [F.desc(c) for c in newest_first])
         if table.exists():
             order = [F.col(c) for c in newest_first]
@@ -39,6 +44,60 @@ def upsert_stream(
             both = latest.withColumn("_arrived", F.struct(*order)).join(stored, table.keys, "left")
             latest = both.filter("_stored IS NULL OR _arrived >= _stored").select(*latest.columns)
         table.upsert(latest)
+        if then is not None:
+            then(batch)
+
+    return rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def follow_parents(
+    changes: DataFrame, key: str, build: Callable[[DataFrame], DataFrame], table: KeyedTable, checkpoint: str
+) -> StreamingQuery:
+    """Rows that follow their parents: ``changes`` is a stream of the parents' keys, from every table whose arrivals change
+    the rows. For the distinct keys of each batch ``build`` plans the rows anew from the landed tables, and they are upserted.
+    A row that arrives before its parent is built when the parent's key comes; a batch that is
+    delivered again ends in the same table."""
+
+    def apply(batch: DataFrame, _: int) -> None:
+        table.upsert(build(written(batch.select(key).distinct(), "changed-keys")))
+
+    return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def closed_totals(daily: DataFrame, table: KeyedTable, checkpoint: str) -> StreamingQuery:
+    """Append form of ``daily_totals``: a day is written once, when the watermark has passed its end, and never again.
+    A batch that is delivered again writes the same days again."""
+
+    def apply(batch: DataFrame, _: int) -> None:
+        table.upsert(batch)
+
+    return (
+        daily.writeStream.outputMode("append")
+        .foreachBatch(apply)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def keep_late(rows: DataFrame, time: str, table: KeyedTable, checkpoint: str, late_days: int = 3) -> StreamingQuery:
+    """The rows that ``closed_totals`` does not count, because their day was closed before they came.
+
+    A day is closed for a batch if its end is not after the newest time of all batches before, less ``late_days``. That
+    newest time is the table's mark, with the number of the batch, so a batch that is delivered again meets the
+    same days closed. Both queries must read the same arrivals in the same batches.
+    """
+
+    def apply(batch: DataFrame, number: int) -> None:
+        batch = written(batch, "batch")
+        mark = json.loads(table.mark()) if table.exists() else {"batch": None, "before": None, "newest": None}
+        before = mark["before"] if mark["batch"] == number else mark["newest"]
+        newest = batch.agg(F.max(F.col(time).cast("timestamp")).cast("string")).first()[0]
+        end = F.date_trunc("day", time) + F.expr("interval 1 day")
+        closed = F.lit(before).cast("timestamp") - F.expr(f"interval {int(late_days)} days")
+        came_late = batch.filter(F.coalesce(end <= closed, F.lit(False)))
+        newest = max((t for t in (before, newest) if t is not None), default=None)
+        table.upsert(came_late, mark=json.dumps({"batch": number, "before": before, "newest": newest}))
 
     return rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
