@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.functions.scalars import exprs, mean_of, ratio
+from marketloom.operators.numbering import join_null_safe
 
 GRAINS = ("day", "week", "month", "quarter", "year")
 TIME = "metric_time"
@@ -157,7 +158,8 @@ class Metrics:
 
         ``where`` filters the facts before grouping; ``{entity.column}`` stands for a column of a
         linked table. ``spine`` (a table of ``date_day``) adds the
-        periods without any row.
+        periods without any row; with dimensions, every combination of their values that has a row in some period
+        unfolds all periods of the spine, without a join of the two.
         """
         if grain is not None and grain not in GRAINS:
             raise ValueError(f"grain must be one of {GRAINS}, got {grain!r}")
@@ -169,11 +171,23 @@ class Metrics:
         parts = [self._grouped(tables, f, simple, group_by, grain, where) for f, simple in by_fact.items()]
         result = _stack(parts, keys)
         if spine is not None:
-            periods = spine.selectExpr(f"{_truncated('date_day', grain)} AS {TIME}").distinct()
-            result = periods.join(result, TIME, "left")
+            result = self._filled(result, keys[:-1], grain, spine)
         return result.selectExpr(*keys, *[f"{self._sql(n)} AS {n}" for n in names])
 
 
+    @staticmethod
+    def _filled(result: DataFrame, dims: Sequence[str], grain: str, spine: DataFrame) -> DataFrame:
+        periods = spine.selectExpr(f"{_truncated('date_day', grain)} AS {TIME}").distinct()
+        if not dims:
+            return periods.join(result, TIME, "left")
+        low, high = (spine.agg(F.expr(f"{end}({_truncated('date_day', grain)})")).scalar() for end in ("min", "max"))
+        step = {"day": "1 day", "week": "7 days", "quarter": "3 months"}.get(grain, f"1 {grain}")
+        every = F.explode(F.sequence(low, high, F.expr(f"interval {step}"))).alias(TIME)
+        # Periods that the spine lacks between its ends are not filled.
+        wanted = result.select(*dims).distinct().select("*", every).join(periods, TIME, "left_semi")
+        return join_null_safe(wanted, result, [*dims, TIME])
+
+
 def _stack(parts: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
     """Results with the same keys side by side. Every key is unique in each part."""
     if len(parts) == 1:

@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 
 from marketloom.functions.scalars import cents, exprs, ratio, sum_where, whole_ratio, zero_if_null
+from marketloom.operators.sketches import combined_values, frequent_values, top_values
 from marketloom.plans.base import Inputs, day, use
 from marketloom.plans.staging import stg_customers, stg_order_items, stg_orders, stg_returns
 
@@ -204,3 +205,14 @@ def customers_with_orders(inputs: Inputs, as_of: dt.date) -> DataFrame:
                      ELSE 'no_purchases' END AS customer_value_tier""",
         )
     )
+
+
+def channel_sketches(inputs: Inputs, as_of: dt.date) -> DataFrame:
+    """Per customer and month a sketch of the channels of the orders; months are kept and combined, never read again."""
+    return frequent_values(use(inputs, orders_enriched, as_of), ["customer_id", "order_month"], "traffic_source")
+
+
+def customer_channels(inputs: Inputs, as_of: dt.date) -> DataFrame:
+    """The estimated most common channel of every customer with orders, with the error of its count."""
+    whole = combined_values(use(inputs, channel_sketches, as_of), ["customer_id"])
+    return top_values(whole, ["customer_id"], "most_common_channel")

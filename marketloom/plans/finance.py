@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marketloom.functions.scalars import exprs, mean_of, month_count, month_start, ratio, sum_where, zero_if_null
 from marketloom.operators.numbering import global_row_number, join_null_safe
+from marketloom.operators.sketches import combined_counts, distinct_counts
 from marketloom.plans.base import Inputs, built_at, day, replaced, use
 from marketloom.plans.core import (
     dim_customers,
@@ -302,3 +303,15 @@ def fiscal_calendar(days: DataFrame, as_of: dt.date, compat: bool = False) -> Da
 def dim_fiscal_calendar(spark: SparkSession, as_of: dt.date, first_year: int = 2025, last_year: int = 2027) -> DataFrame:
     days = dim_dates(spark, dt.date(first_year, 1, 1), dt.date(last_year, 12, 31))
     return fiscal_calendar(days, as_of)
+
+
+def customer_sketches(inputs: Inputs, as_of: dt.date) -> DataFrame:
+    """Beside ``revenue_daily``: a sketch of the customers of every store and day."""
+    orders = use(inputs, fct_orders, as_of)
+    return distinct_counts(orders, ["store_id", "store_region", "order_date"], "customer_id")
+
+
+def unique_customers(inputs: Inputs, as_of: dt.date, period: str = "month") -> DataFrame:
+    """Estimated distinct customers per region and period, from the sketches of store days; the orders are not read again."""
+    days = use(inputs, customer_sketches, as_of).withColumn("period_start", F.expr(f"date(trunc(order_date, '{period}'))"))
+    return combined_counts(days, ["store_region", "period_start"], "estimated_customers")

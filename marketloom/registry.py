@@ -11,8 +11,9 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from marketloom import oracle
-from marketloom.functions.scalars import MONEY, NULL_KEY_TOKEN, safe_add, safe_divide, safe_subtract, url_path
-from marketloom.operators import checks, diff, history, shape
+from marketloom.functions.scalars import EARTH_RADIUS_MILES, KM_PER_MILE, MONEY, NULL_KEY_TOKEN, safe_add, safe_divide, safe_subtract, url_path
+from marketloom.operators import checks, diff, history, shape, sketches, spatial
+from marketloom.operators.numbering import join_null_safe
 from marketloom.operators.upsert import KeyedTable, merged
 from marketloom.plans import core, declared, enrich, finance, increments, marketing, staging
 from marketloom.plans.base import replaced
@@ -375,6 +376,53 @@ def _register_pipelines() -> None:
             day="order_month",
         ),
     )
+    register(
+        "approximate_common_channel",
+        retail(enrich.customer_channels),
+        oracle.query("""
+        , c AS (SELECT customer_id, traffic_source, count(*) AS n FROM fct_orders WHERE traffic_source IS NOT NULL GROUP BY ALL)
+        SELECT customer_id, arg_min(traffic_source, (-n, traffic_source)) AS most_common_channel, max(n) AS estimated,
+               sum(n)::BIGINT AS seen, 0::BIGINT AS error FROM c GROUP BY 1"""),
+    )
+
+    def estimated_within(spark: SparkSession, folder: str) -> DataFrame:
+        """Estimates for months, quarters and years from one set of day sketches, against the exact counts."""
+        inputs = sample_retail.retail_inputs(spark, folder)
+        orders = written(core.fct_orders(inputs, AS_OF).select("store_id", "store_region", "order_date", "customer_id"), "orders")
+        days = written(finance.customer_sketches({"fct_orders": orders}, AS_OF), "customer-sketches")
+        out = []
+        for period in ("month", "quarter", "year"):
+            estimate = finance.unique_customers({"customer_sketches": days}, AS_OF, period)
+            exact = orders.groupBy("store_region", F.expr(f"date(trunc(order_date, '{period}')) AS period_start"))
+            both = join_null_safe(exact.agg(F.countDistinct("customer_id").alias("customers")), estimate, ["store_region", "period_start"])
+            near = F.abs(F.col("estimated_customers") - F.col("customers")) <= F.greatest(F.lit(2), 4 * sketches.STANDARD_ERROR * F.col("customers"))
+            out.append(both.select(F.lit(period).alias("period"), "store_region", "period_start", "customers", near.alias("within_bound")))
+        return out[0].unionByName(out[1]).unionByName(out[2])
+
+    register(
+        "approximate_unique_customers",
+        estimated_within,
+        oracle.query("""
+        SELECT period, store_region, date_trunc(period, order_date)::DATE::VARCHAR AS period_start, count(DISTINCT customer_id) AS customers, true AS within_bound
+        FROM fct_orders, (VALUES ('month'), ('quarter'), ('year')) AS t(period) GROUP BY 1, 2, 3"""),
+    )
+
+    def nearest_supplier(spark: SparkSession, folder: str) -> DataFrame:
+        customers = sample_retail.located(sample_retail.load(spark, folder, "customer"), "c_custkey")
+        suppliers = sample_retail.located(sample_retail.load(spark, folder, "supplier"), "s_suppkey")
+        near = spatial.nearest_in_rings(customers, suppliers, "c_custkey", "s_suppkey", unit="km")
+        return near.select(F.col("point_id").alias("c_custkey"), F.col("site_id").alias("s_suppkey"), F.round("distance", 3).alias("km"))
+
+    place = "(({k} - CASE WHEN {k} % 17 = 0 THEN 1 ELSE 0 END) * {a} % {b} - {c}) / 1000.0::DOUBLE"
+    at = lambda key: f"radians({place.format(k=key, a=7919, b=170000, c=85000)}) AS lat, radians({place.format(k=key, a=104729, b=360000, c=180000)}) AS lon"
+    register(
+        "nearest_supplier",
+        nearest_supplier,
+        f"""WITH c AS (SELECT c_custkey, {at("c_custkey")} FROM customer), s AS (SELECT s_suppkey, {at("s_suppkey")} FROM supplier),
+        d AS (SELECT c_custkey, s_suppkey, 2 * {EARTH_RADIUS_MILES} * {KM_PER_MILE} * asin(sqrt(least(1, pow(sin((s.lat - c.lat) / 2), 2)
+              + cos(c.lat) * cos(s.lat) * pow(sin((s.lon - c.lon) / 2), 2)))) AS km FROM c CROSS JOIN s)
+        SELECT c_custkey, arg_min(s_suppkey, (round(km, 6), s_suppkey)) AS s_suppkey, round(min(km), 3) AS km FROM d GROUP BY 1""",
+    )
     register(
         "customer_acquisition",
         retail(marketing.customer_acquisition),
@@ -519,6 +567,20 @@ def _register_metrics() -> None:
         LEFT JOIN (SELECT acquisition_month AS m, count(*) AS n, count(*) FILTER (customer_lifecycle_stage = 'active') AS active,
                           sum(lifetime_net_revenue) AS ltv FROM dim_customers GROUP BY 1) c ON c.m = p.m"""),
     )
+    register(
+        "metric_by_channel_every_month",
+        lambda s, d: CATALOGUE.query(
+            _facts(s, d), ["total_net_revenue", "order_count"], ["store_channel", "traffic_source"], "month",
+            where="campaign_id IS NOT NULL AND is_returned", spine=core.time_spine(s, dt.date(1997, 11, 1), dt.date(2001, 12, 31)),
+        ),
+        oracle.query("""
+        , kept AS (SELECT store_channel, traffic_source, order_month, net_revenue FROM fct_orders WHERE campaign_id IS NOT NULL AND is_returned),
+        g AS (SELECT store_channel, traffic_source, order_month, sum(net_revenue) AS net, count(*) AS n FROM kept GROUP BY ALL),
+        p AS (SELECT unnest(generate_series(DATE '1997-11-01', DATE '2001-12-01', INTERVAL 1 MONTH))::DATE AS m)
+        SELECT d.store_channel, d.traffic_source, p.m::VARCHAR AS metric_time, g.net::DOUBLE AS total_net_revenue, g.n AS order_count
+        FROM (SELECT DISTINCT store_channel, traffic_source FROM g) d CROSS JOIN p
+        LEFT JOIN g ON g.store_channel IS NOT DISTINCT FROM d.store_channel AND g.traffic_source IS NOT DISTINCT FROM d.traffic_source AND g.order_month = p.m"""),
+    )
     register(
         "metric_channel_share",
         lambda s, d: CATALOGUE.query(

@@ -80,3 +80,26 @@ def test_catalogue_is_complete():
     assert {v: len(m.metrics) for v, m in VIEWS.items()} == {
         "revenue": 9, "customers": 8, "customer_orders": 2, "campaigns": 9, "attribution": 3
     }
+
+
+@pytest.mark.parametrize("grain", ["month", "week", "quarter"])
+def test_every_value_unfolds_its_periods(shop, table, grain):
+    """Regions have a row for every period of the spine, NULL regions too; values without any row do not appear."""
+    metrics, tables = shop
+    days = [(dt.date(2025, 12, 1) + dt.timedelta(days=n),) for n in range(200)]
+    got = rows(metrics.query(tables, ["revenue", "cost"], ["region"], grain, spine=table("date_day date", *days)))
+    cut = {"month": lambda x: x.replace(day=1), "week": lambda x: x - dt.timedelta(days=x.weekday()), "quarter": lambda x: x.replace(month=(x.month - 1) // 3 * 3 + 1, day=1)}[grain]
+    periods = sorted({cut(x) for (x,) in days})
+    assert [(r[0], r[1]) for r in got] == [(None, p) for p in periods] + [("N", p) for p in periods]
+    plain = rows(metrics.query(tables, ["revenue", "cost"], ["region"], grain))
+    assert [r for r in got if r[2] is not None or r[3] is not None] == plain
+
+
+def test_every_value_of_a_linked_table_unfolds_its_periods(shop, table):
+    metrics, tables = shop
+    spine = table("date_day date", (dt.date(2026, 1, 1),), (dt.date(2026, 2, 1),), (dt.date(2026, 4, 1),))
+    got = rows(metrics.query(tables, ["orders"], ["people.kind"], "month", where="{people.kind} IS NOT NULL", spine=spine))
+    d = dt.date  # the spine has no day in March, so March is not filled, and its order is not shown
+    assert got == [("new", d(2026, 1, 1), 1), ("new", d(2026, 2, 1), None), ("new", d(2026, 4, 1), None)] + [
+        ("old", d(2026, 1, 1), 1), ("old", d(2026, 2, 1), None), ("old", d(2026, 4, 1), None)
+    ]

@@ -8,9 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketloom.functions import scalars as fx
-from marketloom.operators import history, numbering, upsert
+from marketloom.operators import history, numbering, sketches, upsert
 from marketloom.operators.asof import last_touch
-from marketloom.operators.spatial import nearest_site
+from marketloom.operators.spatial import nearest_in_rings, nearest_site
 from marketloom.session import fresh_path, shared_folder
 from marketloom.sources.tables import PublishedTable, land, read_inputs, read_table
 from tests.conftest import rows
@@ -211,7 +211,7 @@ def test_history_table_leaves_closed_versions_alone(spark, table):
     runs = [
         table(schema, (1, "a"), (2, "b")), table(schema, (1, "A"), (2, "b"), (3, "c")), table(schema, (1, "A"), (3, "C")), table(schema, (2, "b")),
     ]
-    store = history.HistoryTable(spark, fresh_path(spark, "history"), "id", ["tier"])
+    store = history.HistoryTable(spark, fresh_path(spark, "history"), "id", ["tier"], buckets=1)
     kept, closed = None, []
     for rows_now, at in zip(runs, moments, strict=True):
         for _ in range(2):
@@ -268,3 +268,75 @@ def test_shared_folder_is_named_by_the_session(spark):
 
 def test_surrogate_key_is_one_expression(spark):
     assert spark.range(1).select(F.expr(fx.surrogate_key(["id"]))).first()[0] == "cfcd208495d565ef66e7dff9f98764da"
+
+
+def test_a_run_writes_touched_buckets_only(spark, table):
+    store = history.HistoryTable(spark, fresh_path(spark, "history"), "id", ["tier"], buckets=8)
+    make = lambda **tiers: table("id long, tier string, note string", *[(i, tiers.get(f"i{i}", "a"), "n") for i in range(100) if tiers.get(f"i{i}") != "gone"])
+    store.snapshot(make(), dt.date(2026, 1, 1))
+    first = store._commits.latest()
+    assert len(first["open"]) == 8 and first["closed"] == []
+    store.snapshot(make(), dt.date(2026, 1, 2))
+    assert store._commits.latest() == first
+    store.snapshot(make(i7="b"), dt.date(2026, 1, 3))
+    second = store._commits.latest()
+    assert sum(first["open"][b] != f for b, f in second["open"].items()) == 1 and len(second["closed"]) == 1
+    store.snapshot(make(i7="b", i8="gone"), dt.date(2026, 1, 4))
+    third = store._commits.latest()
+    assert sum(second["open"][b] != f for b, f in third["open"].items()) == 1 and third["closed"][:1] == second["closed"]
+    got = rows(store.read().filter("id IN (7, 8, 9)"), "id", "tier", "valid_from", "valid_to")
+    d = lambda n: dt.datetime(2026, 1, n)
+    assert got == [(7, "a", d(1), d(3)), (7, "b", d(3), None), (8, "a", d(1), d(4)), (9, "a", d(1), None)]
+
+
+def test_as_of_join_of_a_key_with_ten_thousand_versions(spark):
+    versions = spark.range(10_000).selectExpr(
+        "if(id < 9990, 1L, id) AS k", "timestamp_seconds(id * 60) AS valid_from", "CASE WHEN id % 7 <> 3 THEN timestamp_seconds(id * 60 + 60) END AS valid_to", "id AS tier"
+    )
+    # Of the hot key every seventh version but the last ones ends early, so some moments have none.
+    versions = versions.withColumn("valid_to", F.expr("CASE WHEN k = 1 AND valid_to IS NULL THEN timestamp_seconds(tier * 60 + 30) ELSE valid_to END"))
+    facts = spark.range(30_000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN NULL WHEN id % 50 = 1 THEN 9995L ELSE 1L END AS k", "timestamp_seconds(id * 20) AS at")
+    got = history.as_of_join(facts, versions, "k", "at", ["tier"])
+    on = (facts.k == versions.k) & (versions.valid_from <= facts["at"]) & (versions.valid_to.isNull() | (facts["at"] < versions.valid_to))
+    plain = facts.join(versions, on, "left").select(facts["*"], versions.tier.alias("version_tier"))
+    assert got.columns == ["id", "k", "at", "version_tier"] and got.count() == 30_000
+    assert got.exceptAll(plain).isEmpty() and plain.exceptAll(got).isEmpty()
+    # Versions meet facts by equal keys and moments only, so no key forms pairs.
+    text = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "valid_from" not in "".join(line for line in text.splitlines() if "Join" in line)
+
+
+def test_nearest_in_rings_equals_all_pairs(spark):
+    r = random.Random(8)
+    place = lambda: (r.uniform(-90, 90), r.uniform(-180, 180))
+    crowded = [(100 + i, 48 + r.random() / 50, 2 + r.random() / 50) for i in range(60)]
+    points = [(i, *place()) for i in range(80)] + [(300 + i, 48 + r.random() / 50, 2 + r.random() / 50) for i in range(60)] + [(900, None, 1.0)]
+    sites = [(i, *place()) for i in range(12)] + crowded + [(5000, *crowded[0][1:]), (5001, None, None)]
+    p, s = spark.createDataFrame(points, "id long, lat double, lon double"), spark.createDataFrame(sites, "sid long, lat double, lon double")
+    got = {x.point_id: x for x in nearest_in_rings(p, s, "id", "sid").collect()}
+    assert len(got) == len(points) and got[900].site_id is None
+    pairs = p.filter("lat IS NOT NULL").join(s.filter("lat IS NOT NULL").withColumnsRenamed({"lat": "u", "lon": "v"}))
+    best = pairs.selectExpr("id", f"struct({fx.great_circle_distance('lat', 'lon', 'u', 'v')} AS d, sid) AS b").groupBy("id").agg(F.min("b").alias("b"))
+    for x in best.collect():
+        assert (got[x.id].site_id, round(got[x.id].distance, 6)) == (x.b.sid, round(x.b.d, 6))
+    assert {x.site_id for x in nearest_in_rings(p, s.limit(0), "id", "sid").collect()} == {None}
+    assert nearest_in_rings(p.limit(0), s, "id", "sid").count() == 0
+
+
+def test_frequent_values_of_combined_days(spark):
+    # Customer 1 has one clear value among thousands of rare ones, customer 2 few values, customer 3 none.
+    rare = spark.range(20_000).selectExpr("1L AS k", "id % 30 AS d", "IF(id % 4 = 0, 'top', 'v' || id) AS v")
+    few = spark.createDataFrame([(2, i % 3, v) for i, v in enumerate("aabbc")] + [(3, 1, None)], "k long, d long, v string")
+    days = sketches.frequent_values(rare.unionByName(few), ["k", "d"], "v")
+    got = {r.k: r for r in sketches.top_values(sketches.combined_values(days, ["k"]), ["k"], "v").collect()}
+    assert set(got) == {1, 2} and got[1].v == "top" and (got[2].v, got[2].estimated, got[2].seen, got[2].error) == ("a", 2, 5, 0)
+    assert got[1].seen == 20_000 and 0 < got[1].error < 1_000 and abs(got[1].estimated - 5_000) <= got[1].error
+    with pytest.raises(ValueError):
+        sketches.top_values(days, ["k"], "v", k=60)
+
+
+def test_distinct_counts_of_combined_days(spark):
+    rows_ = spark.range(60_000).selectExpr("id % 2 AS k", "id % 30 AS d", "id % 9000 AS v")
+    days = sketches.distinct_counts(rows_, ["k", "d"], "v")
+    for r in sketches.combined_counts(days, ["k"], "n").collect():
+        assert abs(r.n - 4500) <= 4 * sketches.STANDARD_ERROR * 4500
