@@ -22,7 +22,7 @@ from marketloom.plans.web import url_report
 from marketloom.session import configure, fresh_path, written
 from marketloom.sources import sample_retail
 from marketloom.sources.schemas import ALL
-from marketloom.sources.tables import PublishedTable, land, named_view, read_table
+from marketloom.sources.tables import PublishedTable, bucketed, land, named_view, read_table
 from marketloom.streaming import attribution, flows
 
 AS_OF = dt.date(2001, 8, 2)
@@ -1772,6 +1772,27 @@ def _register_maintenance() -> None:
         return table.publish(retail(core.dim_customers)(spark, folder), "v1", cluster_by=["customer_segment", "customer_id"])
 
     register("published_table", publish_clustered, ORACLES["dim_customers"])
+
+    def publish_interleaved(spark: SparkSession, folder: str) -> DataFrame:
+        """Orders laid out for filters by day and by customer, read by both."""
+        table = PublishedTable(spark, fresh_path(spark, "fct_orders"))
+        stored = table.publish(retail(core.fct_orders)(spark, folder), "v1", cluster_by=["order_date", "customer_id"], interleave=True)
+        return stored.filter("customer_id BETWEEN 40 AND 90 OR order_date BETWEEN DATE'1999-05-01' AND DATE'1999-06-30'").drop("ordered_at")
+
+    register(
+        "published_interleaved",
+        publish_interleaved,
+        f"""SELECT * FROM ({ORACLES["fct_orders"]}) WHERE customer_id BETWEEN 40 AND 90 OR order_date BETWEEN '1999-05-01' AND '1999-06-30'""",
+    )
+
+    def items_of_bucketed_tables(spark: SparkSession, folder: str) -> DataFrame:
+        inputs, count = sample_retail.retail_inputs(spark, folder), int(spark.conf.get("spark.sql.shuffle.partitions"))
+        for model in (core.fct_orders, enrich.order_items_enriched):
+            path = fresh_path(spark, model.__name__)
+            inputs[model.__name__] = bucketed(model(inputs, AS_OF), path.rpartition("/")[2].replace("-", "_"), path, "order_id", count)
+        return core.fct_order_items(inputs, AS_OF)
+
+    register("bucketed_order_items", items_of_bucketed_tables, ORACLES["fct_order_items"])
     register(
         "stream_latest_purchase",
         _stream_orders,

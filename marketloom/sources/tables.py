@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
 
 from marketloom.sources.commits import Commits
 from marketloom.sources.schemas import ALL
@@ -53,6 +55,53 @@ def clustered(df: DataFrame, keys: Sequence[str], files: int | None = None) -> D
     return ranged.sortWithinPartitions(*keys)
 
 
+def _rank_bits(df: DataFrame, column: str, bits: int) -> Column:
+    """The place of a value among 2**bits equally full ranges of its column; NULL is the first. The borders come from
+    a sketch of the whole column, 2**bits values at any size of the table."""
+    shares = [k / (1 << bits) for k in range(1, 1 << bits)]
+    borders = sorted(set(df.select(F.percentile_approx(column, shares, 10_000)).first()[0] or []))
+    place = F.lit(0)
+    step = 1 << (bits - 1)
+    # Binary search over the borders, unrolled: ``bits`` comparisons for each row.
+    listed = F.array(*[F.lit(b) for b in borders]) if borders else None
+    while step and borders:
+        at = place + step
+        place = F.when((at <= len(borders)) & (F.col(column) >= F.get(listed, at - 1)), at).otherwise(place)
+        step >>= 1
+    return place
+
+
+def interleaved(df: DataFrame, columns: Sequence[str], files: int | None = None, bits: int = 5) -> DataFrame:
+    """Lay rows out along a curve that goes through the ranges of all ``columns`` at once, so that a filter on any one of
+    them skips files and row groups, where a sort by the first column serves the first only.
+
+    The curve's number takes one bit of the place of each column in turn, the highest bits first. Rows of one number
+    are sorted by the columns; a heavy value spreads over the numbers of the other columns. Columns are numbers, days
+    or times.
+    """
+    for c in columns:
+        if not isinstance(df.schema[c].dataType, (NumericType, DateType, TimestampType, TimestampNTZType)):
+            raise ValueError(f"column {c!r} is {df.schema[c].dataType.simpleString()}, not a number, day or time")
+    places = [_rank_bits(df, c, bits) for c in columns]
+    names = [f"_place_{k}" for k in range(len(columns))]
+    placed = df.select("*", *[p.alias(n) for p, n in zip(places, names, strict=True)])
+    curve = F.lit(0).cast("long")
+    for bit in reversed(range(bits)):
+        for name in names:
+            curve = F.shiftleft(curve, 1).bitwiseOR(F.shiftright(F.col(name), bit).bitwiseAND(F.lit(1)).cast("long"))
+    order = [F.col("_curve"), *[F.col(c) for c in columns]]
+    numbered = placed.withColumn("_curve", curve)
+    ranged = numbered.repartitionByRange(files, *order) if files else numbered.repartitionByRange(*order)
+    return ranged.sortWithinPartitions(*order).drop("_curve", *names)
+
+
+def bucketed(df: DataFrame, name: str, path: str, column: str, buckets: int) -> DataFrame:
+    """A table of its own whose rows lie in buckets by the hash of a column, sorted by it. Tables in equally many buckets by
+    their keys are joined and grouped on these keys without a shuffle. ``path`` must be new; ``name`` is the catalog's."""
+    df.repartition(buckets, column).write.bucketBy(buckets, column).sortBy(column).option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 class PublishedTable:
     """A full-refresh table: every refresh is a new folder, and a commit record names the current one.
 
@@ -78,12 +127,13 @@ class PublishedTable:
             raise FileNotFoundError(f"no published version below {self.path}")
         return self.spark.read.parquet(f"{self.path}/{version}")
 
-    def publish(self, df: DataFrame, version: str, cluster_by: Sequence[str] = ()) -> DataFrame:
+    def publish(self, df: DataFrame, version: str, cluster_by: Sequence[str] = (), interleave: bool = False) -> DataFrame:
         """Write ``df`` as ``version`` and make it current. The same version may be rewritten
-        after a failed run, never once it is current."""
+        after a failed run, never once it is current. ``interleave`` serves filters on each of the columns."""
         if version == self.version():
             raise ValueError(f"version {version!r} is already published")
-        out = clustered(df, cluster_by) if cluster_by else df
+        layout = interleaved if interleave else clustered
+        out = layout(df, cluster_by) if cluster_by else df
         out.write.mode("overwrite").parquet(f"{self.path}/{version}")
         self._commits.add({"version": version})
         return self.read()

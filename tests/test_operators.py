@@ -12,7 +12,7 @@ from marketloom.operators import history, numbering, sketches, upsert
 from marketloom.operators.asof import last_touch
 from marketloom.operators.spatial import nearest_in_rings, nearest_site
 from marketloom.session import fresh_path, shared_folder
-from marketloom.sources.tables import PublishedTable, land, read_inputs, read_table
+from marketloom.sources.tables import PublishedTable, bucketed, clustered, interleaved, land, read_inputs, read_table
 from tests.conftest import rows
 
 
@@ -340,3 +340,53 @@ def test_distinct_counts_of_combined_days(spark):
     days = sketches.distinct_counts(rows_, ["k", "d"], "v")
     for r in sketches.combined_counts(days, ["k"], "n").collect():
         assert abs(r.n - 4500) <= 4 * sketches.STANDARD_ERROR * 4500
+
+
+def groups_read(path: str, column: str, low: int, high: int) -> int:
+    """Row groups whose statistics do not rule out a value between the two."""
+    import pathlib
+
+    import pyarrow.parquet as pq
+
+    kept = 0
+    for file in pathlib.Path(path).rglob("*.parquet"):
+        meta = pq.ParquetFile(file).metadata
+        at = meta.schema.names.index(column)
+        for g in range(meta.num_row_groups):
+            stats = meta.row_group(g).column(at).statistics
+            kept += stats.min <= high and stats.max >= low
+    return kept
+
+
+def test_interleaved_layout_serves_filters_on_either_column(spark):
+    df = spark.range(40_000).selectExpr("id", "id * 7919 % 40009 AS a", "IF(id % 3 = 0, 5L, id * 104729 % 39989) AS b")  # a third on one value
+    read = {}
+    for name, layout in (("sorted", clustered), ("curve", interleaved)):
+        path = fresh_path(spark, name)
+        layout(df, ["a", "b"], 64).write.parquet(path)
+        assert spark.read.parquet(path).exceptAll(df).isEmpty() and spark.read.parquet(path).count() == 40_000
+        read[name] = [groups_read(path, "a", 1000, 1400), groups_read(path, "b", 20_000, 20_400)]
+    # Sorted by a first, all of some 64 row groups hold values of b; along the curve few do, for either column.
+    assert read["sorted"][1] > 55 and max(read["curve"]) <= 24 and read["sorted"][0] <= 3
+    assert interleaved(df.limit(0), ["a", "b"], 4).count() == 0
+    odd = spark.createDataFrame([(None, dt.date(2026, 1, 1)), (1, None), (2, dt.date(2026, 1, 2)), (None, None)], "a long, b date")
+    assert rows(interleaved(odd, ["a", "b"], 2)) == rows(odd)
+    with pytest.raises(ValueError):
+        interleaved(df.selectExpr("a", "string(b) AS b"), ["a", "b"])
+
+
+def test_bucketed_tables_meet_without_a_shuffle(spark):
+    made = []
+    for name in ("left_rows", "right_rows"):
+        path = fresh_path(spark, name)
+        table_name = path.rpartition("/")[2].replace("-", "_")
+        made.append(bucketed(spark.range(5000).selectExpr("id % 700 AS k", f"id AS {name}"), table_name, path, "k", 8))
+    with_shuffle = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sums = made[0].groupBy("k").agg(F.sum("left_rows").alias("s"))
+        joined = made[1].join(sums, "k")
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+        assert joined.count() == 5000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", with_shuffle)
