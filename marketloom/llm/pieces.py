@@ -10,7 +10,12 @@ The vocabulary at hand is of the byte-pair kind, for which a best path by summed
 than the vocabulary's own rule. Relaxation therefore follows this rule: in every round, each part joins the
 neighbours under its best edge, the one with the highest score and then the leftmost, among the edges
 that span exactly two of the pieces so far. Edges with an end inside a piece are dropped. The rounds
-end when no part has such an edge. Characters without a piece become bytes.
+end when no part has such an edge. What ``ROUNDS`` rounds have not finished, long parts without spaces,
+goes on by the same rule with a heap of such edges, looking again only at the neighbours of each join, so that
+a part of n characters takes n log n steps. Characters without a piece become bytes.
+
+Very long texts are taken whole. Memory grows with the longest run of text without a space or line break,
+by some 200 bytes a character.
 
 Parts seen before are remembered, in a bounded store that is emptied when full.
 """
@@ -18,6 +23,7 @@ Parts seen before are remembered, in a bounded store that is emptied when full.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 import zlib
 from collections.abc import Iterator
@@ -31,6 +37,8 @@ SPACE = "▁"
 #: Characters of text that are looked through at once, and of parts in one suffix array.
 TEXT, SPAN = 1 << 23, 1 << 19
 REMEMBERED = 500_000
+#: Rounds in which all parts join side by side, before what is left goes on one edge after the other.
+ROUNDS = 24
 #: Breaks around which parts end, if no longer piece has them.
 BREAKS = "\n\r\t"
 
@@ -91,6 +99,50 @@ def occurrences(codes: np.ndarray, order: np.ndarray, patterns: np.ndarray, leng
     return lows, highs
 
 
+def join_in_order(edge: np.ndarray, start: np.ndarray, end: np.ndarray, rank: np.ndarray) -> list[tuple[int, int]]:
+    """(place, number of the edge) of all joins, the edge of least ``rank`` over two neighbours first, then the leftmost.
+
+    ``edge`` marks where pieces begin, with an end mark; those inside joined pieces are cleared. The edges come by start, then by end.
+    """
+    size = len(edge)
+    bounds = np.flatnonzero(edge)
+    after, before = np.full(size + 1, size, np.int64), np.full(size + 1, -1, np.int64)
+    after[bounds[:-1]], before[bounds[1:]] = bounds[1:], bounds[:-1]
+    first = memoryview(np.searchsorted(start, np.arange(size + 1)))
+    after, before, marks, ends, ranks = (memoryview(x) for x in (after, before, edge, np.ascontiguousarray(end), np.ascontiguousarray(rank)))
+
+    def over(place: int) -> int:
+        """The edge over the piece at ``place`` and the next one; -1 without one."""
+        stop = after[after[place]]
+        for k in range(first[place], first[place + 1]):
+            if ends[k] >= stop:
+                return k if ends[k] == stop else -1
+        return -1
+
+    def offer(place: int) -> None:
+        k = over(place)
+        if k >= 0:
+            heapq.heappush(heap, ranks[k] * size + place)
+
+    heap: list[int] = []
+    for place in np.unique(start).tolist():
+        offer(place)
+    joins = []
+    while heap:
+        best, place = divmod(heapq.heappop(heap), size)
+        k = over(place) if marks[place] else -1
+        if k < 0 or ranks[k] != best:  # joined otherwise meanwhile
+            continue
+        middle, stop = after[place], ends[k]
+        marks[middle] = False
+        after[place], before[stop] = stop, place
+        joins.append((place, k))
+        offer(place)
+        if before[place] >= 0:
+            offer(before[place])
+    return joins
+
+
 class Pieces:
     """A byte-pair vocabulary with byte fallback, read from a SentencePiece model file."""
 
@@ -143,13 +195,16 @@ class Pieces:
         key = rank * longest + (start - begins[part])  # by score, then by place in the part
         edge = np.ones(len(codes) + 1, bool)  # where a piece begins
         symbol = np.full(len(codes), -1, np.int64)
-        while len(part):
+        rounds = 0
+        while len(part) and rounds < ROUNDS:
+            rounds += 1
             before = np.cumsum(edge)
             inside = before[end - 1] - before[start]
             alive = edge[start] & edge[end] & (inside > 0)
             piece, start, end, key, part, inside = (x[alive] for x in (piece, start, end, key, part, inside))
             ready = np.flatnonzero(inside == 1)
             if not len(ready):
+                part = part[:0]
                 break
             group = part[ready]
             firsts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
@@ -159,6 +214,9 @@ class Pieces:
                 inner = chosen[end[chosen] - start[chosen] > k]
                 edge[start[inner] + k] = False
             symbol[start[chosen]] = self.ids[piece[chosen]]
+        if len(part):
+            for place, k in join_in_order(edge, start, end, self.rank[piece]):
+                symbol[place] = self.ids[piece[k]]
         edge[begins[1:] - 1] = False  # the separators are no pieces
         at = np.flatnonzero(edge[: len(codes)])
         found, first = symbol[at], codes[at]

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -43,6 +44,23 @@ def test_the_store_may_empty(library, monkeypatch):
         assert [np.frombuffer(x, "<u4").tolist() for x in mine.encode(texts[k : k + 7])] == library.encode(texts[k : k + 7])
 
 
+def test_long_texts_without_spaces(library):
+    r = random.Random(5)
+    letters = "".join(map(chr, [*range(33, 127), *range(0x4E00, 0x4E80)]))
+    texts = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200_000)), "".join(r.choice(letters) for _ in range(50_000)), "the" * 20_000 + "a" * 50_000]
+    mine = pieces.Pieces(PATH)
+    begun = time.process_time()
+    got = [np.frombuffer(x, "<u4").tolist() for x in mine.encode(texts)]
+    assert time.process_time() - begun < 60
+    assert got == library.encode(texts)
+
+
+def test_joins_one_by_one_are_those_of_rounds(library, monkeypatch):
+    monkeypatch.setattr(pieces, "ROUNDS", 1)
+    texts = [t or "" for t in some_texts(6)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in pieces.Pieces(PATH).encode(texts)] == library.encode(texts)
+
+
 def test_suffix_ranges_are_all_occurrences():
     r = random.Random(3)
     text = "".join(r.choice("ab ") for _ in range(500))
