@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 
 import pytest
@@ -47,17 +48,43 @@ def test_nested_captures_carry_payloads(spark, table, tmp_path):
     warc.write_archive(table(SCHEMA, *ROWS), str(tmp_path / "a"))
     rows = warc.captures(warc.read_archive(spark, str(tmp_path / "a"))).collect()
     assert len(rows) == len(ROWS)
-    by = {r.capture_id: r for r in rows}
-    three = by["<urn:x-page:3>"]
-    assert bytes(three.response.payload).decode() == ROWS[2][2] and three.request.concurrent_to == "<urn:x-page:3>" and three.metadata.target_uri == "x"
-    assert by["<urn:x-page:1>"].response.target_uri == "http://a/b%20c%0D%0A" and by["<urn:x-page:5>"].response.refers_to == "<urn:x-page:7>"
+    by = {r.capture_id.split(":")[2]: r for r in rows}
+    three = by["3"]
+    assert bytes(three.response.payload).decode() == ROWS[2][2] and three.request.concurrent_to == three.capture_id and three.metadata.target_uri == "x"
+    assert by["1"].response.target_uri == "http://a/b%20c%0D%0A" and by["5"].response.refers_to == by["7"].capture_id
 
 
 def test_repeated_ids_empty_table_broken_file(spark, table, tmp_path):
-    assert len(found(table(SCHEMA, (1, "u", "a"), (1, "u", "a"), (1, "u", "b")))) == 1
+    rows = [(1, "u", "a"), (1, "u", "a"), (1, "u", "b"), (0, "v", "a"), (None, "u", "a"), (None, "u", "c"), (None, "u", "c")]
+    kept = warc.round_trip(table(SCHEMA, *rows).repartition(3)).collect()
+    assert all(r.has_request and r.has_metadata for r in kept)
+    got = sorted(((r.page_id, r.record_type, r.refers_to) for r in kept), key=str)
+    assert got == sorted([(1, "response", None)] * 3 + [(0, "revisit", 1), (None, "revisit", 1)] + [(None, "response", None)] * 2, key=str)
     assert found(table(SCHEMA)) == {}
     folder = tmp_path / "broken"
     folder.mkdir()
     (folder / "part-0.warc").write_bytes(b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 10\r\n\r\nshort")
-    with pytest.raises(Exception, match="does not end"):
+    with pytest.raises(Exception, match="does not end where"):
         warc.read_archive(spark, str(folder)).collect()
+
+
+def test_files_are_walked_a_piece_at_a_time(monkeypatch):
+    monkeypatch.setattr(warc, "PIECE", 7)
+    records = [b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <%d>\r\nContent-Length: %d\r\n\r\nH\r\n\r\n%s" % (k, 5 + len(x), x) + b"\r\n\r\n" for k, x in enumerate([b"", b"a\r\n\r\nb" * 9, b"x" * 100])]
+    plain = b"".join(records)
+    for data in (plain, gzip.compress(plain), b"".join(map(gzip.compress, records)), gzip.compress(records[0]) + gzip.compress(b"".join(records[1:]))):
+        rows = list(warc._records(warc._Stream(warc._unpacked(data)), True))
+        assert [r[1] for r in rows] == ["<0>", "<1>", "<2>"] and [r[-1] for r in rows] == [b"", b"a\r\n\r\nb" * 9, b"x" * 100]
+
+
+def test_long_pages_in_bounded_memory():
+    import tracemalloc
+
+    page = b"x" * 5_000_000
+    record = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 5000005\r\n\r\nH\r\n\r\n" + page + b"\r\n\r\n"
+    data = gzip.compress(record * 30, 1)
+    tracemalloc.start()
+    assert sum(r[6] for r in warc._records(warc._Stream(warc._unpacked(data)), False)) == 150_000_000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40_000_000
