@@ -7,8 +7,10 @@ innermost sectioning element (with its class) and whether it is linked; a tag's
 outside it. A linear scan over the sums finds the contiguous region with the largest total, and the
 text of this region, without the elements that are no content wherever they stand, is the result.
 
-Pages without such an element are scored with the same weights; elements that no labelled page has get
-the weights in ``UNKNOWN``.
+Where a page marks its main part, its words there score at least 1, all others at most -1, and the tags in that part share a
+cost of half a word, so no list, table or heading of few words is cut off; only text of that part is kept. Several such elements that hold
+fewer words than the rest of the page, teasers say, mark nothing. Other pages are scored with the learnt weights alone; elements that
+no labelled page has get the weights in ``UNKNOWN``. Tags of elements that are no content teach no weight.
 """
 
 from __future__ import annotations
@@ -40,6 +42,7 @@ SECTIONS = frozenset("article aside body div footer form header main nav section
 #: Elements that are common within texts.
 PROSE = frozenset("a abbr b blockquote br cite code dd dl dt em figcaption figure h1 h2 h3 h4 h5 h6 hr i img li mark ol p pre q s small span strong sub sup td th tr u ul".split())
 MAIN = frozenset(("article", "main"))
+ENDS = frozenset(f"tag /{name}" for name in MAIN)
 #: Elements whose text is never content.
 NEVER = frozenset("aside button datalist dialog footer form head iframe menu nav noframes noscript object select svg template title".split())
 #: Words of class and id names of elements that are no content.
@@ -48,6 +51,9 @@ JUNK = frozenset(
     "footer masthead menu modal nav navbar navigation newsletter notice notices popup promo promotion related respond share sharing sidebar "
     "skip social sponsor sponsored subscribe subscription toolbar widget".split()
 )
+#: The same, but only as whole names: as words of longer names they are also topics of articles.
+WHOLE = frozenset("colophon copyright foot replies responses".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _RAW = "script|style|textarea|xmp|noembed|plaintext"
 _TOKEN = re.compile(
     rf"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?:{_RAW})\b[^>]*+>.*?(?:</(?:{_RAW})\s*>|\Z)"
@@ -71,6 +77,8 @@ def _marks(attributes: str) -> tuple[str, int]:
     first = names.split()[0] if names.strip() else ""
     if _HIDDEN.search(attributes):
         return first[:40], OUTRIGHT
+    if any(n.lower() in WHOLE for n in names.split()):
+        return first[:40], NAMED
     if not any(w.lower() in JUNK for w in _WORDS.findall(names)):
         return first[:40], NOT
     return first[:40], NAMED if any(n.lower() in JUNK for n in names.split()) else PARTLY
@@ -92,8 +100,8 @@ def tokens(page: str, kept: frozenset[int] = frozenset(), counts: dict[int, int]
     kind is ``block`` or ``inline`` for tags and ``text`` for text. Elements left open end with the element
     around them, paragraphs with the next block; an element that is no content doesn't outlast the start of a main element.
     Hidden are the tags and texts of elements that are no content. The home is the number of the innermost
-    section around that can be content, 0 outside of all, negative for ``body``. Names never hide ``html`` and ``body``, a word
-    in a longer name no article outside of others, and neither an element whose place is in ``kept``; ``counts``
+    section around that can be content, 0 outside of all, negative for ``body``. The end of a main element lies outside of it. Names never hide ``html`` and ``body``, a word
+    in a longer name no heading and no article outside of others, and neither an element whose place is in ``kept``; ``counts``
     gets the words of the elements that could be.
     """
     # Name of each open element, key of its text, whether that text can be content.
@@ -129,14 +137,14 @@ def tokens(page: str, kept: frozenset[int] = frozenset(), counts: dict[int, int]
                 while names[k] != name:
                     k -= 1
                 main -= close(k)
-            yield f"tag /{name}", kind, True, inside, 0, "", hidden, home
+            yield f"tag /{name}", kind, True, main > 0 if name in MAIN else inside, 0, "", hidden, home
             continue
         if name in VOID or kind == "inline" and attributes.endswith("/"):
             yield f"tag {name}", kind, True, main > 0, 0, " " if name == "br" else "", not shown[-1], homes[-1]
             continue
         first, told = _marks(attributes) if attributes else ("", NOT)
         junk = told == OUTRIGHT or told != NOT and name not in ("html", "body") and found.start() not in kept
-        if junk and told == PARTLY and name in MAIN and not main and shown[-1]:
+        if junk and told == PARTLY and (name in HEADINGS or name in MAIN and not main and shown[-1]):
             junk = False
         if kind == "block" and "p" in names:  # an open paragraph ends
             k = len(names) - 1
@@ -175,12 +183,15 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     inside, outside = Counter(), Counter()
     for batch in batches:
         for page in batch.column(0).to_pylist():
-            seen = [(key, visible, main and visible, words if kind == "text" else 1) for key, kind, visible, main, words, *_ in read(page or "")]
-            if any(main for _, _, main, _ in seen):
-                for key, visible, main, many in seen:
+            seen = read(page or "")
+            if marks_main(seen):
+                for key, kind, visible, main, words, _, hidden, _ in seen:
+                    if kind != "text" and hidden:
+                        continue
+                    many = words if kind == "text" else 1
                     # What is no content by its class tells nothing about its element without it.
                     for place in _places(key) if visible else [key]:
-                        (inside if main else outside)[place] += many
+                        (inside if main and visible else outside)[place] += many
     keys = list(inside | outside)
     yield pa.record_batch([pa.array(keys, pa.string()), pa.array([inside[k] for k in keys], pa.int64()), pa.array([outside[k] for k in keys], pa.int64())], names=["key", "inside", "outside"])
 
@@ -226,28 +237,47 @@ def region(scores: list[float]) -> tuple[int, int]:
     return first, end
 
 
+def marks_main(seen: list[tuple[str, str, bool, bool, int, str, bool, int]]) -> bool:
+    """Whether a page marks its main part: by one element, or by several with at least half of the words that can be content."""
+    inside = outside = parts = 0
+    before = False
+    for _, kind, visible, main, words, *_ in seen:
+        parts += main and not before
+        before = main
+        if kind == "text" and visible:
+            inside, outside = (inside + words, outside) if main else (inside, outside + words)
+    return inside > 0 and (parts == 1 or inside >= outside)
+
+
 def main_text(page: str | None, weights: dict[str, float]) -> str:
     """The blocks of the best region, one line each."""
     if not page:
         return ""
     seen = read(page)
+    marked = marks_main(seen)
+    share = -0.5 / (1 + sum(kind != "text" and (main or key in ENDS) for key, kind, _, main, *_ in seen))
     telling = {home for _, kind, visible, _, words, _, _, home in seen if kind == "text" and visible and words}
     scores = []
-    for key, kind, visible, _, words, _, hidden, home in seen:
-        if hidden and (home > 0 or home in telling):  # within content: never emitted, so it parts nothing
+    for key, kind, visible, main, words, _, hidden, home in seen:
+        if hidden and (main if marked else home > 0 or home in telling):  # within content: never emitted, so it parts nothing
             scores.append(0.0)
             continue
         known = weights.get(key)
         if known is None:
             known = weights[key] = _weight(key, weights)
-        scores.append(known if kind != "text" else words * (known if visible else -abs(known)))
+        if kind != "text":
+            scores.append(share if marked and (main or key in ENDS) else known)
+        elif marked:
+            scores.append(words * (max(1.0, known) if main else -max(1.0, abs(known))))
+        else:
+            scores.append(words * (known if visible else -abs(known)))
     first, end = region(scores)
     blocks, parts = [], []
-    for _, kind, visible, _, _, text, _, _ in seen[first:end]:
+    for _, kind, visible, main, _, text, _, _ in seen[first:end]:
         if kind == "block":
             blocks.append("".join(parts))
             parts = []
-        if visible and text:
+        if visible and text and (main or not marked):
             parts.append(html.unescape(text))
     blocks.append("".join(parts))
     lines = (" ".join(b.split()) for b in blocks)

@@ -86,3 +86,38 @@ def test_names_do_not_hide_what_holds_the_page(table):
     got = texts(table(SCHEMA, *rows, *[(100 + k, "u", page) for k, page in enumerate(pages)]))
     for k in range(len(pages)):
         assert got[100 + k] == f"{words('a', 60)}\n{words('b', 60)}", k
+
+
+def test_all_of_a_marked_article_and_nothing_else(table):
+    rows = [(k, "u", labelled(k)) for k in range(60)]
+    text = f"<p>{words('a', 60)}</p>"
+    items = "".join(f"<li>{w}</li>" for w in words("i", 9).split())
+    cells = "".join(f"<tr><td>{w}</td></tr>" for w in words("x", 9).split())
+    pages = {
+        f"<body><nav><ul><li>n</li></ul></nav><article><ul>{items}</ul></article><footer>f</footer></body>": words("i", 9).replace(" ", "\n"),
+        f"<body><article><table>{cells}</table></article></body>": words("x", 9).replace(" ", "\n"),
+        f"<body><article>{text}<ul>{items[:36]}</ul></article><div>more</div></body>": f"{words('a', 60)}\ni0\ni1\ni2",
+        f"<body><article><header><h1>Title</h1></header><section><h2>Intro</h2></section>{text}</article></body>": f"Title\nIntro\n{words('a', 60)}",
+        f"<body><div class=left>{words('l', 40)}</div><article>{text}</article><div class='more-stories'>{words('m', 40)}</div></body>": words("a", 60),
+        f"<body><article>{text}</article><section id=responses><p>{words('r', 90)}</p></section><div id=replies>{words('q', 90)}</div></body>": words("a", 60),
+        f"<body><article>{text}<div id=replies>{words('q', 40)}</div><p class=copyright>c</p><h2 id='social-change'>Change</h2><p>end</p></article><div id=foot>f</div></body>": f"{words('a', 60)}\nChange\nend",
+        f"<body><main><div>{'<i></i>' * 5000}</div><p>one</p>{'<b></b>' * 5000}<p>two</p></main></body>": "one\ntwo",
+        f"<body><article>{text}</article><div class=left>{words('l', 40)}</div><article><p>{words('b', 60)}</p></article></body>": f"{words('a', 60)}\n{words('b', 60)}",
+    }
+    got = texts(table(SCHEMA, *rows, *[(100 + k, "u", page) for k, page in enumerate(pages)]))
+    for k, wanted in enumerate(pages.values()):
+        assert got[100 + k] == wanted, k
+    assert all(got[k] == f"H{k}\n{words('a', 5 + k % 40)}\n{words('b', 3)}" for k in range(60))
+
+
+def test_teasers_mark_nothing(table):
+    rows = [(k, "u", labelled(k)) for k in range(60)]
+    page = f"<body><div id=content><p>{words('a', 60)}</p><p>{words('b', 60)}</p></div>{''.join(f'<article><h3>t{k}</h3></article>' for k in range(5))}</body>"
+    assert texts(table(SCHEMA, *rows, (100, "u", page)))[100].startswith(f"{words('a', 60)}\n{words('b', 60)}")
+
+
+def test_lists_of_unmarked_pages(table):
+    rows = [(k, "u", labelled(k)) for k in range(60)]
+    items = "".join(f"<li>{w}</li>" for w in words("i", 9).split())
+    page = f"<body><nav><ul><li>n</li></ul></nav><p>{words('a', 60)}</p><ul>{items}</ul><p>end</p><footer>f</footer></body>"
+    assert texts(table(SCHEMA, *rows, (100, "u", page)))[100] == "\n".join([words("a", 60), words("i", 9).replace(" ", "\n"), "end"])
