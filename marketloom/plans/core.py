@@ -316,17 +316,23 @@ def inventory_daily(
     pair = ["product_id", "store_id"]
     moves = inventory_movements(inputs, as_of).filter(f"snapshot_date <= {day(last)}")
     before = moves.filter(f"snapshot_date < {day(first)}").groupBy(*pair).agg(F.expr("sum(units_sold_today) AS sold_before"))
+    levels = opening.join(before, pair, "left").withColumns(
+        {"start_units": F.expr(f"opening_units - {zero_if_null('sold_before')}"), "first_day": F.expr(day(first))}
+    )
+    return inventory_days(inputs, as_of, levels, moves, last)
+
+
+def inventory_days(inputs: Inputs, as_of: dt.date, levels: DataFrame, moves: DataFrame, last: dt.date) -> DataFrame:
+    """Daily stock from each pair's own ``first_day``, before which it had ``start_units``, to ``last``. Pairs whose first day
+    is later than that have no rows; neither have closed stores."""
+    pair = ["product_id", "store_id"]
     stores = inputs["catalog_stores"].filter("is_active").select("store_id", "store_name", "store_type", "region")
     products = inputs["catalog_products"].select("product_id", "product_name", "category", "cost_price")
     spine = (
-        opening.join(before, pair, "left")
+        levels.filter(f"first_day <= {day(last)}")
         .join(stores, "store_id")
         .join(products, "product_id")
-        .selectExpr(
-            "*",
-            f"opening_units - {zero_if_null('sold_before')} AS start_units",
-            f"explode(sequence({day(first)}, {day(last)})) AS snapshot_date",
-        )
+        .selectExpr("*", f"explode(sequence(first_day, {day(last)})) AS snapshot_date")
     )
     return (
         spine.join(moves, [*pair, "snapshot_date"], "left")

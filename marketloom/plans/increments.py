@@ -13,10 +13,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.functions.scalars import month_start
+from marketloom.functions.scalars import month_start, zero_if_null
 from marketloom.operators.upsert import since_last
 from marketloom.plans.base import Inputs, day, replaced, use
-from marketloom.plans.core import fct_order_items, fct_orders, inventory_daily, store_days, store_performance
+from marketloom.plans.core import fct_order_items, fct_orders, inventory_daily, inventory_days, inventory_movements, store_days, store_performance
 from marketloom.plans.finance import revenue_daily
 from marketloom.plans.marketing import LOOKBACK_DAYS as TOUCH_DAYS
 from marketloom.plans.marketing import campaign_performance, channel_attribution
@@ -186,10 +186,46 @@ def campaign_performance_increment(
     return built if start is None else built.filter(f"spend_date >= {day(start)}")
 
 
-def inventory_increment(inputs: Inputs, as_of: dt.date, target: DataFrame, opening: DataFrame, first: dt.date) -> DataFrame:
-    """Days strictly after the newest one."""
-    start = max(first, _from(high_water(target, "snapshot_date"), -1, first))
-    return inventory_daily(inputs, as_of, opening, start)
+def inventory_increment(
+    inputs: Inputs,
+    as_of: dt.date,
+    target: DataFrame,
+    opening: DataFrame,
+    first: dt.date,
+    lookback_days: int = LOOKBACK_DAYS,
+    loaded_since: dt.date | None = None,
+) -> DataFrame:
+    """Days strictly after the newest one and, with ``loaded_since``, those that later loads change.
+
+    A sale that arrives late lowers the level of its product in its store on every day from its own on. Such a pair is built
+    again from the first day of an order loaded, or with lines or returns loaded, since then less the look-back; all other pairs
+    only get the new days. Levels go on from the row of the day before in the table, so the run reads the orders since the first day
+    of a store's changes. Pairs that the table doesn't have, or with changes before ``first``, start from the opening
+    stock and the store's whole history. Without ``loaded_since`` late sales are missed.
+    """
+    mark = high_water(target, "snapshot_date")
+    if loaded_since is None or mark is None:
+        return inventory_daily(inputs, as_of, opening, max(first, _from(mark, -1, first)))
+    pair, orders = ["product_id", "store_id"], inputs["raw_orders"]
+    next_day = max(first, mark + dt.timedelta(days=1))
+    affected = use(of_orders(inputs, affected_orders(inputs, _since(loaded_since, lookback_days))), fct_order_items, as_of)
+    changes = affected.groupBy(*pair).agg(F.min("order_date").alias("changed_on"))
+    held = target.filter(F.col("snapshot_date") == F.lit(mark)).select(*pair, F.lit(True).alias("held"))
+    starts = opening.join(changes, pair, "left").join(held, pair, "left")
+    first_day = f"if(held IS NULL, {day(first)}, greatest({day(first)}, least(changed_on, {day(next_day)})))"
+    starts = written(starts.selectExpr(*pair, "opening_units", f"{first_day} AS first_day"), "inventory-starts")
+    # A store's orders are needed from the first of its days that is built; the whole history where the opening stock is the start.
+    needed = starts.groupBy("store_id").agg(F.min(F.expr(f"if(first_day <= {day(first)}, DATE'0001-01-01', first_day)")).alias("_needed_from"))
+    recent = orders.join(needed, "store_id").filter("order_date >= _needed_from").select(*orders.columns)
+    moves = written(inventory_movements(_with_orders(inputs, recent), as_of).filter(f"snapshot_date <= {day(as_of)}"), "inventory-moves")
+    before = moves.filter(f"snapshot_date < {day(first)}").groupBy(*pair).agg(F.expr("sum(units_sold_today) AS sold_before"))
+    earlier = target.selectExpr(*pair, "date_add(snapshot_date, 1) AS first_day", "units_on_hand AS level_before")
+    levels = (
+        starts.join(before, pair, "left")
+        .join(earlier, [*pair, "first_day"], "left")
+        .selectExpr(*pair, "first_day", f"if(first_day <= {day(first)}, opening_units - {zero_if_null('sold_before')}, level_before) AS start_units")
+    )
+    return inventory_days(inputs, as_of, levels, moves, as_of)
 
 
 def channel_attribution_increment(

@@ -236,6 +236,25 @@ def _register_pipelines() -> None:
             " 'District ' || (store_id % 4) AS district, 'Manager ' || store_id AS manager_name FROM stores"
         ),
     )
+    register(
+        "dim_promotions",
+        lambda s, d: retail(core.dim_promotions)(s, d).drop("built_at"),
+        """SELECT p_partkey AS promotion_id, 'SAVE' || p_partkey AS promotion_code, p_brand || ' week' AS promotion_name,
+                  CASE WHEN p_size % 2 = 0 THEN 'percentage' ELSE 'fixed_amount' END AS discount_type, (p_size * 2.5)::DOUBLE AS discount_value,
+                  floor(p_retailprice)::DOUBLE AS min_order_amount, (DATE '1996-01-01' + (p_partkey % 900)::INT)::VARCHAR AS start_date,
+                  (DATE '1996-01-01' + (p_partkey % 900)::INT + p_size::INT + 6)::VARCHAR AS end_date,
+                  (['in-store', 'online', 'mobile'])[(p_partkey % 3 + 1)::INT] AS channel, p_partkey % 4 = 0 AS is_stackable,
+                  (p_size * 1000)::BIGINT AS max_redemptions, p_partkey % 6 <> 0 AS is_active FROM part WHERE p_size < 10""",
+    )
+    register(
+        "dim_payment_methods",
+        lambda s, d: retail(core.dim_payment_methods)(s, d).drop("built_at"),
+        """SELECT min(o_orderkey) AS payment_method_id, lower(o_orderpriority || '-' || o_orderstatus) AS payment_method,
+                  CASE WHEN o_orderstatus = 'F' THEN 'card' ELSE 'wallet' END AS payment_category, 'processor ' || o_orderstatus AS processor,
+                  (min(o_orderkey) % 5 + 0.5)::DOUBLE AS processing_fee_pct, o_orderstatus <> 'P' AS supports_refund,
+                  o_orderstatus = 'F' AS supports_partial_refund, min(o_orderkey) % 9 <> 0 AS is_active
+           FROM orders GROUP BY o_orderpriority, o_orderstatus""",
+    )
     register(
         "dim_dates",
         _orders_calendar,
@@ -1428,6 +1447,24 @@ def _inventory_last_week(spark: SparkSession, folder: str) -> DataFrame:
     return increments.inventory_increment(inputs, AS_OF, ends, _opening_stock(inputs), FIRST)
 
 
+def _inventory_in_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """The daily stock as a table over runs that see what was loaded before them; one run is repeated."""
+    table = KeyedTable(spark, fresh_path(spark, "inventory"), ["product_id", "store_id", "snapshot_date"], "snapshot_date", keys_stay=True)
+    opening = written(_opening_stock(sample_retail.retail_inputs(spark, folder)), "opening-stock")
+    first = dt.date(2001, 7, 24)
+    for cut in ["2001-07-27", "2001-07-30", "2001-07-30", "2100-01-01"]:
+        inputs = sample_retail.retail_inputs(spark, folder)
+        _loaded_before(inputs, cut)
+        last = min(dt.date.fromisoformat(cut) - dt.timedelta(days=1), AS_OF)
+        if table.exists():
+            since = dt.date.fromisoformat(table.mark())
+            rows = increments.inventory_increment(inputs, last, table.read(), opening, first, loaded_since=since)
+        else:
+            rows = core.inventory_daily(inputs, last, opening, first)
+        table.upsert(rows, mark=cut)
+    return table.read()
+
+
 SNAPSHOTS = [dt.date(1998, 1, 1), dt.date(2000, 1, 1), dt.date(2001, 8, 2)]
 TRACKED = ["customer_segment", "customer_lifecycle_stage", "customer_value_tier", "total_orders", "last_order_date"]
 
@@ -1728,6 +1765,22 @@ def _register_maintenance() -> None:
                (opening_units - sum(units) OVER w)::BIGINT AS units_on_hand, units::BIGINT AS units_sold_today
         FROM sold JOIN opening USING (product_id, store_id) WINDOW w AS (PARTITION BY product_id, store_id ORDER BY order_date)"""),
     )
+    register(
+        "incremental_inventory",
+        lambda s, d: _inventory_in_runs(s, d).drop("built_at"),
+        oracle.query(f"""{stock},
+        days AS (SELECT unnest(generate_series(DATE '2001-07-24', {oracle.AS_OF}, INTERVAL 1 DAY))::DATE AS d),
+        earlier AS (SELECT product_id, store_id, sum(units) AS units FROM sold WHERE order_date < DATE '2001-07-24' GROUP BY 1, 2),
+        grid AS (
+          SELECT o.product_id, o.store_id, d, coalesce(s.units, 0) AS units,
+                 o.opening_units - coalesce(e.units, 0) - sum(coalesce(s.units, 0)) OVER (PARTITION BY o.product_id, o.store_id ORDER BY d) AS level
+          FROM opening o CROSS JOIN days LEFT JOIN earlier e USING (product_id, store_id)
+          LEFT JOIN sold s ON s.product_id = o.product_id AND s.store_id = o.store_id AND s.order_date = d)
+        SELECT g.product_id, p.product_name, p.category, p.cost_price::DOUBLE AS cost_price, g.store_id, st.store_name, st.store_type, st.region,
+               d::VARCHAR AS snapshot_date, level::BIGINT AS units_on_hand, units::BIGINT AS units_sold_today,
+               CASE WHEN st.store_type = 'physical' THEN level < 30 ELSE level < 200 END AS is_below_reorder_point
+        FROM grid g JOIN products p USING (product_id) JOIN stores st USING (store_id) WHERE st.is_active"""),
+    )
     register(
         "inventory_increment",
         _inventory_last_week,

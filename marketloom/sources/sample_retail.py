@@ -251,6 +251,43 @@ def catalog_campaigns(t) -> DataFrame:
     )
 
 
+def catalog_promotions(t) -> DataFrame:
+    start = "date_add(DATE'1996-01-01', int(p_partkey % 900))"
+    return _typed(
+        t("part").filter("p_size < 10"),
+        "catalog_promotions",
+        promotion_id="p_partkey",
+        promotion_code="'SAVE' || p_partkey",
+        promotion_name="p_brand || ' week'",
+        discount_type="if(p_size % 2 = 0, 'percentage', 'fixed_amount')",
+        discount_value="p_size * 2.5D",
+        min_order_amount="floor(p_retailprice)",
+        start_date=start,
+        end_date=f"date_add({start}, p_size + 6)",
+        channel=_name(STORE_CHANNELS, "p_partkey % 3"),
+        is_stackable="p_partkey % 4 = 0",
+        max_redemptions="p_size * 1000",
+        is_active="p_partkey % 6 <> 0",
+    )
+
+
+def catalog_payment_methods(t) -> DataFrame:
+    """A method for each priority and state in which orders are placed."""
+    used = t("orders").groupBy("o_orderpriority", "o_orderstatus").agg(F.expr("min(o_orderkey) AS number"))
+    return _typed(
+        used,
+        "catalog_payment_methods",
+        payment_method_id="number",
+        payment_method="lower(o_orderpriority || '-' || o_orderstatus)",
+        payment_category="if(o_orderstatus = 'F', 'card', 'wallet')",
+        processor="'processor ' || o_orderstatus",
+        processing_fee_pct="number % 5 + 0.5D",
+        supports_refund="o_orderstatus <> 'P'",
+        supports_partial_refund="o_orderstatus = 'F'",
+        is_active="number % 9 <> 0",
+    )
+
+
 def _events(t) -> DataFrame:
     return t("events").selectExpr(
         "*",
@@ -340,6 +377,8 @@ RETAIL = {
         catalog_stores,
         catalog_products,
         catalog_campaigns,
+        catalog_promotions,
+        catalog_payment_methods,
         raw_customers,
         raw_orders,
         raw_order_items,

@@ -162,6 +162,30 @@ def test_only_new_inventory_days(spark, inputs):  # noqa: F811
     assert more.agg({"snapshot_date": "min"}).first()[0] == dt.date(2026, 6, 10)
 
 
+@pytest.mark.parametrize("moves", [{"raw_order_items": "order_item_id % 2 = 0"}, {"raw_orders": "order_date < DATE'2026-06-09'"}, {"raw_returns": "true"}])
+def test_stock_levels_follow_what_comes_late(spark, inputs, moves):  # noqa: F811
+    source, first, last = late(inputs, moves), dt.date(2026, 6, 9), dt.date(2026, 8, 3)
+    pairs = core.inventory_movements(inputs, AS_OF).select("product_id", "store_id").distinct()
+    opening = pairs.withColumn("opening_units", F.expr("30 + product_id % 7"))
+    table = KeyedTable(spark, fresh_path(spark, "inventory"), ["product_id", "store_id", "snapshot_date"], "month", "string", keys_stay=True)
+    for cut in ["2026-06-11", "2026-07-20", "2026-07-20", "2026-08-04"]:
+        seen = {**source, **{name: source[name].filter(f"_loaded_at < DATE'{cut}'") for name in increments.ORDER_TABLES}}
+        at = dt.date.fromisoformat(cut) - dt.timedelta(days=1)
+        if table.exists():
+            since = dt.date.fromisoformat(table.mark())
+            part = increments.inventory_increment(seen, at, table.read(), opening, first, loaded_since=since)
+        else:  # one pair is not stocked yet
+            part = core.inventory_daily(seen, at, opening.filter("product_id <> 100 OR store_id <> 1"), first)
+        table.upsert(part.withColumn("month", F.date_format("snapshot_date", "yyyy-MM")), mark=cut)
+    whole = core.inventory_daily(inputs, last, opening, first).drop("built_at")
+    assert whole.count() > 0 and rows(table.read(), *whole.columns) == rows(whole)
+    if "raw_order_items" in moves:  # each pair is built from the first day of an order with late lines, not from the start
+        lines = core.fct_order_items(inputs, AS_OF)
+        touched = lines.join(lines.filter("order_item_id % 2 = 0").select("order_id").distinct(), "order_id")
+        wanted = touched.groupBy("product_id", "store_id").agg(F.expr(f"greatest(min(order_date), DATE'{first}')"))
+        assert rows(part.groupBy("product_id", "store_id").agg(F.min("snapshot_date"))) == rows(wanted.join(whole, ["product_id", "store_id"], "left_semi"))
+
+
 @pytest.fixture
 def arrivals(spark):
     """A folder that files are added to, one per call."""
