@@ -20,6 +20,7 @@ from marketloom.functions.scalars import (
 from marketloom.operators.shape import date_spine
 from marketloom.plans.base import Inputs, built_at, day, use
 from marketloom.plans.enrich import customers_with_orders, order_items_enriched, orders_enriched
+from marketloom.plans.staging import stg_order_items
 
 FIRST_DAY, LAST_DAY = dt.date(2022, 1, 1), dt.date(2027, 12, 31)
 
@@ -170,12 +171,19 @@ def fct_orders(inputs: Inputs, as_of: dt.date) -> DataFrame:
 
 
 def fct_order_items(inputs: Inputs, as_of: dt.date) -> DataFrame:
-    orders = use(inputs, fct_orders, as_of).select(
-        "order_id", "order_date", "order_month", "order_year", "customer_id", "store_id", "store_channel",
-        "traffic_source", "campaign_id", "order_status",
-    )
-    items = use(inputs, order_items_enriched, as_of)
-    return items.join(orders, "order_id").selectExpr(
+    """Lines with their order and product. Lines meet their orders first, while they are narrow and lie by order."""
+    of_order = [
+        "order_date", "order_month", "order_year", "customer_id", "store_id", "store_channel", "traffic_source",
+        "campaign_id", "order_status",
+    ]
+    orders = use(inputs, fct_orders, as_of).select("order_id", *of_order)
+    stored = inputs.get("order_items_enriched")
+    if stored is None:
+        lines = use(inputs, stg_order_items, as_of).join(orders, "order_id")
+        items = order_items_enriched(inputs, as_of, lines, of_order)
+    else:
+        items = stored.join(orders, "order_id")
+    return items.selectExpr(
         "order_item_id", "order_id", "order_date", "order_month", "order_year", "customer_id", "store_id",
         "store_channel", "traffic_source", "campaign_id", "order_status", "product_id", "product_name", "sku",
         "category", "subcategory", "brand", "quantity", "unit_price_at_purchase", "cost_price", "line_gross_revenue",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
@@ -91,8 +92,10 @@ def orders_enriched(inputs: Inputs, as_of: dt.date) -> DataFrame:
     )
 
 
-def order_items_enriched(inputs: Inputs, as_of: dt.date) -> DataFrame:
-    items = use(inputs, stg_order_items, as_of)
+def order_items_enriched(inputs: Inputs, as_of: dt.date, lines: DataFrame | None = None, carried: Sequence[str] = ()) -> DataFrame:
+    """Lines with their product. ``lines`` replaces the staged lines and may bring columns of other tables, ``carried``
+    to the result: narrow lines that met their orders first are dealt by order once, and only then by product."""
+    items = use(inputs, stg_order_items, as_of) if lines is None else lines
     products = inputs["catalog_products"].select(
         "product_id", "product_name", "sku", "category", "subcategory", "brand", "cost_price", "is_featured"
     )
@@ -118,6 +121,7 @@ def order_items_enriched(inputs: Inputs, as_of: dt.date) -> DataFrame:
         f"CASE WHEN {price} > 0 THEN {whole_ratio(cents(margin), cents(price), 100, 2)} ELSE 0D END AS line_margin_pct",
         "is_featured",
         "_loaded_at",
+        *carried,
     )
 
 

@@ -160,11 +160,13 @@ def _priced(lines: DataFrame) -> DataFrame:
 
 
 def raw_order_items(t) -> DataFrame:
-    """Line numbers repeat inside an order, so copies are counted per (order, line number)."""
-    copy = """row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_shipdate,
-              l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus)"""
+    """Line numbers repeat inside an order, so copies are counted per (order, line number). The rows are numbered order by
+    order and not by line number at once: joins and sums by order then find them dealt by order already."""
+    place = """row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate,
+               l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus)"""
+    copy = "place - min(place) OVER (PARTITION BY l_orderkey, l_linenumber) + 1"
     return _typed(
-        _priced(t("lineitem")).selectExpr("*", f"{copy} AS copy"),
+        _priced(t("lineitem").selectExpr("*", f"{place} AS place").selectExpr("*", f"{copy} AS copy")),
         "raw_order_items",
         # Beyond these bounds ids would repeat, so that is an error.
         order_item_id="""if(l_linenumber BETWEEN 0 AND 7 AND copy < 1000000, (l_orderkey * 8 + l_linenumber) * 1000000 + copy,
