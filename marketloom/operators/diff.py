@@ -237,11 +237,13 @@ def compare_all_columns(
 ) -> DataFrame:
     """All columns at once: counts per column, or flags per key and column. ``key`` is any
     expression over the columns."""
-    flags = column_flags(a, b, key, _all_but(a, exclude), keys_are_unique).withColumn("column_name", F.upper("column_name"))
+    columns = _all_but(a, exclude)
     if not summarize:
-        return flags
-    return flags.groupBy("column_name").agg(
-        *exprs(*[f"bigint(sum(CASE WHEN {f} THEN row_count ELSE 0 END)) AS {f}" for f in _FLAGS])
+        return column_flags(a, b, key, columns, keys_are_unique).withColumn("column_name", F.upper("column_name"))
+    # Counts per column need no rows per key and column: states are counted in the map task.
+    states = _column_states(a, b, key, columns, keys_are_unique).groupBy(F.upper("column_name").alias("column_name"))
+    return states.agg(
+        *exprs(*[f"bigint(sum(if(state IN ({', '.join(map(quoted, found))}), row_count, 0))) AS {flag}" for flag, found in _FLAGS.items()])
     )
 
 
