@@ -118,6 +118,7 @@ class HistoryTable:
         if record is None:
             versions, kept, closed = opened(rows, self.key, at), {}, []
         else:
+            rows = written(rows, "snapshot")  # it is compared first and merged after that
             touched = self._touched(record, rows)
             if not touched:
                 return
