@@ -6,6 +6,7 @@ import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from marketloom.functions.scalars import cents, exprs, ratio, sum_where, whole_ratio, zero_if_null
 from marketloom.operators.sketches import combined_values, frequent_values, top_values
@@ -48,11 +49,12 @@ def orders_enriched(inputs: Inputs, as_of: dt.date) -> DataFrame:
         "store_id", "store_name", "store_type", "channel", "city", "state", "region"
     )
     net = zero_if_null("net")
+    # Stores come first, while orders are narrow; afterwards orders lie by order, as whoever joins or stores them asks.
     return (
         use(inputs, stg_orders, as_of)
+        .join(stores, "store_id", "left")
         .join(lines, "order_id", "left")
         .join(returns, "order_id", "left")
-        .join(stores, "store_id", "left")
         .selectExpr(
             "order_id",
             "order_date",
@@ -93,15 +95,33 @@ def orders_enriched(inputs: Inputs, as_of: dt.date) -> DataFrame:
     )
 
 
+PRODUCT_COLUMNS = ["product_id", "product_name", "sku", "category", "subcategory", "brand", "cost_price", "is_featured"]
+
+
 def order_items_enriched(inputs: Inputs, as_of: dt.date, lines: DataFrame | None = None, carried: Sequence[str] = ()) -> DataFrame:
     """Lines with their product. ``lines`` replaces the staged lines and may bring columns of other tables, ``carried``
     to the result: narrow lines that met their orders first are dealt by order once, and only then by product."""
     items = use(inputs, stg_order_items, as_of) if lines is None else lines
-    products = inputs["catalog_products"].select(
-        "product_id", "product_name", "sku", "category", "subcategory", "brand", "cost_price", "is_featured"
-    )
+    return _with_margins(items.join(inputs["catalog_products"].select(*PRODUCT_COLUMNS), "product_id", "left"), carried)
+
+
+def order_items_by_order(inputs: Inputs, as_of: dt.date) -> DataFrame:
+    """The rows of ``order_items_enriched`` with an order, lying by order, and ``product_copy``: 1 in one row of each line, for products
+    that the catalogue has several times. Lines are dealt once, by order. Only pairs of order and product go to the products,
+    and come back with these; where ``spark.sql.requireAllClusterKeysForCoPartition`` is off, lines do not move for them."""
+    items = use(inputs, stg_order_items, as_of).filter("order_id IS NOT NULL")
+    copy = "row_number() OVER (PARTITION BY product_id ORDER BY product_id) AS product_copy"
+    products = inputs["catalog_products"].select(*PRODUCT_COLUMNS).filter("product_id IS NOT NULL").selectExpr("*", copy)
+    # Dealt by product, equal pairs lie together: an order with many lines of a product asks for it once.
+    asked = items.select("order_id", "product_id").filter("product_id IS NOT NULL").repartition("product_id").distinct()
+    found = asked.join(products, "product_id")
+    met = items.join(found, ["order_id", "product_id"], "left").withColumn("product_copy", F.expr("coalesce(product_copy, 1)"))
+    return _with_margins(met, ["product_copy"])
+
+
+def _with_margins(lines: DataFrame, carried: Sequence[str] = ()) -> DataFrame:
     price, margin = "unit_price_at_purchase", "(unit_price_at_purchase - cost_price)"
-    return items.join(products, "product_id", "left").selectExpr(
+    return lines.selectExpr(
         "order_item_id",
         "order_id",
         "product_id",

@@ -1840,10 +1840,26 @@ def _register_maintenance() -> None:
 
     def items_of_bucketed_tables(spark: SparkSession, folder: str) -> DataFrame:
         inputs, count = sample_retail.retail_inputs(spark, folder), int(spark.conf.get("spark.sql.shuffle.partitions"))
-        for model in (core.fct_orders, enrich.order_items_enriched):
-            path = fresh_path(spark, model.__name__)
-            inputs[model.__name__] = bucketed(model(inputs, AS_OF), path.rpartition("/")[2].replace("-", "_"), path, "order_id", count)
-        return core.fct_order_items(inputs, AS_OF)
+        whole = "spark.sql.requireAllClusterKeysForCoPartition"
+        before = spark.conf.get(whole)
+
+        def store(name: str, *parts: DataFrame) -> DataFrame:
+            path = fresh_path(spark, name)
+            for number, rows in enumerate(parts):
+                table = bucketed(rows, path.rpartition("/")[2].replace("-", "_"), path, "order_id", count, append=number > 0)
+            return table
+
+        lost = staging.stg_order_items(inputs, AS_OF).filter("order_id IS NULL")
+        apart = enrich.order_items_enriched(inputs, AS_OF, lost.withColumn("product_copy", F.lit(1)), ["product_copy"])
+        spark.conf.set(whole, "false")  # lines that lie by order stay there when they meet pairs of order and product
+        try:
+            items = store("order_items_enriched", enrich.order_items_by_order(inputs, AS_OF), apart)
+        finally:
+            spark.conf.set(whole, before)
+        # Orders sum the lines where these lie.
+        lines = items.filter("product_copy = 1").withColumn("line_discount_amount", F.expr("round(line_gross_revenue - line_net_revenue, 2)"))
+        orders = store("fct_orders", core.fct_orders(replaced(inputs, stg_order_items=lines), AS_OF))
+        return core.fct_order_items(replaced(inputs, fct_orders=orders, order_items_enriched=items), AS_OF)
 
     register("bucketed_order_items", items_of_bucketed_tables, ORACLES["fct_order_items"])
     register(

@@ -161,9 +161,10 @@ def _priced(lines: DataFrame) -> DataFrame:
 
 def raw_order_items(t) -> DataFrame:
     """Line numbers repeat inside an order, so copies are counted per (order, line number). The rows are numbered order by
-    order and not by line number at once: joins and sums by order then find them dealt by order already."""
+    order and not by line number at once: joins and sums by order then find them dealt by order already. Columns that the result does not have break no ties: lines
+    equal in all others are equal either way."""
     place = """row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate,
-               l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus)"""
+               l_quantity, l_extendedprice, l_discount)"""
     copy = "place - min(place) OVER (PARTITION BY l_orderkey, l_linenumber) + 1"
     return _typed(
         _priced(t("lineitem").selectExpr("*", f"{place} AS place").selectExpr("*", f"{copy} AS copy")),

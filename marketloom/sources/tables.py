@@ -95,10 +95,12 @@ def interleaved(df: DataFrame, columns: Sequence[str], files: int | None = None,
     return ranged.sortWithinPartitions(*order).drop("_curve", *names)
 
 
-def bucketed(df: DataFrame, name: str, path: str, column: str, buckets: int) -> DataFrame:
+def bucketed(df: DataFrame, name: str, path: str, column: str, buckets: int, append: bool = False) -> DataFrame:
     """A table of its own whose rows lie in buckets by the hash of a column, sorted by it. Tables in equally many buckets by
-    their keys are joined and grouped on these keys without a shuffle. ``path`` must be new; ``name`` is the catalog's."""
-    df.repartition(buckets, column).write.bucketBy(buckets, column).sortBy(column).option("path", path).saveAsTable(name)
+    their keys are joined and grouped on these keys without a shuffle. ``path`` must be new, unless rows are appended to the
+    table; ``name`` is the catalog's."""
+    rows = df.repartition(buckets, column).write.mode("append" if append else "errorifexists").option("compression", "zstd")
+    rows.bucketBy(buckets, column).sortBy(column).option("path", path).saveAsTable(name)
     return df.sparkSession.table(name)
 
 

@@ -7,8 +7,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from marketloom import registry
 from marketloom.operators import diff, history, upsert
-from marketloom.plans import core, enrich
+from marketloom.plans import core, enrich, staging
 from marketloom.registry import QUERIES
 from marketloom.session import fresh_path
 from marketloom.sources import sample_retail
@@ -111,3 +112,47 @@ def test_a_snapshot_is_planned_once(spark, table, monkeypatch):
         kept.snapshot(table("k long, v int", (1, value)), dt.date(2024, 1, day))
     assert labels == ["snapshot"]
     assert kept.read().count() == 2
+
+
+@given
+def test_lines_for_buckets_are_dealt_once(spark, merged_joins, monkeypatch):
+    dealt, keep = [], registry.bucketed
+
+    def seen(df, name, path, column, buckets, append=False):
+        if not append:
+            dealt.extend(line for found in ("l_extendedprice", "line_gross_revenue") for line in exchanges_over(df.repartition(buckets, column), found))
+        return keep(df, name, path, column, buckets, **({"append": True} if append else {}))
+
+    monkeypatch.setattr(registry, "bucketed", seen)
+    result = QUERIES["bucketed_order_items"](spark, FOLDER)
+    assert len(set(dealt)) == 1 and "l_orderkey" in dealt[0]
+    assert result.count() == spark.read.parquet(f"{FOLDER}/lineitem.parquet").count()
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+
+
+@pytest.mark.parametrize("whole", ["true", "false"])
+def test_lines_by_order_are_the_enriched_lines(spark, inputs, whole):  # noqa: F811
+    lines, products = staging.stg_order_items(inputs, AS_OF), inputs["catalog_products"]
+    unknown = [lines.withColumn(c, F.lit(None).cast("long")) for c in ("product_id", "order_id")]
+    odd = lines.unionByName(lines).unionByName(unknown[0]).unionByName(unknown[1])
+    tables = {**inputs, "stg_order_items": odd, "catalog_products": products.unionByName(products)}
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", whole)
+    try:
+        built = enrich.order_items_by_order(tables, AS_OF)
+        assert rows(built.drop("product_copy")) == rows(enrich.order_items_enriched(tables, AS_OF).filter("order_id IS NOT NULL"))
+        # Each line once, however often the catalogue has its product.
+        once = built.filter("product_copy = 1")
+        assert rows(once, "order_item_id", "product_id") == rows(odd.filter("order_id IS NOT NULL"), "order_item_id", "product_id")
+    finally:
+        spark.conf.unset("spark.sql.requireAllClusterKeysForCoPartition")
+
+
+def test_stores_join_orders_before_these_lie_by_order(spark, inputs, merged_joins):  # noqa: F811
+    lines = plan(enrich.orders_enriched(inputs, AS_OF).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "order_id")).splitlines()
+    first = next(line for line in lines if "Exchange" in line or "Join" in line)
+    assert "Join" in first and "order_id" in first  # nothing is dealt after the last join
+
+
+@given
+def test_ids_of_lines_do_not_read_what_no_result_shows(spark):
+    assert not re.search("l_tax|l_returnflag|l_linestatus", plan(QUERIES["fct_order_items"](spark, FOLDER)))
