@@ -60,9 +60,19 @@ def maintain_last_touch(
     pairs: DataFrame, credits: KeyedTable, touch_day: str, order_by: Sequence[str], checkpoint: str, changed: Callable[[DataFrame], None] | None = None
 ) -> StreamingQuery:
     """Keep the best touch of every key-day in ``credits`` (keyed by key and day). ``changed`` gets the key-days of every
-    batch after they are stored; a batch that is delivered again ends in the same tables."""
+    batch after they are stored; a batch that is delivered again ends in the same tables.
+
+    The join keeps its state in as many partitions as the cluster has cores when the checkpoint is new: each partition costs
+    four stores to open and commit in every batch, however little they hold, so partitions by bytes would take most of the time."""
     newest = [f"last_{touch_day}", *order_by]
-    return upsert_stream(pairs, credits, newest, checkpoint, then=changed)
+    spark = pairs.sparkSession
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    # A query takes a copy of the settings when it starts, and those of its checkpoint when it goes on.
+    spark.conf.set("spark.sql.shuffle.partitions", min(int(before), spark.sparkContext.defaultParallelism))
+    try:
+        return upsert_stream(pairs, credits, newest, checkpoint, then=changed)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 def credited(orders: DataFrame, credits: DataFrame, key: str, order_day: str) -> DataFrame:

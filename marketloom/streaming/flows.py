@@ -32,20 +32,23 @@ def upsert_stream(
 ) -> StreamingQuery:
     """Upsert every micro-batch by key: the newest row of a key wins, within a batch and against the
     stored row, by the columns ``newest_first`` (which the table has). Of rows that are equally new, the one
-    that came last stays; a batch that is delivered again writes the same rows again. ``then`` gets the batch's rows
-    when they are in the table."""
+    that came last stays; a batch that is delivered again writes the same rows again. ``then`` gets the newest row of each
+    key of the batch when the table holds it or a newer one. A batch without rows changes nothing and is not told."""
 
     def apply(batch: DataFrame, _: int) -> None:
-        batch = written(batch, "batch")  # a batch is planned once, whatever is done with it
-        latest = deduplicate(transform(batch), table.keys, [F.desc(c) for c in newest_first])
+        # A batch is planned once, whatever is done with it, and only what can win is written.
+        newest = written(deduplicate(transform(batch), table.keys, [F.desc(c) for c in newest_first]), "batch")
+        latest = newest
         if table.exists():
+            if newest.isEmpty():
+                return
             order = [F.col(c) for c in newest_first]
             stored = table.read().select(*table.keys, F.struct(*order).alias("_stored")).hint("merge")  # never a broadcast
-            both = latest.withColumn("_arrived", F.struct(*order)).join(stored, table.keys, "left")
-            latest = both.filter("_stored IS NULL OR _arrived >= _stored").select(*latest.columns)
+            both = newest.withColumn("_arrived", F.struct(*order)).join(stored, table.keys, "left")
+            latest = both.filter("_stored IS NULL OR _arrived >= _stored").select(*newest.columns)
         table.upsert(latest)
         if then is not None:
-            then(batch)
+            then(newest)
 
     return rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import pathlib
 import random
 
 import pytest
@@ -126,3 +127,55 @@ def test_a_batch_delivered_again_finds_the_same_days_closed(spark):
     flows.keep_late(Once([(0, make(10)), (1, make(4, 20)), (1, make(4, 20)), (2, make(15))]), "ts", late, "", 3)
     assert rows(late.read(), "i") == [(4,), (15,)]
     assert json.loads(late.mark())["before"].startswith("2026-01-20")
+
+
+class Batches:
+    """A stream of given batches."""
+
+    def __init__(self, *batches):
+        self.batches, self.writeStream = batches, self
+
+    def foreachBatch(self, apply):
+        for number, batch in enumerate(self.batches):
+            apply(batch, number)
+        return self
+
+    option = trigger = start = lambda self, *a, **b: self
+
+
+def test_a_batch_without_rows_changes_nothing(spark, table, monkeypatch):
+    store, told = KeyedTable(spark, fresh_path(spark, "t"), ["k"], "p", "int", keys_stay=True), []
+    upserts, keep = [], KeyedTable.upsert
+    monkeypatch.setattr(KeyedTable, "upsert", lambda self, *a, **b: upserts.append(1) or keep(self, *a, **b))
+    some = table("k long, p int, v int", (1, 1, 1), (2, 1, 1))
+    flows.upsert_stream(Batches(some, some.filter("false"), some.withColumn("v", F.lit(0))), store, ["v"], "", then=lambda b: told.append(b.count()))
+    assert (len(upserts), told) == (2, [2, 2])
+    assert rows(store.read()) == [(1, 1, 1), (2, 1, 1)]
+
+
+def test_only_what_can_win_is_written(spark, table, monkeypatch):
+    counts, keep = [], flows.written
+    monkeypatch.setattr(flows, "written", lambda df, label: counts.append(df.count()) or keep(df, label))
+    store = KeyedTable(spark, fresh_path(spark, "t"), ["k"], "p", "int", keys_stay=True)
+    flows.upsert_stream(Batches(table("k long, p int, v int", *[(1, 1, v) for v in range(9)])), store, ["v"], "")
+    assert counts == [1] and rows(store.read()) == [(1, 1, 8)]
+
+
+def test_state_has_as_many_partitions_as_cores(spark, table):
+    paths = {name: fresh_path(spark, name) for name in ("orders", "touches")}
+    table("k long, day date", (1, on(1))).write.parquet(f"{paths['orders']}/arrival=0")
+    table("k long, seen date, session string", (1, on(0), "a"), (1, on(1), "b")).write.parquet(f"{paths['touches']}/arrival=0")
+    orders = flows.read_stream(spark, f"{paths['orders']}/*", "k long, day date")
+    touches = flows.read_stream(spark, f"{paths['touches']}/*", "k long, seen date, session string")
+    store, checkpoint = KeyedTable(spark, fresh_path(spark, "credits"), ["k", "day"], "day", keys_stay=True), fresh_path(spark, "offsets")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        pairs = attribution.touch_pairs(orders, touches, "k", "day", "seen", ["session"])
+        attribution.maintain_last_touch(pairs, store, "seen", ["session"], checkpoint).awaitTermination()
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "40"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    held = [p for p in pathlib.Path(checkpoint, "state", "0").iterdir() if p.name.isdigit()]
+    assert len(held) == spark.sparkContext.defaultParallelism
+    assert rows(store.read(), "k", "day", "session") == [(1, on(1), "b")]
