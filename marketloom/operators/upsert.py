@@ -171,8 +171,9 @@ class KeyedTable:
         where = [self.partition, *[c for c in place if c not in self.keys]]
         new = updates.select(*self.keys, F.struct(*[F.col(c).alias(f"p{k}") for k, c in enumerate(where)]).alias("_there"))
         old = (target if target_where is None else target.filter(target_where)).withColumn("_here", F.struct(*[F.col(c).alias(f"p{k}") for k, c in enumerate(where)]))
-        met = old.select(*self.keys, self.partition, "_here").join(new.hint("merge"), self.keys)
-        return written(met.filter("NOT (_here <=> _there)").select(*self.keys, self.partition), "moved")
+        found = list(dict.fromkeys([*self.keys, self.partition]))  # the partition may be one of the keys
+        met = old.select(*found, "_here").join(new.hint("merge"), self.keys)
+        return written(met.filter("NOT (_here <=> _there)").select(*found), "moved")
 
     def _write_merged(self, old: DataFrame, updates: DataFrame, gone: DataFrame | None, target_where: str | None) -> dict[str, str]:
         """Write the partitions in which old rows meet updates. Both are dealt out once, to their places in the table, where

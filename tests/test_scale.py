@@ -156,3 +156,10 @@ def test_stores_join_orders_before_these_lie_by_order(spark, inputs, merged_join
 @given
 def test_ids_of_lines_do_not_read_what_no_result_shows(spark):
     assert not re.search("l_tax|l_returnflag|l_linestatus", plan(QUERIES["fct_order_items"](spark, FOLDER)))
+
+
+def test_the_partition_may_be_a_key(spark, table):
+    store = upsert.KeyedTable(spark, fresh_path(spark, "t"), ["k", "p"], "p", "int")
+    for v in (1, 2):
+        store.upsert(table("k long, p int, v int", (1, 1, v), (1, 2 * v, v)))
+    assert rows(store.read()) == [(1, 1, 2), (1, 2, 1), (1, 4, 2)]
