@@ -163,3 +163,24 @@ def test_the_partition_may_be_a_key(spark, table):
     for v in (1, 2):
         store.upsert(table("k long, p int, v int", (1, 1, v), (1, 2 * v, v)))
     assert rows(store.read()) == [(1, 1, 2), (1, 2, 1), (1, 4, 2)]
+
+
+@pytest.mark.parametrize("deal", [True, False])
+def test_an_upsert_writes_no_row_that_stays_beside_new_keys(spark, table, monkeypatch, deal):
+    store = upsert.KeyedTable(spark, fresh_path(spark, "t"), ["k"], "p", "int", deal=deal)
+    writes, write = [], upsert.KeyedTable._write
+    monkeypatch.setattr(upsert.KeyedTable, "_write", lambda self, df: writes.append(df.count()) or write(self, df))
+    store.upsert(table("k long, p int, v int", (1, 1, 0), (2, 1, 0), (3, 2, 0)))
+    store.upsert(table("k long, p int, v int", (4, 1, 1), (5, 2, 1)))  # new keys: the rows of both partitions stay in their files
+    store.upsert(table("k long, p int, v int", (3, 2, 2), (5, 2, 2)))  # all rows of a partition: none is read again
+    assert writes == [3, 2, 2]
+    store.upsert(table("k long, p int, v int", (1, 2, 3)))  # leaves three others behind
+    assert writes == [3, 2, 2, 1, 2]
+    assert rows(store.read(), "k", "p", "v") == [(1, 2, 3), (2, 1, 0), (3, 2, 2), (4, 1, 1), (5, 2, 2)]
+
+
+def test_rows_without_a_deal_are_not_shuffled(spark):
+    store = upsert.KeyedTable(spark, fresh_path(spark, "t"), ["k"], "p", "int", sort_by=["k"], deal=False)
+    store.upsert(spark.range(0, 40, 1, 3).selectExpr("id AS k", "int(id % 2) AS p"))
+    assert len(store.read().inputFiles()) == 6  # three tasks with two partitions each
+    assert rows(store.read()) == [(k, k % 2) for k in range(40)]
