@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marketloom import registry
 from marketloom.operators import diff, history, upsert
-from marketloom.plans import core, enrich, staging
+from marketloom.plans import core, enrich, increments, staging
 from marketloom.registry import QUERIES
 from marketloom.session import fresh_path
 from marketloom.sources import sample_retail
@@ -184,3 +184,32 @@ def test_rows_without_a_deal_are_not_shuffled(spark):
     store.upsert(spark.range(0, 40, 1, 3).selectExpr("id AS k", "int(id % 2) AS p"))
     assert len(store.read().inputFiles()) == 6  # three tasks with two partitions each
     assert rows(store.read()) == [(k, k % 2) for k in range(40)]
+
+
+def by_order(spark, inputs):  # noqa: F811
+    return {**inputs, **{name: registry._by_order(inputs[name], fresh_path(spark, name)) for name in increments.ORDER_TABLES}}
+
+
+def test_lines_landed_by_order_are_not_dealt_again(spark, inputs, merged_joins):  # noqa: F811
+    tables = by_order(spark, inputs)
+    keys = increments.affected_orders(tables, F.lit(None).cast("timestamp"))
+    built = core.fct_orders(increments.of_orders(tables, keys), AS_OF)
+    assert "raw_order_items_" in plan(built)
+    # Only the ids of what was loaded go to their orders.
+    assert not any("sum(" in x or "line_gross_revenue" in x for x in exchanges_over(built, "raw_order_items_"))
+    assert rows(built) == rows(core.fct_orders(inputs, AS_OF))
+
+
+def test_lines_that_lie_by_order_stay_there(spark, inputs, merged_joins):  # noqa: F811
+    tables, orders = by_order(spark, inputs), core.fct_orders(inputs, AS_OF)
+    with registry._staying_by_order(spark):
+        built = increments.lines_of_orders(tables, AS_OF, orders, by_order=True)
+        dealt = exchanges_over(built, "raw_order_items_")
+        assert dealt and all("hashpartitioning(product_id" in x or "hashpartitioning(order_id" in x for x in dealt)
+        assert rows(built) == rows(core.fct_order_items(inputs, AS_OF))
+
+
+def test_unknown_orders_meet_unknown_keys_only(spark, table):
+    orders = table("order_id long, v int", (1, 1), (2, 2), (None, 3), (1, 4))
+    among = lambda *keys: rows(increments._orders_among(orders, table("order_id long", *[(k,) for k in keys])), "v")
+    assert (among(1, 5), among(None, 2), among()) == ([(1,), (4,)], [(2,), (3,)], [])
