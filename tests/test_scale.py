@@ -213,3 +213,14 @@ def test_unknown_orders_meet_unknown_keys_only(spark, table):
     orders = table("order_id long, v int", (1, 1), (2, 2), (None, 3), (1, 4))
     among = lambda *keys: rows(increments._orders_among(orders, table("order_id long", *[(k,) for k in keys])), "v")
     assert (among(1, 5), among(None, 2), among()) == ([(1,), (4,)], [(2,), (3,)], [])
+
+
+def test_store_days_do_not_number_lines(spark, tmp_path):
+    """A line without a number has no id, which store days do not show."""
+    empty = {name: spark.createDataFrame([], schema) for name, schema in sample_retail.SOURCES.items()}
+    line = "SELECT 1L AS l_orderkey, 1L AS l_partkey, 1L AS l_suppkey, int(NULL) AS l_linenumber, 1D AS l_quantity, 2D AS l_extendedprice, 0D AS l_discount, 0D AS l_tax, 'N' AS l_returnflag, 'O' AS l_linestatus, TIMESTAMP_NTZ'2000-01-01 00:00:00' AS l_shipdate"
+    for name, df in {**empty, "lineitem": spark.sql(line)}.items():
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    assert rows(registry._landed(spark, str(tmp_path), line_ids=False)["raw_order_items"], "order_id", "order_item_id", "line_gross_revenue") == [(1, None, 2)]
+    with pytest.raises(Exception, match="beyond the range"):
+        registry._landed(spark, str(tmp_path))
